@@ -1,8 +1,8 @@
 """Exact positions in ordered groups, however large a single group is.
 
 A plain window puts a whole group into one task. Here rows are range-partitioned on the group
-and the order together, so a hot group spreads over many slices; each slice is numbered on its
-own and shifted by the rows before it.
+and the order together, so a hot group spreads over many slices, and every row gets a serial
+number that follows the global order. Positions then come from small per-slice counts.
 """
 
 from __future__ import annotations
@@ -13,16 +13,21 @@ from pyspark.sql.window import Window
 
 from shiftledger.session import cut_lineage, shuffle_partitions
 
+SERIAL = "_serie"
 SLICE = "_faixa"
+_SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows with the number of their range slice, fixed by writing them out.
+def serialized(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows in (keys, order) sequence with an increasing ``_serie``, fixed by writing them out.
 
-    The slice bounds are sampled, so two evaluations could disagree; the written rows cannot.
+    The range bounds are sampled, so two evaluations could disagree; the written rows cannot.
     """
     n = partitions or shuffle_partitions(df.sparkSession)
-    placed = df.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    placed = (
+        df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn(SERIAL, F.monotonically_increasing_id())
+    )
     return cut_lineage(placed)
 
 
@@ -30,16 +35,22 @@ def rank_in_group(
     df: DataFrame, keys: list[str], order: list[str], name: str, partitions: int | None = None
 ) -> DataFrame:
     """Add the 1-based position of each row in its group. Keys and order must not be null and order must be total."""
-    placed = sliced(df, keys, order, partitions)
+    placed = serialized(df, keys, order, partitions).withColumn(SLICE, F.shiftright(SERIAL, _SLICE_BITS))
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        placed.groupBy(*keys, SLICE).agg(F.count("*").alias("_n"))
-        .select(*keys, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_antes"))
+    shift = (
+        placed.groupBy(*keys, SLICE).agg(F.count("*").alias("_n"), F.min(SERIAL).alias("_inicio"))
+        .select(*keys, SLICE, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_inicio")).alias("_ajuste"))
     )
-    within = Window.partitionBy(*keys, SLICE).orderBy(*order)
     return (
-        placed.withColumn("_posicao", F.row_number().over(within))
-        .join(before, [*keys, SLICE])
-        .withColumn(name, F.col("_antes") + F.col("_posicao"))
-        .drop("_antes", "_posicao", SLICE)
+        placed.join(shift, [*keys, SLICE])
+        .withColumn(name, F.col(SERIAL) + F.col("_ajuste"))
+        .drop(SERIAL, "_ajuste", SLICE)
     )
+
+
+def cut_slices(placed: DataFrame, rows: int) -> DataFrame:
+    """Number consecutive runs of at most ``rows`` serialized rows; run numbers follow the order."""
+    partition = F.shiftright(SERIAL, _SLICE_BITS)
+    position = F.col(SERIAL).bitwiseAND(F.lit((1 << _SLICE_BITS) - 1))
+    run = F.floor(position / F.lit(rows)).cast("bigint")
+    return placed.withColumn(SLICE, F.shiftleft(partition, _SLICE_BITS) + run)

@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from shiftledger.functions import dates, text
 from shiftledger.functions.domain import WEEKDAYS
 from shiftledger.operators import (
-    changes, filters, gaps, identity, kpi, plan, reports, requests, users,
+    changes, filters, gaps, identity, kpi, lifecycle, plan, reports, requests, users,
 )
 from shiftledger.session import scratch_path
 from shiftledger.sources import fixtures, schemas, tables
+from shiftledger.streaming import live
 from shiftledger.sources.fixtures import AS_OF, GAP_DAY, GAP_END, GAP_START, REQUESTS_AS_OF
 
 
@@ -31,6 +32,13 @@ class Inputs:
             raise AttributeError(name)
         return fixtures.view(self.spark, self.sf_dir, name)
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a stream over its source file."""
+        table = fixtures.VIEWS[name][0]
+        schema = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet").schema
+        source = live.read_table_stream(self.spark, self.sf_dir, schema, f"{table}.parquet")
+        return fixtures.derive(source, name)
+
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 
@@ -508,3 +516,53 @@ def users_after_role_changes(t: Inputs) -> DataFrame:
 @query
 def ingest_users(t: Inputs) -> DataFrame:
     return users.ingest_users(t.signups, t.users)
+
+
+# --- request lifecycle and streams ---------------------------------------------------------
+
+@query
+def request_lifecycle(t: Inputs) -> DataFrame:
+    return lifecycle.log_effects(t.request_log)
+
+
+@query
+def requests_from_log(t: Inputs) -> DataFrame:
+    return lifecycle.requests_from_log(lifecycle.log_effects(t.request_log), AS_OF)
+
+
+@query
+def stream_daily_kpi(t: Inputs) -> DataFrame:
+    root = scratch_path(t.spark, "daily")
+    live.run_daily_kpi(t.stream("records"), f"{root}/saida", f"{root}/checkpoint")
+    return live.daily_kpi(t.spark, f"{root}/saida")
+
+
+@query
+def stream_late_rows(t: Inputs) -> DataFrame:
+    """Records arrive in two deliveries; the second one is dated all over the range."""
+    root = scratch_path(t.spark, "late")
+    second = F.col("id") % 50 == 0
+    for delivery in (t.records.where(~second), t.records.where(second)):
+        delivery.write.mode("append").parquet(f"{root}/entrada")
+        source = live.read_table_stream(t.spark, f"{root}/entrada", schemas.RECORDS)
+        live.run_late_rows(source, root, f"{root}/checkpoint")
+    return live.late_rows(t.spark, root)
+
+
+@query
+def stream_late_days(t: Inputs) -> DataFrame:
+    return live.recompute_late_days(t.records, stream_late_rows(t))
+
+
+@query
+def stream_ingest(t: Inputs) -> DataFrame:
+    root = scratch_path(t.spark, "ingest")
+    live.run_ingest(t.stream("submissions"), t.users, root, f"{root}/checkpoint", AS_OF)
+    return live.current_records(t.spark, f"{root}/registros").drop("dia", "versao")
+
+
+@query
+def stream_request_expiry(t: Inputs) -> DataFrame:
+    root = scratch_path(t.spark, "expiry")
+    live.run_expiry(live.approval_events(t.stream("requests")), f"{root}/saida", f"{root}/checkpoint")
+    return live.settled(t.spark, f"{root}/saida")

@@ -87,6 +87,21 @@ _HELPERS = {
         "WHEN coalesce(u.email, '') <> '' AND coalesce(n.email, '') <> '' AND lower(trim(u.email)) <> lower(trim(n.email)) THEN 'nao_confere' "
         "WHEN coalesce(u.telefone, '') <> '' AND coalesce(n.telefone, '') <> '' AND trim(u.telefone) <> trim(n.telefone) THEN 'nao_confere' "
         "ELSE 'ok' END AS verificacao FROM new_requests n LEFT JOIN users u ON u.username = trim(n.username)"),
+    "effects": (["request_log"],
+        "WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY usuario ORDER BY quando, id) AS n FROM request_log), "
+        "f AS (SELECT usuario, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS quando, CAST(NULL AS VARCHAR) AS acao, "
+        "CAST(NULL AS VARCHAR) AS efeito, CAST(NULL AS BIGINT) AS alvo, CAST(NULL AS BIGINT) AS req, CAST(NULL AS TIMESTAMP) AS ate "
+        "FROM (SELECT DISTINCT usuario FROM o) UNION ALL SELECT usuario, n, id, quando, acao, efeito, "
+        "CASE WHEN efeito = 'aberta' THEN id WHEN efeito <> 'ignorada' THEN r END, "
+        "CASE efeito WHEN 'aberta' THEN id WHEN 'usada' THEN NULL WHEN 'rejeitada' THEN NULL ELSE r END, "
+        "CASE efeito WHEN 'autorizada' THEN quando + INTERVAL 10 MINUTE WHEN 'usada' THEN NULL WHEN 'rejeitada' THEN NULL ELSE a END "
+        "FROM (SELECT *, CASE WHEN acao = 'solicitar' AND r IS NULL THEN 'aberta' WHEN acao = 'autorizar' AND r IS NOT NULL AND a IS NULL THEN 'autorizada' "
+        "WHEN acao = 'rejeitar' AND r IS NOT NULL THEN 'rejeitada' WHEN acao = 'usar' AND a IS NOT NULL THEN 'usada' ELSE 'ignorada' END AS efeito "
+        "FROM (SELECT o.*, CASE WHEN f.ate < o.quando THEN NULL ELSE f.req END AS r, CASE WHEN f.ate < o.quando THEN NULL ELSE f.ate END AS a "
+        "FROM f JOIN o ON o.usuario = f.usuario AND o.n = f.n + 1))) "
+        "SELECT id, usuario, quando, acao, efeito, alvo AS solicitacao_id FROM f WHERE n > 0"),
+    "late": (["records"],
+        "SELECT * FROM records WHERE id % 50 = 0 AND data_registro < (SELECT max(data_registro) FROM records WHERE id % 50 <> 0) - INTERVAL 2 DAY"),
     "swept": (["requests"],
         "SELECT * REPLACE (CASE WHEN status = 'autorizado' AND expira_em < TIMESTAMP '1998-06-01' THEN 'expirado' ELSE status END AS status) FROM requests"),
     "payload_rows": (["plan_payloads"],
@@ -327,6 +342,29 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "users_after_role_changes": (["role_changes", "users"],
         "SELECT u.* REPLACE (coalesce(l.role, u.role) AS role) FROM users u LEFT JOIN (SELECT id, role FROM role_changes "
         "WHERE role IN ('Operador', 'Visualizador', 'Gestor', 'Admin') QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1) l USING (id)"),
+    "request_lifecycle": (["effects"], "SELECT * FROM effects"),
+    "requests_from_log": (["effects"],
+        "SELECT id, username, CASE WHEN usado_em IS NOT NULL THEN 'usado' WHEN rej IS NOT NULL THEN 'rejeitado' "
+        f"WHEN autorizado_em + INTERVAL 10 MINUTE < {_AS_OF} THEN 'expirado' WHEN autorizado_em IS NOT NULL THEN 'autorizado' ELSE 'pendente' END AS status, "
+        "solicitado_em, autorizado_em, autorizado_em + INTERVAL 10 MINUTE AS expira_em, usado_em FROM ("
+        "SELECT solicitacao_id AS id, max(usuario) AS username, max(quando) FILTER (efeito = 'aberta') AS solicitado_em, "
+        "max(quando) FILTER (efeito = 'autorizada') AS autorizado_em, max(quando) FILTER (efeito = 'usada') AS usado_em, "
+        "max(quando) FILTER (efeito = 'rejeitada') AS rej FROM effects WHERE solicitacao_id IS NOT NULL GROUP BY 1)"),
+    "stream_daily_kpi": (["records"],
+        f"SELECT data_registro::DATE AS dia, count(*) AS quantidade, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
+        f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM records WHERE data_registro IS NOT NULL GROUP BY 1"),
+    "stream_late_rows": (["late"], f"SELECT {_REC} FROM late"),
+    "stream_late_days": (["late", "records"],
+        f"SELECT data_registro::DATE AS dia, count(*) AS quantidade, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
+        f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM records "
+        "WHERE data_registro::DATE IN (SELECT data_registro::DATE FROM late) GROUP BY 1"),
+    "stream_ingest": (["ingested"],
+        f"SELECT {_REC} FROM ingested WHERE aceito AND cliente_nome NOT IN ('', 'Selecione...') AND (status = {_FULL} OR trim(justificativa) <> '') "
+        "AND status IN ('Realizado Total', 'Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado')"),
+    "stream_request_expiry": (["requests"],
+        "SELECT id, username, autorizado_em, expira_em, usado_em, CASE WHEN usado_em IS NULL THEN 'expirado' ELSE 'usado' END AS status FROM requests "
+        "WHERE autorizado_em IS NOT NULL AND coalesce(usado_em, autorizado_em) + INTERVAL 600000001 MICROSECOND <= "
+        "(SELECT max(coalesce(usado_em, autorizado_em)) FROM requests) - INTERVAL 2 DAY"),
     "ingest_users": (["signups", "users"],
         "SELECT ordem, username, nome, coalesce(nullif(email, ''), username) AS email, coalesce(nullif(role, ''), 'Operador') AS role, "
         "CASE WHEN n = 1 AND username NOT IN (SELECT username FROM users) THEN 'criado' ELSE 'duplicado' END AS resultado "

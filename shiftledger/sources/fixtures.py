@@ -66,7 +66,7 @@ _REQUEST_STATUS = (
 )
 _HAS_APPROVAL = "o_orderstatus = 'P' OR (o_orderstatus = 'F' AND o_orderkey % 2 = 0)"
 _APPROVED_AT = f"CASE WHEN {_HAS_APPROVAL} THEN {_plus('o_orderdate', 'o_orderkey % 60', 'MINUTE')} END"
-_ISO_DAY = "substring(CAST(o_orderdate AS STRING), 1, 10)"
+_ISO_DAY = "CAST(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS STRING)"
 _DATE_TEXT = (
     f"CASE o_orderkey % 8 WHEN 0 THEN {_ISO_DAY} || 'T08:15:30' WHEN 1 THEN {_ISO_DAY} || 'T08:15:30Z' "
     f"WHEN 2 THEN {_ISO_DAY} || 'T08:15:30+03:00' WHEN 3 THEN ' ' || {_ISO_DAY} || ' ' "
@@ -202,10 +202,14 @@ def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def derive(source: DataFrame, name: str) -> DataFrame:
+    """The view over its (static or streaming) source table."""
+    exprs = [f"{e.replace('{NTZ}', 'TIMESTAMP_NTZ')} AS `{c}`" for c, e in VIEWS[name][1]]
+    return source.selectExpr(*exprs)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table, columns = VIEWS[name]
-    exprs = [f"{e.replace('{NTZ}', 'TIMESTAMP_NTZ')} AS `{c}`" for c, e in columns]
-    return _source(spark, sf_dir, table).selectExpr(*exprs)
+    return derive(_source(spark, sf_dir, VIEWS[name][0]), name)
 
 
 def view_sql(name: str) -> str:
