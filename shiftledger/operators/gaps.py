@@ -23,18 +23,23 @@ PAIR = ["dia", "op_chave", "cli_chave"]
 def expected_pairs(schedule: DataFrame, first: date, last: date) -> DataFrame:
     """Distinct planned pairs per day in [first, last], with the number of plan cells behind each.
 
-    Every cell lists its own dates in the range, so no calendar join is needed; the spelling is
-    that of the first plan line.
+    Repeats are settled per weekday (the spelling is that of the first plan line); only then does
+    each pair list its own dates in the range, so neither a calendar join nor a second shuffle is
+    needed.
     """
-    start = F.date_add(F.lit(first), F.pmod(F.col("dia_idx") - F.lit(first.weekday()), F.lit(7)))
-    dates = F.when(start <= F.lit(last), F.sequence(start, F.lit(last), F.expr("INTERVAL '7' DAY")))
     cells = plan_long(schedule).where("operador <> ''").select(
-        F.explode(dates).alias("dia"), "id", "operador", "cliente",
+        "dia_idx", "id", "operador", "cliente",
         match_key("operador").alias("op_chave"), match_key("cliente").alias("cli_chave"),
     )
-    return cells.groupBy(*PAIR).agg(
+    pairs = cells.groupBy("dia_idx", "op_chave", "cli_chave").agg(
         F.count("*").alias("celulas"), F.min(F.struct("id", "operador", "cliente")).alias("_primeira")
-    ).select(*PAIR, "celulas", F.col("_primeira.id").alias("linha_id"), "_primeira.operador", "_primeira.cliente")
+    )
+    start = F.date_add(F.lit(first), F.pmod(F.col("dia_idx") - F.lit(first.weekday()), F.lit(7)))
+    dates = F.when(start <= F.lit(last), F.sequence(start, F.lit(last), F.expr("INTERVAL '7' DAY")))
+    return pairs.select(
+        F.explode(dates).alias("dia"), "op_chave", "cli_chave", "celulas",
+        F.col("_primeira.id").alias("linha_id"), "_primeira.operador", "_primeira.cliente",
+    )
 
 
 def reported_pairs(records: DataFrame, first: date, last: date) -> DataFrame:

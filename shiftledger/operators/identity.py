@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftledger.functions.domain import EMPTY_CELL, NO_NAME
-from shiftledger.functions.roles import has_full_view
+from shiftledger.functions.roles import FULL_VIEW, has_full_view
 from shiftledger.functions.text import (
     first_token, none_if_blank, operator_key, slug, space_token, strip,
 )
@@ -29,24 +29,41 @@ def label_of(best: Column | str) -> Column:
     return F.coalesce(best["nome"], F.lit(NO_NAME))
 
 
-def operator_labels(records: DataFrame) -> DataFrame:
-    """One row per operator key with its display label."""
+def operator_labels(spellings: DataFrame) -> DataFrame:
+    """One row per operator key with its display label, from raw names that may repeat.
+
+    The names are made distinct first: that step hashes, while an aggregate that keeps text has
+    to sort its input, which should then be small.
+    """
     return (
-        records.groupBy(operator_key("operador_nome").alias("op_key"))
+        spellings.select("operador_nome").distinct()
+        .groupBy(operator_key("operador_nome").alias("op_key"))
         .agg(longest("operador_nome").alias("_best"))
         .select("op_key", label_of("_best").alias("operador_exibicao"))
     )
 
 
-def canonical_operator(records: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def operator_spellings(records: DataFrame) -> DataFrame:
+    """Every raw name once, with its operator key and the label of that key."""
+    names = records.select("operador_nome").distinct()
+    return names.withColumn("op_key", operator_key("operador_nome")).join(operator_labels(names), "op_key")
+
+
+def canonical_operator(records: DataFrame, spellings: DataFrame | None = None) -> DataFrame:
     """Every row with its operator key and label.
 
-    The label table has one row per operator; adaptive execution broadcasts it when its measured
-    size allows, and splits the hot operators of the record side when it does not. Pass stored
-    ``labels`` to spare the second read.
+    The key is worked out once per spelling and looked up per row. Adaptive execution broadcasts
+    the spellings when their measured size allows, and splits the hot names of the record side
+    when it does not. Pass stored ``spellings`` to spare the second read; a name they lack keeps
+    its own text as label.
     """
-    labels = operator_labels(records) if labels is None else labels
-    return records.withColumn("op_key", operator_key("operador_nome")).join(labels, "op_key", "left")
+    found = operator_spellings(records) if spellings is None else spellings
+    found = found.select(F.col("operador_nome").alias("_nome"), F.col("op_key").alias("_key"), "operador_exibicao")
+    return records.join(found, F.col("operador_nome").eqNullSafe(F.col("_nome")), "left").select(
+        *records.columns,
+        F.coalesce("_key", operator_key("operador_nome")).alias("op_key"),
+        F.coalesce("operador_exibicao", "operador_nome").alias("operador_exibicao"),
+    )
 
 
 def substrings(name: Column | str) -> Column:
@@ -104,27 +121,45 @@ def with_plan_spelling(records: DataFrame, schedule: DataFrame) -> DataFrame:
     return records.join(resolved, raw == F.col("_bruto"), "left").drop("_bruto")
 
 
+def _viewers(users: DataFrame) -> DataFrame:
+    """Users with the name that limits their view; null for those who see the whole plan."""
+    name = F.when(~has_full_view("role"), F.lower(none_if_blank("nome")))
+    return users.select("id", "username", name.alias("nome_busca"))
+
+
 def schedule_visibility(users: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Which plan rows each user sees.
+    """Plan lines per limited viewer name: those whose operator contains the name.
 
-    Scope ``propria``: one row per plan line whose operator contains the user's name. Scope
-    ``geral``: a single row without a line id, for users who see the whole plan (full-view roles,
-    no name, or no hit at all). The whole plan is not repeated per user.
+    Listed once per distinct name, not per user, so many users of one name cost one entry each in
+    ``viewer_scopes`` and nothing here.
     """
-    named = users.select("id", "username", F.lower(none_if_blank("nome")).alias("_nome"), "role")
-    limited = named.where(~has_full_view("role") & F.col("_nome").isNotNull())
-    tokens = plan_names(schedule).select(
-        "nome_escala", F.explode(substrings("nome_escala")).alias("_nome")
-    )
+    names = _viewers(users).select("nome_busca").where("nome_busca IS NOT NULL").distinct()
+    tokens = plan_names(schedule).select("nome_escala", F.explode(substrings("nome_escala")).alias("nome_busca"))
     lines = schedule.select(
         F.col("id").alias("linha_id"), F.coalesce(none_if_blank("operador"), F.lit(EMPTY_CELL)).alias("nome_escala")
     )
-    hits = limited.join(tokens, "_nome").select("id", "username", "nome_escala")
-    own = hits.join(lines, "nome_escala").select("id", "username", F.lit("propria").alias("escopo"), "linha_id")
-    rest = named.join(hits.select("id").distinct(), "id", "left_anti").select(
-        "id", "username", F.lit("geral").alias("escopo"), F.lit(None).cast("bigint").alias("linha_id")
+    return names.join(tokens, "nome_busca").join(lines, "nome_escala").select("nome_busca", "linha_id")
+
+
+def viewer_scopes(users: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Whether a user sees only lines under the own name (``propria``) or the whole plan (``geral``).
+
+    The whole plan goes to full-view roles, to users without a name, and to those whose name is
+    in no plan operator.
+    """
+    hits = schedule_visibility(users, schedule).select("nome_busca").distinct().withColumn("_propria", F.lit(True))
+    return _viewers(users).join(hits, "nome_busca", "left").select(
+        "id", "username", F.when(F.col("_propria"), "propria").otherwise("geral").alias("escopo"),
+        F.when(F.col("_propria"), F.col("nome_busca")).alias("nome_busca"),
     )
-    return own.unionByName(rest)
+
+
+def visible_schedule(schedule: DataFrame, name: str, role: str) -> DataFrame:
+    """The plan as one viewer sees it."""
+    if role.strip().lower() in FULL_VIEW or not name.strip():
+        return schedule
+    own = schedule.where(F.coalesce(F.lower("operador").contains(name.strip().lower()), F.lit(False)))
+    return schedule if own.isEmpty() else own
 
 
 def names_without_account(schedule: DataFrame, users: DataFrame) -> DataFrame:

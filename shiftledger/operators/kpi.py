@@ -50,25 +50,23 @@ def status_distribution(records: DataFrame) -> DataFrame:
 
 
 def _by_operator(records: DataFrame, where: Column | None) -> DataFrame:
-    """Counts per operator label in one pass over the records.
+    """Counts per operator label in one pass over the records, without a join.
 
-    The label comes from all rows, the counts from those that pass ``where``. Grouping by key
-    first and by label second gives the same groups as labelling every row, without a join.
+    The label comes from all rows, the counts from those that pass ``where``. Rows are counted
+    per raw name first, with plain counters that combine before the shuffle; keys and labels are
+    then worked out on the distinct names. Grouping by key and at last by label gives the same
+    groups as labelling every row.
     """
     kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     problem = F.col("status").isin(STATUS_MEASURES["parciais"], STATUS_MEASURES["nao_realizados"])
-    by_key = records.groupBy(operator_key("operador_nome").alias("op_key")).agg(
-        longest("operador_nome").alias("_best"),
-        F.count_if(kept).alias("linhas"),
-        count_known(kept).alias("total"),
-        count_status(FULL, kept).alias("realizados"),
-        F.count_if(problem & kept).alias("problemas"),
-    )
-    return (
-        by_key.groupBy(label_of("_best").alias("operador"))
-        .agg(*[F.sum(c).alias(c) for c in ["linhas", "total", "realizados", "problemas"]])
-        .where("linhas > 0")
+    counts = ["linhas", "total", "realizados", "problemas"]
+    sums = [F.sum(c).alias(c) for c in counts]
+    by_name = records.groupBy("operador_nome").agg(
+        F.count_if(kept).alias("linhas"), count_known(kept).alias("total"),
+        count_status(FULL, kept).alias("realizados"), F.count_if(problem & kept).alias("problemas"),
     )
+    by_key = by_name.groupBy(operator_key("operador_nome").alias("op_key")).agg(longest("operador_nome").alias("_best"), *sums)
+    return by_key.groupBy(label_of("_best").alias("operador")).agg(*sums).where("linhas > 0")
 
 
 def operator_efficiency(records: DataFrame, where: Column | None = None) -> DataFrame:
@@ -111,8 +109,9 @@ def insights(records: DataFrame, where: Column | None = None) -> DataFrame:
 def operator_status_matrix(records: DataFrame, where: Column | None = None) -> DataFrame:
     """Rows per canonical operator and status. The window sees one row per status of an operator."""
     kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    counts = records.groupBy(operator_key("operador_nome").alias("op_key"), "status").agg(
-        longest("operador_nome").alias("_best"), F.count_if(kept).alias("qtd")
+    by_name = records.groupBy("operador_nome", "status").agg(F.count_if(kept).alias("qtd"))
+    counts = by_name.groupBy(operator_key("operador_nome").alias("op_key"), "status").agg(
+        longest("operador_nome").alias("_best"), F.sum("qtd").alias("qtd")
     )
     label = label_of(F.min("_best").over(Window.partitionBy("op_key")))
     return (

@@ -41,6 +41,8 @@ def rank_in_group(
         placed.groupBy(*keys, SLICE).agg(F.count("*").alias("_n"), F.min(SERIAL).alias("_inicio"))
         .select(*keys, SLICE, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_inicio")).alias("_ajuste"))
     )
+    if not keys:
+        shift = F.broadcast(shift)  # one row per slice
     return (
         placed.join(shift, [*keys, SLICE])
         .withColumn(name, F.col(SERIAL) + F.col("_ajuste"))

@@ -87,6 +87,10 @@ _HELPERS = {
         "WHEN coalesce(u.email, '') <> '' AND coalesce(n.email, '') <> '' AND lower(trim(u.email)) <> lower(trim(n.email)) THEN 'nao_confere' "
         "WHEN coalesce(u.telefone, '') <> '' AND coalesce(n.telefone, '') <> '' AND trim(u.telefone) <> trim(n.telefone) THEN 'nao_confere' "
         "ELSE 'ok' END AS verificacao FROM new_requests n LEFT JOIN users u ON u.username = trim(n.username)"),
+    "visible": (["users", "schedule"],
+        "SELECT u.id, lower(trim(u.nome)) AS nome_busca, s.id AS linha_id FROM users u JOIN schedule s ON trim(coalesce(u.nome, '')) <> '' "
+        "AND lower(trim(u.role)) NOT IN ('admin', 'admin master', 'gestor', 'coordenador', 'visualizador') "
+        "AND contains(lower(coalesce(nullif(trim(s.operador), ''), '-')), lower(trim(u.nome)))"),
     "effects": (["request_log"],
         "WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY usuario ORDER BY quando, id) AS n FROM request_log), "
         "f AS (SELECT usuario, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS quando, CAST(NULL AS VARCHAR) AS acao, "
@@ -101,7 +105,8 @@ _HELPERS = {
         "FROM f JOIN o ON o.usuario = f.usuario AND o.n = f.n + 1))) "
         "SELECT id, usuario, quando, acao, efeito, alvo AS solicitacao_id FROM f WHERE n > 0"),
     "late": (["records"],
-        "SELECT * FROM records WHERE id % 50 = 0 AND data_registro < (SELECT max(data_registro) FROM records WHERE id % 50 <> 0) - INTERVAL 2 DAY"),
+        "SELECT * FROM records WHERE status = 'Não Informado' AND data_registro < "
+        "(SELECT max(data_registro) FROM records WHERE status IS DISTINCT FROM 'Não Informado') - INTERVAL 2 DAY"),
     "swept": (["requests"],
         "SELECT * REPLACE (CASE WHEN status = 'autorizado' AND expira_em < TIMESTAMP '1998-06-01' THEN 'expirado' ELSE status END AS status) FROM requests"),
     "payload_rows": (["plan_payloads"],
@@ -205,12 +210,10 @@ _SQL: dict[str, tuple[list[str], str]] = {
         "OR coalesce(regexp_matches(operador_nome, '^óp0+1[0-3]|client 7$', 'i'), false)"),
     "search_schedule": (["schedule"], "SELECT * FROM schedule WHERE "
         + " OR ".join(f"regexp_matches({c}, 'CLIENT 1[25]$', 'i')" for c in ["operador", *_DAYS])),
-    "schedule_visibility": (["users", "schedule"],
-        "WITH hit AS (SELECT u.id, u.username, s.id AS linha_id FROM users u JOIN schedule s ON trim(coalesce(u.nome, '')) <> '' "
-        f"AND lower(trim(u.role)) NOT IN ({_CAPABLE['full_view']}) "
-        "AND contains(lower(coalesce(nullif(trim(s.operador), ''), '-')), lower(trim(u.nome)))) "
-        "SELECT id, username, 'propria' AS escopo, linha_id FROM hit UNION ALL "
-        "SELECT id, username, 'geral', NULL FROM users WHERE id NOT IN (SELECT id FROM hit)"),
+    "schedule_visibility": (["visible"], "SELECT DISTINCT nome_busca, linha_id FROM visible"),
+    "viewer_scopes": (["visible", "users"],
+        "SELECT id, username, CASE WHEN id IN (SELECT id FROM visible) THEN 'propria' ELSE 'geral' END AS escopo, "
+        "CASE WHEN id IN (SELECT id FROM visible) THEN lower(trim(nome)) END AS nome_busca FROM users"),
     "requests_split": (["swept"],
         "SELECT id, username, CASE WHEN status = 'pendente' THEN 'pendentes' ELSE 'historico' END AS lista, "
         "CASE status WHEN 'autorizado' THEN '🟢 ' WHEN 'usado' THEN '✅ ' WHEN 'expirado' THEN '⏱️ ' WHEN 'rejeitado' THEN '🚫 ' ELSE '' END || status AS status_texto, "
