@@ -21,12 +21,11 @@ from shiftledger.session import cut_lineage
 def longest(name: Column | str) -> Column:
     """Aggregate: the longest spelling, the alphabetically first of equally long ones."""
     text = none_if_blank(name)
-    return F.min(F.when(text.isNotNull(), F.struct((-F.length(text)).alias("tamanho"), text.alias("nome"))))
+    return F.min_by(text, F.when(text.isNotNull(), F.struct(-F.length(text), text)))
 
 
 def label_of(best: Column | str) -> Column:
-    best = F.col(best) if isinstance(best, str) else best
-    return F.coalesce(best["nome"], F.lit(NO_NAME))
+    return F.coalesce(best, F.lit(NO_NAME))
 
 
 def operator_labels(spellings: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def operator_status_matrix(records: DataFrame, where: Column | None = None) -> D
     counts = by_name.groupBy(operator_key("operador_nome").alias("op_key"), "status").agg(
         longest("operador_nome").alias("_best"), F.sum("qtd").alias("qtd")
     )
-    label = label_of(F.min("_best").over(Window.partitionBy("op_key")))
+    label = label_of(longest("_best").over(Window.partitionBy("op_key")))
     return (
         counts.select(label.alias("operador"), "status", "qtd")
         .where("status IS NOT NULL AND qtd > 0")
