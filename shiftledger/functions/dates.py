@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from shiftledger.functions.text import WHITESPACE
 
 DISPLAY_FORMAT = "dd/MM/yyyy HH:mm"
-_ISO = r"^\d{4}-\d{2}-\d{2}[^0-9]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?([+-]\d{2}:?\d{2})?$"
+NOON = "12:00:00"
+_ISO = r"^\d{4}-\d{2}-\d{2}([^0-9]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?([+-]\d{2}:?\d{2})?)?$"
 
 
 def _col(c: Column | str) -> Column:
@@ -23,16 +24,17 @@ def instant(moment: datetime) -> Column:
 
 
 def parse_record_date(c: Column | str) -> Column:
-    """Lenient parse of submitted text; a bare date means noon, an offset is dropped, bad text is null."""
-    text = F.btrim(_col(c), F.lit(WHITESPACE))
-    text = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    noon = text.try_cast("date").cast("timestamp_ntz") + F.expr("INTERVAL '12' HOUR")
-    clock = F.regexp_replace(F.substring(text, 12, 40), r"[+-]\d{2}:?\d{2}$", "")
-    moment = F.concat(F.substring(text, 1, 10), F.lit(" "), F.replace(clock, F.lit(","), F.lit(".")))
-    return (
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), noon)
-        .when(text.rlike(_ISO), moment.try_cast("timestamp_ntz"))
-    )
+    """Lenient parse of submitted text; a bare date means noon, an offset is dropped, bad text is null.
+
+    One pattern checks the shape; the parts are then cut out by position.
+    """
+    text = F.replace(F.btrim(_col(c), F.lit(WHITESPACE)), F.lit("Z"), F.lit("+00:00"))
+    clock = F.substring(text, 12, 40)
+    for sign in "+-":
+        clock = F.substring_index(clock, sign, 1)
+    clock = F.when(F.length(text) == 10, NOON).otherwise(F.translate(clock, ",", "."))
+    moment = F.concat_ws(" ", F.substring(text, 1, 10), clock)
+    return F.when(text.rlike(_ISO), moment.try_cast("timestamp_ntz"))
 
 
 def to_minute(c: Column | str) -> Column:

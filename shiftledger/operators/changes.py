@@ -119,12 +119,15 @@ def compact_patches(patches: DataFrame) -> DataFrame:
     rejects its whole row.
     """
     moment = parse_record_date("data_registro")
-    good = patches.withColumn("_momento", moment).where(F.col("data_registro").isNull() | F.col("_momento").isNotNull())
+    good = F.col("data_registro").isNull() | moment.isNotNull()
+    parsed = patches.select(
+        "id", *EDITED, "operador_nome", "tem_justificativa", moment.alias("_momento"), F.when(good, F.col("ordem")).alias("_ordem")
+    )
 
     def last(value: Column, written: Column, name: str) -> Column:
-        return F.max_by(value, F.when(written, F.col("ordem"))).alias(name)
+        return F.max_by(value, F.when(written, F.col("_ordem"))).alias(name)
 
-    return good.groupBy("id").agg(
+    return parsed.groupBy("id").agg(
         last(strip("cliente_nome"), F.col("cliente_nome").isNotNull(), "_cliente_nome"),
         last(strip("status"), F.col("status").isNotNull(), "_status"),
         last(F.coalesce(strip("justificativa"), F.lit("")), F.col("tem_justificativa"), "_justificativa"),

@@ -205,13 +205,12 @@ def _next_free(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
     in this merged order is its suffix.
     """
     used = _taken_suffixes(taken, newcomers.select("base").distinct())
-    placed = rank_in_group(used, ["base"], ["sufixo"], "_j").select(
-        "base", (F.col("sufixo") - F.col("_j")).alias("_lugar"), F.lit(1).alias("_tipo"), F.col("sufixo").alias("_chave")
+    both = newcomers.select("base", F.lit(0).alias("_tipo"), F.col("id").alias("_chave")).unionByName(
+        used.select("base", F.lit(1).alias("_tipo"), F.col("sufixo").alias("_chave"))
     )
-    wanting = rank_in_group(newcomers.select("base", "id"), ["base"], ["id"], "_k").select(
-        "base", F.col("_k").alias("_lugar"), F.lit(0).alias("_tipo"), F.col("id").alias("_chave")
-    )
-    merged = rank_in_group(placed.unionByName(wanting), ["base"], ["_lugar", "_tipo", "_chave"], "sufixo")
+    counted = rank_in_group(both, ["base", "_tipo"], ["_chave"], "_n")
+    place = F.when(F.col("_tipo") == 0, F.col("_n")).otherwise(F.col("_chave") - F.col("_n"))
+    merged = rank_in_group(counted.withColumn("_lugar", place), ["base"], ["_lugar", "_tipo", "_chave"], "sufixo")
     number = F.when(F.col("sufixo") == 1, "").otherwise(F.col("sufixo").cast("string"))
     return merged.where("_tipo = 0").select(
         F.col("_chave").alias("id"), "base", F.concat("base", number).alias("username")
