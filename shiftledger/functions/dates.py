@@ -1,4 +1,7 @@
-"""Timestamp columns. All times are zoneless (``timestamp_ntz``)."""
+"""Timestamp columns. All times are zoneless (``timestamp_ntz``).
+
+Nothing here passes through the session time zone, so local times that a zone skips stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shiftledger.functions.text import WHITESPACE
 
-DISPLAY_FORMAT = "dd/MM/yyyy HH:mm"
+DAY_MICROS = 86_400_000_000
 NOON = "12:00:00"
 _ISO = r"^\d{4}-\d{2}-\d{2}([^0-9]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?([+-]\d{2}:?\d{2})?)?$"
 
@@ -38,7 +41,8 @@ def parse_record_date(c: Column | str) -> Column:
 
 
 def to_minute(c: Column | str) -> Column:
-    return F.date_trunc("minute", _col(c)).cast("timestamp_ntz")
+    ts = _col(c)
+    return ts - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), ts))
 
 
 def fill_missing_date(c: Column | str, as_of: datetime) -> Column:
@@ -56,4 +60,22 @@ def weekday(c: Column | str) -> Column:
 
 
 def display(c: Column | str) -> Column:
-    return F.date_format(_col(c), DISPLAY_FORMAT)
+    """dd/MM/yyyy HH:mm"""
+    ts = _col(c)
+    parts = [F.lpad(part.cast("string"), 2, "0") for part in (F.dayofmonth(ts), F.month(ts), F.hour(ts), F.minute(ts))]
+    year = F.lpad(F.year(ts).cast("string"), 4, "0")
+    slash, colon = F.lit("/"), F.lit(":")
+    return F.concat(parts[0], slash, parts[1], slash, year, F.lit(" "), parts[2], colon, parts[3])
+
+
+def event_time(c: Column | str) -> Column:
+    """The zoneless time read as UTC, as the ``timestamp`` that watermarks need."""
+    ts = _col(c)
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts)
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return F.timestamp_micros(days * DAY_MICROS + (seconds * 1_000_000).cast("bigint"))
+
+
+def event_day(c: Column | str) -> Column:
+    """The UTC day of an event time."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(_col(c)) / DAY_MICROS).cast("int"))

@@ -1,8 +1,8 @@
 """Live versions of the reports, as Structured Streaming jobs.
 
-Event time needs ``timestamp``, while the tables hold zoneless times; they are read as UTC, so
-the session zone must be UTC. Every job stops once the waiting input is processed
-(``availableNow``) and picks up from its checkpoint at the next start.
+Event time needs ``timestamp``, while the tables hold zoneless times; they are read as UTC whatever
+the session zone. Every job stops once the waiting input is processed (``availableNow``) and picks
+up from its checkpoint at the next start.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shiftledger.functions.dates import event_day, event_time
 from shiftledger.functions.domain import APPROVAL_MINUTES, EXPIRED, FULL, USED
 from shiftledger.functions.measures import count_known, count_status, pct
 from shiftledger.operators import changes, kpi
@@ -21,7 +22,7 @@ from shiftledger.session import cut_lineage
 from shiftledger.sources.schemas import RECORDS, conform
 from shiftledger.sources.tables import day_partition
 
-LATENESS = "2 days"
+LATENESS = "48 hours"  # hours, because calendar days depend on the session zone
 BATCH = "lote"
 
 
@@ -35,17 +36,7 @@ def read_table_stream(
     return reader.parquet(folder)
 
 
-def event_time(column: str) -> Column:
-    return F.col(column).cast("timestamp")
-
-
-def _require_utc(spark: SparkSession) -> None:
-    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
-        raise ValueError("streaming jobs read zoneless times as UTC: set spark.sql.session.timeZone to UTC")
-
-
 def _run(df: DataFrame, mode: str, checkpoint: str, sink) -> StreamingQuery:
-    _require_utc(df.sparkSession)
     query = (
         df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(sink).start()
@@ -69,7 +60,7 @@ def daily_counts(records: DataFrame, lateness: str = LATENESS) -> DataFrame:
         .withWatermark("momento", lateness)
         .groupBy(F.window("momento", "1 day").alias("janela"))
         .agg(F.count("*").alias("quantidade"), count_known().alias("total"), count_status(FULL).alias("realizados"))
-        .select(F.to_date(F.col("janela.start")).alias("dia"), "quantidade", "total", "realizados")
+        .select(event_day("janela.start").alias("dia"), "quantidade", "total", "realizados")
     )
 
 
@@ -105,7 +96,8 @@ def run_late_rows(records: DataFrame, root: str, checkpoint: str, lateness: str
             mark = spark.read.schema(_MARK).parquet(f"{root}/marcas/{BATCH}={batch - 1}")
         else:
             mark = spark.createDataFrame([(None,)], _MARK)
-        limit = mark.select(F.max("maior") - F.expr(f"INTERVAL {lateness}")).scalar()
+        epoch = F.timestamp_micros(F.lit(0))  # where the first watermark stands
+        limit = mark.select(F.coalesce(F.max("maior") - F.expr(f"INTERVAL {lateness}"), epoch)).scalar()
         _write_batch(timed.where(F.col("momento") < limit).drop("momento"), f"{root}/atrasados", batch)
         highest = timed.agg(F.max("momento").alias("maior")).unionByName(mark).agg(F.max("maior").alias("maior"))
         _write_batch(highest.coalesce(1), f"{root}/marcas", batch)

@@ -1,8 +1,8 @@
 """Check every query against its oracle: python tests/run_oracle.py [sf_dir] [key ...]"""
 
+import os
 import sys
 import time
-import traceback
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -19,7 +19,7 @@ if __name__ == "__main__":
     names = sys.argv[2:] or list(contract.queries())
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", os.environ.get("ZONE", "UTC")).config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,12 +62,17 @@ def test_parse_record_date(spark):
     ]
 
 
-def test_parse_does_not_depend_on_the_session_zone(spark):
+def test_times_do_not_depend_on_the_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
         given = ["2018-11-04", "2018-11-04T00:30:00"]  # midnight does not exist there on that day
         assert column(spark, given, dates.parse_record_date) == [datetime(2018, 11, 4, 12), datetime(2018, 11, 4, 0, 30)]
+        skipped = [datetime(2018, 11, 4, 0, 30, 15, 7)]
+        assert column(spark, skipped, dates.to_minute, "timestamp_ntz") == [datetime(2018, 11, 4, 0, 30)]
+        assert column(spark, skipped, dates.display, "timestamp_ntz") == ["04/11/2018 00:30"]
+        micros = column(spark, skipped, lambda c: F.unix_micros(dates.event_time(c)), "timestamp_ntz")
+        assert micros == [int(skipped[0].replace(tzinfo=timezone.utc).timestamp()) * 1_000_000 + 7]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 

@@ -1,7 +1,6 @@
 import json
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from rows import FULL, MONDAY, PARTIAL, explain, records, values
@@ -76,15 +75,19 @@ def test_live_series_over_several_deliveries(spark, tmp_path):
     assert values(again, "quantidade", "realizados") == [(1, 1)]
 
 
-def test_streams_need_utc(spark, tmp_path):
-    deliver(records(spark, [(1, MONDAY, "a", "c", FULL)]), str(tmp_path / "in"))
+def test_live_days_do_not_depend_on_the_session_zone(spark, tmp_path):
     zone = spark.conf.get("spark.sql.session.timeZone")
+    rows = [(1, datetime(2018, 11, 4, 0, 30), "a", "c", FULL), (2, datetime(2018, 11, 4, 23, 59), "a", "c", PARTIAL), (3, datetime(1969, 12, 31, 23, 0), "a", "c", FULL)]
+    deliver(records(spark, rows), str(tmp_path / "in"))
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
-        with pytest.raises(ValueError):
-            live.run_daily_kpi(stream(spark, str(tmp_path / "in")), str(tmp_path / "o"), str(tmp_path / "c"))
+        live.run_daily_kpi(stream(spark, str(tmp_path / "in")), str(tmp_path / "o"), str(tmp_path / "c"))
+        live.run_late_rows(stream(spark, str(tmp_path / "in")), str(tmp_path / "l"), str(tmp_path / "c2"))
+        got = sorted((r.dia.isoformat(), r.total, r.realizados) for r in live.daily_kpi(spark, str(tmp_path / "o")).collect())
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [("2018-11-04", 2, 1)]
+    assert values(live.late_rows(spark, str(tmp_path / "l")), "id") == [(3,)]  # a first watermark stands at 1970
 
 
 def test_upserts_replace_move_and_survive_a_repeat(spark, tmp_path):
