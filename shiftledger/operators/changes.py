@@ -98,15 +98,23 @@ def edit_outcome(edits: DataFrame, records: DataFrame) -> DataFrame:
 
 def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
     """Records after the valid edits. A cleared date keeps the old one."""
-    patch = judge_edits(edits, records).where("resultado = 'alterado'").select(
+    return _overlay(records, _edit_patch(edits, records), [*EDITED, "data_registro"], "left")
+
+
+def edited_rows(records: DataFrame, edits: DataFrame) -> DataFrame:
+    """Only the records that valid edits change, after the change: the input of an upsert."""
+    return _overlay(records, _edit_patch(edits, records), [*EDITED, "data_registro"], "inner")
+
+
+def _edit_patch(edits: DataFrame, records: DataFrame) -> DataFrame:
+    return judge_edits(edits, records).where("resultado = 'alterado'").select(
         "id", *[F.col(c).alias(f"_{c}") for c in [*EDITED, "data_registro"]]
     )
-    return _overlay(records, patch, [*EDITED, "data_registro"])
 
 
-def _overlay(records: DataFrame, patch: DataFrame, columns: list[str]) -> DataFrame:
+def _overlay(records: DataFrame, patch: DataFrame, columns: list[str], how: str) -> DataFrame:
     """Replace columns by their ``_column`` of the patch where that is not null; one patch row per id."""
-    joined = records.join(patch, "id", "left")
+    joined = records.join(patch, "id", how)
     return joined.select(*[
         (F.coalesce(F.col(f"_{c}"), F.col(c)) if c in columns else F.col(c)).alias(c) for c in records.columns
     ])
@@ -138,7 +146,7 @@ def compact_patches(patches: DataFrame) -> DataFrame:
 
 def apply_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
     """Records after a batch of partial updates, in ``ordem`` order per id."""
-    return _overlay(records, compact_patches(patches), [*EDITED, "operador_nome", "data_registro"])
+    return _overlay(records, compact_patches(patches), [*EDITED, "operador_nome", "data_registro"], "left")
 
 
 def delete_by_id(df: DataFrame, tombstones: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from shiftledger.operators import (
     changes, filters, gaps, identity, kpi, lifecycle, plan, reports, requests, users,
 )
 from shiftledger.session import scratch_path
-from shiftledger.sources import fixtures, schemas, tables
-from shiftledger.streaming import live
+from shiftledger.sources import fixtures, schemas, tables, versions
 from shiftledger.sources.fixtures import AS_OF, GAP_DAY, GAP_END, GAP_START, REQUESTS_AS_OF
+from shiftledger.streaming import live
 
 
 class Inputs:
@@ -35,8 +35,7 @@ class Inputs:
     def stream(self, name: str) -> DataFrame:
         """The same table as a stream over its source file."""
         table = fixtures.VIEWS[name][0]
-        schema = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet").schema
-        source = live.read_table_stream(self.spark, self.sf_dir, schema, f"{table}.parquet")
+        source = live.read_table_stream(self.spark, self.sf_dir, fixtures.SOURCE_SCHEMAS[table], f"{table}.parquet")
         return fixtures.derive(source, name)
 
 
@@ -493,6 +492,16 @@ def records_edited(t: Inputs) -> DataFrame:
     return changes.apply_edits(t.records, t.edits)
 
 
+@query
+def records_edited_in_place(t: Inputs) -> DataFrame:
+    """The stored table after the edits, with only the touched days written anew."""
+    root = scratch_path(t.spark, "edited")
+    versions.upsert_days(t.records, root, 0)
+    stored = versions.current_records(t.spark, root)
+    versions.upsert_days(changes.edited_rows(stored, t.edits), root, 1)
+    return versions.current_records(t.spark, root).drop("dia", "versao")
+
+
 @query
 def records_patched(t: Inputs) -> DataFrame:
     return changes.apply_patches(t.records, t.patches)
@@ -563,7 +572,7 @@ def stream_late_days(t: Inputs) -> DataFrame:
 def stream_ingest(t: Inputs) -> DataFrame:
     root = scratch_path(t.spark, "ingest")
     live.run_ingest(t.stream("submissions"), t.users, root, f"{root}/checkpoint", AS_OF)
-    return live.current_records(t.spark, f"{root}/registros").drop("dia", "versao")
+    return versions.current_records(t.spark, f"{root}/registros").drop("dia", "versao")
 
 
 @query

@@ -82,6 +82,10 @@ _HELPERS = {
     "judged": (["compared"],
         f"SELECT *, CASE WHEN NOT mudou THEN 'inalterado' WHEN status IN ('Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado') "
         "AND justificativa = '' THEN 'rejeitado' ELSE 'alterado' END AS resultado FROM compared"),
+    "edited": (["judged", "records"],
+        "SELECT r.id, coalesce(j.data_registro, r.data_registro) AS data_registro, r.operador_nome, coalesce(j.cliente_nome, r.cliente_nome) AS cliente_nome, "
+        "coalesce(j.status, r.status) AS status, coalesce(j.justificativa, r.justificativa) AS justificativa, r.caminho_evidencia, r.aprovado_gestor "
+        "FROM records r LEFT JOIN (SELECT * FROM judged WHERE resultado = 'alterado') j USING (id)"),
     "checked": (["new_requests", "users"],
         "SELECT n.id, n.username, trim(n.username) AS usuario, n.solicitado_em, CASE WHEN u.username IS NULL THEN 'nao_encontrado' "
         "WHEN coalesce(u.email, '') <> '' AND coalesce(n.email, '') <> '' AND lower(trim(u.email)) <> lower(trim(n.email)) THEN 'nao_confere' "
@@ -321,10 +325,8 @@ _SQL: dict[str, tuple[list[str], str]] = {
         "CASE WHEN status NOT IN ('Realizado Total', 'Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado') THEN 'status inválido' END) AS v FROM ingested)"),
     "edit_diff": (["compared"], "SELECT * EXCLUDE (mudou) FROM compared WHERE mudou"),
     "edit_outcome": (["judged"], "SELECT resultado, count(*) AS qtd FROM judged GROUP BY 1"),
-    "records_edited": (["judged", "records"],
-        "SELECT r.id, coalesce(j.data_registro, r.data_registro) AS data_registro, r.operador_nome, coalesce(j.cliente_nome, r.cliente_nome) AS cliente_nome, "
-        "coalesce(j.status, r.status) AS status, coalesce(j.justificativa, r.justificativa) AS justificativa, r.caminho_evidencia, r.aprovado_gestor "
-        "FROM records r LEFT JOIN (SELECT * FROM judged WHERE resultado = 'alterado') j USING (id)"),
+    "records_edited": (["edited"], "SELECT * FROM edited"),
+    "records_edited_in_place": (["edited"], "SELECT * FROM edited"),
     "records_patched": (["patches", "records"],
         f"WITH g AS (SELECT * REPLACE ({_PATCH_DATE} AS data_registro), data_registro AS bruto FROM patches), "
         "p AS (SELECT id, " + _last("trim(cliente_nome)", "cliente_nome IS NOT NULL") + " AS c, "

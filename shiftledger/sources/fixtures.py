@@ -195,11 +195,23 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
 }
 
 
+# Declared source schemas: no job to infer them, and a stream needs them anyway.
+SOURCE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    file = "supplier" if table == "supplier_periods" else table
+    base = spark.read.schema(SOURCE_SCHEMAS[file]).parquet(f"{sf_dir}/{file}.parquet")
     if table == "supplier_periods":
-        base = spark.read.parquet(f"{sf_dir}/supplier.parquet")
         return base.withColumn("p", F.explode(F.array(F.lit(0), F.lit(1))))
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return base
 
 
 def derive(source: DataFrame, name: str) -> DataFrame:

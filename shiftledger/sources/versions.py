@@ -1,0 +1,63 @@
+"""A record table that takes upserts: plain Parquet, a version per touched day, and a manifest.
+
+``dados/dia=<day>/versao=<n>`` holds the rows, ``manifesto/lote=<n>`` the days that batch n wrote. A
+day is read in the version that the manifest names last.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shiftledger.session import cut_lineage
+from shiftledger.sources.schemas import RECORDS, conform
+from shiftledger.sources.tables import day_partition
+
+BATCH = "lote"
+
+
+def write_batch(df: DataFrame, root: str, batch: int) -> None:
+    """One folder per batch, replaced as a whole when a batch is repeated."""
+    df.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch}")
+
+
+def current_records(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The table as of its newest batch: per day the version that the manifest names last."""
+    manifest = spark.read.parquet(f"{root}/manifesto").select("dia", F.col(BATCH).alias("versao"))
+    if before is not None:
+        manifest = manifest.where(F.col("versao") < before)
+    newest = manifest.groupBy("dia").agg(F.max("versao").alias("versao"))
+    stored = T.StructType([*RECORDS.fields, T.StructField("dia", T.StringType()), T.StructField("versao", T.LongType())])
+    rows = spark.read.schema(stored).parquet(f"{root}/dados")
+    return rows.join(newest, ["dia", "versao"])
+
+
+def upsert_days(changed: DataFrame, root: str, batch: int) -> None:
+    """Write a new version of every day a change touches: the day's other rows plus the changes.
+
+    Nothing that is being read is overwritten. The manifest is written last, so readers see a
+    batch as a whole or not at all, and a repeated batch starts from the versions before it.
+    """
+    spark = changed.sparkSession
+    columns = RECORDS.names
+    one_per_id = conform(changed, RECORDS).groupBy("id").agg(
+        F.max(F.struct(*[c for c in columns if c != "id"])).alias("_linha")
+    ).select("id", "_linha.*")
+    new = cut_lineage(one_per_id.select(*columns, day_partition().alias("dia")))
+    touched, rows = new.select("dia").distinct(), new
+    if batch > 0:
+        base = current_records(spark, root, before=batch)
+        lowest, highest = new.agg(F.min("id"), F.max("id")).first()
+        # The id range skips row groups by their statistics before the join looks at single ids.
+        near = base.where(F.col("id").between(lowest, highest))
+        moved = near.join(new.select("id"), "id", "left_semi").select("dia").distinct()
+        touched = cut_lineage(touched.unionByName(moved).distinct())
+        kept = base.join(touched, "dia", "left_semi").join(new.select("id"), "id", "left_anti")
+        rows = kept.select(*columns, "dia").unionByName(new)
+    (
+        rows.withColumn("versao", F.lit(batch).cast("bigint")).hint("rebalance", "dia")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("dia", "versao").parquet(f"{root}/dados")
+    )
+    write_batch(touched.coalesce(1), f"{root}/manifesto", batch)

@@ -18,16 +18,13 @@ from shiftledger.functions.dates import event_day, event_time
 from shiftledger.functions.domain import APPROVAL_MINUTES, EXPIRED, FULL, USED
 from shiftledger.functions.measures import count_known, count_status, pct
 from shiftledger.operators import changes, kpi
-from shiftledger.session import cut_lineage
-from shiftledger.sources.schemas import RECORDS, conform
-from shiftledger.sources.tables import day_partition
+from shiftledger.sources.versions import BATCH, upsert_days, write_batch
 
 LATENESS = "48 hours"  # hours, because calendar days depend on the session zone
-BATCH = "lote"
 
 
 def read_table_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int | None = None
+    spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.parquet", files_per_batch: int | None = None
 ) -> DataFrame:
     """Parquet files of a folder as a stream; the pattern picks one table of a shared folder."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
@@ -45,11 +42,6 @@ def _run(df: DataFrame, mode: str, checkpoint: str, sink) -> StreamingQuery:
     return query
 
 
-def _write_batch(df: DataFrame, root: str, batch: int) -> None:
-    """One folder per batch, replaced as a whole when a batch is repeated."""
-    df.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch}")
-
-
 # --- live daily KPI ------------------------------------------------------------------------
 
 def daily_counts(records: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -65,7 +57,7 @@ def daily_counts(records: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def run_daily_kpi(records: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    return _run(daily_counts(records), "update", checkpoint, lambda df, batch: _write_batch(df, root, batch))
+    return _run(daily_counts(records), "update", checkpoint, lambda df, batch: write_batch(df, root, batch))
 
 
 def daily_kpi(spark: SparkSession, root: str) -> DataFrame:
@@ -98,9 +90,9 @@ def run_late_rows(records: DataFrame, root: str, checkpoint: str, lateness: str
             mark = spark.createDataFrame([(None,)], _MARK)
         epoch = F.timestamp_micros(F.lit(0))  # where the first watermark stands
         limit = mark.select(F.coalesce(F.max("maior") - F.expr(f"INTERVAL {lateness}"), epoch)).scalar()
-        _write_batch(timed.where(F.col("momento") < limit).drop("momento"), f"{root}/atrasados", batch)
+        write_batch(timed.where(F.col("momento") < limit).drop("momento"), f"{root}/atrasados", batch)
         highest = timed.agg(F.max("momento").alias("maior")).unionByName(mark).agg(F.max("maior").alias("maior"))
-        _write_batch(highest.coalesce(1), f"{root}/marcas", batch)
+        write_batch(highest.coalesce(1), f"{root}/marcas", batch)
 
     return _run(records, "append", checkpoint, sink)
 
@@ -117,47 +109,6 @@ def recompute_late_days(records: DataFrame, late: DataFrame) -> DataFrame:
 
 # --- change ingest -------------------------------------------------------------------------
 
-def current_records(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The table as of its newest batch: per day the version that the manifest names last."""
-    manifest = spark.read.parquet(f"{root}/manifesto").select("dia", F.col(BATCH).alias("versao"))
-    if before is not None:
-        manifest = manifest.where(F.col("versao") < before)
-    newest = manifest.groupBy("dia").agg(F.max("versao").alias("versao"))
-    stored = T.StructType([*RECORDS.fields, T.StructField("dia", T.StringType()), T.StructField("versao", T.LongType())])
-    rows = spark.read.schema(stored).parquet(f"{root}/dados")
-    return rows.join(newest, ["dia", "versao"])
-
-
-def upsert_days(changed: DataFrame, root: str, batch: int) -> None:
-    """Write a new version of every day a change touches: the day's other rows plus the changes.
-
-    Nothing that is being read is overwritten. The manifest is written last, so readers see a
-    batch as a whole or not at all, and a repeated batch starts from the versions before it.
-    """
-    spark = changed.sparkSession
-    columns = RECORDS.names
-    one_per_id = conform(changed, RECORDS).groupBy("id").agg(
-        F.max(F.struct(*[c for c in columns if c != "id"])).alias("_linha")
-    ).select("id", "_linha.*")
-    new = cut_lineage(one_per_id.select(*columns, day_partition().alias("dia")))
-    touched, rows = new.select("dia").distinct(), new
-    if batch > 0:
-        base = current_records(spark, root, before=batch)
-        bounds = new.agg(F.min("id").alias("a"), F.max("id").alias("b"))
-        # The id range skips row groups by their statistics before the join looks at single ids.
-        near = base.where(F.col("id").between(bounds.select("a").scalar(), bounds.select("b").scalar()))
-        moved = near.join(new.select("id"), "id", "left_semi").select("dia").distinct()
-        touched = cut_lineage(touched.unionByName(moved).distinct())
-        kept = base.join(touched, "dia", "left_semi").join(new.select("id"), "id", "left_anti")
-        rows = kept.select(*columns, "dia").unionByName(new)
-    (
-        rows.withColumn("versao", F.lit(batch).cast("bigint")).hint("rebalance", "dia")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dia", "versao").parquet(f"{root}/dados")
-    )
-    _write_batch(touched.coalesce(1), f"{root}/manifesto", batch)
-
-
 def run_ingest(submissions: DataFrame, users: DataFrame, root: str, checkpoint: str, as_of: datetime) -> StreamingQuery:
     """Ingest submissions: valid rows are upserted by id, the others quarantined with their reasons.
 
@@ -168,7 +119,7 @@ def run_ingest(submissions: DataFrame, users: DataFrame, root: str, checkpoint:
         checked = changes.check_records(changes.ingest_records(df, users, as_of))
         good = F.col("valido") & F.col("aceito")
         upsert_days(checked.where(good), f"{root}/registros", batch)
-        _write_batch(checked.where(~good), f"{root}/quarentena", batch)
+        write_batch(checked.where(~good), f"{root}/quarentena", batch)
 
     return _run(submissions, "append", checkpoint, sink)
 
@@ -209,7 +160,7 @@ def settled_approvals(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def run_expiry(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    return _run(settled_approvals(events), "append", checkpoint, lambda df, batch: _write_batch(df, root, batch))
+    return _run(settled_approvals(events), "append", checkpoint, lambda df, batch: write_batch(df, root, batch))
 
 
 def settled(spark: SparkSession, root: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rows import FULL, MONDAY, PARTIAL, explain, records, values
 from shiftledger.operators import kpi
 from shiftledger.plans.catalog import ENVELOPE_ROW
-from shiftledger.sources import schemas, tables
+from shiftledger.sources import schemas, tables, versions
 from shiftledger.streaming import live
 
 
@@ -93,16 +93,26 @@ def test_live_days_do_not_depend_on_the_session_zone(spark, tmp_path):
 def test_upserts_replace_move_and_survive_a_repeat(spark, tmp_path):
     root = str(tmp_path / "t")
     day = timedelta(days=1)
-    live.upsert_days(records(spark, [(1, MONDAY, "a", "c", FULL), (2, MONDAY, "a", "c", FULL), (3, MONDAY + day, "a", "c", FULL), (9, None, "a", "c", FULL)]), root, 0)
+    versions.upsert_days(records(spark, [(1, MONDAY, "a", "c", FULL), (2, MONDAY, "a", "c", FULL), (3, MONDAY + day, "a", "c", FULL), (9, None, "a", "c", FULL)]), root, 0)
     change = records(spark, [(3, MONDAY + 2 * day, "b", "c", PARTIAL), (2, MONDAY, "b", "c", FULL), (4, MONDAY, "b", "c", FULL), (4, MONDAY, "b", "c", FULL)])
     for _ in range(2):  # the second run stands for a repeated batch
-        live.upsert_days(change, root, 1)
-        rows = live.current_records(spark, root)
+        versions.upsert_days(change, root, 1)
+        rows = versions.current_records(spark, root)
         got = {r.id: (r.operador_nome, r.dia) for r in rows.collect()}
         assert rows.count() == 5 and got == {
             1: ("a", "2024-01-15"), 2: ("b", "2024-01-15"), 3: ("b", "2024-01-17"), 4: ("b", "2024-01-15"), 9: ("a", tables.NO_DAY)}
 
 
+def test_an_empty_batch_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "t")
+    nothing = records(spark, [])
+    versions.upsert_days(nothing, root, 0)
+    assert versions.current_records(spark, root).count() == 0
+    versions.upsert_days(records(spark, [(1, MONDAY, "a", "c", FULL)]), root, 1)
+    versions.upsert_days(nothing, root, 2)
+    assert values(versions.current_records(spark, root), "id") == [(1,)]
+
+
 def test_ingest_stream_quarantines(spark, tmp_path):
     kind = "id bigint, username string, cliente_nome string, cliente string, status string, justificativa string, operador_nome string, data_registro string"
     people = spark.createDataFrame([("ana", "Ana", "Operador")], "username string, nome string, role string")
@@ -115,7 +125,7 @@ def test_ingest_stream_quarantines(spark, tmp_path):
         deliver(spark.createDataFrame(rows, kind), inbox)
         source = live.read_table_stream(spark, inbox, spark.createDataFrame([], kind).schema)
         live.run_ingest(source, people, root, str(tmp_path / "cp"), MONDAY)
-    assert values(live.current_records(spark, f"{root}/registros"), "id", "cliente_nome", "dia") == [(1, "C2", "2024-01-16")]
+    assert values(versions.current_records(spark, f"{root}/registros"), "id", "cliente_nome", "dia") == [(1, "C2", "2024-01-16")]
     assert sorted(values(spark.read.parquet(f"{root}/quarentena"), "id")) == [(2,), (3,)]
 
 
