@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from shiftledger.functions.domain import MISSING_DISPLAY
+from shiftledger.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 # Every character that counts as white space in a name.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())

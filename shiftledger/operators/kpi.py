@@ -41,12 +41,10 @@ def kpi_month(records: DataFrame) -> DataFrame:
 
 
 def status_distribution(records: DataFrame) -> DataFrame:
-    """Rows per status and their share; the final window sees one row per status."""
+    """Rows per status and their share; the total is summed from the counts."""
     counts = records.where(F.col("status").isNotNull()).groupBy("status").agg(F.count("*").alias("qtd"))
-    return (
-        counts.withColumn("participacao", pct(F.col("qtd"), F.sum("qtd").over(Window.partitionBy())))
-        .orderBy(F.desc("qtd"), "status")
-    )
+    total = counts.agg(F.sum("qtd").alias("total")).scalar()
+    return counts.withColumn("participacao", pct(F.col("qtd"), total)).orderBy(F.desc("qtd"), "status")
 
 
 def _by_operator(records: DataFrame, where: Column | None) -> DataFrame:

@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from shiftledger.functions.dates import instant
 from shiftledger.functions.domain import APPROVAL_MINUTES, AUTHORIZED, EXPIRED, PENDING, REJECTED, USED
 from shiftledger.operators.ranking import SERIAL, SLICE, cut_slices, serialized
+from shiftledger.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 SLICE_ROWS = 50_000
 IDLE, WAITING, GRANTED = 0, 1, 2

@@ -32,10 +32,10 @@ def _slug(e: str) -> str:
 # Helper views over the derived tables.
 _HELPERS = {
     "keyed": (["records"], f"SELECT *, {_key('operador_nome')} AS op_key FROM records"),
-    "labels": (["keyed"],
+    "op_labels": (["keyed"],
         "SELECT op_key, coalesce(arg_min(nome, (-length(nome), nome)), 'Sem nome') AS operador_exibicao FROM "
         "(SELECT op_key, nullif(trim(operador_nome), '') AS nome FROM keyed) GROUP BY op_key"),
-    "canon": (["keyed", "labels"], "SELECT * FROM keyed JOIN labels USING (op_key)"),
+    "canon": (["keyed", "op_labels"], "SELECT * FROM keyed JOIN op_labels USING (op_key)"),
     "rated": (["canon"],
         f"SELECT operador_exibicao AS operador, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
         f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM canon GROUP BY 1"),

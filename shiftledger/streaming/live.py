@@ -33,6 +33,19 @@ def read_table_stream(
     return reader.parquet(folder)
 
 
+def _read_once(sink):
+    """Keep a batch while its sink reads it more than once."""
+
+    def kept(df: DataFrame, batch: int) -> None:
+        df.persist()
+        try:
+            sink(df, batch)
+        finally:
+            df.unpersist()
+
+    return kept
+
+
 def _run(df: DataFrame, mode: str, checkpoint: str, sink) -> StreamingQuery:
     query = (
         df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -94,7 +107,7 @@ def run_late_rows(records: DataFrame, root: str, checkpoint: str, lateness: str
         highest = timed.agg(F.max("momento").alias("maior")).unionByName(mark).agg(F.max("maior").alias("maior"))
         write_batch(highest.coalesce(1), f"{root}/marcas", batch)
 
-    return _run(records, "append", checkpoint, sink)
+    return _run(records, "append", checkpoint, _read_once(sink))
 
 
 def late_rows(spark: SparkSession, root: str) -> DataFrame:
@@ -121,7 +134,7 @@ def run_ingest(submissions: DataFrame, users: DataFrame, root: str, checkpoint:
         upsert_days(checked.where(good), f"{root}/registros", batch)
         write_batch(checked.where(~good), f"{root}/quarentena", batch)
 
-    return _run(submissions, "append", checkpoint, sink)
+    return _run(submissions, "append", checkpoint, _read_once(sink))
 
 
 # --- expiry timers -------------------------------------------------------------------------
