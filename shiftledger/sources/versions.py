@@ -22,15 +22,20 @@ def write_batch(df: DataFrame, root: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch}")
 
 
+STORED = T.StructType([*RECORDS.fields, T.StructField("dia", T.StringType()), T.StructField("versao", T.LongType())])
+
+
+def _all_versions(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(STORED).parquet(f"{root}/dados")
+
+
 def current_records(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """The table as of its newest batch: per day the version that the manifest names last."""
     manifest = spark.read.parquet(f"{root}/manifesto").select("dia", F.col(BATCH).alias("versao"))
     if before is not None:
         manifest = manifest.where(F.col("versao") < before)
     newest = manifest.groupBy("dia").agg(F.max("versao").alias("versao"))
-    stored = T.StructType([*RECORDS.fields, T.StructField("dia", T.StringType()), T.StructField("versao", T.LongType())])
-    rows = spark.read.schema(stored).parquet(f"{root}/dados")
-    return rows.join(newest, ["dia", "versao"])
+    return _all_versions(spark, root).join(newest, ["dia", "versao"])
 
 
 def upsert_days(changed: DataFrame, root: str, batch: int) -> None:
@@ -44,20 +49,26 @@ def upsert_days(changed: DataFrame, root: str, batch: int) -> None:
     one_per_id = conform(changed, RECORDS).groupBy("id").agg(
         F.max(F.struct(*[c for c in columns if c != "id"])).alias("_linha")
     ).select("id", "_linha.*")
-    new = cut_lineage(one_per_id.select(*columns, day_partition().alias("dia")))
-    touched, rows = new.select("dia").distinct(), new
-    if batch > 0:
+    new = one_per_id.select(*columns, day_partition().alias("dia"))
+    if batch == 0:
+        _write_version(new, root, batch)
+        touched = _all_versions(spark, root).where("versao = 0").select("dia").distinct()
+    else:
+        new = cut_lineage(new)
         base = current_records(spark, root, before=batch)
         lowest, highest = new.agg(F.min("id"), F.max("id")).first()
         # The id range skips row groups by their statistics before the join looks at single ids.
         near = base.where(F.col("id").between(lowest, highest))
-        moved = near.join(new.select("id"), "id", "left_semi").select("dia").distinct()
-        touched = cut_lineage(touched.unionByName(moved).distinct())
+        moved = near.join(new.select("id"), "id", "left_semi").select("dia")
+        touched = cut_lineage(new.select("dia").unionByName(moved).distinct())
         kept = base.join(touched, "dia", "left_semi").join(new.select("id"), "id", "left_anti")
-        rows = kept.select(*columns, "dia").unionByName(new)
+        _write_version(kept.select(*columns, "dia").unionByName(new), root, batch)
+    write_batch(touched.coalesce(1), f"{root}/manifesto", batch)
+
+
+def _write_version(rows: DataFrame, root: str, batch: int) -> None:
     (
         rows.withColumn("versao", F.lit(batch).cast("bigint")).hint("rebalance", "dia")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("dia", "versao").parquet(f"{root}/dados")
     )
-    write_batch(touched.coalesce(1), f"{root}/manifesto", batch)
