@@ -33,6 +33,13 @@ class Recent(dict):
         self[key] = value
         return value
 
+    def lacking(self, keys: set) -> set:
+        """The keys of which nothing is known; those of the old generation move up."""
+        new = keys.difference(self)
+        for key in new & self._old.keys():
+            self[key] = self._old[key]
+        return new.difference(self)
+
     def turn(self) -> None:
         if len(self) > self._limit:
             self._old = dict(self)
