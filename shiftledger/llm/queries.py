@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import bitpack, bpe, counts, dedup, langid, packing, pii, topk
+from shiftledger.llm import bitpack, bpe, counts, dedup, jaccard, langid, packing, pii, topk
 from shiftledger.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +97,25 @@ ORACLE_SQL: dict[str, str] = {
             WINDOW w AS (PARTITION BY content ORDER BY n DESC, doc_id NULLS LAST)
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(content) AS text_sha256 FROM ranked""",
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'
+            ), lambda x: x <> '') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) < 5 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words
+        ), members AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), steps AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM sets UNION SELECT s.b, r.root FROM reach r JOIN steps s ON s.a = r.doc_id
+        )
+        SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(r.root) AS component_id
+        FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id""",
 }
