@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftledger.llm import bitpack, bpe, counts, dedup, jaccard, langid, packing, pii, topk
+from shiftledger.llm import bitpack, bpe, counts, dedup, jaccard, langid, lm, packing, pii, topk
 from shiftledger.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
     "op3_top_k": op3_top_k,
+    "op4_language_model": op4_language_model,
     "op5_personal_data": op5_personal_data,
     "op6_bitpack": op6_bitpack,
     "op7_token_counts": op7_token_counts,

@@ -124,9 +124,19 @@ class WordCache:
             raise LookupError(word)
         return self._whole([" " + word])[0]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a space and the word, by themselves."""
+        try:
+            return self._words[word]
+        except LookupError:
+            return self._whole([" " + word])[0]
+
+    def turn(self) -> None:
         self._words.turn()
         self._pieces.turn()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.turn()
         get = self._words.__getitem__
         out: list[bytes] = [b""] * len(texts)
         heads, first, whole = [], [], []
