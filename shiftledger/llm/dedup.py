@@ -126,7 +126,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), partitions: int | None =
     dealt = rows.repartitionByRange(partitions or shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     schema = T.StructType.fromDDL(_FOUND)
     if carry:
-        schema = schema.add(rows.schema["row"])
+        schema = schema.add("row", rows.schema["row"].dataType, nullable=True)  # null on copies
     arrow = to_arrow_schema(schema)
     found = written(dealt.mapInArrow(lambda batches: _runs_of_partition(batches, arrow), schema), "runs")
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftledger.llm.common import id_and_text, slices, written
@@ -238,11 +238,18 @@ def _shingle_rows(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             sets = [shingles(t) for t in part["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "class"],
+                [part["doc_id"], part["text_hash"], pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([class_of(s) for s in sets], pa.int64())],
+                names=["doc_id", "text_hash", "n_shingles", "class"],
             )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return id_and_text(docs, text_hash().alias("text_hash")).mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, class long"
+    )
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 class _Verifier:
@@ -317,9 +324,10 @@ def _rooted(pairs: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row, for links of Jaccard similarity 0.75 or more.
+    """``doc_id, n_shingles, component_id, component, text_hash`` of every row, for links of Jaccard similarity 0.75 or more.
 
-    ``component_id`` is the smallest id reachable by links, the row's own included. Null, empty and blank texts have no shingles and link
+    ``component_id`` is the smallest id reachable by links, the row's own included; ``component`` names the component itself (null without
+    shingles). Null, empty and blank texts have no shingles and link
     with nothing. Rows may repeat; a row without an id links but names no component. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -383,12 +391,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     of_class = _rooted(classes.withColumnRenamed("class", "c"), roots, "c")
     ids = of_class.groupBy("root_c").agg(F.min("doc_id").alias("component_id"))
-    named = of_class.join(ids, "root_c").select(F.col("c").alias("class"), "component_id")
+    named = of_class.join(ids, "root_c").select(F.col("c").alias("class"), "component_id", F.col("root_c").alias("component"))
     return found.join(named, "class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "component", "text_hash",
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of which one per component stays: the one with the smallest id (null last), then text hash. Rows without shingles all stay.
+
+    Rows of equal id are told apart by their text; entirely equal rows stay or go together. Columns come back as they are.
+    """
+    found = jaccard_components(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    grouped = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(place).alias("stays"))
+    stays = grouped.select("stays.doc_id", "stays.text_hash").union(
+        found.where(F.col("component").isNull()).select("doc_id", "text_hash").distinct()
+    ).select(F.col("doc_id").alias("_stays_id"), F.col("text_hash").alias("_stays_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_stays_id")) & (F.col("_hash") == F.col("_stays_hash"))
+    return rows.join(stays, same, "left_semi").select("_row.*")
+
+
 def _extended(verifier: _Verifier, links: DataFrame, roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = written(pairs, "more-candidates")
     if pairs.isEmpty():
