@@ -21,15 +21,12 @@ from pyspark.sql import DataFrame
 from shiftledger.llm.common import id_and_text, slices
 from shiftledger.llm.tokens import Recent
 
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 550_000
 _SLICE = 2 << 20
 #: Rank and position share one number, so that the minimum is the leftmost pair of the least rank.
 _PLACE = 1 << 32
 
-ENCODE = f"""
-    WITH RECURSIVE step(w, toks) USING KEY (w) AS (
-        SELECT w, toks FROM words
-        UNION
+_CONTRACT = f"""
         SELECT s.w, list_concat(list_append(s.toks[:b.best % {_PLACE} - 1], (b.best // {_PLACE})::INT), s.toks[b.best % {_PLACE} + 2:])
         FROM step s JOIN (
             SELECT p.w, min(m.merged::BIGINT * {_PLACE} + p.pos) AS best
@@ -37,9 +34,16 @@ ENCODE = f"""
                 SELECT w, unnest(range(1, len(toks))) AS pos, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r FROM step
             ) p JOIN merges m ON m.l = p.l AND m.r = p.r
             GROUP BY p.w
-        ) b ON b.w = s.w
-    )
+        ) b ON b.w = s.w"""
+#: Keeps every step of a word and takes the last, which has the fewest tokens.
+ENCODE = f"""
+    WITH RECURSIVE step(w, toks) AS (SELECT w, toks FROM words UNION ALL {_CONTRACT})
+    SELECT w, arg_min(toks, len(toks)) AS toks FROM step GROUP BY w ORDER BY w"""
+#: For long words: keeps the last step only, at some more work a step.
+ENCODE_LONG = f"""
+    WITH RECURSIVE step(w, toks) USING KEY (w) AS (SELECT w, toks FROM words UNION {_CONTRACT})
     SELECT w, toks FROM step ORDER BY w"""
+_LONG = 256
 
 DECODE = """
     SELECT p.w, string_agg(v.hex, '' ORDER BY p.pos) AS hex
@@ -86,7 +90,7 @@ class Bpe:
         self._db.execute("CREATE TABLE merges AS FROM given_merges; CREATE TABLE vocabulary AS FROM given_vocabulary")
         self._known = Recent(None, _CACHE_WORDS)
 
-    def _encode_words(self, words: list[bytes]) -> pa.ChunkedArray:
+    def _encode_words(self, words: list[bytes]) -> pa.Table:
         """Token lists in the order of the words; a word that is itself a token is that token."""
         tokens = [self._ranks.get(w) for w in words]
         data = np.frombuffer(b"".join(w for w, t in zip(words, tokens) if t is None), np.uint8)
@@ -97,7 +101,7 @@ class Bpe:
         flat[whole] = [t for t in tokens if t is not None]
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
         self._db.register("words", pa.table({"w": pa.array(np.arange(len(words)), pa.int32()), "toks": lists}))
-        return self._db.sql(ENCODE).to_arrow_table()
+        return self._db.sql(ENCODE_LONG if max(sizes) > _LONG else ENCODE).to_arrow_table()
 
     def _learn(self, words: list[str]) -> None:
         encoded = self._encode_words([w.encode() for w in words])
@@ -115,10 +119,14 @@ class Bpe:
         self._known.turn()
         cut = [self._matches(t) for t in texts]
         new = self._known.lacking(set().union(*cut))
-        if new:
-            self._learn(list(new))
-        known = self._known
-        return [(b"".join([known[w][0] for w in words]), b"".join([known[w][1] for w in words])) for words in cut]
+        for long in (False, True):
+            if words := [w for w in new if (len(w) > _LONG // 4) == long]:
+                self._learn(words)
+        out, get = [], self._known.__getitem__
+        for words in cut:
+            found = list(map(get, words))
+            out.append((b"".join([ids for ids, _ in found]), b"".join([text for _, text in found])))
+        return out
 
 
 @lru_cache(maxsize=2)
