@@ -8,9 +8,6 @@ NOT_REPORTED = "Não Informado"
 STATUSES = [FULL, PARTIAL, NOT_DONE, NOT_APPLICABLE, NOT_REPORTED]
 
 MORNING = "MANHÃ"
-AFTERNOON = "TARDE"
-WHOLE_DAY = "INTEGRAL"
-PERIODS = [MORNING, AFTERNOON, WHOLE_DAY]
 
 WEEKDAYS = ["segunda", "terca", "quarta", "quinta", "sexta"]
 WEEKDAY_LABELS = ["Segunda", "Terça", "Quarta", "Quinta", "Sexta"]

@@ -1,10 +1,11 @@
 """Text columns: names, keys, slugs, search and contact rules.
 
-Everything here is a native column expression, except ``strip_accents_exact``.
+Everything here is a native column expression, except ``strip_accents_exact``, the same by the Unicode library.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -68,45 +69,62 @@ def match_key(c: Column | str) -> Column:
     return F.upper(F.coalesce(strip(c), F.lit("")))
 
 
+def _plain(text: str) -> str:
+    """Full decomposition (NFKD) without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x))
+
+
 @lru_cache(maxsize=1)
-def _accent_tables() -> tuple[str, str]:
-    """(from, to) for ``translate``: letters with one plain base, then the marks to delete."""
-    letters, bases, marks = [], [], []
-    for code in range(0x80, 0x2100):
+def _accent_tables() -> tuple[str, str, dict[str, str]]:
+    """(from, to) for ``translate``: letters with one plain base, then the marks to delete; and the letters that become several."""
+    letters, bases, marks, several = [], [], [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         char = chr(code)
-        if unicodedata.combining(char):
-            marks.append(char)
+        base = _plain(char)
+        if base == char:
             continue
-        base = "".join(
-            x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x)
-        )
-        if len(base) == 1 and base != char:
+        if len(base) == 1:
             letters.append(char)
             bases.append(base)
-    return "".join(letters + marks), "".join(bases)
+        elif base:
+            several[char] = base
+        else:
+            marks.append(char)
+    return "".join(letters + marks), "".join(bases), several
+
+
+def _ranges(chars: list[str]) -> str:
+    """The characters as the inside of a regex class."""
+    codes, out = sorted(map(ord, chars)), []
+    start = last = codes[0]
+    for code in [*codes[1:], None]:
+        if code != last + 1 if code is not None else True:
+            out.append(f"\\x{{{start:x}}}-\\x{{{last:x}}}")
+            start = code
+        last = code
+    return "".join(out)
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Remove accents natively.
+    """Remove accents natively: NFKD without combining marks, over all of Unicode.
 
-    Covers every character below U+2100 that decomposes to one base character, and
-    deletes loose combining marks. ``strip_accents_exact`` is the full NFKD form.
+    Letters with one plain base and loose marks go by ``translate``. Ligatures, syllables and other letters that
+    become several are replaced one by one, only in the names that hold any.
     """
-    accented, plain = _accent_tables()
-    return F.coalesce(F.translate(_col(c), accented, plain), F.lit(""))
+    accented, plain, several = _accent_tables()
+    name = _col(c)
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    pieces = F.regexp_extract_all(name, F.lit(f"([{_ranges(list(several))}]|[^{_ranges(list(several))}]+)"), F.lit(1))
+    spelled = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    whole = F.when(name.rlike(f"[{_ranges(list(several))}]"), spelled).otherwise(name)
+    return F.coalesce(F.translate(whole, accented, plain), F.lit(""))
 
 
 @F.pandas_udf(StringType())
 def strip_accents_exact(names: pd.Series) -> pd.Series:
     """Full NFKD decomposition without combining marks (ligatures, Hangul and so on)."""
 
-    def plain(name: str | None) -> str:
-        if not name:
-            return ""
-        decomposed = unicodedata.normalize("NFKD", name)
-        return "".join(x for x in decomposed if not unicodedata.combining(x))
-
-    return names.map({n: plain(n) for n in names.dropna().unique()}).fillna("")
+    return names.map({n: _plain(n) for n in names.dropna().unique()}).fillna("")
 
 
 def slug(c: Column | str) -> Column:

@@ -14,12 +14,14 @@ from shiftledger.functions.dates import instant, parse_record_date, to_minute
 from shiftledger.functions.domain import CHOOSE_CLIENT, DEFAULT_APPROVAL, FULL, STATUSES
 from shiftledger.functions.roles import is_management
 from shiftledger.functions.text import none_if_blank, strip
+from shiftledger.operators.numbering import highest_id, number_missing
 from shiftledger.operators.plan import normalize_payloads
 
 EDITED = ["cliente_nome", "status", "justificativa"]
 NO_CLIENT = "cliente não informado"
 NO_NOTE = "justificativa obrigatória"
 BAD_STATUS = "status inválido"
+APPLIED, REMOVED, UNKNOWN, BAD_DATE = "aplicado", "removido", "desconhecido", "data inválida"
 
 
 def violations(client: str = "cliente_nome", status: str = "status", note: str = "justificativa") -> Column:
@@ -45,7 +47,8 @@ def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ingest_records(batch: DataFrame, users: DataFrame, as_of: datetime) -> DataFrame:
     """Record rows from submissions. Only management may report under another operator's name.
 
-    ``aceito`` is false, and the operator null, where the submitter is unknown.
+    ``aceito`` is false, and the operator null, where the submitter is unknown. Ids and ``ordem``, the
+    place of a submission among all, pass through; ``numbering.number_missing`` gives ids to those without.
     """
     people = users.select(
         "username", F.col("nome").alias("_nome"), F.col("role").alias("_role"), F.lit(True).alias("_existe")
@@ -59,57 +62,78 @@ def ingest_records(batch: DataFrame, users: DataFrame, as_of: datetime) -> DataF
         F.when(known, operator).alias("operador_nome"), client.alias("cliente_nome"), "status",
         F.coalesce("justificativa", F.lit("")).alias("justificativa"),
         F.lit(None).cast("string").alias("caminho_evidencia"), F.lit(DEFAULT_APPROVAL).alias("aprovado_gestor"),
-        known.alias("aceito"),
+        known.alias("aceito"), F.col("ordem") if "ordem" in batch.columns else F.lit(None).cast("bigint").alias("ordem"),
     )
 
 
-def _compare_edits(edits: DataFrame, records: DataFrame) -> DataFrame:
-    """Edit rows beside their originals, with one change flag per column; unknown ids fall out."""
-    old = records.select("id", *[F.col(c).alias(f"{c}_antes") for c in [*EDITED, "data_registro"]])
-    text = {c: F.coalesce(strip(c), F.lit("")) for c in EDITED}
-    compared = edits.select(
-        "id", *[t.alias(c) for c, t in text.items()], to_minute("data_registro").alias("data_registro")
-    ).join(old, "id")
-    changed = {
-        f"mudou_{c}": F.col(c) != F.coalesce(strip(f"{c}_antes"), F.lit("")) for c in EDITED
-    } | {"mudou_data_registro": ~F.col("data_registro").eqNullSafe(to_minute("data_registro_antes"))}
-    return compared.withColumns(changed).withColumn(
-        "mudou", F.greatest(*[F.col(c) for c in changed])
-    )
+def last_per_id(rows: DataFrame) -> DataFrame:
+    """The row of greatest ``ordem`` per id, without ``ordem``; rows without an id name no record and fall out.
+
+    Rows without an ``ordem`` column must be one per id, or the greatest of equal ids stays.
+    """
+    if "ordem" not in rows.columns:
+        rows = rows.withColumn("ordem", F.lit(None).cast("bigint"))
+    fields = [c for c in rows.columns if c not in ("id", "ordem")]
+    return rows.where("id IS NOT NULL").groupBy("id").agg(
+        F.max_by(F.struct(*fields), F.struct("ordem", *fields)).alias("_linha")
+    ).select("id", "_linha.*")
 
 
-def edit_diff(edits: DataFrame, records: DataFrame) -> DataFrame:
-    """Edits that change something: trimmed text, null as '', dates at the minute."""
-    return _compare_edits(edits, records).where("mudou").drop("mudou")
+def _compared(edits: DataFrame, records: DataFrame, how: str) -> DataFrame:
+    """Records beside the last edit of each: new texts and date, old ones as ``_antes``, one flag per change and ``resultado``.
+
+    One join serves outcome and overlay. A left join leaves ``resultado`` null where nothing was edited.
+    """
+    new = last_per_id(edits).select(
+        F.col("id").alias("_edicao"), *[F.coalesce(strip(c), F.lit("")).alias(f"_{c}") for c in EDITED],
+        to_minute("data_registro").alias("_data_registro"),
+    )
+    joined = records.join(new, F.col("id") == F.col("_edicao"), how)
+    changed = {f"mudou_{c}": F.col(f"_{c}") != F.coalesce(strip(c), F.lit("")) for c in EDITED} | {
+        "mudou_data_registro": ~F.col("_data_registro").eqNullSafe(to_minute("data_registro"))
+    }
+    broken = F.size(violations("_cliente_nome", "_status", "_justificativa")) > 0
+    verdict = F.when(~F.greatest(*[F.col(c) for c in changed]), "inalterado").when(broken, "rejeitado").otherwise("alterado")
+    return joined.withColumns(changed).withColumn("resultado", F.when(F.col("_edicao").isNotNull(), verdict))
 
 
 def judge_edits(edits: DataFrame, records: DataFrame) -> DataFrame:
-    """Every edit of a known record with its outcome."""
-    needs_note = F.col("status").isin([s for s in STATUSES if s != FULL])
-    rejected = needs_note & (F.col("justificativa") == "")
-    return _compare_edits(edits, records).withColumn(
-        "resultado", F.when(~F.col("mudou"), "inalterado").when(rejected, "rejeitado").otherwise("alterado")
+    """The last edit of every known record with its outcome: unchanged, rejected by the submission rules, or applied.
+
+    Texts are trimmed and null is ''; dates count to the minute; a cleared date is a change, but the old date stays.
+    """
+    columns = [*EDITED, "data_registro"]
+    return _compared(edits, records, "inner").select(
+        "id", *[F.col(f"_{c}").alias(c) for c in columns], *[F.col(c).alias(f"{c}_antes") for c in columns],
+        *[f"mudou_{c}" for c in columns], "resultado",
     )
 
 
+def edit_diff(edits: DataFrame, records: DataFrame) -> DataFrame:
+    """Edits that would change something, whether or not the rules let them."""
+    return judge_edits(edits, records).where("resultado <> 'inalterado'").drop("resultado")
+
+
 def edit_outcome(edits: DataFrame, records: DataFrame) -> DataFrame:
     return judge_edits(edits, records).groupBy("resultado").agg(F.count("*").alias("qtd"))
 
 
 def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
     """Records after the valid edits. A cleared date keeps the old one."""
-    return _overlay(records, _edit_patch(edits, records), [*EDITED, "data_registro"], "left")
+    return _written(_compared(edits, records, "left"), records.columns)
 
 
 def edited_rows(records: DataFrame, edits: DataFrame) -> DataFrame:
     """Only the records that valid edits change, after the change: the input of an upsert."""
-    return _overlay(records, _edit_patch(edits, records), [*EDITED, "data_registro"], "inner")
+    return _written(_compared(edits, records, "inner").where("resultado = 'alterado'"), records.columns)
 
 
-def _edit_patch(edits: DataFrame, records: DataFrame) -> DataFrame:
-    return judge_edits(edits, records).where("resultado = 'alterado'").select(
-        "id", *[F.col(c).alias(f"_{c}") for c in [*EDITED, "data_registro"]]
-    )
+def _written(compared: DataFrame, columns: list[str]) -> DataFrame:
+    applied = F.col("resultado") == "alterado"
+    return compared.select(*[
+        (F.when(applied, F.coalesce(f"_{c}", c)).otherwise(F.col(c)) if c in (*EDITED, "data_registro") else F.col(c)).alias(c)
+        for c in columns
+    ])
 
 
 def _overlay(records: DataFrame, patch: DataFrame, columns: list[str], how: str) -> DataFrame:
@@ -149,34 +173,45 @@ def apply_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
     return _overlay(records, compact_patches(patches), [*EDITED, "operador_nome", "data_registro"], "left")
 
 
+def judge_patches(patches: DataFrame, records: DataFrame) -> DataFrame:
+    """Every patch with its verdict; an unknown id is reported before a bad date."""
+    known = records.where("id IS NOT NULL").select("id", F.lit(True).alias("_existe"))
+    bad = F.col("data_registro").isNotNull() & parse_record_date("data_registro").isNull()
+    verdict = F.when(F.col("_existe").isNull(), UNKNOWN).when(bad, BAD_DATE).otherwise(APPLIED)
+    return patches.join(known, "id", "left").select("ordem", "id", verdict.alias("resultado"))
+
+
+def judge_deletes(tombstones: DataFrame, records: DataFrame) -> DataFrame:
+    """Every id to delete once, with how often it was asked for and whether there was a record."""
+    asked = tombstones.groupBy("id").agg(F.count("*").alias("pedidos"))
+    known = records.where("id IS NOT NULL").select("id", F.lit(True).alias("_existe"))
+    return asked.join(known, "id", "left").select(
+        "id", "pedidos", F.when(F.col("_existe").isNull(), UNKNOWN).otherwise(REMOVED).alias("resultado")
+    )
+
+
 def delete_by_id(df: DataFrame, tombstones: DataFrame) -> DataFrame:
     gone = tombstones.select("id").where("id IS NOT NULL").distinct()
     return df.join(gone, "id", "left_anti")
 
 
-def upsert_schedule(schedule: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The plan after a batch of payload rows: replaced by id, else inserted; the last ``ordem`` wins."""
+def judge_plan_upsert(schedule: DataFrame, payloads: DataFrame) -> DataFrame:
+    """The plan lines a batch of payloads leaves: the last ``ordem`` per id, new lines numbered; ``novo`` where inserted.
+
+    A payload without an id is a line of its own and gets the next free id, in ``ordem`` order.
+    """
+    rows = normalize_payloads(payloads)
     fields = [c for c in schedule.columns if c != "id"]
-    winner = normalize_payloads(payloads).groupBy("id").agg(
-        F.max_by(F.struct(*fields), F.col("ordem")).alias("_linha")
-    ).select("id", *[F.col(f"_linha.{c}").alias(c) for c in fields])
-    return schedule.join(winner, "id", "left_anti").unionByName(winner)
-
-
-def audit_edits(diff: DataFrame, user: str, as_of: datetime) -> DataFrame:
-    """One audit row per changed record, listing old and new values."""
-    shown = {c: (F.col(f"{c}_antes"), F.col(c)) for c in [*EDITED, "data_registro"]}
-    parts = [
-        F.when(
-            F.col(f"mudou_{c}"),
-            F.concat(
-                F.lit(f"{c}: "), F.coalesce(old.cast("string"), F.lit("")), F.lit(" -> "),
-                F.coalesce(new.cast("string"), F.lit("")),
-            ),
-        )
-        for c, (old, new) in shown.items()
-    ]
-    return diff.select(
-        "id", instant(as_of).alias("timestamp"), F.lit(user).alias("usuario_login"),
-        F.lit("editar_registro").alias("acao"), F.concat_ws("; ", *parts).alias("detalhes"),
+    winner = last_per_id(rows.select("id", "ordem", *fields))
+    top = highest_id(schedule, rows)
+    fresh = number_missing(rows.where("id IS NULL"), top, ["ordem"]).select("id", *fields)
+    known = schedule.where("id IS NOT NULL").select("id", F.lit(False).alias("novo"))
+    return winner.join(known, "id", "left").withColumn("novo", F.coalesce("novo", F.lit(True))).unionByName(
+        fresh.withColumn("novo", F.lit(True))
     )
+
+
+def upsert_schedule(schedule: DataFrame, payloads: DataFrame) -> DataFrame:
+    """The plan after a batch of payload rows: replaced by id, else inserted."""
+    changed = judge_plan_upsert(schedule, payloads).drop("novo")
+    return schedule.join(changed, "id", "left_anti").unionByName(changed)

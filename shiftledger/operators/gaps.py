@@ -5,7 +5,7 @@ Pairs meet on trimmed upper-case text of operator and client, per day.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from shiftledger.functions.domain import DEFAULT_APPROVAL, GAP_NOTE, NOT_REPORTED
 from shiftledger.functions.text import match_key
 from shiftledger.operators.filters import between_days
+from shiftledger.operators.numbering import highest_id, number_missing
 from shiftledger.operators.plan import plan_long
-from shiftledger.operators.ranking import rank_in_group
 from shiftledger.sources.schemas import RECORDS, conform
 
 PAIR = ["dia", "op_chave", "cli_chave"]
@@ -25,9 +25,10 @@ def expected_pairs(schedule: DataFrame, first: date, last: date) -> DataFrame:
 
     Repeats are settled per weekday (the spelling is that of the first plan line); only then does
     each pair list its own dates in the range, so neither a calendar join nor a second shuffle is
-    needed.
+    needed. Only plan columns of weekdays in the range are read.
     """
-    cells = plan_long(schedule).where("operador <> ''").select(
+    weekdays = sorted({(first + timedelta(days=i)).weekday() for i in range(min(7, (last - first).days + 1))})
+    cells = plan_long(schedule, weekdays).where("operador <> ''").select(
         "dia_idx", "id", "operador", "cliente",
         match_key("operador").alias("op_chave"), match_key("cliente").alias("cli_chave"),
     )
@@ -92,12 +93,10 @@ def gap_fill_rows(schedule: DataFrame, records: DataFrame, first: date, last: da
 
 def number_rows(rows: DataFrame, records: DataFrame) -> DataFrame:
     """Ids for new rows, following the highest one in use."""
-    top = records.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("top")).scalar()
     order = ["data_registro", "operador_nome", "cliente_nome"]
-    ranked = rank_in_group(rows.drop("id"), [], order, "_n").withColumn("id", F.col("_n") + top)
-    return conform(ranked, RECORDS)
+    return conform(number_missing(rows, highest_id(records), order), RECORDS)
 
 
 def fill_gaps(schedule: DataFrame, records: DataFrame, first: date, last: date | None = None) -> DataFrame:
-    """Records with the gap rows appended. Running it again adds nothing."""
-    return records.unionByName(gap_fill_rows(schedule, records, first, last))
+    """Records with the gap rows appended under new ids. Running it again adds nothing."""
+    return records.unionByName(number_rows(gap_fill_rows(schedule, records, first, last), records))

@@ -6,16 +6,23 @@ Three notions of identity stay apart: the operator key (first token, unaccented)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftledger.functions.domain import EMPTY_CELL, NO_NAME
 from shiftledger.functions.roles import FULL_VIEW, has_full_view
 from shiftledger.functions.text import (
-    first_token, none_if_blank, operator_key, slug, space_token, strip,
+    WHITESPACE, first_token, none_if_blank, operator_key, slug, space_token, strip,
 )
 from shiftledger.operators.ranking import rank_in_group
-from shiftledger.session import cut_lineage
+from shiftledger.session import cut_lineage, ship_with_tasks, shuffle_partitions
+
+ship_with_tasks(__name__)
+
+GRAM = 3  # letters of the substrings that names are looked up by
 
 
 def longest(name: Column | str) -> Column:
@@ -65,17 +72,39 @@ def canonical_operator(records: DataFrame, spellings: DataFrame | None = None) -
     )
 
 
-def substrings(name: Column | str) -> Column:
-    """All distinct substrings of a (short) lower-cased name.
+def _grams(text: Column, size: int) -> Column:
+    """The distinct substrings of one length; as many as the text has places."""
+    places = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size))))
+
+
+def name_grams(names: DataFrame, column: str) -> DataFrame:
+    """One row per name and substring of one to GRAM letters of it: linear in the length of the names."""
+    text = F.lower(F.col(column))
+    every = F.array_compact(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)]))
+    return names.select(column, F.explode(F.flatten(every)).alias("_grama"))
 
-    They turn "contains" between two columns into an equality join.
+
+def search_keys(wanted: DataFrame, column: str, grams: DataFrame) -> DataFrame:
+    """The distinct search texts with the substring to look them up by: short ones whole, longer ones by the part fewest names hold.
+
+    A text with a part that no name holds is in no name, and falls out.
     """
-    text = F.lower(strip(name))
-    every = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.transform(F.sequence(i, F.length(text)), lambda j: F.substring(text, i, j - i + 1)),
-    ))
-    return F.when(F.length(text) > 0, F.array_distinct(every))
+    texts = wanted.select(column).where(F.length(column) > 0).distinct()
+    short = texts.where(F.length(column) <= GRAM).withColumn("_grama", F.col(column))
+    parts = texts.where(F.length(column) > GRAM).select(column, F.explode(_grams(F.col(column), GRAM)).alias("_grama"))
+    held = grams.groupBy("_grama").agg(F.count("*").alias("_n"))
+    rarest = parts.join(held, "_grama", "left").groupBy(column).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_grama")).alias("_chave")
+    )
+    return short.unionByName(rarest.where("_chave.n > 0").select(column, F.col("_chave._grama").alias("_grama")))
+
+
+def names_holding(wanted: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """Pairs of a (lower-cased) search text and a distinct name that contains it."""
+    grams = name_grams(names, name)
+    keys = search_keys(wanted, column, grams)
+    return keys.join(grams, "_grama").where(F.lower(name).contains(F.col(column))).select(column, name)
 
 
 def plan_names(schedule: DataFrame) -> DataFrame:
@@ -97,18 +126,18 @@ def resolve_operator(records: DataFrame, schedule: DataFrame) -> DataFrame:
 
     A plan name is a hit when it contains the first token of the raw name (the full name and
     equality are special cases). The shortest hit wins, then the alphabetically first; without
-    a hit the raw name stays. Accents count.
+    a hit the raw name stays. Accents count. For a token no longer than a gram the best name is
+    kept per gram, so one-letter tokens list no names.
     """
-    best = (
-        plan_names(schedule)
-        .select("nome_escala", F.explode(substrings("nome_escala")).alias("_token"))
-        .groupBy("_token")
-        .agg(F.min(F.struct(F.length("nome_escala"), F.col("nome_escala").alias("nome"))).alias("_hit"))
-    )
-    names = records.select(F.coalesce("operador_nome", F.lit("")).alias("operador_nome")).distinct()
+    raw = records.select(F.coalesce("operador_nome", F.lit("")).alias("operador_nome")).distinct()
+    raw = raw.withColumn("_token", F.lower(first_token("operador_nome")))
+    names = plan_names(schedule)
+    grams = name_grams(names, "nome_escala")
+    best = F.min(F.struct(F.length("nome_escala"), F.col("nome_escala").alias("nome"))).alias("_hit")
+    short = grams.groupBy(F.col("_grama").alias("_token")).agg(best)
+    long = names_holding(raw.where(F.length("_token") > GRAM), "_token", names, "nome_escala").groupBy("_token").agg(best)
     return (
-        names.withColumn("_token", F.lower(first_token("operador_nome")))
-        .join(best, "_token", "left")
+        raw.join(short.unionByName(long), "_token", "left")
         .select("operador_nome", F.coalesce(F.col("_hit.nome"), strip("operador_nome")).alias("operador_escala"))
     )
 
@@ -127,37 +156,38 @@ def _viewers(users: DataFrame) -> DataFrame:
 
 
 def schedule_visibility(users: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Plan lines per limited viewer name: those whose operator contains the name.
+    """Plan operators per limited viewer name: those whose name contains the viewer's.
 
-    Listed once per distinct name, not per user, so many users of one name cost one entry each in
-    ``viewer_scopes`` and nothing here.
+    Listed per distinct viewer name and distinct operator, neither per user nor per plan line: ``viewer_scopes`` leads
+    from a user to the name, and the operator to the lines.
     """
-    names = _viewers(users).select("nome_busca").where("nome_busca IS NOT NULL").distinct()
-    tokens = plan_names(schedule).select("nome_escala", F.explode(substrings("nome_escala")).alias("nome_busca"))
-    lines = schedule.select(
-        F.col("id").alias("linha_id"), F.coalesce(none_if_blank("operador"), F.lit(EMPTY_CELL)).alias("nome_escala")
-    )
-    return names.join(tokens, "nome_busca").join(lines, "nome_escala").select("nome_busca", "linha_id")
+    viewers = _viewers(users).where("nome_busca IS NOT NULL")
+    return names_holding(viewers, "nome_busca", plan_names(schedule), "nome_escala")
 
 
 def viewer_scopes(users: DataFrame, schedule: DataFrame) -> DataFrame:
     """Whether a user sees only lines under the own name (``propria``) or the whole plan (``geral``).
 
     The whole plan goes to full-view roles, to users without a name, and to those whose name is
-    in no plan operator.
+    in no plan operator. Only whether a name is held is asked, so short names meet distinct grams.
     """
-    hits = schedule_visibility(users, schedule).select("nome_busca").distinct().withColumn("_propria", F.lit(True))
-    return _viewers(users).join(hits, "nome_busca", "left").select(
+    viewers = _viewers(users)
+    names = plan_names(schedule)
+    short = name_grams(names, "nome_escala").select(F.col("_grama").alias("nome_busca")).distinct()
+    long = names_holding(viewers.where(F.length("nome_busca") > GRAM), "nome_busca", names, "nome_escala").select("nome_busca").distinct()
+    hits = short.unionByName(long).withColumn("_propria", F.lit(True))
+    return viewers.join(hits, "nome_busca", "left").select(
         "id", "username", F.when(F.col("_propria"), "propria").otherwise("geral").alias("escopo"),
         F.when(F.col("_propria"), F.col("nome_busca")).alias("nome_busca"),
     )
 
 
 def visible_schedule(schedule: DataFrame, name: str, role: str) -> DataFrame:
-    """The plan as one viewer sees it."""
-    if role.strip().lower() in FULL_VIEW or not name.strip():
+    """The plan as one viewer sees it; a blank operator shows, and is searched, as '-'."""
+    wanted = name.strip(WHITESPACE).lower()
+    if role.strip(WHITESPACE).lower() in FULL_VIEW or not wanted:
         return schedule
-    own = schedule.where(F.coalesce(F.lower("operador").contains(name.strip().lower()), F.lit(False)))
+    own = schedule.where(F.lower(F.coalesce(none_if_blank("operador"), F.lit(EMPTY_CELL))).contains(wanted))
     return schedule if own.isEmpty() else own
 
 
@@ -188,6 +218,7 @@ def _taken_suffixes(taken: DataFrame, bases: DataFrame) -> DataFrame:
             F.substring(F.col("username"), F.length("username") - k + 1, k).alias("numero"),
         ),
     )
+    # Numbers beyond 18 digits are no suffix that a count could reach.
     usable = (F.col("numero") == "") | (F.col("numero").rlike(r"^[1-9]\d{0,17}$") & (F.col("numero") != "1"))
     return (
         taken.select("username").distinct()
@@ -217,25 +248,67 @@ def _next_free(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
     )
 
 
+_TAKEN, _NEWCOMER = 0, 1
+_DIGITS = r"\d+$"
+
+
+def _fold_families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Give names one newcomer after the other; rows come by family, taken names first, then newcomers by id.
+
+    A name is taken if it was before, or if it is a base plus a number that the base has already passed: what a base passes
+    over is taken anyway. So per family only the taken names and one number per base are kept, however many newcomers there are.
+    """
+    family, taken, passed = None, set(), {}
+
+    def free(name: str) -> bool:
+        if name in taken:
+            return False
+        stem = len(name.rstrip("0123456789"))
+        for cut in range(stem, len(name) + 1):
+            number = name[cut:]
+            if number and (number[0] == "0" or number == "1"):
+                continue  # no suffix is written like this
+            if int(number or 1) <= passed.get(name[:cut], 0):
+                return False
+        return True
+
+    for batch in batches:
+        ids, bases, names = [], [], []
+        for stem, kind, key, base in batch[["familia", "tipo", "chave", "base"]].itertuples(index=False, name=None):
+            if stem != family:
+                family, taken, passed = stem, set(), {}
+            if kind == _TAKEN:
+                taken.add(base)
+                continue
+            number = passed.get(base, 0) + 1
+            while not free(base if number == 1 else f"{base}{number}"):
+                number += 1
+            passed[base] = number
+            ids.append(key)
+            bases.append(base)
+            names.append(base if number == 1 else f"{base}{number}")
+        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "base": bases, "username": names})
+
+
 def assign_usernames(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
-    """A free user name for every newcomer (``id``, ``nome``, ``sobrenome``), in id order per base.
+    """A free user name for every newcomer (``id``, ``nome``, ``sobrenome``), as if they came one by one in id order.
 
-    Two bases can meet only if one is the other plus digits; then the lower id keeps the name
-    and the others draw again, until no name is given twice.
+    Bases can meet only inside a family: if one is the other plus digits. A family without such a
+    base is settled by positions, in parallel; the rare others are walked in id order, one family after the other, with a state that
+    does not grow with the newcomers.
     """
     token = slug(space_token(strip("nome")))
     waiting = newcomers.select("id", F.concat(token, F.lit("."), slug("sobrenome")).alias("base"))
-    bases = waiting.select("base").distinct()
-    longer = bases.where(F.col("base").rlike(r"\d$"))
-    if longer.isEmpty():
+    stem = F.regexp_replace("base", _DIGITS, "")
+    mixed = waiting.where(F.col("base").rlike(r"\d$")).select(stem.alias("familia")).distinct()
+    if mixed.isEmpty():
         return _next_free(waiting, taken)
-    given = None
-    while True:
-        drawn = cut_lineage(_next_free(waiting, taken))
-        first = drawn.groupBy("username").agg(F.min("id").alias("id"))
-        kept = drawn.join(first, ["username", "id"], "left_semi")
-        given = kept if given is None else cut_lineage(given.unionByName(kept))
-        waiting = drawn.join(kept, "id", "left_anti").select("id", "base")
-        if waiting.isEmpty():
-            return given
-        taken = taken.select("username").unionByName(kept.select("username"))
+    mixed = cut_lineage(mixed)
+    waiting = waiting.withColumn("familia", stem)
+    alone = _next_free(waiting.join(mixed, "familia", "left_anti").drop("familia"), taken)
+    used = taken.select(F.col("username").alias("base")).distinct().withColumn("familia", stem)
+    rows = used.join(mixed, "familia", "left_semi").select(
+        "familia", F.lit(_TAKEN).alias("tipo"), F.lit(0).cast("bigint").alias("chave"), "base"
+    ).unionByName(waiting.join(mixed, "familia", "left_semi").select("familia", F.lit(_NEWCOMER).alias("tipo"), F.col("id").alias("chave"), "base"))
+    walked = rows.repartition(shuffle_partitions(rows.sparkSession), "familia").sortWithinPartitions("familia", "tipo", "chave")
+    return alone.unionByName(walked.mapInPandas(_fold_families, "id bigint, base string, username string"))

@@ -6,6 +6,9 @@ keys are dropped. Ties are settled by the key, ascending.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +16,7 @@ from pyspark.sql.window import Window
 from shiftledger.functions.domain import FULL
 from shiftledger.functions.measures import STATUS_MEASURES, count_known, count_status, pct
 from shiftledger.functions.text import operator_key
-from shiftledger.operators.identity import label_of, longest
+from shiftledger.operators.identity import label_of, longest, operator_labels, operator_spellings
 
 TOP_CLIENTS = 12
 MIN_RANKED, MIN_WORST = 3, 5
@@ -104,6 +107,36 @@ def insights(records: DataFrame, where: Column | None = None) -> DataFrame:
     return facts.select(F.inline(F.array_compact(found)))
 
 
+@dataclass(frozen=True)
+class Dashboard:
+    """KPI row, ranking and trend over one choice of rows."""
+
+    kpi: DataFrame
+    ranking: DataFrame
+    trend: DataFrame
+
+
+def dashboard(
+    records: DataFrame, period: Column | None = None, operator: str | None = None, status: str | None = None, client: str | None = None
+) -> Dashboard:
+    """The dashboard for a period and attribute filters together.
+
+    Period, status and client are predicates on raw columns, so they reach the scan. An operator is chosen by label, and labels come
+    from all rows: the raw names behind one label are few and pick its rows by a lookup.
+    """
+    chosen = [p for p in (
+        period, None if status is None else F.col("status") == status, None if client is None else F.col("cliente_nome") == client,
+    ) if p is not None]
+    where = reduce(lambda a, b: a & b, chosen) if chosen else None
+    rows = records if where is None else records.where(where)
+    ranking = operator_efficiency(records, where)
+    if operator is not None:
+        names = operator_spellings(records).where(F.col("operador_exibicao") == operator).select(F.col("operador_nome").alias("_nome"))
+        rows = rows.join(names, F.col("operador_nome").eqNullSafe(F.col("_nome")), "left_semi")
+        ranking = ranking.where(F.col("operador") == operator)
+    return Dashboard(kpi_dashboard(rows), ranking, daily_efficiency(rows))
+
+
 def operator_status_matrix(records: DataFrame, where: Column | None = None) -> DataFrame:
     """Rows per canonical operator and status. The window sees one row per status of an operator."""
     kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
@@ -151,17 +184,20 @@ def top_clients(records: DataFrame, n: int = TOP_CLIENTS) -> DataFrame:
 def filter_options(records: DataFrame, schedule: DataFrame, where: Column | None = None) -> DataFrame:
     """Sorted distinct values per filter: canonical operator, status, client, plan operator."""
     kept = records if where is None else records.where(where)
-    pairs = F.array(*[
-        F.struct(F.lit(name).alias("atributo"), F.col(column).alias("valor"))
+    # Each list is made distinct on one narrow column, combined before its shuffle; labels come from the distinct names.
+    names = kept.select("operador_nome").distinct() if where is None else None
+    if names is None:
+        operators = _by_operator(records, where).select(F.lit("operador").alias("atributo"), F.col("operador").alias("valor"))
+    else:
+        operators = operator_labels(names).select(F.lit("operador").alias("atributo"), F.col("operador_exibicao").alias("valor")).distinct()
+    lists = [
+        kept.select(F.lit(name).alias("atributo"), F.col(column).alias("valor")).where("valor IS NOT NULL").distinct()
         for name, column in {"status": "status", "cliente": "cliente_nome"}.items()
-    ])
-    attributes = kept.select(F.inline(pairs))
-    operators = _by_operator(records, where).select(F.lit("operador").alias("atributo"), F.col("operador").alias("valor"))
-    planned = schedule.select(F.lit("operador_escala").alias("atributo"), F.nullif(F.btrim("operador"), F.lit("")).alias("valor"))
-    return (
-        attributes.unionByName(planned).where("valor IS NOT NULL").distinct()
-        .unionByName(operators).orderBy("atributo", "valor")
-    )
+    ]
+    planned = schedule.select(
+        F.lit("operador_escala").alias("atributo"), F.nullif(F.btrim("operador"), F.lit("")).alias("valor")
+    ).where("valor IS NOT NULL").distinct()
+    return lists[0].unionByName(lists[1]).unionByName(planned).unionByName(operators).orderBy("atributo", "valor")
 
 
 def latest_records(records: DataFrame, n: int = 50) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,27 +50,27 @@ def normalize_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def plan_cells(schedule: DataFrame) -> DataFrame:
-    """One row per plan line and weekday; ``cliente`` is null where nothing is planned."""
+def plan_cells(schedule: DataFrame, weekdays: list[int] | None = None) -> DataFrame:
+    """One row per plan line and weekday (Monday 0; all by default); ``cliente`` is null where nothing is planned."""
     cells = F.array(*[
         F.struct(
             F.lit(i).alias("dia_idx"), F.lit(d).alias("dia"),
             F.nullif(none_if_blank(d), F.lit(EMPTY_CELL)).alias("cliente"),
         )
-        for i, d in enumerate(WEEKDAYS)
+        for i, d in enumerate(WEEKDAYS) if weekdays is None or i in weekdays
     ])
+    if weekdays is not None and not any(i < len(WEEKDAYS) for i in weekdays):
+        return plan_cells(schedule).where(F.lit(False))  # a weekend has no plan
     return schedule.select("id", strip("operador").alias("operador"), "periodo", F.inline(cells))
 
 
-def plan_long(schedule: DataFrame) -> DataFrame:
-    return plan_cells(schedule).where("cliente IS NOT NULL")
+def plan_long(schedule: DataFrame, weekdays: list[int] | None = None) -> DataFrame:
+    return plan_cells(schedule, weekdays).where("cliente IS NOT NULL")
 
 
 def plan_clients(schedule: DataFrame, operator: str | None = None, day: str | None = None) -> DataFrame:
     """Sorted distinct planned clients: of the whole plan, of a weekday, of an operator's weekday."""
-    cells = plan_long(schedule)
-    if day is not None:
-        cells = cells.where(F.col("dia") == day)
+    cells = plan_long(schedule, None if day is None else [WEEKDAYS.index(day)])
     if operator:
         cells = cells.where(contains_name("operador", operator))
     return cells.select("cliente").distinct().orderBy("cliente")
@@ -88,17 +87,24 @@ def support_options(schedule: DataFrame) -> DataFrame:
 
 def plan_coverage(schedule: DataFrame) -> DataFrame:
     """Distinct operators, clients and covered days, and the share of filled cells."""
-    return plan_cells(schedule).agg(
-        F.count_distinct("operador").alias("operadores"),
-        F.count_distinct("cliente").alias("clientes"),
-        F.count_distinct(F.when(F.col("cliente").isNotNull(), F.col("dia_idx"))).alias("dias_cobertos"),
-        F.count("cliente").alias("celulas_preenchidas"), F.count("*").alias("celulas"),
-    ).withColumn("capacidade", F.coalesce(pct("celulas_preenchidas", "celulas"), F.lit(0.0)))
+    filled = [F.nullif(none_if_blank(d), F.lit(EMPTY_CELL)) for d in WEEKDAYS]
+    clients = schedule.select(F.explode(F.array_compact(F.array(*filled))).alias("cliente")).distinct().agg(F.count("*").alias("clientes"))
+    operators = schedule.select(strip("operador").alias("operador")).distinct().agg(F.count("operador").alias("operadores"))
+    # Days are five flags and cells plain sums, so lines combine before the shuffle without being multiplied.
+    lines = schedule.agg(
+        reduce(lambda a, b: a + b, [F.coalesce(F.max(c.isNotNull().cast("bigint")), F.lit(0)) for c in filled]).alias("dias_cobertos"),
+        reduce(lambda a, b: a + b, [F.count(c) for c in filled]).alias("celulas_preenchidas"),
+        (F.count("*") * len(WEEKDAYS)).alias("celulas"),
+    )
+    return lines.select(
+        operators.scalar().alias("operadores"), clients.scalar().alias("clientes"), "*",
+        F.coalesce(pct("celulas_preenchidas", "celulas"), F.lit(0.0)).alias("capacidade"),
+    )
 
 
 def day_agenda(schedule: DataFrame, day: str) -> DataFrame:
     """Planned (period, client) rows of a weekday, plus one flagged row per operator with none."""
-    cells = plan_cells(schedule).where(F.col("dia") == day)
+    cells = plan_cells(schedule, [WEEKDAYS.index(day)])
     planned = cells.where("cliente IS NOT NULL")
     idle = cells.groupBy("operador").agg(F.count("cliente").alias("_n")).where("_n = 0")
     return planned.select("operador", "periodo", "cliente", F.lit(True).alias("tem_alocacao")).unionByName(

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from shiftledger.functions import dates, text
 from shiftledger.functions.domain import NOT_REPORTED, WEEKDAYS
 from shiftledger.operators import (
-    changes, filters, gaps, identity, kpi, lifecycle, plan, reports, requests, users,
+    audit, changes, filters, gaps, identity, kpi, lifecycle, numbering, plan, reports, requests, users,
 )
 from shiftledger.session import scratch_path
 from shiftledger.sources import fixtures, schemas, tables, versions
@@ -101,12 +101,45 @@ def records_partitioned(t: Inputs) -> DataFrame:
     return tables.read_records(t.spark, path, start=start)
 
 
-@query
-def audit_from_edits(t: Inputs) -> DataFrame:
+ACTOR = audit.Actor("gestor", AS_OF)
+
+
+def _trail(t: Inputs, entries: DataFrame) -> DataFrame:
+    """The audit trail after one append, as read back; ids only number the rows."""
     path = scratch_path(t.spark, "audit")
-    entries = changes.audit_edits(changes.edit_diff(t.edits, t.records), "gestor", AS_OF)
     tables.append_audit(entries, path)
-    return t.spark.read.parquet(path).drop("dia")
+    return tables.read_audit(t.spark, path).withColumn("id", F.lit(None).cast("bigint"))
+
+
+@query
+def audit_from_edits(t: Inputs) -> DataFrame:
+    return _trail(t, audit.of_edits(t.edits, t.records, ACTOR))
+
+
+@query
+def audit_from_patches(t: Inputs) -> DataFrame:
+    return _trail(t, audit.of_patches(t.patches, t.records, ACTOR))
+
+
+@query
+def audit_from_deletes(t: Inputs) -> DataFrame:
+    return _trail(t, audit.of_deletes(t.tombstones, t.records, ACTOR))
+
+
+@query
+def audit_from_inserts(t: Inputs) -> DataFrame:
+    new = gaps.number_rows(gaps.gap_fill_rows(t.schedule, t.records, GAP_START, GAP_END), t.records)
+    return _trail(t, audit.of_inserts(new, ACTOR))
+
+
+@query
+def audit_from_plan(t: Inputs) -> DataFrame:
+    return _trail(t, audit.of_plan(t.schedule, t.plan_payloads, ACTOR))
+
+
+@query
+def audit_from_roles(t: Inputs) -> DataFrame:
+    return _trail(t, audit.of_role_changes(t.role_changes, t.users, ACTOR))
 
 
 # --- column functions ----------------------------------------------------------------------
@@ -133,7 +166,7 @@ def name_slug(t: Inputs) -> DataFrame:
 
 @query
 def parse_record_date(t: Inputs) -> DataFrame:
-    return t.submissions.select("id", dates.parse_record_date("data_registro").alias("data_dt"))
+    return t.submissions.select("ordem", dates.parse_record_date("data_registro").alias("data_dt"))
 
 
 @query
@@ -249,6 +282,11 @@ def viewer_scopes(t: Inputs) -> DataFrame:
     return identity.viewer_scopes(t.users, t.schedule)
 
 
+@query
+def visible_schedule(t: Inputs) -> DataFrame:
+    return identity.visible_schedule(t.schedule, " Óp000000", "Operador")
+
+
 @query
 def requests_split(t: Inputs) -> DataFrame:
     return requests.requests_report(requests.expire_requests(t.requests, REQUESTS_AS_OF))
@@ -296,6 +334,15 @@ def records_gap_filled(t: Inputs) -> DataFrame:
     return gaps.fill_gaps(t.schedule, t.records, GAP_START, GAP_END)
 
 
+@query
+def records_gap_stored(t: Inputs) -> DataFrame:
+    """The gap rows stored without ids: the table numbers them."""
+    root = scratch_path(t.spark, "gaps")
+    versions.upsert_days(t.records, root, 0)
+    versions.upsert_days(gaps.gap_fill_rows(t.schedule, versions.current_records(t.spark, root), GAP_START, GAP_END), root, 1)
+    return versions.current_records(t.spark, root).drop("ordem", "dia", "versao")
+
+
 # --- identity ------------------------------------------------------------------------------
 
 @query
@@ -370,6 +417,25 @@ def insights(t: Inputs) -> DataFrame:
     return kpi.insights(t.records)
 
 
+def _dashboard(t: Inputs) -> kpi.Dashboard:
+    return kpi.dashboard(t.records, filters.period("Últimos 30 dias", AS_OF), status="Realizado Parcial", client="Client 7")
+
+
+@query
+def dashboard_kpi(t: Inputs) -> DataFrame:
+    return _dashboard(t).kpi
+
+
+@query
+def dashboard_ranking(t: Inputs) -> DataFrame:
+    return _dashboard(t).ranking
+
+
+@query
+def dashboard_trend(t: Inputs) -> DataFrame:
+    return _dashboard(t).trend
+
+
 @query
 def operator_status_matrix(t: Inputs) -> DataFrame:
     return kpi.operator_status_matrix(t.records)
@@ -468,13 +534,14 @@ def request_intake(t: Inputs) -> DataFrame:
 
 @query
 def ingest_records(t: Inputs) -> DataFrame:
-    return changes.ingest_records(t.submissions, t.users, AS_OF)
+    taken = changes.ingest_records(t.submissions, t.users, AS_OF)
+    return numbering.number_missing(taken, numbering.highest_id(t.records, t.submissions), ["ordem"])
 
 
 @query
 def record_quality(t: Inputs) -> DataFrame:
     checked = changes.check_records(changes.ingest_records(t.submissions, t.users, AS_OF))
-    return checked.select("id", F.array_join("violacoes", "; ").alias("violacoes"), "valido")
+    return checked.select("ordem", F.array_join("violacoes", "; ").alias("violacoes"), "valido")
 
 
 @query
@@ -494,12 +561,18 @@ def records_edited(t: Inputs) -> DataFrame:
 
 @query
 def records_edited_in_place(t: Inputs) -> DataFrame:
-    """The stored table after the edits, with only the touched days written anew."""
+    """The stored table after two batches of edits, with only the touched days written anew.
+
+    The edits of a record come in one batch, so both ways to cut them give the same table.
+    """
     root = scratch_path(t.spark, "edited")
     versions.upsert_days(t.records, root, 0)
-    stored = versions.current_records(t.spark, root)
-    versions.upsert_days(changes.edited_rows(stored, t.edits), root, 1)
-    return versions.current_records(t.spark, root).drop("dia", "versao")
+    first = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    for batch, edits in enumerate((t.edits.where(first), t.edits.where(~first)), start=1):
+        stored = versions.current_records(t.spark, root).drop("ordem", "dia", "versao")
+        versions.upsert_days(changes.edited_rows(stored, edits), root, batch)
+    versions.vacuum(t.spark, root)
+    return versions.current_records(t.spark, root).drop("ordem", "dia", "versao")
 
 
 @query
@@ -507,6 +580,16 @@ def records_patched(t: Inputs) -> DataFrame:
     return changes.apply_patches(t.records, t.patches)
 
 
+@query
+def patch_outcome(t: Inputs) -> DataFrame:
+    return changes.judge_patches(t.patches, t.records)
+
+
+@query
+def delete_outcome(t: Inputs) -> DataFrame:
+    return changes.judge_deletes(t.tombstones, t.records)
+
+
 @query
 def records_after_delete(t: Inputs) -> DataFrame:
     return changes.delete_by_id(t.records, t.tombstones)
@@ -548,6 +631,7 @@ def requests_from_log(t: Inputs) -> DataFrame:
 def stream_daily_kpi(t: Inputs) -> DataFrame:
     root = scratch_path(t.spark, "daily")
     live.run_daily_kpi(t.stream("records"), f"{root}/saida", f"{root}/checkpoint")
+    live.compact_daily_kpi(t.spark, f"{root}/saida")
     return live.daily_kpi(t.spark, f"{root}/saida")
 
 
@@ -570,9 +654,15 @@ def stream_late_days(t: Inputs) -> DataFrame:
 
 @query
 def stream_ingest(t: Inputs) -> DataFrame:
+    """Submissions arrive in three deliveries: later places of repeated ids first, then the rest, then those without an id."""
     root = scratch_path(t.spark, "ingest")
-    live.run_ingest(t.stream("submissions"), t.users, root, f"{root}/checkpoint", AS_OF)
-    return versions.current_records(t.spark, f"{root}/registros").drop("dia", "versao")
+    repeats = (F.col("ordem") % 10 == 1) & F.col("id").isNotNull()
+    rest = (F.col("ordem") % 10 != 1) & F.col("id").isNotNull()
+    for delivery in (t.submissions.where(repeats), t.submissions.where(rest), t.submissions.where("id IS NULL")):
+        delivery.write.mode("append").parquet(f"{root}/entrada")
+        source = live.read_table_stream(t.spark, f"{root}/entrada", delivery.schema)
+        live.run_ingest(source, t.users, root, f"{root}/checkpoint", AS_OF)
+    return versions.current_records(t.spark, f"{root}/registros").drop("ordem", "dia", "versao")
 
 
 @query

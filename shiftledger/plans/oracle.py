@@ -29,6 +29,37 @@ def _slug(e: str) -> str:
     return f"regexp_replace(lower(strip_accents(coalesce({e}, ''))), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
+def _last(value: str, written: str) -> str:
+    return f"arg_max({value}, ordem) FILTER ({written})"
+
+
+def _moment(column: str) -> str:
+    return f"coalesce(regexp_replace(CAST({column} AS VARCHAR), '(\\.\\d*[1-9])0+$', '\\1'), '')"
+
+
+def _audit(action: str, details: str, source: str, where: str = "true") -> str:
+    return (
+        f"SELECT CAST(NULL AS BIGINT) AS id, {_AS_OF} AS timestamp, 'gestor' AS usuario_login, CAST(NULL AS VARCHAR) AS usuario_nome, "
+        f"CAST(NULL AS VARCHAR) AS ip_origem, '{action}' AS acao, {details} AS detalhes FROM {source} WHERE {where}"
+    )
+
+
+def _differs(name: str, old: str, new: str) -> str:
+    return f"CASE WHEN {old} IS DISTINCT FROM {new} THEN '{name}: ' || coalesce({old}, '') || ' -> ' || coalesce({new}, '') END"
+
+
+_PATCH_DATE = (
+    "CASE WHEN regexp_full_match(trim(data_registro), '\\d{8}') THEN strptime(trim(data_registro), '%Y%m%d') "
+    "WHEN regexp_full_match(trim(data_registro), '\\d{8}T\\d{6}') THEN strptime(trim(data_registro), '%Y%m%dT%H%M%S') "
+    "WHEN regexp_full_match(trim(data_registro), '\\d{4}-W\\d{2}-\\d') THEN strptime(trim(data_registro), '%G-W%V-%u') "
+    "WHEN regexp_full_match(trim(data_registro), '\\d{4}-\\d{2}-\\d{2}T\\d{4}') THEN try_strptime(trim(data_registro), '%Y-%m-%dT%H%M') "
+    "WHEN length(trim(data_registro)) = 10 THEN try_cast(trim(data_registro) AS DATE) + INTERVAL 12 HOUR ELSE "
+    "try_cast(regexp_replace(regexp_replace(regexp_replace(trim(data_registro), '(Z|[+-]\\d\\d:\\d\\d(:\\d\\d)?)$', ''), 'T', ' '), "
+    "'(\\.\\d{6})\\d+$', '\\1') AS TIMESTAMP) END"
+)
+_NEW_TOP = "(SELECT greatest(max(r.id), (SELECT max(s.id) FROM submissions s)) FROM records r)"
+
+
 # Helper views over the derived tables.
 _HELPERS = {
     "keyed": (["records"], f"SELECT *, {_key('operador_nome')} AS op_key FROM records"),
@@ -36,6 +67,8 @@ _HELPERS = {
         "SELECT op_key, coalesce(arg_min(nome, (-length(nome), nome)), 'Sem nome') AS operador_exibicao FROM "
         "(SELECT op_key, nullif(trim(operador_nome), '') AS nome FROM keyed) GROUP BY op_key"),
     "canon": (["keyed", "op_labels"], "SELECT * FROM keyed JOIN op_labels USING (op_key)"),
+    "chosen": (["canon"],
+        f"SELECT * FROM canon WHERE data_registro >= {_AS_OF} - INTERVAL 30 DAY AND status = 'Realizado Parcial' AND cliente_nome = 'Client 7'"),
     "rated": (["canon"],
         f"SELECT operador_exibicao AS operador, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
         f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM canon GROUP BY 1"),
@@ -58,15 +91,30 @@ _HELPERS = {
         "'Preenchido automaticamente — operador não lançou no dia.' AS justificativa, "
         "CAST(NULL AS VARCHAR) AS caminho_evidencia, 'Pendente' AS aprovado_gestor FROM missing"
         .replace("INTERVAL '23:59:00' HOUR TO SECOND", "INTERVAL 86340 SECOND")),
+    "numbered": (["filled", "records"],
+        "SELECT CAST(row_number() OVER (ORDER BY data_registro, operador_nome, cliente_nome) + (SELECT max(id) FROM records) AS BIGINT) AS id, "
+        + _REC[4:] + " FROM filled"),
+    "valid_submissions": (["ingested"],
+        f"SELECT * FROM ingested WHERE aceito AND cliente_nome NOT IN ('', 'Selecione...') AND (status = {_FULL} OR trim(justificativa) <> '') "
+        "AND status IN ('Realizado Total', 'Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado')"),
+    "plan_lines": (["schedule", "payload_rows"],
+        "SELECT id, " + ", ".join(["operador", "periodo", *_DAYS]) + ", id NOT IN (SELECT id FROM schedule) AS novo FROM "
+        "(SELECT * FROM payload_rows WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1) UNION ALL "
+        "SELECT CAST(row_number() OVER (ORDER BY ordem) + (SELECT greatest((SELECT max(id) FROM schedule), (SELECT max(id) FROM payload_rows))) AS BIGINT), "
+        + ", ".join(["operador", "periodo", *_DAYS]) + ", true FROM payload_rows WHERE id IS NULL"),
+    "patched_last": (["patches"],
+        f"SELECT id, {_last('trim(cliente_nome)', 'cliente_nome IS NOT NULL')} AS c, {_last('trim(status)', 'status IS NOT NULL')} AS s, "
+        + _last("trim(coalesce(justificativa, ''))", "tem_justificativa") + " AS j, " + _last("trim(operador_nome)", "coalesce(operador_nome, '') <> ''") + " AS o, "
+        + _last("data_registro", "data_registro IS NOT NULL")
+        + f" AS d FROM (SELECT * REPLACE ({_PATCH_DATE} AS data_registro), data_registro AS bruto FROM patches) "
+        "WHERE bruto IS NULL OR data_registro IS NOT NULL GROUP BY id"),
     "plan_names": (["schedule"], "SELECT DISTINCT coalesce(nullif(trim(operador), ''), '-') AS nome_escala FROM schedule"),
     "resolved": (["records", "plan_names"],
         "SELECT r.operador_nome, coalesce(arg_min(p.nome_escala, (length(p.nome_escala), p.nome_escala)), trim(r.operador_nome)) AS operador_escala "
         "FROM (SELECT DISTINCT coalesce(operador_nome, '') AS operador_nome FROM records) r LEFT JOIN plan_names p "
         "ON trim(r.operador_nome) <> '' AND contains(lower(p.nome_escala), lower(split_part(trim(r.operador_nome), ' ', 1))) GROUP BY r.operador_nome"),
     "ingested": (["submissions", "users"],
-        "SELECT s.id, coalesce(CASE WHEN length(trim(data_registro)) = 10 THEN try_cast(trim(data_registro) AS DATE) + INTERVAL 12 HOUR "
-        "ELSE try_cast(regexp_replace(regexp_replace(trim(data_registro), '(Z|[+-]\\d\\d:\\d\\d)$', ''), 'T', ' ') AS TIMESTAMP) END, "
-        f"{_AS_OF}) AS data_registro, CASE WHEN u.username IS NULL THEN NULL WHEN lower(trim(u.role)) IN ('admin', 'admin master', 'gestor', 'coordenador') "
+        f"SELECT s.ordem, s.id, coalesce({_PATCH_DATE}, {_AS_OF}) AS data_registro, CASE WHEN u.username IS NULL THEN NULL WHEN lower(trim(u.role)) IN ('admin', 'admin master', 'gestor', 'coordenador') "
         "AND trim(coalesce(s.operador_nome, '')) <> '' THEN trim(s.operador_nome) ELSE coalesce(nullif(u.nome, ''), u.username) END AS operador_nome, "
         "trim(coalesce(nullif(s.cliente_nome, ''), s.cliente, '')) AS cliente_nome, s.status, coalesce(s.justificativa, '') AS justificativa, "
         "CAST(NULL AS VARCHAR) AS caminho_evidencia, 'Pendente' AS aprovado_gestor, u.username IS NOT NULL AS aceito "
@@ -78,10 +126,12 @@ _HELPERS = {
         + ", ".join(f"r.{c} AS {c}_antes" for c in ("cliente_nome", "status", "justificativa", "data_registro")) + ", "
         + ", ".join(f"trim(coalesce(e.{c}, '')) <> trim(coalesce(r.{c}, '')) AS mudou_{c}" for c in ("cliente_nome", "status", "justificativa"))
         + ", date_trunc('minute', e.data_registro) IS DISTINCT FROM date_trunc('minute', r.data_registro) AS mudou_data_registro "
-        "FROM edits e JOIN records r USING (id))"),
+        "FROM (SELECT * FROM edits WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1) e "
+        "JOIN records r USING (id))"),
     "judged": (["compared"],
-        f"SELECT *, CASE WHEN NOT mudou THEN 'inalterado' WHEN status IN ('Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado') "
-        "AND justificativa = '' THEN 'rejeitado' ELSE 'alterado' END AS resultado FROM compared"),
+        f"SELECT *, CASE WHEN NOT mudou THEN 'inalterado' WHEN cliente_nome IN ('', 'Selecione...') OR (status <> {_FULL} AND justificativa = '') "
+        "OR status NOT IN ('Realizado Total', 'Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado') "
+        "THEN 'rejeitado' ELSE 'alterado' END AS resultado FROM compared"),
     "edited": (["judged", "records"],
         "SELECT r.id, coalesce(j.data_registro, r.data_registro) AS data_registro, r.operador_nome, coalesce(j.cliente_nome, r.cliente_nome) AS cliente_nome, "
         "coalesce(j.status, r.status) AS status, coalesce(j.justificativa, r.justificativa) AS justificativa, r.caminho_evidencia, r.aprovado_gestor "
@@ -91,10 +141,10 @@ _HELPERS = {
         "WHEN coalesce(u.email, '') <> '' AND coalesce(n.email, '') <> '' AND lower(trim(u.email)) <> lower(trim(n.email)) THEN 'nao_confere' "
         "WHEN coalesce(u.telefone, '') <> '' AND coalesce(n.telefone, '') <> '' AND trim(u.telefone) <> trim(n.telefone) THEN 'nao_confere' "
         "ELSE 'ok' END AS verificacao FROM new_requests n LEFT JOIN users u ON u.username = trim(n.username)"),
-    "visible": (["users", "schedule"],
-        "SELECT u.id, lower(trim(u.nome)) AS nome_busca, s.id AS linha_id FROM users u JOIN schedule s ON trim(coalesce(u.nome, '')) <> '' "
+    "visible": (["users", "plan_names"],
+        "SELECT u.id, lower(trim(u.nome)) AS nome_busca, p.nome_escala FROM users u JOIN plan_names p ON trim(coalesce(u.nome, '')) <> '' "
         "AND lower(trim(u.role)) NOT IN ('admin', 'admin master', 'gestor', 'coordenador', 'visualizador') "
-        "AND contains(lower(coalesce(nullif(trim(s.operador), ''), '-')), lower(trim(u.nome)))"),
+        "AND contains(lower(p.nome_escala), lower(trim(u.nome)))"),
     "effects": (["request_log"],
         "WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY usuario ORDER BY quando, id) AS n FROM request_log), "
         "f AS (SELECT usuario, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS quando, CAST(NULL AS VARCHAR) AS acao, "
@@ -140,15 +190,6 @@ _DASH = {
 }
 
 
-def _last(value: str, written: str) -> str:
-    return f"arg_max({value}, ordem) FILTER ({written})"
-
-
-_PATCH_DATE = (
-    "CASE WHEN length(trim(data_registro)) = 10 THEN try_cast(trim(data_registro) AS DATE) + INTERVAL 12 HOUR ELSE "
-    "try_cast(regexp_replace(regexp_replace(trim(data_registro), '(Z|[+-]\\d\\d:\\d\\d)$', ''), 'T', ' ') AS TIMESTAMP) END"
-)
-
 # key -> (views, statement)
 _SQL: dict[str, tuple[list[str], str]] = {
     "records_scan": (["records"], f"SELECT {_REC} FROM records"),
@@ -165,18 +206,33 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "snapshot_manifest": (["records", "schedule"],
         "SELECT 'registros' AS tabela, count(*) AS linhas FROM records UNION ALL SELECT 'cronograma', count(*) FROM schedule"),
     "records_partitioned": (["records"], f"SELECT {_REC} FROM records WHERE {_WEEK}"),
-    "audit_from_edits": (["compared"],
-        f"SELECT id, {_AS_OF} AS timestamp, 'gestor' AS usuario_login, 'editar_registro' AS acao, concat_ws('; ', "
-        + ", ".join(
-            f"CASE WHEN mudou_{c} THEN '{c}: ' || coalesce({c}_antes, '') || ' -> ' || coalesce({c}, '') END"
-            for c in ("cliente_nome", "status", "justificativa"))
-        + ", CASE WHEN mudou_data_registro THEN 'data_registro: ' || coalesce(regexp_replace(CAST(data_registro_antes AS VARCHAR), '\\.?0+$', '') , '') "
-        "|| ' -> ' || coalesce(CAST(data_registro AS VARCHAR), '') END) AS detalhes FROM compared WHERE mudou"),
+    "audit_from_edits": (["judged"], _audit("editar_registro", "concat_ws('; ', 'registro ' || id, " + ", ".join(
+        f"CASE WHEN mudou_{c} THEN {_differs(c, c + '_antes', c)} END" for c in ("cliente_nome", "status", "justificativa"))
+        + ", CASE WHEN mudou_data_registro AND data_registro IS NOT NULL AND data_registro IS DISTINCT FROM data_registro_antes THEN "
+        f"'data_registro: ' || {_moment('data_registro_antes')} || ' -> ' || CAST(data_registro AS VARCHAR) END)", "judged", "resultado = 'alterado'")),
+    "audit_from_patches": (["patched_last", "records"], _audit(
+        "atualizar_registro", "concat_ws('; ', 'registro ' || id, m)",
+        "(SELECT r.id, concat_ws('; ', " + ", ".join(
+            _differs(c, f"r.{c}", f"coalesce(p.{k}, r.{c})") for c, k in {"cliente_nome": "c", "status": "s", "justificativa": "j", "operador_nome": "o"}.items())
+        + f", CASE WHEN p.d IS NOT NULL AND p.d IS DISTINCT FROM r.data_registro THEN 'data_registro: ' || {_moment('r.data_registro')} || ' -> ' || {_moment('p.d')} END"
+        + ") AS m FROM records r JOIN patched_last p USING (id))", "m <> ''")),
+    "audit_from_deletes": (["records", "tombstones"], _audit(
+        "excluir_registro", "'registro ' || id", "records", "id IN (SELECT id FROM tombstones)")),
+    "audit_from_inserts": (["numbered"], _audit(
+        "criar_registro", "'registro ' || id || '; operador_nome: ' || operador_nome || '; cliente_nome: ' || cliente_nome || '; status: ' || status || "
+        "'; data_registro: ' || CAST(data_registro AS VARCHAR)", "numbered")),
+    "audit_from_plan": (["plan_lines"], _audit(
+        "salvar_cronograma", "'linha ' || id || '; ' || CASE WHEN novo THEN 'incluída' ELSE 'substituída' END || "
+        + " || ".join(f"'; {c}: ' || {c}" for c in ["operador", "periodo", *_DAYS]), "plan_lines")),
+    "audit_from_roles": (["role_changes", "users"], _audit(
+        "alterar_papel", "'usuário ' || u.id || '; role: ' || u.role || ' -> ' || l.role",
+        "users u JOIN (SELECT id, role FROM role_changes WHERE role IN ('Operador', 'Visualizador', 'Gestor', 'Admin') "
+        "QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1) l USING (id)", "u.role <> l.role")),
     "operator_key": (["keyed"], "SELECT id, operador_nome, op_key FROM keyed"),
     "strip_accents": (["records"], "SELECT id, strip_accents(coalesce(operador_nome, '')) AS sem_acento FROM records"),
     "strip_accents_exact": (["records"], "SELECT id, strip_accents(coalesce(operador_nome, '')) AS sem_acento FROM records"),
     "name_slug": (["records"], f"SELECT id, {_slug('operador_nome')} AS slug FROM records"),
-    "parse_record_date": (["submissions"], f"SELECT id, {_PATCH_DATE} AS data_dt FROM submissions"),
+    "parse_record_date": (["submissions"], f"SELECT ordem, {_PATCH_DATE} AS data_dt FROM submissions"),
     "fill_missing_dates": (["records"], f"SELECT id, coalesce(data_registro, {_AS_OF}) AS data_registro FROM records"),
     "records_by_weekday": (["records"],
         "SELECT id, data_registro, CAST(isodow(data_registro) - 1 AS INTEGER) AS dia_idx, "
@@ -214,7 +270,7 @@ _SQL: dict[str, tuple[list[str], str]] = {
         "OR coalesce(regexp_matches(operador_nome, '^óp0+1[0-3]|client 7$', 'i'), false)"),
     "search_schedule": (["schedule"], "SELECT * FROM schedule WHERE "
         + " OR ".join(f"regexp_matches({c}, 'CLIENT 1[25]$', 'i')" for c in ["operador", *_DAYS])),
-    "schedule_visibility": (["visible"], "SELECT DISTINCT nome_busca, linha_id FROM visible"),
+    "schedule_visibility": (["visible"], "SELECT DISTINCT nome_busca, nome_escala FROM visible"),
     "viewer_scopes": (["visible", "users"],
         "SELECT id, username, CASE WHEN id IN (SELECT id FROM visible) THEN 'propria' ELSE 'geral' END AS escopo, "
         "CASE WHEN id IN (SELECT id FROM visible) THEN lower(trim(nome)) END AS nome_busca FROM users"),
@@ -222,6 +278,18 @@ _SQL: dict[str, tuple[list[str], str]] = {
         "SELECT id, username, CASE WHEN status = 'pendente' THEN 'pendentes' ELSE 'historico' END AS lista, "
         "CASE status WHEN 'autorizado' THEN '🟢 ' WHEN 'usado' THEN '✅ ' WHEN 'expirado' THEN '⏱️ ' WHEN 'rejeitado' THEN '🚫 ' ELSE '' END || status AS status_texto, "
         "solicitado_em, autorizado_em, expira_em, autorizado_por FROM swept"),
+    "visible_schedule": (["schedule"],
+        "SELECT * FROM schedule WHERE contains(lower(coalesce(nullif(trim(operador), ''), '-')), 'óp000000')"),
+    "dashboard_kpi": (["chosen"], f"SELECT {_KPI}, " + ", ".join(
+        f"coalesce({_pct(_status(s), 'count(*)')}, 0.0) AS {n}" for n, s in {
+            "pct_realizados": "Realizado Total", "pct_parciais": "Realizado Parcial",
+            "pct_nao_realizados": "Não Realizado", "eficiencia": "Realizado Total"}.items()) + " FROM chosen"),
+    "dashboard_ranking": (["chosen"],
+        f"SELECT operador_exibicao AS operador, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
+        f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM chosen GROUP BY 1"),
+    "dashboard_trend": (["chosen"],
+        f"SELECT data_registro::DATE AS dia, count(*) AS quantidade, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
+        f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM chosen WHERE data_registro IS NOT NULL GROUP BY 1"),
     "request_counts": (["requests"], "SELECT count(*) FILTER (status = 'pendente') AS pendentes, count(*) FILTER (status <> 'pendente') AS historico FROM requests"),
     "gap_detect_day": (["missing"], "SELECT dia, id AS linha_id, operador, cliente FROM missing WHERE dia = DATE '2024-01-15'"),
     "gap_detect_range": (["missing"], "SELECT dia, id AS linha_id, operador, cliente FROM missing"),
@@ -233,12 +301,9 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "gap_details": (["missing"],
         "SELECT id AS linha_id, operador, cliente FROM missing WHERE dia = DATE '2024-01-15' ORDER BY id, cliente LIMIT 50"),
     "gap_fill_rows": (["filled"], f"SELECT {_REC} FROM filled"),
-    "gap_rows_numbered": (["filled", "records"],
-        f"SELECT * REPLACE (n + (SELECT max(id) FROM records) AS id) EXCLUDE (n) FROM (SELECT {_REC}, "
-        "row_number() OVER (ORDER BY data_registro, operador_nome, cliente_nome) AS n FROM filled)"
-        .replace("SELECT * REPLACE (n + (SELECT max(id) FROM records) AS id) EXCLUDE (n)",
-                 "SELECT CAST(n + (SELECT max(id) FROM records) AS BIGINT) AS id, " + _REC[4:])),
-    "records_gap_filled": (["filled", "records"], f"SELECT {_REC} FROM records UNION ALL SELECT {_REC} FROM filled"),
+    "gap_rows_numbered": (["numbered"], f"SELECT {_REC} FROM numbered"),
+    "records_gap_filled": (["numbered", "records"], f"SELECT {_REC} FROM records UNION ALL SELECT {_REC} FROM numbered"),
+    "records_gap_stored": (["numbered", "records"], f"SELECT {_REC} FROM records UNION ALL SELECT {_REC} FROM numbered"),
     "resolve_operator": (["resolved"], "SELECT operador_nome, operador_escala FROM resolved"),
     "records_plan_spelling": (["resolved", "records"],
         "SELECT r.id, r.operador_nome, p.operador_escala FROM records r JOIN resolved p ON p.operador_nome = coalesce(r.operador_nome, '')"),
@@ -246,14 +311,23 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "names_without_account": (["schedule", "users"],
         f"SELECT nome FROM (SELECT DISTINCT trim(operador) AS nome FROM schedule) WHERE {_slug(chr(34) + 'nome' + chr(34))} IS NOT NULL "
         f"AND {_slug('split_part(nome, chr(32), 1)')} NOT IN (SELECT {_slug('split_part(u.nome, chr(32), 1)')} FROM users u WHERE coalesce(u.nome, '') <> '')"),
+    # Families with a base that ends in digits are walked one by one, the others are counted.
     "assign_usernames": (["newcomers", "taken_names"],
-        f"WITH n AS (SELECT id, {_slug('split_part(trim(nome), chr(32), 1)')} || '.' || {_slug('sobrenome')} AS base FROM newcomers), "
-        "k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM n), "
-        "size AS (SELECT base, count(*) + (SELECT count(*) FROM taken_names) + 1 AS m FROM n GROUP BY base), "
+        f"WITH RECURSIVE n AS (SELECT id, {_slug('split_part(trim(nome), chr(32), 1)')} || '.' || {_slug('sobrenome')} AS base FROM newcomers), "
+        "mixed AS (SELECT DISTINCT regexp_replace(base, '\\d+$', '') AS f FROM n WHERE regexp_matches(base, '\\d$')), "
+        "k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM n WHERE regexp_replace(base, '\\d+$', '') NOT IN (SELECT f FROM mixed)), "
+        "size AS (SELECT base, count(*) + (SELECT count(*) FROM taken_names) + 1 AS m FROM k GROUP BY base), "
         "cand AS (SELECT base, unnest(range(1, m + 1)) AS s FROM size), "
         "free AS (SELECT base, s, base || CASE WHEN s = 1 THEN '' ELSE CAST(s AS VARCHAR) END AS username FROM cand), "
-        "num AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY s) AS k FROM free WHERE username NOT IN (SELECT username FROM taken_names)) "
-        "SELECT k.id, k.base, num.username FROM k JOIN num USING (base, k)"),
+        "num AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY s) AS k FROM free WHERE username NOT IN (SELECT username FROM taken_names)), "
+        "walk AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM n WHERE regexp_replace(base, '\\d+$', '') IN (SELECT f FROM mixed)), "
+        "used AS (SELECT list(username) AS u FROM taken_names WHERE regexp_replace(username, '\\d+$', '') IN (SELECT f FROM mixed)), "
+        "one AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS base, CAST(NULL AS VARCHAR) AS username, "
+        "coalesce((SELECT u FROM used), []) AS given UNION ALL "
+        "SELECT n, id, base, username, list_append(given, username) FROM (SELECT w.n, w.id, w.base, o.given, "
+        "list_filter(list_transform(range(1, len(o.given) + 2), lambda i: w.base || CASE WHEN i = 1 THEN '' ELSE CAST(i AS VARCHAR) END), "
+        "lambda x: NOT list_contains(o.given, x))[1] AS username FROM one o JOIN walk w ON w.n = o.n + 1)) "
+        "SELECT k.id, k.base, num.username FROM k JOIN num USING (base, k) UNION ALL SELECT id, base, username FROM one WHERE n > 0"),
     "request_contact_check": (["checked"], "SELECT id, usuario AS username, verificacao FROM checked"),
     "users_by_department": (["users", "departments"],
         "SELECT u.id, u.username, d.nome AS departamento FROM users u LEFT JOIN departments d ON d.id = u.departamento_id"),
@@ -317,9 +391,10 @@ _SQL: dict[str, tuple[list[str], str]] = {
         "SELECT id, usuario AS username, solicitado_em, CASE WHEN verificacao <> 'ok' THEN verificacao WHEN n = 1 AND usuario NOT IN "
         "(SELECT username FROM swept WHERE status IN ('pendente', 'autorizado')) THEN 'registrada' ELSE 'em_andamento' END AS resultado "
         "FROM (SELECT *, row_number() OVER (PARTITION BY usuario, verificacao ORDER BY solicitado_em, id) AS n FROM checked)"),
-    "ingest_records": (["ingested"], "SELECT * FROM ingested"),
+    "ingest_records": (["ingested", "submissions", "records"],
+        f"SELECT * REPLACE (CAST(coalesce(id, {_NEW_TOP} + row_number() OVER (PARTITION BY id IS NULL ORDER BY ordem)) AS BIGINT) AS id) FROM ingested"),
     "record_quality": (["ingested"],
-        "SELECT id, v AS violacoes, v = '' AS valido FROM (SELECT id, concat_ws('; ', "
+        "SELECT ordem, v AS violacoes, v = '' AS valido FROM (SELECT ordem, concat_ws('; ', "
         "CASE WHEN cliente_nome IN ('', 'Selecione...') THEN 'cliente não informado' END, "
         f"CASE WHEN status <> {_FULL} AND trim(justificativa) = '' THEN 'justificativa obrigatória' END, "
         "CASE WHEN status NOT IN ('Realizado Total', 'Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado') THEN 'status inválido' END) AS v FROM ingested)"),
@@ -327,20 +402,18 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "edit_outcome": (["judged"], "SELECT resultado, count(*) AS qtd FROM judged GROUP BY 1"),
     "records_edited": (["edited"], "SELECT * FROM edited"),
     "records_edited_in_place": (["edited"], "SELECT * FROM edited"),
-    "records_patched": (["patches", "records"],
-        f"WITH g AS (SELECT * REPLACE ({_PATCH_DATE} AS data_registro), data_registro AS bruto FROM patches), "
-        "p AS (SELECT id, " + _last("trim(cliente_nome)", "cliente_nome IS NOT NULL") + " AS c, "
-        + _last("trim(status)", "status IS NOT NULL") + " AS s, "
-        + _last("trim(coalesce(justificativa, ''))", "tem_justificativa") + " AS j, "
-        + _last("trim(operador_nome)", "coalesce(operador_nome, '') <> ''") + " AS o, "
-        + _last("data_registro", "data_registro IS NOT NULL") + " AS d FROM g WHERE bruto IS NULL OR data_registro IS NOT NULL GROUP BY id) "
+    "records_patched": (["patched_last", "records"],
         "SELECT r.id, coalesce(d, data_registro) AS data_registro, coalesce(o, operador_nome) AS operador_nome, coalesce(c, cliente_nome) AS cliente_nome, "
-        "coalesce(s, status) AS status, coalesce(j, justificativa) AS justificativa, caminho_evidencia, aprovado_gestor FROM records r LEFT JOIN p USING (id)"),
+        "coalesce(s, status) AS status, coalesce(j, justificativa) AS justificativa, caminho_evidencia, aprovado_gestor FROM records r LEFT JOIN patched_last p USING (id)"),
+    "patch_outcome": (["patches", "records"],
+        "SELECT ordem, id, CASE WHEN id IS NULL OR id NOT IN (SELECT id FROM records) THEN 'desconhecido' "
+        f"WHEN data_registro IS NOT NULL AND {_PATCH_DATE} IS NULL THEN 'data inválida' ELSE 'aplicado' END AS resultado FROM patches"),
+    "delete_outcome": (["tombstones", "records"],
+        "SELECT id, count(*) AS pedidos, CASE WHEN id IN (SELECT id FROM records) THEN 'removido' ELSE 'desconhecido' END AS resultado FROM tombstones GROUP BY id"),
     "records_after_delete": (["records", "tombstones"],
         f"SELECT {_REC} FROM records WHERE id NOT IN (SELECT id FROM tombstones WHERE id IS NOT NULL)"),
-    "schedule_upserted": (["schedule", "payload_rows"],
-        "WITH w AS (SELECT * EXCLUDE (ordem) FROM payload_rows QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1) "
-        "SELECT * FROM schedule WHERE id NOT IN (SELECT id FROM w) UNION ALL BY NAME SELECT * FROM w"),
+    "schedule_upserted": (["schedule", "plan_lines"],
+        "SELECT * FROM schedule WHERE id NOT IN (SELECT id FROM plan_lines) UNION ALL BY NAME SELECT * EXCLUDE (novo) FROM plan_lines"),
     "role_changes": (["role_changes", "users"],
         "SELECT c.ordem, c.id, c.role, CASE WHEN c.role NOT IN ('Operador', 'Visualizador', 'Gestor', 'Admin') THEN 'papel_invalido' "
         "WHEN u.id IS NULL THEN 'usuario_desconhecido' ELSE 'aplicado' END AS resultado FROM role_changes c LEFT JOIN users u ON u.id = c.id"),
@@ -363,9 +436,9 @@ _SQL: dict[str, tuple[list[str], str]] = {
         f"SELECT data_registro::DATE AS dia, count(*) AS quantidade, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
         f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM records "
         "WHERE data_registro::DATE IN (SELECT data_registro::DATE FROM late) GROUP BY 1"),
-    "stream_ingest": (["ingested"],
-        f"SELECT {_REC} FROM ingested WHERE aceito AND cliente_nome NOT IN ('', 'Selecione...') AND (status = {_FULL} OR trim(justificativa) <> '') "
-        "AND status IN ('Realizado Total', 'Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado')"),
+    "stream_ingest": (["valid_submissions"],
+        f"SELECT {_REC} FROM valid_submissions WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1 UNION ALL "
+        "SELECT CAST((SELECT max(id) FROM valid_submissions) + row_number() OVER (ORDER BY ordem) AS BIGINT), " + _REC[4:] + " FROM valid_submissions WHERE id IS NULL"),
     "stream_request_expiry": (["requests"],
         "SELECT id, username, autorizado_em, expira_em, usado_em, CASE WHEN usado_em IS NULL THEN 'expirado' ELSE 'usado' END AS status FROM requests "
         "WHERE autorizado_em IS NOT NULL AND coalesce(usado_em, autorizado_em) + INTERVAL 600000001 MICROSECOND <= "

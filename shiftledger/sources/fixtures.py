@@ -67,10 +67,16 @@ _REQUEST_STATUS = (
 _HAS_APPROVAL = "o_orderstatus = 'P' OR (o_orderstatus = 'F' AND o_orderkey % 2 = 0)"
 _APPROVED_AT = f"CASE WHEN {_HAS_APPROVAL} THEN {_plus('o_orderdate', 'o_orderkey % 60', 'MINUTE')} END"
 _ISO_DAY = "CAST(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS STRING)"
+_SHORT_DAY = "'202401' || lpad(CAST(1 + o_orderkey % 30 AS STRING), 2, '0')"
+_ODD_DATE = (
+    f"CASE o_orderkey % 6 WHEN 0 THEN {_SHORT_DAY} || 'T081530' WHEN 1 THEN {_SHORT_DAY} "
+    f"WHEN 2 THEN '2024-W03-' || CAST(1 + o_orderkey % 7 AS STRING) WHEN 3 THEN {_ISO_DAY} || 'T0815' "
+    f"WHEN 4 THEN {_ISO_DAY} || 'T08:15:30.1234567899' ELSE {_ISO_DAY} || 'T08:15:30+03:00:00' END"
+)
 _DATE_TEXT = (
-    f"CASE o_orderkey % 8 WHEN 0 THEN {_ISO_DAY} || 'T08:15:30' WHEN 1 THEN {_ISO_DAY} || 'T08:15:30Z' "
+    f"CASE WHEN o_orderkey % 11 = 5 THEN {_ODD_DATE} ELSE CASE o_orderkey % 8 WHEN 0 THEN {_ISO_DAY} || 'T08:15:30' WHEN 1 THEN {_ISO_DAY} || 'T08:15:30Z' "
     f"WHEN 2 THEN {_ISO_DAY} || 'T08:15:30+03:00' WHEN 3 THEN ' ' || {_ISO_DAY} || ' ' "
-    f"WHEN 4 THEN 'amanhã' WHEN 5 THEN {_ISO_DAY} || ' 25:00:00' WHEN 6 THEN {_ISO_DAY} || ' 23:59:59.250' END"
+    f"WHEN 4 THEN 'amanhã' WHEN 5 THEN {_ISO_DAY} || ' 25:00:00' WHEN 6 THEN {_ISO_DAY} || ' 23:59:59.250' END END"
 )
 
 # name -> (source table, [(column, expression)])
@@ -93,7 +99,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("Quarta", f"CASE WHEN s_suppkey % 8 = 0 THEN 'None' ELSE {_cell(2)} END"), ("quinta", f"' ' || ({_cell(3)})"),
     ]),
     "plan_payloads": ("customer", [
-        ("ordem", "c_custkey"), ("id", "CAST(floor(c_custkey / 2) AS BIGINT)"),
+        ("ordem", "c_custkey"), ("id", "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(floor(c_custkey / 2) AS BIGINT) END"),
         ("payload",
             "'{\"' || CASE WHEN c_custkey % 2 = 0 THEN 'operador' ELSE 'Operador' END || '\": \"' || "
             f"CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE ' óp' || {_n('c_custkey')} END || '\"' || "
@@ -136,11 +142,12 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
                  "WHEN 'error' THEN 'rejeitar' ELSE 'usar' END"),
     ]),
     "edits": ("events", [
-        ("id", "event_id"),
-        ("cliente_nome", f"CASE event_id % 5 WHEN 0 THEN ' ' || {_CLIENT} || ' ' WHEN 1 THEN 'Client X' ELSE {_CLIENT} END"),
-        ("status", f"CASE event_id % 5 WHEN 2 THEN 'Não Realizado' WHEN 3 THEN 'Realizado Parcial' ELSE {_STATUS} END"),
+        ("ordem", "event_id"),
+        ("id", "CASE WHEN event_id % 50 = 33 THEN NULL WHEN event_id % 20 = 19 THEN event_id - 1 ELSE event_id END"),
+        ("cliente_nome", f"CASE WHEN event_id % 40 = 9 THEN ' ' ELSE CASE event_id % 5 WHEN 0 THEN ' ' || {_CLIENT} || ' ' WHEN 1 THEN 'Client X' ELSE {_CLIENT} END END"),
+        ("status", f"CASE WHEN event_id % 40 = 7 THEN 'foo' ELSE CASE event_id % 5 WHEN 2 THEN 'Não Realizado' WHEN 3 THEN 'Realizado Parcial' ELSE {_STATUS} END END"),
         ("justificativa", f"CASE WHEN event_id % 5 = 3 THEN '' ELSE {_NOTE} END"),
-        ("data_registro", "CASE WHEN event_id % 5 = 4 THEN coalesce("
+        ("data_registro", "CASE WHEN event_id % 60 = 11 THEN NULL WHEN event_id % 5 = 4 THEN coalesce("
                           f"{_TS}, CAST('2024-01-31 12:00:00' AS {{NTZ}})) + INTERVAL '90' SECOND ELSE {_TS} END"),
     ]),
     "patches": ("orders", [
@@ -153,7 +160,9 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("data_registro", _DATE_TEXT),
     ]),
     "submissions": ("orders", [
-        ("id", "o_orderkey"), ("username", f"CASE WHEN o_orderkey % 19 = 0 THEN 'ghost' ELSE {_USERNAME} END"),
+        ("ordem", "o_orderkey"),
+        ("id", "CASE WHEN o_orderkey % 17 = 3 THEN NULL WHEN o_orderkey % 10 = 1 THEN o_orderkey - 1 ELSE o_orderkey END"),
+        ("username", f"CASE WHEN o_orderkey % 19 = 0 THEN 'ghost' ELSE {_USERNAME} END"),
         ("cliente_nome", "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' "
                          "WHEN 2 THEN '  Client ' || CAST(o_custkey % 60 AS STRING) || ' ' "
                          "WHEN 3 THEN 'Selecione...' ELSE 'Client ' || CAST(o_custkey % 60 AS STRING) END"),
@@ -180,10 +189,11 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     ]),
     "newcomers": ("orders", [
         ("id", "o_orderkey"), ("nome", "' Óp' || CAST(o_custkey % 10 AS STRING)"),
-        ("sobrenome", "CASE WHEN o_orderkey % 3 = 0 THEN 'Ávila' ELSE 'Silva' END"),
+        ("sobrenome", "CASE o_orderkey % 500 WHEN 7 THEN 'Reis' WHEN 8 THEN 'Reis2' WHEN 9 THEN 'Reis22' ELSE "
+                      "CASE WHEN o_orderkey % 3 = 0 THEN 'Ávila' ELSE 'Silva' END END"),
     ]),
     "taken_names": ("customer", [
-        ("username", "'op' || CAST(c_custkey % 10 AS STRING) || '.silva' || "
+        ("username", "'op' || CAST(c_custkey % 10 AS STRING) || CASE WHEN c_custkey % 300 = 31 THEN '.reis' ELSE '.silva' END || "
                      "CASE WHEN c_custkey < 10 THEN '' ELSE CAST(1 + 2 * CAST(floor(c_custkey / 10) AS BIGINT) AS STRING) END"),
     ]),
     "envelopes": ("events", [

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftledger.functions.dates import instant
-from shiftledger.sources.schemas import RECORDS, SCHEDULE, conform
+from shiftledger.operators.numbering import highest_id, number_missing
+from shiftledger.session import cut_lineage
+from shiftledger.sources.schemas import AUDIT, DEPARTMENTS, RECORDS, REQUESTS, SCHEDULE, USERS, conform
 
 CSV_OPTIONS = {
     "header": True,
@@ -67,6 +69,18 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.parquet(path), SCHEDULE)
 
 
+def read_users(spark: SparkSession, path: str) -> DataFrame:
+    return conform(spark.read.parquet(path), USERS)
+
+
+def read_departments(spark: SparkSession, path: str) -> DataFrame:
+    return conform(spark.read.parquet(path), DEPARTMENTS)
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    return conform(spark.read.parquet(path), REQUESTS)
+
+
 def day_partition() -> Column:
     return F.coalesce(F.to_date("data_registro").cast("string"), F.lit(NO_DAY))
 
@@ -127,10 +141,20 @@ def snapshot_manifest(spark: SparkSession, base: str, names: list[str]) -> DataF
     return manifest
 
 
-def append_audit(entries: DataFrame, path: str) -> None:
-    """Append-only audit trail, partitioned by day."""
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return conform(spark.read.parquet(path), AUDIT)
+
+
+def append_audit(entries: DataFrame, path: str, top: int = 0) -> int:
+    """Append-only audit trail, partitioned by day. Rows get ids from ``top`` + 1 on; returns the highest id now in use.
+
+    The caller keeps the number from one append to the next, so no append reads the trail.
+    """
+    numbered = number_missing(conform(entries, AUDIT), top, ["timestamp", "acao", "detalhes"])
+    numbered = cut_lineage(numbered)
     (
-        entries.withColumn("dia", F.to_date("timestamp"))
+        numbered.withColumn("dia", F.to_date("timestamp"))
         .hint("rebalance", "dia")
         .write.mode("append").partitionBy("dia").parquet(path)
     )
+    return max(top, highest_id(numbered))

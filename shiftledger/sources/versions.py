@@ -1,20 +1,54 @@
-"""A record table that takes upserts: plain Parquet, a version per touched day, and a manifest.
+"""A record table that takes upserts: plain Parquet, a version per touched day, and an index by id.
 
-``dados/dia=<day>/versao=<n>`` holds the rows, ``manifesto/lote=<n>`` the days that batch n wrote. A
-day is read in the version that the manifest names last.
+- ``dados/dia=<day>/versao=<n>`` holds the rows of a day as batch n left them.
+- ``indice/balde=<bucket>/versao=<n>`` says for the ids of a hash bucket which day they are in, and in which ``ordem`` they came.
+- ``estado/lote=<n>`` lists, as of batch n, the current version of every day and bucket: the whole table in a few lines.
+
+Readers open the folders that the newest state names and no others, so superseded versions cost nothing. A batch reads the
+index buckets of its ids and the days it touches. Nothing that is being read is overwritten; the state is written last, so
+readers see a batch as a whole or not at all, and a repeated batch starts from the state before it. ``vacuum`` deletes what no state
+names any more.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftledger.operators.numbering import number_missing
 from shiftledger.session import cut_lineage
 from shiftledger.sources.schemas import RECORDS, conform
 from shiftledger.sources.tables import day_partition
 
 BATCH = "lote"
+BUCKETS = 64
+STORED = T.StructType([
+    *RECORDS.fields, T.StructField("ordem", T.LongType()), T.StructField("dia", T.StringType()), T.StructField("versao", T.LongType()),
+])
+_INDEX = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("ordem", T.LongType()), T.StructField("dia", T.StringType()),
+    T.StructField("balde", T.IntegerType()), T.StructField("versao", T.LongType()),
+])
+_STATE = "tipo string, chave string, versao bigint"
+
+
+@dataclass
+class State:
+    """Current versions by day and by bucket, the number of buckets and the highest id given."""
+
+    days: dict[str, int] = field(default_factory=dict)
+    buckets: dict[int, int] = field(default_factory=dict)
+    width: int = BUCKETS
+    top: int = 0
+
+    def lines(self) -> list[tuple[str, str, int]]:
+        return [
+            *[("dia", d, v) for d, v in self.days.items()], *[("balde", str(b), v) for b, v in self.buckets.items()],
+            ("largura", "", self.width), ("maior_id", "", self.top),
+        ]
 
 
 def write_batch(df: DataFrame, root: str, batch: int) -> None:
@@ -22,53 +56,137 @@ def write_batch(df: DataFrame, root: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch}")
 
 
-STORED = T.StructType([*RECORDS.fields, T.StructField("dia", T.StringType()), T.StructField("versao", T.LongType())])
+def _files(spark: SparkSession, path: str):
+    """The file system of a path and the path in its terms."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path; none if it does not exist."""
+    store, place = _files(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(place) if f.isDirectory()) if store.exists(place) else []
+
 
+def batches(spark: SparkSession, root: str) -> list[int]:
+    """The batches whose state is complete."""
+    found = [f for f in folders(spark, f"{root}/estado") if f.startswith(f"{BATCH}=")]
+    done = [f for f in found if exists(spark, f"{root}/estado/{f}/_SUCCESS")]
+    return sorted(int(f.split("=")[1]) for f in done)
 
-def _all_versions(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(STORED).parquet(f"{root}/dados")
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _files(spark, path)
+    return store.exists(place)
+
+
+def state_of(spark: SparkSession, root: str, before: int | None = None) -> State:
+    """The newest state, or the newest before a batch. One line per day and bucket, whatever the number of rows."""
+    known = [b for b in batches(spark, root) if before is None or b < before]
+    state = State()
+    if known:
+        for kind, key, version in spark.read.schema(_STATE).parquet(f"{root}/estado/{BATCH}={known[-1]}").collect():
+            if kind == "dia":
+                state.days[key] = version
+            elif kind == "balde":
+                state.buckets[int(key)] = version
+            elif kind == "largura":
+                state.width = version
+            else:
+                state.top = version
+    return state
+
+
+def _read(spark: SparkSession, root: str, kind: str, schema: T.StructType, versions: dict) -> DataFrame:
+    """The rows below the named version folders; only these are listed."""
+    column = "dia" if kind == "dados" else "balde"
+    paths = [f"{root}/{kind}/{column}={key}/versao={version}" for key, version in sorted(versions.items())]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{root}/{kind}").parquet(*paths)
 
 
 def current_records(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The table as of its newest batch: per day the version that the manifest names last."""
-    manifest = spark.read.parquet(f"{root}/manifesto").select("dia", F.col(BATCH).alias("versao"))
-    if before is not None:
-        manifest = manifest.where(F.col("versao") < before)
-    newest = manifest.groupBy("dia").agg(F.max("versao").alias("versao"))
-    return _all_versions(spark, root).join(newest, ["dia", "versao"])
+    """The table as of its newest batch, or of the newest before a batch."""
+    return _read(spark, root, "dados", STORED, state_of(spark, root, before).days)
 
 
-def upsert_days(changed: DataFrame, root: str, batch: int) -> None:
+def upsert_days(changed: DataFrame, root: str, batch: int, buckets: int = BUCKETS) -> None:
     """Write a new version of every day a change touches: the day's other rows plus the changes.
 
-    Nothing that is being read is overwritten. The manifest is written last, so readers see a
-    batch as a whole or not at all, and a repeated batch starts from the versions before it.
+    Rows may carry ``ordem``: the row of greatest ``ordem`` wins, within the batch and against what earlier batches stored, so
+    the result does not depend on how rows are cut into batches. Without it a later batch wins. Rows without an id are new
+    and get the next free ids. ``buckets`` counts when the table is made.
     """
     spark = changed.sparkSession
-    columns = RECORDS.names
-    one_per_id = conform(changed, RECORDS).groupBy("id").agg(
-        F.max(F.struct(*[c for c in columns if c != "id"])).alias("_linha")
-    ).select("id", "_linha.*")
-    new = one_per_id.select(*columns, day_partition().alias("dia"))
-    if batch == 0:
-        _write_version(new, root, batch)
-        touched = _all_versions(spark, root).where("versao = 0").select("dia").distinct()
-    else:
-        new = cut_lineage(new)
-        base = current_records(spark, root, before=batch)
-        lowest, highest = new.agg(F.min("id"), F.max("id")).first()
-        # The id range skips row groups by their statistics before the join looks at single ids.
-        near = base.where(F.col("id").between(lowest, highest))
-        moved = near.join(new.select("id"), "id", "left_semi").select("dia")
-        touched = cut_lineage(new.select("dia").unionByName(moved).distinct())
-        kept = base.join(touched, "dia", "left_semi").join(new.select("id"), "id", "left_anti")
-        _write_version(kept.select(*columns, "dia").unionByName(new), root, batch)
-    write_batch(touched.coalesce(1), f"{root}/manifesto", batch)
-
-
-def _write_version(rows: DataFrame, root: str, batch: int) -> None:
+    state = state_of(spark, root, before=batch)
+    if not state.days and not state.buckets:
+        state.width = buckets
+    if "ordem" not in changed.columns:
+        changed = changed.withColumn("ordem", F.lit(None).cast("bigint"))
+    rows = cut_lineage(conform(changed, T.StructType(STORED.fields[:-2])))
+    highest = rows.agg(F.max("id")).first()[0]
+    state.top = max(state.top, highest or 0)
+    columns = [*RECORDS.names, "ordem"]
+    fields = [c for c in columns if c != "id"]
+    numbered = number_missing(rows, state.top, ["ordem", *[c for c in RECORDS.names if c != "id"]])
+    last = numbered.groupBy("id").agg(F.max(F.struct("ordem", *[c for c in fields if c != "ordem"])).alias("_linha")).select("id", "_linha.*")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(state.width)).cast("int")
+    new = cut_lineage(last.select(*columns, day_partition().alias("dia"), bucket.alias("balde")))
+    top = new.agg(F.max("id")).first()[0]
+    state.top = max(state.top, top or 0)
+
+    touched = [r.balde for r in new.select("balde").distinct().collect()]  # at most the number of buckets
+    index = _read(spark, root, "indice", _INDEX, {b: state.buckets[b] for b in touched if b in state.buckets})
+    old = index.select("id", F.col("ordem").alias("_ordem"), F.col("dia").alias("_dia"))
+    met = new.join(old, "id", "left")
+    stays = F.col("_ordem").isNull() | F.col("ordem").isNull() | (F.col("ordem") >= F.col("_ordem"))
+    wins = cut_lineage(met.where(stays).withColumn("ordem", F.coalesce("ordem", "_ordem")))
+    days = {d for r in wins.select("dia", "_dia").distinct().collect() for d in r if d is not None}
+    base = _read(spark, root, "dados", STORED, {d: state.days[d] for d in days if d in state.days})
+    kept = base.join(wins.select("id"), "id", "left_anti")
+    moved = wins.select(*columns, "dia")
+    _write_version(kept.select(*columns, "dia").unionByName(moved), f"{root}/dados", "dia", batch)
+    entries = index.join(wins.select("id"), "id", "left_anti").select("id", "ordem", "dia", "balde")
+    _write_version(entries.unionByName(wins.select("id", "ordem", "dia", "balde")), f"{root}/indice", "balde", batch)
+
+    # A day whose rows all moved away has no folder in this version.
+    for day in days:
+        state.days.pop(day, None)
+        if exists(spark, f"{root}/dados/dia={day}/versao={batch}"):
+            state.days[day] = batch
+    state.buckets |= {b: batch for b in touched if exists(spark, f"{root}/indice/balde={b}/versao={batch}")}
+    write_batch(spark.createDataFrame(state.lines(), _STATE).coalesce(1), f"{root}/estado", batch)
+
+
+def _write_version(rows: DataFrame, folder: str, key: str, batch: int) -> None:
     (
-        rows.withColumn("versao", F.lit(batch).cast("bigint")).hint("rebalance", "dia")
+        rows.withColumn("versao", F.lit(batch).cast("bigint")).hint("rebalance", key)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dia", "versao").parquet(f"{root}/dados")
+        .partitionBy(key, "versao").parquet(folder)
     )
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
+    """Delete version folders that none of the newest ``keep`` states names, and older states. Returns how many folders went.
+
+    Readers that opened the table at an older state must be done.
+    """
+    known = batches(spark, root)
+    states = [state_of(spark, root, before=b + 1) for b in known[-keep:]]
+    gone = 0
+    for kind, key, named in (("dados", "dia", [s.days for s in states]), ("indice", "balde", [s.buckets for s in states])):
+        used = {(str(k), v) for versions in named for k, v in versions.items()}
+        for folder in folders(spark, f"{root}/{kind}"):
+            for version in folders(spark, f"{root}/{kind}/{folder}"):
+                if (folder.split("=", 1)[1], int(version.split("=")[1])) not in used:
+                    gone += _delete(spark, f"{root}/{kind}/{folder}/{version}")
+    for batch in known[:-keep]:
+        gone += _delete(spark, f"{root}/estado/{BATCH}={batch}")
+    return gone
+
+
+def _delete(spark: SparkSession, path: str) -> int:
+    store, place = _files(spark, path)
+    return int(store.delete(place, True))

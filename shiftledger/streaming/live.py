@@ -18,7 +18,7 @@ from shiftledger.functions.dates import event_day, event_time
 from shiftledger.functions.domain import APPROVAL_MINUTES, EXPIRED, FULL, USED
 from shiftledger.functions.measures import count_known, count_status, pct
 from shiftledger.operators import changes, kpi
-from shiftledger.sources.versions import BATCH, upsert_days, write_batch
+from shiftledger.sources.versions import BATCH, exists, folders, upsert_days, write_batch
 
 LATENESS = "48 hours"  # hours, because calendar days depend on the session zone
 
@@ -73,13 +73,34 @@ def run_daily_kpi(records: DataFrame, root: str, checkpoint: str) -> StreamingQu
     return _run(daily_counts(records), "update", checkpoint, lambda df, batch: write_batch(df, root, batch))
 
 
-def daily_kpi(spark: SparkSession, root: str) -> DataFrame:
-    """The current series: the newest counts of each day."""
+def compact_daily_kpi(spark: SparkSession, root: str) -> None:
+    """Put the newest counts of all batches so far into one folder; older batches are then skipped.
+
+    Days behind the watermark are final, so this is all that is ever needed of them.
+    """
+    done = [int(f.split("=")[1]) for f in folders(spark, root) if f.startswith(f"{BATCH}=")]
+    if done:
+        newest = _newest_counts(spark, root).withColumn("ate", F.lit(max(done)))
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{root}-resumo/ate={max(done)}")
+
+
+def _newest_counts(spark: SparkSession, root: str) -> DataFrame:
     fields = ["quantidade", "total", "realizados"]
-    newest = spark.read.parquet(root).groupBy("dia").agg(F.max_by(F.struct(*fields), BATCH).alias("_atual"))
-    return newest.select("dia", *[F.col(f"_atual.{f}").alias(f) for f in fields]).withColumn(
-        "eficiencia", pct("realizados", "total")
-    )
+    summaries = sorted(int(f.split("=")[1]) for f in folders(spark, f"{root}-resumo") if exists(spark, f"{root}-resumo/{f}/_SUCCESS"))
+    upto = summaries[-1] if summaries else -1
+    later = [f"{root}/{f}" for f in folders(spark, root) if f.startswith(f"{BATCH}=") and int(f.split("=")[1]) > upto]
+    parts = []
+    if summaries:
+        parts.append(spark.read.parquet(f"{root}-resumo/ate={upto}").select("dia", *fields, F.lit(upto).alias(BATCH)))
+    if later:
+        parts.append(spark.read.option("basePath", root).parquet(*later).select("dia", *fields, BATCH))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.groupBy("dia").agg(F.max_by(F.struct(*fields), BATCH).alias("_atual")).select("dia", "_atual.*")
+
+
+def daily_kpi(spark: SparkSession, root: str) -> DataFrame:
+    """The current series: the newest counts of each day, from the last summary and the batches after it."""
+    return _newest_counts(spark, root).withColumn("eficiencia", pct("realizados", "total"))
 
 
 # --- back-dated records --------------------------------------------------------------------
@@ -110,6 +131,11 @@ def run_late_rows(records: DataFrame, root: str, checkpoint: str, lateness: str
     return _run(records, "append", checkpoint, _read_once(sink))
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """How many rows a finished run found behind its watermark."""
+    return sum(state["numRowsDroppedByWatermark"] for p in query.recentProgress for state in p["stateOperators"])
+
+
 def late_rows(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/atrasados").drop(BATCH)
 
@@ -125,7 +151,8 @@ def recompute_late_days(records: DataFrame, late: DataFrame) -> DataFrame:
 def run_ingest(submissions: DataFrame, users: DataFrame, root: str, checkpoint: str, as_of: datetime) -> StreamingQuery:
     """Ingest submissions: valid rows are upserted by id, the others quarantined with their reasons.
 
-    A repeated submission replaces itself, so no state is needed to drop it.
+    The submission of greatest ``ordem`` stays, in and across batches; so neither order of arrival nor repeats matter. Submissions without an id are
+    new records and get the next free ids.
     """
 
     def sink(df: DataFrame, batch: int) -> None:

@@ -1,7 +1,7 @@
 from datetime import datetime
 
-from rows import FULL, MONDAY, NOT_DONE, PARTIAL, records, schedule, values
-from shiftledger.operators import changes, requests, users
+from rows import FULL, MONDAY, NOT_DONE, PARTIAL, explain, records, schedule, values
+from shiftledger.operators import audit, changes, numbering, requests, users
 
 AS_OF = datetime(2024, 1, 31, 12)
 USER = "id bigint, username string, nome string, email string, telefone string, role string"
@@ -56,8 +56,59 @@ def test_bulk_edit(spark):
     assert len(after) == 8 and after[2].cliente_nome == "d" and after[3].justificativa == "n"
     assert (after[4].status, after[4].justificativa) == (FULL, "") and after[5].data_registro == AS_OF
     assert after[7].data_registro == MONDAY
-    entry = [r for r in changes.audit_edits(changes.edit_diff(edits, base), "eu", AS_OF).collect() if r.id == 2][0]
-    assert entry.detalhes == "cliente_nome: c -> d"
+    trail = sorted(r.detalhes for r in audit.of_edits(edits, base, audit.Actor("eu", AS_OF)).collect())
+    # Of what was rejected nothing is said; the cleared date of record 7 stays, and so is not in its entry.
+    assert trail == [
+        "registro 2; cliente_nome: c -> d", "registro 4; status: Realizado Parcial -> Realizado Total; justificativa: n -> ",
+        "registro 5; data_registro:  -> 2024-01-31 12:00:00", "registro 7"]
+
+
+def test_an_edit_that_comes_twice_counts_once(spark):
+    base = records(spark, [(1, MONDAY, "a", "c", PARTIAL), (2, MONDAY, "a", "c", PARTIAL), (3, MONDAY, "a", "c", PARTIAL)])
+    edits = spark.createDataFrame([
+        (1, 1, "d", PARTIAL, "n", MONDAY), (2, 1, "e", PARTIAL, "n", MONDAY), (3, None, "f", PARTIAL, "n", MONDAY),
+        (4, 2, "", "foo", "n", MONDAY), (5, 3, "g", FULL, "", MONDAY), (6, 3, "Selecione...", FULL, "", MONDAY),
+    ], "ordem bigint, " + EDIT)
+    assert sorted(values(changes.apply_edits(base, edits), "id", "cliente_nome")) == [(1, "e"), (2, "c"), (3, "c")]
+    assert dict(values(changes.edit_outcome(edits, base))) == {"alterado": 1, "rejeitado": 2}
+    assert values(changes.edited_rows(base, edits), "id") == [(1,)]
+    assert audit.of_edits(edits, base, audit.Actor("eu", AS_OF)).count() == 1
+
+
+def test_bulk_edit_joins_the_records_once(spark):
+    base = records(spark, [(1, MONDAY, "a", "c", PARTIAL)])
+    edits = spark.createDataFrame([(1, 1, "d", PARTIAL, "n", MONDAY)], "ordem bigint, " + EDIT)
+    tree = explain(changes.apply_edits(base, edits)).split("(1)")[0]
+    assert tree.count("Join") == 1
+
+
+def test_verdicts_of_patches_and_deletes(spark):
+    base = records(spark, [(1, MONDAY, "a", "c", PARTIAL), (2, MONDAY, "a", "c", PARTIAL)])
+    patches = spark.createDataFrame([
+        (1, 1, False, "x", None, None, None, "ruim"), (2, 1, False, "x", None, None, None, None), (3, 9, False, None, None, None, None, "ruim"),
+        (4, None, False, None, None, None, None, None), (5, 2, False, "c", None, None, None, "20240115"),
+    ], PATCH)
+    assert sorted(values(changes.judge_patches(patches, base), "ordem", "resultado")) == [
+        (1, "data inválida"), (2, "aplicado"), (3, "desconhecido"), (4, "desconhecido"), (5, "aplicado")]
+    gone = spark.createDataFrame([(2,), (2,), (None,), (77,)], "id bigint")
+    got = {r.id: (r.pedidos, r.resultado) for r in changes.judge_deletes(gone, base).collect()}
+    assert got == {2: (2, "removido"), None: (1, "desconhecido"), 77: (1, "desconhecido")}
+    actor = audit.Actor("eu", AS_OF, "Eu", "::1")
+    assert [r.detalhes for r in audit.of_deletes(gone, base, actor).collect()] == ["registro 2"]
+    trail = sorted(tuple(r)[1:] for r in audit.of_patches(patches, base, actor).collect())
+    assert trail == [
+        (AS_OF, "eu", "Eu", "::1", "atualizar_registro", "registro 1; cliente_nome: c -> x"),
+        (AS_OF, "eu", "Eu", "::1", "atualizar_registro", "registro 2; data_registro: 2024-01-15 09:30:00 -> 2024-01-15 00:00:00")]
+
+
+def test_new_rows_get_the_next_ids(spark):
+    rows = records(spark, [(None, MONDAY, "b", "c", FULL), (40, MONDAY, "a", "c", FULL), (None, MONDAY, "a", "c", FULL), (None, None, "a", "c", FULL)])
+    got = numbering.number_missing(rows, numbering.highest_id(rows, records(spark, [(7, MONDAY, "a", "c", FULL)])), ["data_registro", "operador_nome"])
+    assert sorted(values(got, "id", "operador_nome")) == [(40, "a"), (41, "a"), (42, "a"), (43, "b")]
+    assert numbering.highest_id(records(spark, [])) == 0
+    payloads = spark.createDataFrame([(1, None, '{"operador": "x"}'), (2, None, '{"operador": "y"}'), (3, None, '{"operador": "z"}'), (4, 1, '{"operador": "w"}')], "ordem bigint, id bigint, payload string")
+    plan = changes.upsert_schedule(schedule(spark, [(1, "ANA", "TARDE"), (5, "BIA", "TARDE")]), payloads)
+    assert dict(values(plan, "id", "operador")) == {1: "W", 5: "BIA", 6: "X", 7: "Y", 8: "Z"}
 
 
 def test_patches(spark):

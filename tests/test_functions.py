@@ -1,4 +1,4 @@
-from datetime import datetime, timezone
+from datetime import date, datetime, time, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,7 +83,6 @@ def test_dates(spark):
     assert column(spark, [moment, None], dates.to_minute, "timestamp_ntz") == [datetime(2024, 1, 13, 10, 20), None]
     assert column(spark, [moment, None], lambda c: dates.fill_missing_date(c, as_of), "timestamp_ntz") == [
         moment, datetime(2024, 1, 31, 12)]
-    assert column(spark, [moment], dates.weekday, "timestamp_ntz") == [5]
     assert column(spark, [moment], dates.display, "timestamp_ntz") == ["13/01/2024 10:20"]
 
 
@@ -105,3 +104,34 @@ def test_roles(spark):
     assert column(spark, names, roles.has_full_view) == [True, True, False, False, False]
     assert column(spark, names, lambda c: roles.capabilities(c)["can_edit"]) == [True, False, True, False, False]
     assert column(spark, names, lambda c: roles.capabilities(c)["can_launch"]) == [True, True, True, False, False]
+
+
+def test_every_iso_spelling(spark):
+    def plain(value):
+        text = value.strip().replace("Z", "+00:00")
+        try:
+            if len(text) == 10 and text[4] == text[7] == "-":
+                return datetime.combine(date.fromisoformat(text), time(12))
+            return datetime.fromisoformat(text).replace(tzinfo=None)
+        except ValueError:
+            return None
+
+    spellings = (
+        "20240115T081530|20240115|2024-W03-1|2024-W03|2024W031|2024W03|2024-01-15T0815|2024-01-15T08:15:30.1234567899|2024-01-15T08:15:30+03:00:00|"
+        "2024-01-15|2024-02-30|20230229|2024-W53-1|2020-W53-7|2024-01-15 25:00:00|2024-01-15T08|2024-01-15T08:15:60|2024-01-15T08:15:30,5|"
+        "2024-01-15T08:15:30Z|2024-01-15T08:15:30+0300|2024-01-15T08:15:30+24:00|0000-01-01|00000101|2024-1-5|x|2024-01-15T|20240115 0815|2024-W03-1T10:00|"
+        "2024-W00-1|2024-W03-8|9999-12-31T23:59:59.999999|2024-13-01|2024-01-15T08:15:30.|2024-01-15T081530.25| 2024-01-15 |2024-01-15T08:1530"
+    ).split("|")
+    assert column(spark, spellings, dates.parse_record_date) == [plain(s) for s in spellings]
+
+
+def test_slugs_over_all_of_unicode(spark):
+    """Every character assigned in Unicode 3.2, which both sides know."""
+    import unicodedata
+
+    known = [chr(c) for c in range(1, 0x110000) if unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = ["".join(known[i:i + 64]) for i in range(0, len(known), 64)]
+    plain = ["".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for t in texts]
+    assert column(spark, texts, text.strip_accents) == plain
+    some = ["Ｌｕｉｓ", "ﬁm", "Ⅻ", "Ǆ", "각", "Ángela Öz"]
+    assert column(spark, some, text.slug) == ["luis", "fim", "xii", "dz", unicodedata.normalize("NFKD", "각"), "angelaoz"]

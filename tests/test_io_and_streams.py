@@ -64,7 +64,7 @@ def test_live_series_over_several_deliveries(spark, tmp_path):
     for batch in (first, second):
         deliver(batch, inbox)
         query = live.run_daily_kpi(stream(spark, inbox), out, str(tmp_path / "cp1"))
-        dropped += sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+        dropped += live.dropped_rows(query)
         live.run_late_rows(stream(spark, inbox), marks, str(tmp_path / "cp2"))
     everything = first.unionByName(second)
     on_time = everything.where("id <> 101")
@@ -103,6 +103,63 @@ def test_upserts_replace_move_and_survive_a_repeat(spark, tmp_path):
             1: ("a", "2024-01-15"), 2: ("b", "2024-01-15"), 3: ("b", "2024-01-17"), 4: ("b", "2024-01-15"), 9: ("a", tables.NO_DAY)}
 
 
+def test_a_batch_opens_only_what_it_touches(spark, tmp_path, monkeypatch):
+    root, day = str(tmp_path / "t"), timedelta(days=1)
+    versions.upsert_days(records(spark, [(i, MONDAY + (i % 20) * day, "a", "c", FULL) for i in range(400)]), root, 0, buckets=16)
+    opened = []
+    real = versions._read
+    monkeypatch.setattr(versions, "_read", lambda spark, root, kind, schema, found: opened.append((kind, dict(found))) or real(spark, root, kind, schema, found))
+    for batch in (1, 2, 3):
+        versions.upsert_days(records(spark, [(7, MONDAY + (7 + batch) * day, "b", "c", FULL)]), root, batch)
+    index, days = [f for k, f in opened if k == "indice"], [f for k, f in opened if k == "dados"]
+    assert [len(f) for f in index] == [1, 1, 1] and all(len(f) <= 2 for f in days)
+    current = versions.current_records(spark, root)
+    files = {f.split("dados/")[1].rsplit("/", 1)[0] for f in current.inputFiles()}
+    named = {f"dia={d}/versao={v}" for d, v in versions.state_of(spark, root).days.items()}
+    assert files == named and current.count() == 400 and len(named) == 20
+    assert "Join" not in explain(current)
+    before = sorted(values(current))
+    assert versions.vacuum(spark, root) > 0 and sorted(values(versions.current_records(spark, root))) == before
+    assert versions.vacuum(spark, root) == 0
+
+
+def test_cuts_into_batches_do_not_matter(spark, tmp_path):
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.RECORDS) + ", ordem bigint"
+    rows = [(1 + i % 7, MONDAY + timedelta(days=i % 3), f"o{i}", "c", FULL, "n", None, "Pendente", (i * 7) % 40) for i in range(40)]
+    tables_made = []
+    for n, cut in enumerate(([rows], [rows[:11], rows[11:25], rows[25:]], [rows[30:], rows[:30]])):
+        root = str(tmp_path / str(n))
+        for batch, part in enumerate(cut):
+            versions.upsert_days(spark.createDataFrame(part, kind), root, batch)
+        tables_made.append(sorted(values(versions.current_records(spark, root), *schemas.RECORDS.names, "ordem")))
+    assert tables_made[0] == tables_made[1] == tables_made[2] and len(tables_made[0]) == 7
+
+
+def test_rows_without_id_are_all_stored(spark, tmp_path):
+    root = str(tmp_path / "t")
+    versions.upsert_days(records(spark, [(3, MONDAY, "a", "c", FULL), *[(None, MONDAY, f"o{i}", "c", FULL) for i in range(5)]]), root, 0)
+    assert sorted(values(versions.current_records(spark, root), "id", "operador_nome")) == [(3, "a"), *[(4 + i, f"o{i}") for i in range(5)]]
+    more = records(spark, [(None, None, "z", "c", FULL), (20, MONDAY, "y", "c", FULL)])
+    for _ in range(2):  # a repeated batch repeats its ids
+        versions.upsert_days(more, root, 1)
+        got = dict(values(versions.current_records(spark, root), "operador_nome", "id"))
+        assert len(got) == 8 and (got["y"], got["z"]) == (20, 21)
+
+
+def test_compaction_keeps_the_series(spark, tmp_path):
+    inbox, out, marks = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for i in range(4):
+        deliver(records(spark, [(i, MONDAY + timedelta(days=i), "a", "c", FULL), (i + 10, MONDAY, "a", "c", PARTIAL)]), inbox)
+        live.run_daily_kpi(stream(spark, inbox), out, marks)
+        if i in (1, 2):
+            series = sorted(values(live.daily_kpi(spark, out)))
+            live.compact_daily_kpi(spark, out)
+            assert sorted(values(live.daily_kpi(spark, out))) == series
+    read = {f.split("lote=")[1].split("/")[0] for f in live.daily_kpi(spark, out).inputFiles() if "lote=" in f}
+    assert len(read) < len(versions.folders(spark, out))  # what the summary holds is not read again
+    assert sum(r.quantidade for r in live.daily_kpi(spark, out).collect()) == 8 - 1  # one row came behind the watermark
+
+
 def test_an_empty_batch_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "t")
     nothing = records(spark, [])

@@ -1,6 +1,7 @@
+import random
 from datetime import date, datetime
 
-from rows import FULL, MONDAY, records, schedule, values
+from rows import FULL, MONDAY, explain, records, schedule, values
 from shiftledger.operators import gaps, identity, plan
 from shiftledger.sources.schemas import conform_schedule
 
@@ -40,7 +41,8 @@ def test_filling_twice_adds_nothing(spark):
     once = gaps.fill_gaps(make_plan(spark), start, *span)
     assert gaps.detect_gaps(make_plan(spark), once, *span).count() == 0
     assert gaps.fill_gaps(make_plan(spark), once, *span).count() == once.count()
-    row = once.where("id IS NULL AND cliente_nome = 'Client A'").first()
+    assert once.where("id IS NULL").count() == 0 and once.select("id").distinct().count() == once.count()
+    row = once.where("id <> 7 AND cliente_nome = 'Client A'").first()
     assert (row.data_registro, row.status, row.aprovado_gestor) == (datetime(2024, 1, 15, 23, 59), "Não Informado", "Pendente")
     numbered = gaps.number_rows(gaps.gap_fill_rows(make_plan(spark), start, *span), start)
     assert sorted(r.id for r in numbered.collect()) == list(range(8, 8 + once.count() - 1))
@@ -91,7 +93,7 @@ def test_visibility(spark):
     people = spark.createDataFrame([
         (1, "a", "Ana", "Operador"), (2, "b", "Zeca", "Operador"), (3, "c", "Bia", " GESTOR "), (4, "d", None, "Operador"), (5, "e", "ana ", "operador"),
     ], "id bigint, username string, nome string, role string")
-    assert sorted(values(identity.schedule_visibility(people, df))) == [("ana", 1), ("ana", 3)]
+    assert sorted(values(identity.schedule_visibility(people, df))) == [("ana", "ANA PAULA"), ("ana", "MARIANA")]
     scopes = {r.id: (r.escopo, r.nome_busca) for r in identity.viewer_scopes(people, df).collect()}
     assert scopes == {1: ("propria", "ana"), 2: ("geral", None), 3: ("geral", None), 4: ("geral", None), 5: ("propria", "ana")}
     assert values(identity.visible_schedule(df, "Ana", "Operador"), "id") == [(1,), (3,)]
@@ -138,8 +140,40 @@ def test_usernames_fill_the_gaps(spark):
     assert assign(spark, newcomers, []) == one_by_one(newcomers, [])
 
 
-def test_usernames_stay_unique_across_bases(spark):
+def test_usernames_across_bases_are_those_of_a_walk(spark):
     newcomers = [(i, "x", "y" if i % 2 else "y2") for i in range(1, 31)]
-    taken = ["x.y", "x.y22"]
-    got = assign(spark, newcomers, taken)
-    assert len(set(got.values())) == 30 and not set(got.values()) & set(taken)
+    for taken in (["x.y", "x.y22"], [], ["x.y2", "x.y3", "x.y222", "x.y02"]):
+        assert assign(spark, newcomers, taken) == one_by_one(newcomers, taken)
+    # Nothing is taken, and the base that ends in a digit comes first.
+    first = [(1, "x", "y2"), (2, "x", "y"), (3, "x", "y"), (4, "x", "y")]
+    assert assign(spark, first, []) == one_by_one(first, []) == {1: "x.y2", 2: "x.y", 3: "x.y3", 4: "x.y4"}
+    draw = random.Random(3)
+    many = [(i, draw.choice(["x", "z"]), draw.choice(["y", "y2", "y22", "w", "w9"])) for i in range(400)]
+    used = ["x.y3", "x.y23", "z.w99", "z.w", "x.y222"]
+    assert assign(spark, many, used) == one_by_one(many, used)
+
+
+def test_long_names_are_matched_in_linear_space(spark):
+    long = " ".join(f"n{i}" for i in range(420))[:2000]
+    df = schedule(spark, [(1, long.upper(), "TARDE"), (2, "ANA", "TARDE"), (3, None, "TARDE")])
+    assert identity.name_grams(identity.plan_names(df), "nome_escala").count() <= 3 * len(long) + 20
+    rows = records(spark, [(1, MONDAY, "n399", "c", FULL), (2, MONDAY, "n3999", "c", FULL), (3, MONDAY, "a", "c", FULL), (4, MONDAY, " ", "c", FULL)])
+    got = dict(values(identity.resolve_operator(rows, df)))
+    assert got == {"n399": long.upper(), "n3999": "n3999", "a": "ANA", " ": ""}
+    people = spark.createDataFrame([
+        (1, "a", "N", "Operador"), (2, "b", "n1 n2 n3", "Operador"), (3, "c", "n2 n1", "Operador"), (4, "d", "-", "Operador"), (5, "e", "an", "Operador"),
+    ], "id bigint, username string, nome string, role string")
+    seen = sorted(values(identity.schedule_visibility(people, df)))
+    assert seen == [("-", "-"), ("an", "ANA"), ("n", "ANA"), ("n", long.upper()), ("n1 n2 n3", long.upper())]
+    assert dict(values(identity.viewer_scopes(people, df), "id", "escopo")) == {1: "propria", 2: "propria", 3: "geral", 4: "propria", 5: "propria"}
+    assert values(identity.visible_schedule(df, " - ", "operador"), "id") == [(3,)]
+
+
+def test_one_day_reads_one_plan_column(spark, tmp_path):
+    make_plan(spark).write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    for df in (gaps.expected_pairs(stored, MONDAY.date(), MONDAY.date()), plan.day_agenda(stored, "segunda"), plan.plan_clients(stored, day="segunda")):
+        text = explain(df)
+        assert "segunda" in text and "quinta" not in text
+    assert gaps.expected_pairs(stored, date(2024, 1, 20), date(2024, 1, 21)).count() == 0
+    assert "Expand" not in explain(plan.plan_coverage(stored))

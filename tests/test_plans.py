@@ -9,7 +9,8 @@ from shiftledger.operators.ranking import rank_in_group
 from shiftledger.plans.catalog import QUERIES, Inputs
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"strip_accents_exact", "request_lifecycle", "requests_from_log"}
+PYTHON = {"strip_accents_exact", "request_lifecycle", "requests_from_log", "assign_usernames"}
+# The plan of a stream's result says nothing of the batches that made it; test_io_and_streams looks at those.
 RUNS_JOBS = {n for n in QUERIES if n.startswith("stream_")}
 
 
@@ -49,7 +50,8 @@ def test_efficiency_reads_once_and_never_joins(stored):
 def test_reports_are_distinct_before_they_are_matched(spark, stored):
     first = MONDAY.date()
     tree = explain(gaps.detect_gaps(Inputs(spark, SF).schedule, stored, first)).split("(1) Scan parquet")[0]
-    assert tree.count("Exchange hashpartitioning") <= 2 or tree.count("Exchange") <= 3
+    # Plan pairs, reports and, where no side is small, the join share these two shuffles.
+    assert tree.count("Exchange") - tree.count("BroadcastExchange") <= 2
 
 
 def test_newest_n_is_a_top_k(stored):
