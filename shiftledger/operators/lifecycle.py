@@ -8,48 +8,52 @@ Per user at most one request is open: none, pending, or granted until its expiry
 - ``usar`` closes a granted request as used;
 - a granted request whose expiry lies before the next event is over.
 
-The fold is sequential, but one user may own a large part of the log. So the ordered log is cut
-into slices of bounded size. Each slice says what state it ends in for every state it may start
-in; these small summaries are chained per user; then every slice is replayed from its known
-start, all slices in parallel.
+The fold is sequential per user, but one user may own a large part of the log. So the ordered log is
+range-partitioned on user and time and written once; from there on nothing is shuffled. Each partition says
+what state its first and its last user end in for every state they may start in; two such summaries
+compose into one. They are chained over the partitions, two lines for each; then every partition is walked from the
+known start of its first user, all in parallel.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftledger.functions.dates import instant
 from shiftledger.functions.domain import APPROVAL_MINUTES, AUTHORIZED, EXPIRED, PENDING, REJECTED, USED
-from shiftledger.operators.ranking import SERIAL, SLICE, cut_slices, serialized
+from shiftledger.operators.ranking import SERIAL, SLICE_BITS, serialized
 from shiftledger.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-SLICE_ROWS = 50_000
 IDLE, WAITING, GRANTED = 0, 1, 2
-OWN = -1  # the request that was open when the slice began
+OWN = -1  # the request that was open when the run began
 WINDOW_US = APPROVAL_MINUTES * 60 * 1_000_000
-
-_STATE = "fase int, pedido bigint, expira bigint"
-_SUMMARY = (
-    f"usuario string, {SLICE} bigint, livre struct<{_STATE}>, pendente struct<{_STATE}>, "
-    f"limites array<bigint>, reabertos array<struct<{_STATE}>>, resto struct<{_STATE}>"
+ASK, GRANT, REJECT, USE = 1, 2, 3, 4
+ACTIONS = {"solicitar": ASK, "autorizar": GRANT, "rejeitar": REJECT, "usar": USE}
+EFFECTS = ["ignorada", "aberta", "autorizada", "rejeitada", "usada"]  # an effect has the number of its action
+
+State = tuple[int, int | None, int | None]  # phase, request, expiry
+_BORDER = (
+    "parte bigint, usuario string, primeiro boolean, ultimo boolean, livre array<bigint>, pendente array<bigint>, "
+    "limites array<bigint>, reabertos array<array<bigint>>, resto array<bigint>"
 )
-_START = f"usuario string, {SLICE} bigint, {_STATE}"
-_EFFECT = "id bigint, usuario string, quando timestamp_ntz, acao string, efeito string, solicitacao_id bigint"
-
+_EFFECT = "id bigint, usuario string, quando timestamp_ntz, acao string, efeito int, solicitacao_id bigint"
+START: State = (IDLE, None, None)
 
-def _micros(moments: pd.Series) -> np.ndarray:
-    return moments.to_numpy().astype("datetime64[us]").astype("int64")
 
-
-def _as_state(state: tuple) -> dict:
-    return dict(zip(("fase", "pedido", "expira"), state))
+def _following(mask: np.ndarray) -> np.ndarray:
+    """Index of the first marked event at or after each position; n if none."""
+    n = len(mask)
+    at = np.where(mask, np.arange(n), n)
+    return np.append(np.minimum.accumulate(at[::-1])[::-1], n)
 
 
 def summarize(times: np.ndarray, actions: np.ndarray, ids: np.ndarray) -> dict:
@@ -57,27 +61,19 @@ def summarize(times: np.ndarray, actions: np.ndarray, ids: np.ndarray) -> dict:
 
     Worked backwards: what follows from "none open" and from "pending" at each event depends only
     on later events. A granted start with expiry e ends at the first use or rejection, unless an
-    earlier request finds it expired; those requests are listed with their times.
+    earlier request finds it expired; those requests are listed with their times, once for each different end. So the list holds at
+    most the requests of ten minutes in which nothing was used or rejected.
     """
     n = len(times)
-    closing = np.isin(actions, ["usar", "rejeitar"])
-    asking = actions == "solicitar"
-
-    def following(mask: np.ndarray) -> np.ndarray:
-        """Index of the first marked event at or after each position; n if none."""
-        at = np.where(mask, np.arange(n), n)
-        return np.append(np.minimum.accumulate(at[::-1])[::-1], n)
+    next_close, next_ask = _following(actions >= REJECT), _following(actions == ASK)
+    free: list[State] = [START] * (n + 1)
+    pending: list[State] = [(WAITING, OWN, None)] * (n + 1)
 
-    next_close, next_ask = following(closing), following(asking)
-    free: list[tuple] = [None] * (n + 1)
-    pending: list[tuple] = [None] * (n + 1)
-    free[n], pending[n] = (IDLE, None, None), (WAITING, OWN, None)
-
-    def opened_at(i: int) -> tuple:
+    def opened_at(i: int) -> State:
         phase, request, expiry = pending[i + 1]
         return (phase, int(ids[i]) if request == OWN else request, expiry)
 
-    def granted(i: int, expiry: int) -> tuple:
+    def granted(i: int, expiry: int) -> State:
         ask = next_ask[max(i, int(np.searchsorted(times, expiry, side="right")))]
         close = next_close[i]
         if ask < close:
@@ -86,113 +82,198 @@ def summarize(times: np.ndarray, actions: np.ndarray, ids: np.ndarray) -> dict:
 
     for i in range(n - 1, -1, -1):
         free[i], pending[i] = free[i + 1], pending[i + 1]
-        if actions[i] == "solicitar":
+        if actions[i] == ASK:
             free[i] = opened_at(i)
-        elif actions[i] == "rejeitar":
+        elif actions[i] == REJECT:
             pending[i] = free[i + 1]
-        elif actions[i] == "autorizar":
+        elif actions[i] == GRANT:
             pending[i] = granted(i + 1, int(times[i]) + WINDOW_US)
 
     limits, reopened, i = [], [], int(next_ask[0])
     while i < next_close[0]:
         limits.append(int(times[i]))
         reopened.append(opened_at(i))
-        if times[i] > times[0] + WINDOW_US:  # no grant from before the slice lasts this long
+        if times[i] > times[0] + WINDOW_US:  # no grant from before the run lasts this long
             break
         i = int(next_ask[i + 1])
     rest = free[next_close[0] + 1] if next_close[0] < n else (GRANTED, OWN, None)
-    return {
-        "livre": _as_state(free[0]), "pendente": _as_state(pending[0]), "limites": limits,
-        "reabertos": [_as_state(s) for s in reopened], "resto": _as_state(rest),
-    }
+    return {"livre": free[0], "pendente": pending[0], **_thinned(limits, reopened), "resto": rest}
 
 
-def _summarize_slice(rows: pd.DataFrame) -> pd.DataFrame:
-    """Only the first and the last user of a slice can continue beyond it."""
-    rows = rows.sort_values(SERIAL)
-    out = []
-    for user in dict.fromkeys((rows["usuario"].iloc[0], rows["usuario"].iloc[-1])):
-        own = rows[rows["usuario"] == user]
-        summary = summarize(_micros(own["quando"]), own["acao"].to_numpy(), own["id"].to_numpy())
-        out.append({"usuario": user, SLICE: own[SLICE].iloc[0], **summary})
-    return pd.DataFrame(out)
+def _thinned(limits: list[int], reopened: list[State]) -> dict:
+    """Of requests in a row that lead to the same end the last is enough."""
+    keep = [i for i in range(len(limits)) if i + 1 == len(limits) or reopened[i] != reopened[i + 1]]
+    return {"limites": [limits[i] for i in keep], "reabertos": [reopened[i] for i in keep]}
 
 
-def advance(state: tuple, summary: dict) -> tuple:
-    """The state after a slice that began in ``state``."""
+def advance(state: State, summary: dict) -> State:
+    """The state after a run that began in ``state``."""
     phase, request, expiry = state
     if phase == IDLE:
         end = summary["livre"]
     elif phase == WAITING:
         end = summary["pendente"]
     else:
-        later = [s for limit, s in zip(summary["limites"], summary["reabertos"]) if limit > expiry]
-        end = later[0] if later else summary["resto"]
-    end_phase, end_request, end_expiry = end["fase"], end["pedido"], end["expira"]
+        at = bisect_right(summary["limites"], expiry)
+        end = summary["reabertos"][at] if at < len(summary["limites"]) else summary["resto"]
+    end_phase, end_request, end_expiry = end
     if end_phase == GRANTED and end_expiry is None:
         end_expiry = expiry
     return (end_phase, request if end_request == OWN else end_request, end_expiry)
 
 
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """Start state of each slice of one user."""
-    state, out = (IDLE, None, None), []
-    for summary in rows.sort_values(SLICE).to_dict("records"):
-        out.append({"usuario": summary["usuario"], SLICE: summary[SLICE], **_as_state(state)})
-        state = advance(state, summary)
-    return pd.DataFrame(out).astype({"pedido": "Int64", "expira": "Int64"})
+def compose(first: dict, second: dict) -> dict:
+    """The summary of one run followed by another."""
+    limits, reopened = first["limites"], [advance(s, second) for s in first["reabertos"]]
+    if first["resto"][0] == GRANTED and first["resto"][2] is None:  # the grant from before may still hold
+        limits, reopened, rest = limits + second["limites"], reopened + second["reabertos"], second["resto"]
+    else:
+        rest = advance(first["resto"], second)
+    return {
+        "livre": advance(first["livre"], second), "pendente": advance(first["pendente"], second), **_thinned(limits, reopened), "resto": rest,
+    }
 
 
-def replay(times: np.ndarray, actions: np.ndarray, ids: np.ndarray, start: tuple) -> tuple[list, list]:
-    """Effect and request of each event of one user, from a known start state."""
+def replay(times: np.ndarray, actions: np.ndarray, ids: np.ndarray, start: State) -> tuple[np.ndarray, np.ndarray, State]:
+    """Effect and request (-1 for none) of each event of one user from a known start state, and the end state.
+
+    Goes from one event that matters to the next; what lies between is ignored.
+    """
+    n = len(times)
+    effects, requests = np.zeros(n, dtype=np.int32), np.full(n, -1, dtype=np.int64)
     phase, request, expiry = start
-    effects, requests = [], []
-    for time, action, event in zip(times.tolist(), actions, ids.tolist()):
-        if phase == GRANTED and expiry < time:
+    ask, judge, close = (_following(m).tolist() for m in (actions == ASK, (actions == GRANT) | (actions == REJECT), actions >= REJECT))
+    moments, kinds = times.tolist(), actions.tolist()
+    i = 0
+    while i < n:
+        if phase == IDLE:
+            j = ask[i]
+            if j == n:
+                break
+            phase, request = WAITING, int(ids[j])
+        elif phase == WAITING:
+            j = judge[i]
+            if j == n:
+                break
+            if kinds[j] == GRANT:
+                phase, expiry = GRANTED, moments[j] + WINDOW_US
+            else:
+                phase = IDLE
+        else:
+            j, over = close[i], bisect_right(moments, expiry, i)
+            if j >= over:  # expired before anyone closed it
+                if over == n:
+                    break
+                phase, i = IDLE, over
+                continue
             phase = IDLE
-        effect, target = "ignorada", None
-        if action == "solicitar" and phase == IDLE:
-            phase, request, effect = WAITING, event, "aberta"
-        elif action == "autorizar" and phase == WAITING:
-            phase, expiry, effect = GRANTED, time + WINDOW_US, "autorizada"
-        elif action == "rejeitar" and phase != IDLE:
-            phase, effect = IDLE, "rejeitada"
-        elif action == "usar" and phase == GRANTED:
-            phase, effect = IDLE, "usada"
-        if effect != "ignorada":
-            target = request
-        effects.append(effect)
-        requests.append(target)
-    return effects, requests
-
-
-def _replay_slice(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(SERIAL).reset_index(drop=True)
-    known = {
-        s.usuario: (int(s.fase), None if pd.isna(s.pedido) else int(s.pedido), None if pd.isna(s.expira) else int(s.expira))
-        for s in starts.itertuples()
-    }
-    times, actions, ids = _micros(rows["quando"]), rows["acao"].to_numpy(), rows["id"].to_numpy()
-    users = rows["usuario"].to_numpy()
-    edges = np.flatnonzero(np.append(True, users[1:] != users[:-1])).tolist() + [len(rows)]
-    effects, requests = [], []
+        effects[j], requests[j] = kinds[j], request
+        i = j + 1
+    return effects, requests, (phase, request, expiry)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int]]:
+    """(user, start, stop) of neighbouring rows of one user."""
+    users = batch["usuario"].to_numpy(zero_copy_only=False)
+    edges = [*np.flatnonzero(np.append(True, users[1:] != users[:-1])).tolist(), len(users)]
     for a, b in zip(edges, edges[1:]):
-        start = known.get(users[a], (IDLE, None, None))
-        effect, request = replay(times[a:b], actions[a:b], ids[a:b], start)
-        effects += effect
-        requests += request
-    rows["efeito"] = effects
-    rows["solicitacao_id"] = pd.array(requests, dtype="Int64")
-    return rows[["id", "usuario", "quando", "acao", "efeito", "solicitacao_id"]]
+        yield users[a], a, b
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    times = batch["quando"].cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return times, batch["codigo"].to_numpy(zero_copy_only=False), batch["id"].to_numpy(zero_copy_only=False)
+
+
+def _part(batch: pa.RecordBatch) -> int:
+    return batch[SERIAL][0].as_py() >> SLICE_BITS
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summaries of the first and the last user of a partition: only they can continue beyond it.
+
+    Batches follow one another, so a user's summary grows batch by batch and no more than a batch is held.
+    """
+    names = [f.split(" ")[0] for f in _BORDER.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
+    part, user, summary, is_first, found = None, None, None, False, []
+
+    def line(first: bool, last: bool) -> dict:
+        return {"parte": part, "usuario": user, "primeiro": first, "ultimo": last, **summary}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        here, (times, actions, ids) = _part(batch), _columns(batch)
+        if here != part and part is not None:  # several written partitions may be read by one task
+            found.append(line(is_first, True))
+            user, summary = None, None
+        fresh, part = here != part, here
+        runs = list(_runs(batch))
+        for k, (name, a, b) in enumerate(runs):
+            continues = name == user and not (fresh and k == 0)
+            if not continues:
+                if user is not None and is_first:
+                    found.append(line(True, False))
+                is_first = fresh and k == 0
+                user, summary = name, None
+            if is_first or k == len(runs) - 1:  # the first user, or one that may turn out the last
+                own = summarize(times[a:b], actions[a:b], ids[a:b])
+                summary = own if summary is None else compose(summary, own)
+        if found:
+            yield _lines(found, names, kinds)
+            found = []
+    if user is not None:
+        yield _lines([line(is_first, True)], names, kinds)
+
+
+def _lines(rows: list[dict], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in zip(names, kinds)], names=names)
+
+
+def chain(borders: list[dict]) -> dict[int, State]:
+    """The state in which the first user of each partition comes into it; two lines per partition at most."""
+    starts: dict[int, State] = {}
+    user, state = None, START
+    for line in sorted(borders, key=lambda r: (r["parte"], not r["primeiro"])):
+        begin = state if line["primeiro"] and line["usuario"] == user else START
+        if line["primeiro"]:
+            starts[line["parte"]] = begin
+        if line["ultimo"]:
+            user, state = line["usuario"], advance(begin, line)
+    return starts
+
+
+def _walk(batches: Iterator[pa.RecordBatch], starts: dict[int, State]) -> Iterator[pa.RecordBatch]:
+    part, user, state = None, None, START
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        times, actions, ids = _columns(batch)
+        fresh, part = _part(batch) != part, _part(batch)
+        effects, requests = np.empty(len(ids), dtype=np.int32), np.empty(len(ids), dtype=np.int64)
+        for k, (name, a, b) in enumerate(_runs(batch)):
+            if fresh and k == 0:
+                state = starts.get(part, START)
+            elif name != user:
+                state = START
+            user = name
+            effects[a:b], requests[a:b], state = replay(times[a:b], actions[a:b], ids[a:b], state)
+        yield pa.RecordBatch.from_arrays(
+            [batch["id"], batch["usuario"], batch["quando"], batch["acao"], pa.array(effects), pa.array(requests, mask=requests < 0)],
+            names=["id", "usuario", "quando", "acao", "efeito", "solicitacao_id"],
+        )
 
 
-def log_effects(log: DataFrame, slice_rows: int = SLICE_ROWS, partitions: int | None = None) -> DataFrame:
+def log_effects(log: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every log event (id, usuario, quando, acao) with its effect and the request it acted on."""
-    columns = log.select("id", "usuario", "quando", "acao")
-    placed = cut_slices(serialized(columns, ["usuario"], ["quando", "id"], partitions), slice_rows)
-    summaries = placed.groupBy(SLICE).applyInPandas(_summarize_slice, _SUMMARY)
-    starts = summaries.groupBy("usuario").applyInPandas(_chain, _START)
-    return placed.groupBy(SLICE).cogroup(starts.groupBy(SLICE)).applyInPandas(_replay_slice, _EFFECT)
+    code = F.coalesce(*[F.when(F.col("acao") == name, F.lit(number)) for name, number in ACTIONS.items()], F.lit(0))
+    columns = log.select("id", "usuario", "quando", "acao", code.alias("codigo"))
+    placed = serialized(columns, ["usuario"], ["quando", "id"], partitions)
+    starts = chain([r.asDict(recursive=True) for r in placed.mapInArrow(_borders, _BORDER).collect()])
+    walked = placed.mapInArrow(lambda batches: _walk(batches, starts), _EFFECT)
+    names = F.array(*[F.lit(e) for e in EFFECTS])
+    return walked.withColumn("efeito", F.element_at(names, F.col("efeito") + 1))
 
 
 def requests_from_log(effects: DataFrame, as_of: datetime) -> DataFrame:

@@ -15,7 +15,7 @@ from shiftledger.session import cut_lineage, shuffle_partitions
 
 SERIAL = "_serie"
 SLICE = "_faixa"
-_SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
+SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
 def serialized(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def rank_in_group(
     df: DataFrame, keys: list[str], order: list[str], name: str, partitions: int | None = None
 ) -> DataFrame:
     """Add the 1-based position of each row in its group. Keys and order must not be null and order must be total."""
-    placed = serialized(df, keys, order, partitions).withColumn(SLICE, F.shiftright(SERIAL, _SLICE_BITS))
+    placed = serialized(df, keys, order, partitions).withColumn(SLICE, F.shiftright(SERIAL, SLICE_BITS))
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         placed.groupBy(*keys, SLICE).agg(F.count("*").alias("_n"), F.min(SERIAL).alias("_inicio"))
@@ -48,11 +48,3 @@ def rank_in_group(
         .withColumn(name, F.col(SERIAL) + F.col("_ajuste"))
         .drop(SERIAL, "_ajuste", SLICE)
     )
-
-
-def cut_slices(placed: DataFrame, rows: int) -> DataFrame:
-    """Number consecutive runs of at most ``rows`` serialized rows; run numbers follow the order."""
-    partition = F.shiftright(SERIAL, _SLICE_BITS)
-    position = F.col(SERIAL).bitwiseAND(F.lit((1 << _SLICE_BITS) - 1))
-    run = F.floor(position / F.lit(rows)).cast("bigint")
-    return placed.withColumn(SLICE, F.shiftleft(partition, _SLICE_BITS) + run)
