@@ -9,8 +9,8 @@ has exactly the same shingles. So sets meet under keys made of band, segment and
 - A set enters its own band, and the band below if a partner may be there.
 - Cost-based allocation: a key that more than ``LIST`` classes share is dear and is skipped. A set that still has more than H keys in the band
   is guaranteed to meet its partners elsewhere. Only pairs of two sets that lack such keys can be missed; those are looked up under
-  the dear keys, by themselves: first each against the smallest class of its list, then, where that leaves a list in several components,
-  across components. Sets that fill too few segments in the first place share one more list per band.
+  the dear keys, by themselves: first each against the set of its list that shares most keys, then, where that leaves a list in several
+  components, all with all in blocks, as matrix products. Sets that fill too few segments in the first place share one more list per band.
 - One-deletion neighbourhoods would double the credit of a segment but need a key per shingle; with segments of two or three shingles
   skipping is always cheaper, so the allocation never picks them.
 - Candidates must share as many keys as the pigeonhole demands, and are then verified on their whole sets.
@@ -33,6 +33,8 @@ from shiftledger.session import shuffle_partitions
 WORDS = 5
 #: A key shared by more classes is dear.
 LIST = 8
+_BLOCK = 512  # sets compared with as many others in one task
+_COLUMNS = 4096  # shingles of a matrix at a time
 _MEMBERS = 64  # sets verified against one set at a time
 _BITS = 1 << 25  # of the filter that spares reading texts nobody asks for; its size is fixed, its answers only ever too many
 _BUCKETS_PER_PARTITION = 4
@@ -315,6 +317,71 @@ class _Verifier:
         return written(met.groupBy("hub", "salt").applyInArrow(check, "a long, b long"), "links")
 
 
+    def linked_in_blocks(self, members: DataFrame) -> DataFrame:
+        """Links between components inside each group (``class, root, group``), compared block by block.
+
+        Blocks hold a bounded number of sets; two blocks meet in one task as matrices over the shingles they share, so no pairs are
+        listed. Of the links found, a task returns those that join components, at most one per set.
+        """
+        blocks = members.groupBy("group").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+        placed = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        placed = written(placed, "blocks")
+        sets = placed.join(self._sets(placed.select("class").distinct()), "class")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        cells = sets.select("class", "root", "group", "block", "hashes", other).select(
+            "class", "root", "group", "block", "hashes", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        )
+        return written(cells.groupBy("group", "low", "high").applyInArrow(_compare_blocks, "a long, b long"), "links")
+
+
+def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one list shares with each of the other."""
+    both = np.intersect1d(np.concatenate(one), np.concatenate(other))
+    counts = np.zeros((len(one), len(other)), dtype=np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        at = np.searchsorted(both, tokens)
+        hit = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == tokens) if len(both) else np.zeros(len(tokens), bool)
+        return row[hit], at[hit]
+
+    (rows, columns), (rows_, columns_) = places(one), places(other)
+    for start in range(0, len(both), _COLUMNS):
+        left, right = (np.zeros((len(sets), _COLUMNS), dtype=np.float32) for sets in (one, other))
+        for matrix, r, c in ((left, rows, columns), (right, rows_, columns_)):
+            here = (c >= start) & (c < start + _COLUMNS)
+            matrix[r[here], c[here] - start] = 1
+        counts += left @ right.T
+    return counts.astype(np.int64)
+
+
+def _compare_blocks(cell: pa.Table) -> pa.Table:
+    names, roots, blocks = (cell[c].to_numpy() for c in ("class", "root", "block"))
+    sets = [np.frombuffer(h, "<u8") for h in cell["hashes"].to_pylist()]
+    low, high = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    if cell["low"][0].as_py() != cell["high"][0].as_py() and blocks.min() == blocks.max():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})  # the other block is empty
+    sizes = np.array([len(s) for s in sets])
+    shared = _shared([sets[i] for i in low], [sets[i] for i in high])
+    union = sizes[low][:, None] + sizes[high][None, :] - shared
+    link = (100 * shared >= 75 * union) & (roots[low][:, None] != roots[high][None, :])
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := parent.get(v, v)) != v:
+            parent[v] = v = parent.get(up, up)
+        return v
+
+    found = []
+    for i, j in zip(*np.nonzero(link)):
+        one, other = find(int(roots[low[i]])), find(int(roots[high[j]]))
+        if one != other:
+            parent[one] = other
+            found.append(sorted((int(names[low[i]]), int(names[high[j]]))))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 def _rooted(pairs: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
     """The rows with the root of each named class as ``root_<name>``; a class without links is its own."""
     for name in names:
@@ -365,12 +432,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
     # Sets without enough keys of their own meet under the dear ones.
-    poor = standing.where("credits < need").select("class", "band", "size")
+    poor = standing.where("credits < need").select("class", "band", "size", (F.col("credits") / F.col("filled")).alias("own"))
     lists = written(dear.join(poor, ["class", "band"]), "long-lists")
-    heads = lists.groupBy("key").agg(F.min(F.struct("class", "size")).alias("head"))
+    # The head shares most of its keys: among edited copies, that is the text they come from.
+    heads = lists.groupBy("key").agg(F.min(F.struct("own", "class", "size")).alias("head"))
     stars = lists.join(heads, "key").select(
         F.col("head.class").alias("a"), F.col("class").alias("b"), F.col("head.size").alias("size_a"), F.col("size").alias("size_b")
-    ).where((F.col("a") < F.col("b")) & sizes_fit).select("a", "b")
+    ).where((F.col("a") != F.col("b")) & sizes_fit).select("a", "b")
     candidates = written(candidates.union(stars).distinct(), "candidates")
 
     verifier = _Verifier(docs, classes)
@@ -380,14 +448,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # What the first links have not brought together, each pair once.
     rest = _rooted(candidates.join(written(first, "tried"), ["a", "b"], "left_anti"), roots, "a", "b").where("root_a <> root_b").select("a", "b")
     links, roots = _extended(verifier, links, roots, rest)
-    split = _rooted(lists, roots, "class")
-    torn = split.groupBy("key").agg(F.min("root_class").alias("low"), F.max("root_class").alias("high")).where("low < high").select("key")
-    split = written(split.join(torn, "key", "left_semi"), "torn")
-    one = split.select("key", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("root_class").alias("root_a"))
-    other = split.select("key", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("root_class").alias("root_b"))
-    across = one.join(other, "key").where(F.expr("a < b and root_a <> root_b") & sizes_fit).select("a", "b").distinct()
-    across = across.join(candidates, ["a", "b"], "left_anti")
-    links, roots = _extended(verifier, links, roots, across)
+    torn = _torn(_rooted(lists, roots, "class"))
+    if not torn.isEmpty():
+        links = links.union(verifier.linked_in_blocks(torn))
+        roots = written(components(links), "roots")
 
     of_class = _rooted(classes.withColumnRenamed("class", "c"), roots, "c")
     ids = of_class.groupBy("root_c").agg(F.min("doc_id").alias("component_id"))
@@ -414,6 +478,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return rows.join(stays, same, "left_semi").select("_row.*")
 
 
+def _torn(lists: DataFrame) -> DataFrame:
+    """``class, root, group`` of what stands in a dear list that is still in several components.
+
+    Classes that share such a list, directly or through others, are a group: any link still missing is inside one.
+    """
+    open_keys = lists.groupBy("key").agg(
+        F.min("root_class").alias("low"), F.max("root_class").alias("high"), F.min("class").alias("head")
+    ).where("low < high").select("key", "head")
+    rows = written(lists.join(open_keys, "key"), "torn")
+    groups = components(rows.where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")))
+    own = rows.select("class", F.col("root_class").alias("root")).distinct()
+    return written(own.join(groups.select(F.col("v").alias("class"), F.col("root").alias("group")), "class"), "groups")
+
+
 def _extended(verifier: _Verifier, links: DataFrame, roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = written(pairs, "more-candidates")
     if pairs.isEmpty():
