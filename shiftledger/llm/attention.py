@@ -13,11 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 
 RANKS = 1024
-CLASSES = 128
-OWN_CLASS = 96  # the most frequent ranks are classes by themselves
+CLASSES = 96
+OWN_CLASS = 72  # the most frequent ranks are classes by themselves
 WIDTH = 16
 WINDOW = 32  # positions that attention sees at once
-STRIDE = 26  # of which so many are scored, the others are context scored before
+STRIDE = 27  # of which so many are scored, the others are context scored before
 _CEILING = 40
 _F = np.float32
 
@@ -86,27 +86,33 @@ _MASK = np.where(_BACK >= 0, 0, -1e9).astype(_F)
 
 def forward(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray) -> tuple:
     """For windows of ranks (n x WINDOW): log odds of the classes that may follow each position, and what backward needs."""
-    q, k, v = w["query"][x], w["key"][x], w["value"][x]
-    s = np.matmul(q, k.transpose(0, 2, 1))
+    q, k, v, gate = (np.take(w[name], x, axis=0) for name in ("query", "key", "value", "gate"))
+    s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
     s *= _F(WIDTH**-0.5)
     s += w["near"][np.maximum(_BACK, 0)] + _MASK
     # A ceiling instead of the row's maximum, which costs more than all the rest; odds that high do not occur.
     np.minimum(s, _F(_CEILING), out=s)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s /= _sums(s)[..., None]
     o = np.matmul(s, v)
-    h = np.maximum(o + w["gate"][x], 0)
+    o += gate
+    h = np.maximum(o, 0, out=o)
     z = np.matmul(h.reshape(-1, WIDTH), w["out"]).reshape(*x.shape, -1)
-    z += counted.classes_after[x]
+    z += np.take(counted.classes_after, x, axis=0)
     return z, (q, k, v, s, h)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, as a matrix product: several times faster than a reduction of short rows."""
+    return np.matmul(x, np.ones(x.shape[-1], dtype=x.dtype))
+
+
 def log_classes(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of class y at every position; changes z."""
     np.minimum(z, _F(_CEILING), out=z)
     own = np.take_along_axis(z, y[..., None], axis=2)[..., 0]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=2))
+    return own - np.log(_sums(z))
 
 
 def gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -114,7 +120,7 @@ def gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.n
     z, (q, k, v, a, h) = forward(w, counted, x)
     n = max(1, int(counts.sum()))
     loss = -float((log_classes(z, y) * counts).sum()) / n
-    z /= z.sum(axis=2, keepdims=True)
+    z /= _sums(z)[..., None]
     np.put_along_axis(z, y[..., None], np.take_along_axis(z, y[..., None], axis=2) - 1, axis=2)
     z *= (counts / n)[..., None].astype(_F)
     flat = z.reshape(-1, z.shape[2])
@@ -148,7 +154,7 @@ def train(w: dict[str, np.ndarray], counted: Counted, windows: np.ndarray, valid
     return w
 
 
-def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, batch: int = 256) -> np.ndarray:
+def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, batch: int = 128) -> np.ndarray:
     """Natural log probability of ranks[1:], each scored once: windows overlap, and all but the first score their last STRIDE positions only.
 
     ``ranks`` holds several texts end on end, each begun by the end mark (rank 0) of the one before; attention does not stop at the mark.

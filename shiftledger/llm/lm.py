@@ -27,6 +27,7 @@ STEPS = 300  # that every task makes at least, over all rounds
 BATCH = 64
 RATE = 0.01
 _WINDOWS_PER_TASK = 8192
+_PARTS = 8  # the weights are averaged in so many parts
 _BUCKETS_PER_PARTITION = 4
 _CHUNK = "kind int, chunk long, bucket int, words binary, counts binary, docs binary, known binary, lengths binary, flat binary, subwords binary, sizes binary, place binary"
 _REQUEST, _TEXT, _SINGLES = 0, 1, 2
@@ -48,7 +49,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokenizer: str, buckets: int) ->
     import xxhash
 
     spell, part = encoder(tokenizer), TaskContext.get().partitionId()
-    end = np.array([spell.vocabulary - 1], dtype="<u4").tobytes()
+    end = np.uint32(spell.vocabulary - 1)
     names = [f.split()[0] for f in _CHUNK.split(", ")]
     singles = np.zeros(spell.vocabulary, dtype=np.int64)
     for number, batch in enumerate(slices(batches)):
@@ -63,14 +64,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokenizer: str, buckets: int) ->
         flat, lengths = np.array(found, dtype="<u4"), np.array(lengths, dtype="<i4")
         held = batch["held_out"].to_numpy(zero_copy_only=False)
         counts = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(index))
-        spelled = [end] + [spell.word_ids(w.decode()) for w in list(index)[1:]]
-        subwords = np.frombuffer(b"".join(spelled), "<u4")
-        sizes = np.array([len(s) // 4 for s in spelled], dtype="<i4")
+        listed = list(index)
+        spelled, sizes = spell.spell([w.decode() for w in listed[1:]])
+        subwords, sizes = np.append(end, spelled).astype("<u4"), np.append(1, sizes).astype("<i4")
         singles += np.bincount(subwords, weights=np.repeat(counts, sizes), minlength=len(singles)).astype(np.int64)
         # Words in the order of their buckets; place says which number each has in the texts.
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in index), np.int64, len(index))
         place = np.argsort(bucket, kind="stable")
-        listed = list(index)
         ends, start, rows = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist(), 0, []
         chunk = (part << 24) + number
         for b, stop in enumerate(ends):
@@ -172,7 +172,7 @@ def _train(windows: DataFrame, counted: attention.Counted, weights: dict[str, np
     tasks = max(1, min(shuffle_partitions(spark), n // _WINDOWS_PER_TASK))
     names = list(weights)
     starts = np.cumsum([0] + [weights[k].size for k in names])
-    dealt = windows.repartition(tasks, F.xxhash64("window"))
+    dealt = written(windows.repartition(tasks), "windows")
     rounds = max(2, -(-STEPS * BATCH * tasks // n)) if n else 0
     rounds = min(rounds, STEPS // 20)  # a handful of windows is not learned by heart
     for number in range(rounds):
@@ -189,16 +189,25 @@ def _train(windows: DataFrame, counted: attention.Counted, weights: dict[str, np
                 valid[i, :len(own) - 1] = 1
             now, counts = shared.value
             got = attention.train(now, counts, data, valid, RATE * (1 - number / rounds), BATCH, number)  # noqa: B023
-            flat = np.concatenate([got[k].ravel() for k in names]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "value"])
-
-        mean = dealt.mapInArrow(run, "i long, value double").groupBy("i").agg(F.avg("value").alias("value")).toArrow()
-        flat = np.empty(int(starts[-1]), dtype=np.float32)
-        flat[mean["i"].to_numpy()] = mean["value"].to_numpy()
+            flat = np.concatenate([got[k].ravel() for k in names]).astype("<f4")
+            parts = np.array_split(flat, _PARTS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(_PARTS)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "weights"]
+            )
+
+        mean = dealt.mapInArrow(run, "part long, weights binary").groupBy("part").applyInArrow(_mean, "part long, weights binary")
+        flat = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(mean.collect(), key=lambda r: r["part"])])
         weights = {k: flat[a:b].reshape(weights[k].shape) for k, a, b in zip(names, starts[:-1], starts[1:])}
     return weights
 
 
+def _mean(part: pa.Table) -> pa.Table:
+    """The average of one part of the weights over all tasks."""
+    total = sum(np.frombuffer(w, "<f4").astype(np.float64) for w in part["weights"].to_pylist())
+    mean = (total / part.num_rows).astype("<f4").tobytes()
+    return pa.table({"part": pa.array([part["part"][0].as_py()], pa.int64()), "weights": pa.array([mean], pa.binary())})
+
+
 def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; scores are log10 of whole texts.
 
