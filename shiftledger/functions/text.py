@@ -105,19 +105,28 @@ def _ranges(chars: list[str]) -> str:
     return "".join(out)
 
 
+_COMMON = 0x2100  # most names use characters below this one only
+
+
 def strip_accents(c: Column | str) -> Column:
     """Remove accents natively: NFKD without combining marks, over all of Unicode.
 
-    Letters with one plain base and loose marks go by ``translate``. Ligatures, syllables and other letters that
-    become several are replaced one by one, only in the names that hold any.
+    Plain names stay, and names of common characters go through a short table of ``translate``. The table of all letters, and
+    the replacement one by one of ligatures, syllables and other letters that become several, are only for the names that need them.
     """
     accented, plain, several = _accent_tables()
-    name = _col(c)
+    name, many = _col(c), _ranges(list(several))
+    lower = [(a, plain[i] if i < len(plain) else "") for i, a in enumerate(accented) if ord(a) < _COMMON]
+    lower.sort(key=lambda pair: not pair[1])  # marks to delete come last
+    common = F.translate(name, "".join(a for a, _ in lower), "".join(p for _, p in lower))
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    pieces = F.regexp_extract_all(name, F.lit(f"([{_ranges(list(several))}]|[^{_ranges(list(several))}]+)"), F.lit(1))
+    pieces = F.regexp_extract_all(name, F.lit(f"([{many}]|[^{many}]+)"), F.lit(1))
     spelled = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
-    whole = F.when(name.rlike(f"[{_ranges(list(several))}]"), spelled).otherwise(name)
-    return F.coalesce(F.translate(whole, accented, plain), F.lit(""))
+    rare = F.when(name.rlike(f"[{many}]"), spelled).otherwise(name)
+    is_common = name.rlike(rf"^[\x00-\x{{{_COMMON - 1:x}}}]*$") & ~name.rlike(f"[{many}]")
+    return F.coalesce(
+        F.when(name.rlike(r"^[\x00-\x7f]*$"), name).when(is_common, common).otherwise(F.translate(rare, accented, plain)), F.lit("")
+    )
 
 
 @F.pandas_udf(StringType())
