@@ -22,8 +22,8 @@ from shiftledger.llm.common import id_and_text, slices, written
 from shiftledger.llm.tokens import encoder
 from shiftledger.session import shuffle_partitions
 
-TRAIN_EVERY = 768  # training text gives one window for so many subwords
-STEPS = 300  # that every task makes at least, over all rounds
+TRAIN_EVERY = 768  # training text gives one window for so many subwords, and more where that makes too few for one task
+STEPS = 600  # that every task makes at least, over all rounds
 BATCH = 64
 RATE = 0.01
 _WINDOWS_PER_TASK = 8192
@@ -147,7 +147,7 @@ class Ranks:
         self.inside = np.log(np.where(rare > 0, rare / max(rare.sum(), 1e-9), 1)).astype(np.float32)
 
 
-def _pairs_and_windows(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[pa.RecordBatch]:
+def _pairs_and_windows(batches: Iterator[pa.RecordBatch], ranks: Ranks, every: int) -> Iterator[pa.RecordBatch]:
     size, n = attention.WINDOW + 1, attention.RANKS
     pairs = np.zeros(n * n, dtype=np.int64)
     names = ["pair", "n", "window"]
@@ -159,7 +159,7 @@ def _pairs_and_windows(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Itera
                 continue
             seen = np.append(0, ranks.of[text.spelled(learn)[0]]).astype(np.int64)
             pairs += np.bincount(seen[:-1] * n + seen[1:], minlength=n * n)
-            windows = [seen[i:i + size].astype("<u2").tobytes() for i in range(0, max(1, len(seen) - size + 1), TRAIN_EVERY)]
+            windows = [seen[i:i + size].astype("<u2").tobytes() for i in range(0, max(1, len(seen) - size + 1), every)]
             empty = pa.nulls(len(windows), pa.int64())
             yield pa.RecordBatch.from_arrays([empty, empty, pa.array(windows, pa.binary())], names=names)
     used = np.flatnonzero(pairs)
@@ -173,7 +173,8 @@ def _train(windows: DataFrame, counted: attention.Counted, weights: dict[str, np
     names = list(weights)
     starts = np.cumsum([0] + [weights[k].size for k in names])
     dealt = written(windows.repartition(tasks), "windows")
-    rounds = max(2, -(-STEPS * BATCH * tasks // n)) if n else 0
+    tasks = dealt.select(F.spark_partition_id().alias("task")).distinct().count()  # small files are read together
+    rounds = max(2, -(-STEPS * BATCH * max(1, tasks) // n)) if n else 0
     rounds = min(rounds, STEPS // 20)  # a handful of windows is not learned by heart
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((weights, counted))
@@ -242,9 +243,10 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     singles[single["id"].to_numpy()] = single["n"].to_numpy()
     ranks = Ranks(singles)
 
+    every = max(attention.WINDOW, min(TRAIN_EVERY, int(singles.sum()) // _WINDOWS_PER_TASK))
     learned = written(
         texts.select("docs", "known", "lengths", "flat", "subwords", "sizes").mapInArrow(
-            lambda b: _pairs_and_windows(b, ranks), "pair long, n long, window binary"
+            lambda b: _pairs_and_windows(b, ranks, every), "pair long, n long, window binary"
         ), "pairs-and-windows",
     )
     pair = learned.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
