@@ -21,7 +21,7 @@ from shiftledger.llm.common import id_and_text, ship, slices
 
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
-AMBIGUOUS_BELOW = 0.5
+AMBIGUOUS_BELOW = 0.35
 _SLICE = 1 << 20
 _SPACE = 0x20
 
