@@ -8,11 +8,10 @@ has exactly the same shingles. So sets meet under keys made of band, segment and
 - Sets of equal content are one class from the start; copies cost nothing after that.
 - A set enters its own band, and the band below if a partner may be there.
 - Cost-based allocation: a key that more than ``LIST`` classes share is dear and is skipped. A set that still has more than H keys in the band
-  is guaranteed to meet its partners elsewhere. Only pairs of two sets that lack such keys can be missed; those are looked up under
+  is guaranteed to meet its partners elsewhere. Only pairs of two sets that lack such keys can be missed. A one-deletion neighbourhood doubles what a
+  segment earns but costs a key per shingle, so it is allotted to such sets only, and settles some of them. The others are looked up under
   the dear keys, by themselves: first each against the set of its list that shares most keys, then, where that leaves a list in several
   components, all with all in blocks, as matrix products. Sets that fill too few segments in the first place share one more list per band.
-- One-deletion neighbourhoods would double the credit of a segment but need a key per shingle; with segments of two or three shingles
-  skipping is always cheaper, so the allocation never picks them.
 - Candidates must share as many keys as the pigeonhole demands, and are then verified on their whole sets.
 
 Only components are asked for, so a verified link spares all further pairs inside its component.
@@ -31,10 +30,13 @@ from shiftledger.llm.common import id_and_text, slices, written
 from shiftledger.session import shuffle_partitions
 
 WORDS = 5
+_SLICE = 1 << 20  # bytes of text worked on at a time; a set takes several times its text
 #: A key shared by more classes is dear.
 LIST = 8
-_BLOCK = 512  # sets compared with as many others in one task
-_COLUMNS = 4096  # shingles of a matrix at a time
+#: So many links fit one task.
+EDGES_IN_A_TASK = 200_000
+_BLOCK = 1024  # sets compared with as many others in one task
+_ROWS, _COLUMNS = 128, 2048  # sets and shingles of a matrix at a time
 _MEMBERS = 64  # sets verified against one set at a time
 _BITS = 1 << 25  # of the filter that spares reading texts nobody asks for; its size is fixed, its answers only ever too many
 _BUCKETS_PER_PARTITION = 4
@@ -110,10 +112,29 @@ def keys(sets: list[np.ndarray], bands: list[int]) -> tuple[np.ndarray, np.ndarr
     return (key & ~_U(63)) | band, owner
 
 
+def variants(found: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-deletion neighbourhoods: the segments of a set, their keys, and whether a key is of the full subset or of it without one shingle.
+
+    A single shingle is not deleted: what is left would be an empty segment, which has no key.
+    """
+    place = (found >> _U(20)) % _U(segments(band))
+    order = np.argsort(place, kind="stable")
+    place, mixed = place[order], _mix(found[order] + _U(0x51ED270B))
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    sizes = np.diff(np.append(starts, len(place)))
+    whole = np.add.reduceat(mixed, starts)
+    many = np.repeat(sizes, sizes) > 1
+    less = (np.repeat(whole, sizes) - mixed)[many]
+    segment = np.concatenate([place[starts], place[many]])
+    key = _mix(np.concatenate([whole, less]) + _mix(segment * _U(64) + _U(band)))
+    full = np.arange(len(segment)) < len(starts)
+    return segment.astype(np.int32), (key & ~_U(63)) | _U(band), full
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Per bucket of keys the keys and their classes, and what is known of the classes whose hash falls in the bucket."""
     seen: set[int] = set()
-    for part in slices(batches):
+    for part in slices(batches, limit=_SLICE):
         sets, names = [], []
         for text in part["text"].to_pylist():
             found = shingles(text)
@@ -211,13 +232,37 @@ def _meet(bucket: pa.Table) -> pa.Table:
     })
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every vertex with the smallest of its component, by union-find over all edges that come."""
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        top = v
+        while (above := up.setdefault(top, top)) != top:
+            top = above
+        while v != top:
+            up[v], v = top, up[v]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            one, other = sorted((find(a), find(b)))
+            up[other] = one
+    names = list(up)
+    for i in range(0, len(names), 65536):
+        part = names[i:i + 65536]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(v) for v in part], pa.int64())], names=["v", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``v, root``: every vertex of the edges (``a``, ``b``) with the smallest vertex of its component.
 
-    Alternates large-star and small-star contraction, so long chains take a logarithmic number of rounds; a hub is only ever
-    reduced to its minimum.
+    As many edges as one task can surely hold are joined by union-find. Beyond that, large-star and small-star
+    contraction alternate, so long chains take a logarithmic number of rounds; a hub is only ever reduced to its minimum.
     """
     state = written(edges.select("a", "b").distinct(), "edges")
+    if state.limit(EDGES_IN_A_TASK + 1).count() <= EDGES_IN_A_TASK:
+        return state.coalesce(1).mapInArrow(_union, "v long, root long")
     last = None
     while True:
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).union(state.select("b", "a"))
@@ -237,7 +282,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _shingle_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=_SLICE):
             sets = [shingles(t) for t in part["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], part["text_hash"], pa.array([len(s) for s in sets], pa.int64()),
@@ -274,7 +319,7 @@ class _Verifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = shared.value.view(np.uint64)
-            for part in slices(batches):
+            for part in slices(batches, limit=_SLICE):
                 at = part["spot"].to_numpy().astype(np.uint64)
                 on = (bits[at >> _U(6)] >> (at & _U(63))) & _U(1)
                 sets = [shingles(t) for t in part["text"].filter(pa.array(on.astype(bool))).to_pylist()]
@@ -353,7 +398,7 @@ def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
             here = (c >= start) & (c < start + _COLUMNS)
             matrix[r[here], c[here] - start] = 1
         counts += left @ right.T
-    return counts.astype(np.int64)
+    return counts.astype(np.int32)
 
 
 def _compare_blocks(cell: pa.Table) -> pa.Table:
@@ -363,9 +408,14 @@ def _compare_blocks(cell: pa.Table) -> pa.Table:
     if cell["low"][0].as_py() != cell["high"][0].as_py() and blocks.min() == blocks.max():
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})  # the other block is empty
     sizes = np.array([len(s) for s in sets])
-    shared = _shared([sets[i] for i in low], [sets[i] for i in high])
-    union = sizes[low][:, None] + sizes[high][None, :] - shared
-    link = (100 * shared >= 75 * union) & (roots[low][:, None] != roots[high][None, :])
+    right = [sets[j] for j in high]
+    hits = []
+    for start in range(0, len(low), _ROWS):  # a strip of the matrix at a time
+        rows = low[start:start + _ROWS]
+        shared = _shared([sets[i] for i in rows], right)
+        enough = 75 * (sizes[rows][:, None] + sizes[high][None, :]) <= 175 * shared
+        enough &= roots[rows][:, None] != roots[high][None, :]
+        hits += [(rows[i], high[j]) for i, j in zip(*np.nonzero(enough))]
     parent: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -374,11 +424,11 @@ def _compare_blocks(cell: pa.Table) -> pa.Table:
         return v
 
     found = []
-    for i, j in zip(*np.nonzero(link)):
-        one, other = find(int(roots[low[i]])), find(int(roots[high[j]]))
+    for i, j in hits:
+        one, other = find(int(roots[i])), find(int(roots[j]))
         if one != other:
             parent[one] = other
-            found.append(sorted((int(names[low[i]]), int(names[high[j]]))))
+            found.append(sorted((int(names[i]), int(names[j]))))
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
@@ -432,7 +482,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
     # Sets without enough keys of their own meet under the dear ones.
-    poor = standing.where("credits < need").select("class", "band", "size", (F.col("credits") / F.col("filled")).alias("own"))
+    poor = standing.where("credits < need").select("class", "band", "size", "need", (F.col("credits") / F.col("filled")).alias("own"))
     lists = written(dear.join(poor, ["class", "band"]), "long-lists")
     # The head shares most of its keys: among edited copies, that is the text they come from.
     heads = lists.groupBy("key").agg(F.min(F.struct("own", "class", "size")).alias("head"))
@@ -448,7 +498,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # What the first links have not brought together, each pair once.
     rest = _rooted(candidates.join(written(first, "tried"), ["a", "b"], "left_anti"), roots, "a", "b").where("root_a <> root_b").select("a", "b")
     links, roots = _extended(verifier, links, roots, rest)
-    torn = _torn(_rooted(lists, roots, "class"))
+    near, still_poor = _neighbours(verifier, poor)
+    near = _rooted(near.join(candidates, ["a", "b"], "left_anti"), roots, "a", "b").where("root_a <> root_b").select("a", "b")
+    links, roots = _extended(verifier, links, roots, near)
+    torn = _torn(_rooted(lists.join(still_poor, ["class", "band"], "left_semi"), roots, "class"))
     if not torn.isEmpty():
         links = links.union(verifier.linked_in_blocks(torn))
         roots = written(components(links), "roots")
@@ -478,6 +531,52 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return rows.join(stays, same, "left_semi").select("_row.*")
 
 
+def _neighbours(verifier: _Verifier, poor: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that meet in one-deletion neighbourhoods, and the poor sets (``class, band``) for which that is not enough either.
+
+    A segment earns a set two credits if its key and all keys with one shingle less are cheap: then any partner that differs by one shingle there is
+    met. It earns one if its own key is cheap, none otherwise. A set with more credits than it can differ from a partner is done with.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "hashes", 1 << 20):
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            for name, bands, data in zip(*(batch[c].to_pylist() for c in ("class", "bands", "hashes"))):
+                for band in bands:
+                    segment, key, full = variants(np.frombuffer(data, "<u8"), band)
+                    new = (np.full(len(key), name), np.full(len(key), band, np.int32), segment, key.view(np.int64), full)
+                    for column, values in zip(columns, new):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c)) for c in columns], names=["class", "band", "segment", "key", "full"]
+            )
+
+    bands = poor.groupBy("class").agg(F.collect_list("band").alias("bands"))  # two at most
+    sets = verifier._sets(poor.select("class").distinct())
+    rows = written(
+        sets.join(bands, "class").select("class", "bands", "hashes")
+        .mapInArrow(run, "class long, band int, segment int, key long, full boolean"), "neighbourhoods"
+    )
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    cheap = F.col("n") <= LIST
+    earned = rows.groupBy("class", "band", "segment").agg(
+        F.min(cheap).alias("all_cheap"), F.min(F.when(F.col("full"), cheap)).alias("own_cheap"), F.count("*").alias("keys")
+    ).select("class", "band", F.when(F.col("all_cheap") & (F.col("keys") > 1), 2).when(F.col("own_cheap"), 1).otherwise(0).alias("credit"))
+    judged = written(
+        earned.groupBy("class", "band").agg(F.sum("credit").alias("earned")).join(poor, ["class", "band"])
+        .select("class", "band", "size", (F.col("earned") >= F.col("need")).alias("done")), "earned"
+    )
+    met = rows.where(cheap & (F.col("n") > 1)).join(judged, ["class", "band"])
+    one, other = (
+        met.select("key", F.col("class").alias(x), F.col("full").alias(f"full_{x}"), F.col("size").alias(f"size_{x}"), F.col("done").alias(f"done_{x}"))
+        for x in "ab"
+    )
+    pairs = one.join(other, "key").where(
+        "a < b AND (full_a OR full_b) AND (done_a OR done_b) AND 100 * least(size_a, size_b) >= 75 * greatest(size_a, size_b)"
+    ).select("a", "b").distinct()
+    return pairs, judged.where("NOT done").select("class", "band")
+
+
 def _torn(lists: DataFrame) -> DataFrame:
     """``class, root, group`` of what stands in a dear list that is still in several components.
 

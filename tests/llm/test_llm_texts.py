@@ -187,6 +187,24 @@ def test_jaccard_components_are_exact(spark, monkeypatch, dear):
     assert sorted((tuple(r.values()) for r in found), key=order) == sorted(plain_components(rows), key=order)
 
 
+def test_groups_compared_in_blocks(spark, monkeypatch):
+    """Copies that are each near one text but often not near each other, and a passage that makes many texts half alike."""
+    monkeypatch.setattr(jaccard, "_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "_COLUMNS", 50)
+    monkeypatch.setattr(jaccard, "LIST", 3)
+    draw = random.Random(12)
+    word = lambda: f"v{draw.randrange(3000)}"
+    rows, base = [], [word() for _ in range(70)]
+    for i in range(70):
+        text = list(base)
+        for _ in range(draw.randint(1, 4)):
+            text[draw.randrange(70)] = word()
+        rows.append((i, " ".join(text if i % 4 else base[:45] + [word() for _ in range(draw.randint(8, 20))])))
+    docs = documents(spark, rows)
+    found = [tuple(r) for r in jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(found) == sorted(plain_components(rows)) and len({c for *_, c in found}) > 5
+
+
 def test_sets_that_link_share_a_key():
     """The pigeonhole: with all keys at hand a linked pair meets, unless one fills too few segments."""
     draw = np.random.default_rng(2)
@@ -206,11 +224,27 @@ def test_sets_that_link_share_a_key():
         assert not enough or len(np.intersect1d(a, b)) >= len(a) - (len(small) + len(large)) // 7 > 0
 
 
+def test_neighbourhoods_meet_at_one_difference():
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        one = np.unique(draw.integers(0, 2**63, int(draw.integers(20, 300)), dtype=np.uint64))
+        other = one[1:]
+        band = jaccard.band_of(len(other))
+        (seg, key, full), (seg_, key_, full_) = jaccard.variants(one, band), jaccard.variants(other, band)
+        touched = int((one[0] >> np.uint64(20)) % np.uint64(jaccard.segments(band)))
+        mine, theirs = {int(k) for k in key[(seg == touched) & ~full]}, {int(k) for k in key_[(seg_ == touched) & full_]}
+        assert (len(theirs) == 1 and theirs <= mine) or (not theirs and not mine)  # unless the shingle was alone
+        assert set(key[full & (seg != touched)].tolist()) == set(key_[full_ & (seg_ != touched)].tolist())
+        assert full.sum() == len(jaccard.keys([one], [band])[0]) and set(key[full].tolist()) == set(jaccard.keys([one], [band])[0].tolist())
+
+
 def test_jaccard_without_rows(spark):
     assert jaccard.jaccard_components(documents(spark, [])).count() == 0
 
 
-def test_long_chains_become_one_component(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_long_chains_become_one_component(spark, monkeypatch, one_task):
+    monkeypatch.setattr(jaccard, "EDGES_IN_A_TASK", one_task)
     order = list(range(300))
     random.Random(4).shuffle(order)
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(299)] + [(1000, 1001)], "a long, b long")
