@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ class _Run:
 class _Out:
     """Result lines, handed on a few thousand at a time."""
 
-    LINES = 8192
+    LINES = 4096
 
     def __init__(self, part: int, schema: pa.Schema):
         self._part, self._schema = part, schema
@@ -79,7 +80,8 @@ def _runs_of_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) ->
     held: dict[bytes, _Run] = {}  # the runs of one key: one, unless hashes collide
     number = 0
     for batch in batches:
-        ids, texts = batch["doc_id"].to_pylist(), batch["text"]
+        ids = batch["doc_id"].to_pylist()
+        texts = batch["text"] if "text" in batch.schema.names else pc.struct_field(batch["row"], "text")
         hashes, leads = batch["_hash"].to_pylist(), batch["_lead"].to_pylist()
         for i in range(batch.num_rows):
             here = (leads[i], hashes[i])
@@ -91,7 +93,8 @@ def _runs_of_partition(batches: Iterator[pa.RecordBatch], schema: pa.Schema) ->
                     first_key = here
                 if out.lines >= out.LINES:
                     yield out.take()
-            content = texts[i].as_buffer().to_pybytes().translate(None, WHITE_SPACE)
+            text = texts[i]
+            content = text.as_buffer().to_pybytes().translate(None, WHITE_SPACE) if text.is_valid else b""
             run = held.get(content)
             if run is None:
                 # A copy of the one row: a slice would keep its batch in memory.
@@ -117,8 +120,10 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), partitions: int | None =
     ship(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     content = F.translate(text, WHITE_SPACE.decode(), "")
+    # A text that is carried anyway travels once.
+    alone = [] if "text" in carry and docs.schema["text"].dataType == T.StringType() else [text.alias("text")]
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.substring(content, 1, _LEAD).alias("_lead"),
+        F.col("doc_id").cast("long").alias("doc_id"), *alone, F.substring(content, 1, _LEAD).alias("_lead"),
         F.xxhash64(content).alias("_hash"), F.char_length(text).alias("_length"),
         *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -69,15 +69,11 @@ class WordCache:
         os.environ["RAYON_NUM_THREADS"] = "1"
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(path)
-        self._library.no_truncation()
-        self._library.no_padding()
-        self._model = self._library.model
-        self.vocabulary = self._library.get_vocab_size(with_added_tokens=True)
+        self._path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.vocabulary = len({*spec["model"]["vocab"], *(t["content"] for t in spec["added_tokens"])})
         split = [p for p in (spec["pre_tokenizer"].get("pretokenizers") or []) if p["type"] == "Split"]
         self._pieces_of = regex.compile(split[0]["pattern"]["Regex"] if split else public_tokenizers.PATTERN).findall
         # Without such a split the space before a word is part of its pre-token; with one it is dropped.
@@ -95,6 +91,20 @@ class WordCache:
         self._words = Recent(self._word, _CACHE_WORDS)
         self._pieces = Recent(self._piece, _CACHE_PIECES)
 
+    @cached_property
+    def _library(self):
+        """Loaded at the first word or text that needs it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self._path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
+    @cached_property
+    def _model(self):
+        return self._library.model
+
     def _byte_level(self, spec: dict):
         """The same merges in tiktoken, several times faster; None unless the file is plain byte-level BPE.
 
