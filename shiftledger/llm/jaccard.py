@@ -495,12 +495,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = verifier.linked(first)
     roots = written(components(links), "roots")
-    # What the first links have not brought together, each pair once.
-    rest = _rooted(candidates.join(written(first, "tried"), ["a", "b"], "left_anti"), roots, "a", "b").where("root_a <> root_b").select("a", "b")
-    links, roots = _extended(verifier, links, roots, rest)
+    # What the first links have not brought together, each pair once: pairs of short lists, and of one-deletion neighbourhoods.
     near, still_poor = _neighbours(verifier, poor)
-    near = _rooted(near.join(candidates, ["a", "b"], "left_anti"), roots, "a", "b").where("root_a <> root_b").select("a", "b")
-    links, roots = _extended(verifier, links, roots, near)
+    rest = candidates.union(near).distinct().join(written(first, "tried"), ["a", "b"], "left_anti")
+    links, roots = _extended(verifier, links, roots, _rooted(rest, roots, "a", "b").where("root_a <> root_b").select("a", "b"))
     torn = _torn(_rooted(lists.join(still_poor, ["class", "band"], "left_semi"), roots, "class"))
     if not torn.isEmpty():
         links = links.union(verifier.linked_in_blocks(torn))
