@@ -298,7 +298,8 @@ def assign_usernames(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
     does not grow with the newcomers.
     """
     token = slug(space_token(strip("nome")))
-    waiting = newcomers.select("id", F.concat(token, F.lit("."), slug("sobrenome")).alias("base"))
+    # Written once: the base is costly to work out and is used several times below.
+    waiting = cut_lineage(newcomers.select("id", F.concat(token, F.lit("."), slug("sobrenome")).alias("base")))
     stem = F.regexp_replace("base", _DIGITS, "")
     mixed = waiting.where(F.col("base").rlike(r"\d$")).select(stem.alias("familia")).distinct()
     if mixed.isEmpty():
