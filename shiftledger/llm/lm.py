@@ -22,7 +22,6 @@ from shiftledger.llm.common import id_and_text, slices, written
 from shiftledger.llm.tokens import encoder
 from shiftledger.session import shuffle_partitions
 
-TRAIN_EVERY = 768  # training text gives one window for so many subwords, and more where that makes too few for one task
 STEPS = 600  # that every task makes at least, over all rounds
 BATCH = 64
 RATE = 0.01
@@ -147,48 +146,50 @@ class Ranks:
         self.inside = np.log(np.where(rare > 0, rare / max(rare.sum(), 1e-9), 1)).astype(np.float32)
 
 
-def _pairs_and_windows(batches: Iterator[pa.RecordBatch], ranks: Ranks, every: int) -> Iterator[pa.RecordBatch]:
-    size, n = attention.WINDOW + 1, attention.RANKS
-    pairs = np.zeros(n * n, dtype=np.int64)
-    names = ["pair", "n", "window"]
+def _learned(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[np.ndarray]:
+    """The ranks of each chunk's training text, behind an end mark."""
     for batch in batches:
         for row in batch.to_pylist():
             text = _Text(row)
             learn = text.flat[np.repeat(~text.held, text.lengths)]
-            if not len(learn):
-                continue
-            seen = np.append(0, ranks.of[text.spelled(learn)[0]]).astype(np.int64)
-            pairs += np.bincount(seen[:-1] * n + seen[1:], minlength=n * n)
-            windows = [seen[i:i + size].astype("<u2").tobytes() for i in range(0, max(1, len(seen) - size + 1), every)]
-            empty = pa.nulls(len(windows), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, pa.array(windows, pa.binary())], names=names)
+            if len(learn):
+                yield np.append(0, ranks.of[text.spelled(learn)[0]]).astype(np.int64)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[pa.RecordBatch]:
+    n = attention.RANKS
+    pairs = np.zeros(n * n, dtype=np.int64)
+    for seen in _learned(batches, ranks):
+        pairs += np.bincount(seen[:-1] * n + seen[1:], minlength=n * n)
     used = np.flatnonzero(pairs)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(pairs[used]), pa.nulls(len(used), pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(pairs[used])], names=["pair", "n"])
+
 
+def _windows(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    cut = [attention.windows(np.zeros(1, dtype=np.int64)), *(attention.windows(seen) for seen in _learned(batches, ranks))]
+    return tuple(np.concatenate(c) for c in zip(*cut))
 
-def _train(windows: DataFrame, counted: attention.Counted, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Averages, over tasks, of the weights each gets from its share of the windows; as many rounds as STEPS asks for, two at least."""
-    spark, n = windows.sparkSession, windows.count()
-    tasks = max(1, min(shuffle_partitions(spark), n // _WINDOWS_PER_TASK))
+
+def _train(texts: DataFrame, ranks: Ranks, subwords: int, counted: attention.Counted, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Averages, over tasks, of the weights each gets from its share of the training text, all of it; as many rounds as STEPS asks for, two at least.
+
+    Windows are cut anew from the texts in every round, so none is stored.
+    """
+    spark, n = texts.sparkSession, -(-subwords // attention.WINDOW)
+    dealt = texts.coalesce(max(1, min(shuffle_partitions(spark), n // _WINDOWS_PER_TASK)))
+    tasks = dealt.rdd.getNumPartitions()
     names = list(weights)
     starts = np.cumsum([0] + [weights[k].size for k in names])
-    dealt = written(windows.repartition(tasks), "windows")
-    tasks = dealt.select(F.spark_partition_id().alias("task")).distinct().count()  # small files are read together
     rounds = max(2, -(-STEPS * BATCH * max(1, tasks) // n)) if n else 0
     rounds = min(rounds, STEPS // 20)  # a handful of windows is not learned by heart
     for number in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, counted))
+        shared = spark.sparkContext.broadcast((weights, counted, ranks))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            size, rows = attention.WINDOW + 1, [w for b in batches for w in b["window"].to_pylist()]
-            if not rows:
+            now, counts, ranks = shared.value
+            data, valid = _windows(batches, ranks)
+            if not len(data):
                 return
-            data, valid = np.zeros((len(rows), size), dtype=np.int64), np.zeros((len(rows), size - 1))
-            for i, row in enumerate(rows):
-                own = np.frombuffer(row, "<u2")
-                data[i, :len(own)] = own
-                valid[i, :len(own) - 1] = 1
-            now, counts = shared.value
             got = attention.train(now, counts, data, valid, RATE * (1 - number / rounds), BATCH, number)  # noqa: B023
             flat = np.concatenate([got[k].ravel() for k in names]).astype("<f4")
             parts = np.array_split(flat, _PARTS)
@@ -243,18 +244,13 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     singles[single["id"].to_numpy()] = single["n"].to_numpy()
     ranks = Ranks(singles)
 
-    every = max(attention.WINDOW, min(TRAIN_EVERY, int(singles.sum()) // _WINDOWS_PER_TASK))
-    learned = written(
-        texts.select("docs", "known", "lengths", "flat", "subwords", "sizes").mapInArrow(
-            lambda b: _pairs_and_windows(b, ranks, every), "pair long, n long, window binary"
-        ), "pairs-and-windows",
-    )
-    pair = learned.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    texts_alone = texts.select("docs", "known", "lengths", "flat", "subwords", "sizes")
+    pair = texts_alone.mapInArrow(lambda b: _pairs(b, ranks), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(attention.RANKS**2)
     pairs[pair["pair"].to_numpy()] = pair["n"].to_numpy()
     counted = attention.Counted.of(pairs.reshape(attention.RANKS, attention.RANKS))
     weights = _train(
-        learned.where("window IS NOT NULL").select("window"), counted,
+        texts_alone, ranks, int(singles.sum()), counted,
         attention.fresh_weights(attention.RANKS, counted.classes_after.shape[1]),
     )
     model = spark.sparkContext.broadcast((ranks, counted, weights))

@@ -8,13 +8,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import documents, edge_rows, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shiftledger.llm import attention, dedup, jaccard, langid, lm, pii
+from shiftledger.llm.common import id_and_text
 
 SF = "/root/testdata/sf0.01"
 
@@ -316,6 +319,27 @@ def test_gradients_follow_the_loss():
         assert math.isclose(slope, grads[name][at], rel_tol=0.05)
 
 
+def chunks(docs):
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True)).alias("held_out")
+    return id_and_text(docs, held).mapInArrow(lambda b: lm._chunks(b, BYTE, 4), lm._CHUNK).where("kind = 1")
+
+
+def test_all_training_subwords_are_trained_on(spark):
+    texts = [f"the word {i} and {i * 7 % 1000} others are here" for i in range(3000)]
+    spell = lm.encoder(BYTE)
+    wanted = sum(1 + int(spell.spell([w.decode() for w in lm.words(t)])[1].sum()) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10)
+    ranks = lm.Ranks(np.zeros(spell.vocabulary))
+
+    def count(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([int(lm._windows(batches, ranks)[1].sum())])], names=["n"])
+
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    assert chunks(docs).mapInArrow(count, "n long").groupBy().sum("n").first()[0] == wanted
+    for n in (1, 2, 33, 34, 1000):  # each once
+        windows, valid = attention.windows(np.arange(n))
+        assert sorted(windows[:, 1:][valid].tolist()) == list(range(1, n))
+
+
 def test_the_model_beats_counting_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = lm.score(docs, BYTE).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
