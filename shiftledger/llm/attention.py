@@ -17,7 +17,7 @@ CLASSES = 96
 OWN_CLASS = 72  # the most frequent ranks are classes by themselves
 WIDTH = 16
 WINDOW = 32  # positions that attention sees at once
-STRIDE = 27  # of which so many are scored, the others are context scored before
+STRIDE = 16  # of which so many are scored, the others are context scored before
 _CEILING = 40
 _F = np.float32
 
@@ -141,18 +141,39 @@ def gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.n
     return loss, grads
 
 
-def windows(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of WINDOW + 1 ranks back to back, so that each of ranks[1:] is a successor in just one, and which positions have a successor."""
-    n = len(ranks) - 1
-    at = np.arange(0, n, WINDOW)[:, None] + np.arange(WINDOW + 1)
-    return ranks[np.minimum(at, n)].astype("<u2"), at[:, :-1] < n
+def _places(begins: np.ndarray, n: int, step: int, context: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows begin: with each text, and every ``step`` ranks from there, so that none sees two texts.
+
+    With the end of each window's text, and whether it is the text's first window. The texts hold n successors in all.
+    """
+    ends = np.append(begins[1:], n)
+    many = np.maximum(1, -(-(ends - begins - context) // step))
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(begins, many) + nth * step, np.repeat(ends, many), nth == 0
+
+
+_ONE_TEXT = np.zeros(1, dtype=np.int64)
+
+
+def windows(ranks: np.ndarray, begins: np.ndarray = _ONE_TEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of WINDOW + 1 ranks back to back in each text, and which positions have a successor: each of ranks[1:] is one just once.
+
+    ``begins`` are the places of the marks that texts follow. What is behind a text's end is padded with end marks.
+    """
+    starts, ends, _ = _places(begins, len(ranks) - 1, WINDOW)
+    at = starts[:, None] + np.arange(WINDOW + 1)
+    inside = at <= ends[:, None]
+    return np.where(inside, ranks[np.minimum(at, len(ranks) - 1)], 0).astype("<u2"), inside[:, 1:]
 
 
 def train(w: dict[str, np.ndarray], counted: Counted, windows: np.ndarray, valid: np.ndarray, rate: float, batch: int = 64, seed: int = 0) -> dict[str, np.ndarray]:
-    """One pass of Adam over windows of WINDOW + 1 ranks, in shuffled order; ``valid`` marks positions with a successor."""
+    """One pass of Adam over windows of WINDOW + 1 ranks, in an order shuffled by their content; ``valid`` marks positions with a successor."""
     w = {k: v.copy() for k, v in w.items()}
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(windows))
+    content = np.zeros(len(windows), dtype=np.uint64)
+    for column in windows.T:
+        content = content * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64)
+    order = np.argsort(content, kind="stable")[np.random.default_rng(seed).permutation(len(windows))]
     for t, i in enumerate(range(0, len(order), batch), 1):
         rows = windows[order[i:i + batch]].astype(np.int64)
         _, grads = gradients(w, counted, rows[:, :-1], counted.classes[rows[:, 1:]], valid[order[i:i + batch]])
@@ -164,10 +185,11 @@ def train(w: dict[str, np.ndarray], counted: Counted, windows: np.ndarray, valid
     return w
 
 
-def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, batch: int = 128) -> np.ndarray:
-    """Natural log probability of ranks[1:], each scored once: windows overlap, and all but the first score their last STRIDE positions only.
+def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, begins: np.ndarray = _ONE_TEXT, batch: int = 128) -> np.ndarray:
+    """Natural log probability of ranks[1:], each scored once: windows overlap, and all but a text's first score their last STRIDE positions only.
 
-    ``ranks`` holds several texts end on end, each begun by the end mark (rank 0) of the one before; attention does not stop at the mark.
+    ``ranks`` holds several texts end on end, each begun by the end mark (rank 0) of the one before; ``begins`` are the places of these marks.
+    Windows begin with a text and attention looks back only, so no score depends on another text.
     """
     n = len(ranks) - 1
     if n <= 0:
@@ -175,12 +197,12 @@ def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, batch:
     found = counted.inside[ranks[:-1], ranks[1:]].copy()
     classes = counted.classes[ranks[1:]]
     context = WINDOW - STRIDE
-    starts = np.arange(0, max(1, n - context), STRIDE)
+    starts, ends, first = _places(begins, n, STRIDE, context)
     for i in range(0, len(starts), batch):
         places = starts[i:i + batch, None] + np.arange(WINDOW)
         at = np.minimum(places, n - 1)
         z, _ = forward(w, counted, ranks[at])
         got = log_classes(z, classes[at])
-        fresh = (places < n) & ((np.arange(WINDOW) >= context) | (starts[i:i + batch, None] == 0))
+        fresh = (places < ends[i:i + batch, None]) & ((np.arange(WINDOW) >= context) | first[i:i + batch, None])
         found[at[fresh]] += got[fresh]
     return found

@@ -116,6 +116,14 @@ class _Text:
         at += np.arange(len(at))
         return self._subwords[at], sizes
 
+    def subwords(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The subword ids of the documents marked, end on end, and where each document begins."""
+        ids, sizes = self.spelled(self.flat[np.repeat(which, self.lengths)])
+        lengths = self.lengths[which].astype(np.int64)
+        # Every document has its end word at least.
+        own = np.add.reduceat(sizes, np.cumsum(lengths) - lengths, dtype=np.int64) if len(lengths) else lengths
+        return ids, np.cumsum(own) - own
+
 
 def _meet(bucket: pa.Table) -> pa.Table:
     """The count of every word, for each chunk in the order it asked; one more line, of chunk -1, with distinct words and tokens."""
@@ -146,27 +154,28 @@ class Ranks:
         self.inside = np.log(np.where(rare > 0, rare / max(rare.sum(), 1e-9), 1)).astype(np.float32)
 
 
-def _learned(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[np.ndarray]:
-    """The ranks of each chunk's training text, behind an end mark."""
+def _learned(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ranks of each chunk's training texts, behind an end mark, and the places of the marks that texts follow."""
     for batch in batches:
         for row in batch.to_pylist():
             text = _Text(row)
-            learn = text.flat[np.repeat(~text.held, text.lengths)]
-            if len(learn):
-                yield np.append(0, ranks.of[text.spelled(learn)[0]]).astype(np.int64)
+            ids, begins = text.subwords(~text.held)
+            if len(ids):
+                yield np.append(0, ranks.of[ids]).astype(np.int64), begins
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[pa.RecordBatch]:
     n = attention.RANKS
     pairs = np.zeros(n * n, dtype=np.int64)
-    for seen in _learned(batches, ranks):
+    for seen, _ in _learned(batches, ranks):
         pairs += np.bincount(seen[:-1] * n + seen[1:], minlength=n * n)
     used = np.flatnonzero(pairs)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(pairs[used])], names=["pair", "n"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
-    cut = [attention.windows(np.zeros(1, dtype=np.int64)), *(attention.windows(seen) for seen in _learned(batches, ranks))]
+    size = attention.WINDOW + 1
+    cut = [(np.empty((0, size), "<u2"), np.empty((0, size - 1), bool)), *(attention.windows(*seen) for seen in _learned(batches, ranks))]
     return tuple(np.concatenate(c) for c in zip(*cut))
 
 
@@ -266,11 +275,10 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
             starts = np.cumsum(text.lengths) - text.lengths
             per_doc = lambda values: np.add.reduceat(values, starts, dtype=np.float64)  # noqa: B023, E731
             ranks, counted, weights = model.value
-            ids, sizes = text.spelled(text.flat)
+            ids, begins = text.subwords(np.ones(len(starts), dtype=bool))
             seen = np.append(0, ranks.of[ids]).astype(np.int64)
-            log = attention.score(weights, counted, seen) + ranks.inside[ids]
-            ends = np.cumsum(np.add.reduceat(sizes, starts, dtype=np.int64))
-            scores = np.add.reduceat(log, np.append(0, ends[:-1]), dtype=np.float64) / np.log(10)
+            log = attention.score(weights, counted, seen, begins) + ranks.inside[ids]
+            scores = np.add.reduceat(log, begins, dtype=np.float64) / np.log(10)
             parts.append(pa.table({
                 "doc_id": pa.array(text.docs, mask=~text.has_id), "held_out": pa.array(text.held),
                 "n_tokens": pa.array(text.lengths.astype(np.int64)),

@@ -340,6 +340,19 @@ def test_all_training_subwords_are_trained_on(spark):
         assert sorted(windows[:, 1:][valid].tolist()) == list(range(1, n))
 
 
+def test_equal_texts_have_equal_scores(spark):
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["salt", "river", "Stone", "of", "the", "light"]) for _ in range(draw.choice([1, 5, 40, 90]))) for _ in range(150)]
+    rows = [(i, texts[i % 150], None, None) for i in range(600)]
+    draw.shuffle(rows)
+    scores = collections.defaultdict(list)
+    for parts in (1, 3, 8):
+        for r in rows_of(lm.score(documents(spark, rows).repartition(parts), BYTE)):
+            scores[texts[r["doc_id"] % 150]].append(r["score"])
+    assert len(scores) > 100 and sum(map(len, scores.values())) == 1800
+    assert all(math.isclose(min(own), max(own), rel_tol=1e-4) for own in scores.values())
+
+
 def test_the_model_beats_counting_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = lm.score(docs, BYTE).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
