@@ -3,7 +3,8 @@
 Every language has a codeword of bits. One binary classifier per bit tells, from the byte trigrams of a text,
 whether the language's bit is set: a linear model of log odds, from trigram counts over all labelled training texts, each
 language weighing the same. Decoding adds up the loss of every bit against every codeword, weighted by how well the bit separates
-its languages; the codeword with the least loss wins, and a text whose two best codewords are close is marked ambiguous.
+its languages; the codeword with the least loss wins, and a text whose two best codewords are close is marked ambiguous. Close is measured
+against the gap of an average training text of the language found; how close is calibrated on the training texts, so that clean ones stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from shiftledger.llm.common import id_and_text, ship, slices
 
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
-AMBIGUOUS_BELOW = 0.35
+AMBIGUOUS_BELOW = 0.35  # near ties of several languages, whatever their gaps
+CLOSE = 0.3  # gaps below this share of an average text's are ambiguous,
+CLEAN_FLAGGED = 0.005  # or below a smaller one, if more than this share of rightly told training texts would be
+_STEPS = 300
 _SLICE = 1 << 20
 _SPACE = 0x20
 
@@ -77,6 +81,8 @@ class Model:
     weights: np.ndarray  # buckets x bits: log odds of the bit
     scale: np.ndarray  # bits: the mean margin of a training text
     trust: np.ndarray  # bits: the least margin of a language over the mean one
+    typical: np.ndarray  # languages x languages: the gap to the second codeword of an average text of the first, before its length counts
+    close: float = CLOSE  # gaps below this share of the typical one are ambiguous
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, str | None, bool]]:
         """Language, score from 0 to 1, second language, whether ambiguous."""
@@ -88,19 +94,26 @@ class Model:
             for i in judged:
                 out[i] = (self.languages[0], 1.0, None, False)
             return out
-        buckets, starts = trigrams([texts[i] for i in judged])
+        for i, a, b, score, gap in zip(judged, *(c.tolist() for c in self.decode([texts[i] for i in judged]))):
+            out[i] = (self.languages[a], score, self.languages[b], score < AMBIGUOUS_BELOW or gap < self.close)
+        return out
+
+    def decode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts with letters, and two languages at least: the best and second codeword, the best one's score, and the gap over the typical one."""
+        buckets, starts = trigrams(texts)
         sizes = np.diff(np.append(starts, len(buckets)))
         margin = np.add.reduceat(self.weights[buckets], starts, axis=0, dtype=np.float64) / sizes[:, None]
         # Longer texts are surer, but their trigrams are far from independent.
-        z = margin / self.scale * np.minimum(8, np.sqrt(sizes / 8))[:, None]
+        sure = np.minimum(8, np.sqrt(sizes / 8))
+        z = margin / self.scale * sure[:, None]
         loss = np.stack([(np.logaddexp(0, -z * word) * self.trust).sum(axis=1) for word in self.code], axis=1)
         chance = np.exp(loss.min(axis=1, keepdims=True) - loss)
         chance /= chance.sum(axis=1, keepdims=True)
-        best = np.argsort(-chance, axis=1, kind="stable")[:, :2]
-        for row, (i, (a, b)) in enumerate(zip(judged, best.tolist())):
-            score = float(chance[row, a])
-            out[i] = (self.languages[a], score, self.languages[b], score < AMBIGUOUS_BELOW)
-        return out
+        first, second = np.argsort(-chance, axis=1, kind="stable")[:, :2].T
+        row = np.arange(len(texts))
+        # Every bit in which two codewords differ adds its z to the gap, so a gap is the mean over the text's trigrams times its sureness.
+        gap = (loss[row, second] - loss[row, first]) / (sure * self.typical[first, second])
+        return first, second, chance[row, first], gap
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -109,9 +122,9 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from ``text`` and ``lang`` of all rows that have both and are not held out.
+    """Learns from ``text`` and ``lang`` of all rows that have both and are not held out, and calibrates on the same rows.
 
-    What reaches the driver is one number per language and bucket, whatever the number of rows.
+    What reaches the driver is one number per language and bucket, and per step of the gap, whatever the number of rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +160,32 @@ def fit(docs: DataFrame) -> Model:
     margins = (share @ weights) * code  # of each language's average text, positive when right
     scale = np.maximum(margins.mean(axis=0), 1e-6) if len(languages) > 1 else np.ones(code.shape[1])
     trust = np.clip(margins.min(axis=0) / scale, 0.05, 1) if len(languages) > 1 else np.ones(code.shape[1])
-    return Model(languages, code, weights.astype(np.float32), scale, trust)
+    differs = code[:, None, :] != code[None, :, :]
+    typical = ((margins / scale * trust)[:, None, :] * differs).sum(axis=2)
+    model = Model(languages, code, weights.astype(np.float32), scale, trust, np.maximum(typical, 1e-3))
+    if len(languages) > 1:
+        model.close = _calibrated(rows, model)
+    return model
+
+
+def _calibrated(rows: DataFrame, model: Model) -> float:
+    """The greatest share of the typical gap, CLOSE at most, below which no more than CLEAN_FLAGGED of the rightly told texts lie."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.zeros(_STEPS + 1, dtype=np.int64)
+        for part in slices(batches, limit=_SLICE):
+            labelled = [(t, lang) for t, lang in zip(part["text"].to_pylist(), part["lang"].to_pylist()) if has_letter(t)]
+            if labelled:
+                first, _, _, gap = model.decode([t for t, _ in labelled])
+                right = np.array([model.languages[a] == lang for a, (_, lang) in zip(first.tolist(), labelled)])
+                steps += np.bincount(np.minimum(gap[right] / CLOSE * _STEPS, _STEPS).astype(int), minlength=_STEPS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_STEPS + 1)), pa.array(steps)], names=["step", "n"])
+
+    found = rows.mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
+    steps = np.zeros(_STEPS + 1, dtype=np.int64)
+    steps[found["step"].to_numpy()] = found["n"].to_numpy()
+    below = np.cumsum(steps)[:-1]  # up to the end of each step
+    return CLOSE * int(np.searchsorted(below, CLEAN_FLAGGED * steps.sum(), side="right")) / _STEPS
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

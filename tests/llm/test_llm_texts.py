@@ -93,6 +93,27 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < len(edge_rows())
 
 
+@pytest.mark.parametrize("languages", [("de", "en"), ("es", "fr"), ("de", "en", "es", "fr")])
+def test_half_and_half_texts_are_ambiguous(spark, languages):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang").isin(*languages))
+    model = langid.fit(docs)
+    clean, by = [r for r in rows_of(docs) if r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1], collections.defaultdict(list)
+    for r in clean:
+        if len(r["text"]) >= 200:
+            by[r["lang"]].append(r["text"])
+    draw, mixed = random.Random(6), []
+    for _ in range(300):
+        a, b = (draw.choice(by[lang]).encode() for lang in draw.sample(languages, 2))
+        n = min(len(a), len(b), draw.choice([100, 400, 1500]))
+        mixed.append(f"{a[:n].decode(errors='ignore')} {b[:n].decode(errors='ignore')}")
+    flagged = [p[3] for p in model.predict(mixed)]
+    assert sum(flagged) / len(flagged) > 0.85
+    found = [p[3] for p in model.predict([r["text"] for r in clean]) if p[0] != "und"]
+    assert sum(found) / len(found) < 0.01
+    rows = [(i, t, None, None) for i, t in enumerate(mixed)]
+    assert langid.keep_identified(documents(spark, rows), model).count() == len(mixed) - sum(flagged)
+
+
 @pytest.mark.parametrize("languages", [2, 3, 4, 5, 6, 12, 40])
 def test_codewords_differ(languages):
     code = langid.codewords(languages).astype(int)
