@@ -1,9 +1,9 @@
 """A small causal self-attention language model in numpy.
 
-Ids are ranked by frequency; the last rank stands for all rarer ids. Every rank belongs to a class. The model gives
-``p(next) = p(class | context) * p(next | class, previous) * p(id | rank)``: the second and third factor are smoothed
-counts over all training text, the first is a softmax over classes whose scores are the counted log odds after the previous
-rank plus what one head of masked self-attention with relative positions adds. Without attention this is a bigram model.
+Ids are ranked by frequency; every id has a rank, an embedding and counts of its own, and belongs to a class. The model gives
+``p(next) = p(class | context) * p(next | class, previous)``: the second factor is smoothed counts over all training text, the first
+is a softmax over classes whose scores are the counted log odds after the previous rank plus what one head of masked
+self-attention with relative positions adds. Without attention this is a bigram model.
 """
 
 from __future__ import annotations
@@ -12,63 +12,130 @@ from dataclasses import dataclass
 
 import numpy as np
 
-RANKS = 1024
-CLASSES = 96
-OWN_CLASS = 72  # the most frequent ranks are classes by themselves
+RANKS = 1024  # ranks worked on at a time where a table has a line for each
+CLASSES = 128
+OWN_CLASS = 96  # the most frequent ranks are classes by themselves
 WIDTH = 16
 WINDOW = 32  # positions that attention sees at once
 STRIDE = 16  # of which so many are scored, the others are context scored before
+PROJECTED = 32  # dimensions in which ranks are clustered
 _CEILING = 40
+_LITTLE = 0.01
 _F = np.float32
+_TABLES = ("query", "key", "value", "gate")  # weights with a row per rank
 
 
-def cluster(pairs: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """A class for every rank: the frequent ones by themselves, the others by the ranks they follow (k-means on a projection)."""
-    n = len(pairs)
+def _runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sums of the rows of each: by sorted runs, several times faster than numpy's add.at."""
+    order = np.argsort(keys, kind="stable")
+    distinct, starts = np.unique(keys[order], return_index=True)
+    return distinct, np.add.reduceat(rows[order], starts, axis=0) if len(keys) else rows
+
+
+def projected(previous: np.ndarray, after: np.ndarray, counts: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a part of the distinct pairs: the ranks that follow, and for each what these pairs add to its place among the others."""
+    draw = np.random.default_rng(0).normal(size=(ranks, PROJECTED))
+    return _runs(after, (np.sqrt(counts + _LITTLE) - np.sqrt(_LITTLE))[:, None] * draw[previous])
+
+
+def cluster(sums: np.ndarray, single: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """A class for every rank: the frequent ones by themselves, the others by the ranks they follow (k-means on a projection, by frequency).
+
+    ``sums`` is what all pairs add up to in ``projected``, ``single`` how often each rank occurs.
+    """
+    n = len(single)
     own = min(OWN_CLASS, n)
     classes = np.arange(n)
-    rest = np.arange(own, n)
-    if not len(rest):
+    if own == n:
         return classes
-    many = min(CLASSES - own, len(rest))
-    left = pairs.T + 0.01
-    left = np.sqrt(left / left.sum(axis=1, keepdims=True))
-    draw = np.random.default_rng(0)
-    points = left @ draw.normal(size=(n, 32))
-    points = points[rest]
-    centers = points[np.linspace(0, len(rest) - 1, many).astype(int)]
-    for _ in range(rounds):
+    constant = np.sqrt(_LITTLE) * np.random.default_rng(0).normal(size=(n, PROJECTED)).sum(axis=0)
+    points = ((sums + constant) / np.sqrt(single + _LITTLE * n)[:, None])[own:]
+    weight = single[own:].astype(float)
+    seen = np.flatnonzero(weight)
+    many = max(1, min(CLASSES - own, len(seen)))
+    centers = points[seen[np.linspace(0, len(seen) - 1, many).astype(int)]] if len(seen) else points[:1]
+    for turn in range(rounds + 1):
         near = ((points**2).sum(1)[:, None] - 2 * points @ centers.T + (centers**2).sum(1)).argmin(axis=1)
-        for c in range(many):
-            if (near == c).any():
-                centers[c] = points[near == c].mean(axis=0)
-    classes[rest] = own + near
+        for c in range(many if turn < rounds else 0):
+            if weight[near == c].any():
+                centers[c] = np.average(points[near == c], axis=0, weights=weight[near == c])
+    classes[own:] = own + near
     return classes
 
 
+@dataclass
+class Inside:
+    """Natural log probability of a rank given its class and the rank before, asked like a matrix: ``inside[previous, next]``.
+
+    ``pairs`` are sorted codes ``previous * ranks + next``; a pair that is not among them was never counted.
+    """
+
+    pairs: np.ndarray
+    counts: np.ndarray
+    share: np.ndarray  # of a rank in its class
+    classes: np.ndarray
+    by_class: np.ndarray  # [previous, class]: counts
+
+    def __getitem__(self, asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        previous, after = (np.asarray(a).astype(np.int64) for a in asked)
+        n = np.zeros(previous.shape)
+        if len(self.pairs):
+            code = previous * len(self.share) + after
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            n = np.where(self.pairs[at] == code, self.counts[at], 0)
+        return np.log((n + 2 * self.share[after]) / (self.by_class[previous, self.classes[after]] + 2)).astype(_F)
+
+
 @dataclass
 class Counted:
-    """What the model takes from counts; ``inside[previous, next]`` and ``classes_after[previous, class]`` are natural logarithms."""
+    """What the model takes from counts; ``inside`` and ``classes_after[previous, class]`` are natural logarithms."""
 
     classes: np.ndarray
-    inside: np.ndarray
-    classes_after: np.ndarray
+    inside: Inside
+    chance: np.ndarray  # of each class
+
+    def __post_init__(self):
+        by_class = self.inside.by_class
+        self.classes_after = np.empty(by_class.shape, dtype=_F)
+        for i in range(0, len(by_class), RANKS):
+            own = by_class[i:i + RANKS].astype(float)
+            self.classes_after[i:i + RANKS] = np.log((own + 4 * self.chance) / (own.sum(axis=1, keepdims=True) + 4))
+
+    @classmethod
+    def of_classes(cls, classes: np.ndarray, single: np.ndarray, by_class: np.ndarray, little: np.ndarray | float = 0.1) -> Counted:
+        """From how often each rank occurs, ``little`` added, and how often a class follows it; ``inside`` holds no pair yet."""
+        single = single + little
+        total = np.bincount(classes, single)
+        none = np.empty(0, dtype=np.int64)
+        return cls(classes, Inside(none, none, single / total[classes], classes, by_class.astype(_F)), total / total.sum())
+
+    def __reduce__(self) -> tuple:
+        """Sent without its zeros and logarithms: a few counts per rank instead of two numbers per rank and class."""
+        cells = np.flatnonzero(self.inside.by_class)
+        counts, small = self.inside.by_class.ravel()[cells], np.uint32 if self.inside.by_class.size < 1 << 32 else np.int64
+        return _unpacked, (self.classes.astype(np.uint8), self.inside.share, self.chance, cells.astype(small), counts)
 
     @classmethod
     def of(cls, pairs: np.ndarray) -> Counted:
-        """``pairs[previous, next]``: how often one rank follows another."""
-        n = len(pairs)
-        classes = cluster(pairs)
-        k = max(int(classes.max()) + 1, 1)
-        member = np.zeros((n, k))
+        """``pairs[previous, next]``: how often one rank follows another, for few ranks."""
+        n, single = len(pairs), pairs.sum(axis=0)
+        previous, after = np.nonzero(pairs)
+        sums = np.zeros((n, PROJECTED))
+        follow, own = projected(previous, after, pairs[previous, after], n)
+        sums[follow] = own
+        classes = cluster(sums, single)
+        member = np.zeros((n, classes.max() + 1))
         member[np.arange(n), classes] = 1
-        single = pairs.sum(axis=0) + 0.1
-        share = single / (single @ member)[classes]
-        by_class = pairs @ member
-        inside = (pairs + 2 * share) / (by_class[:, classes] + 2)
-        chance = (single @ member) / single.sum()
-        after = (by_class + 4 * chance) / (pairs.sum(axis=1, keepdims=True) + 4)
-        return cls(classes, np.log(inside).astype(_F), np.log(after).astype(_F))
+        counted = cls.of_classes(classes, single, pairs @ member)
+        counted.inside.pairs, counted.inside.counts = previous * n + after, pairs[previous, after]
+        return counted
+
+
+def _unpacked(classes: np.ndarray, share: np.ndarray, chance: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> Counted:
+    by_class, none = np.zeros((len(classes), len(chance)), dtype=_F), np.empty(0, dtype=np.int64)
+    by_class.ravel()[cells] = counts
+    classes = classes.astype(np.int64)
+    return Counted(classes, Inside(none, none, share, classes, by_class), chance)
 
 
 def fresh_weights(ranks: int, classes: int) -> dict[str, np.ndarray]:
@@ -117,6 +184,15 @@ def log_classes(z: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the positions that count, and its gradient. ``y`` are classes."""
+    loss, used, grads = _gradients(w, counted, x, y, counts)
+    for name in _TABLES:
+        rows, grads[name] = grads[name], np.zeros_like(w[name])
+        grads[name][used] = rows
+    return loss, grads
+
+
+def _gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
+    """The same, and the ranks that occur: of weights with a row per rank only their rows."""
     z, (q, k, v, a, h) = forward(w, counted, x)
     n = max(1, int(counts.sum()))
     loss = -float((log_classes(z, y) * counts).sum()) / n
@@ -131,14 +207,9 @@ def gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.n
     d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
     near = np.bincount(np.maximum(_BACK, 0).ravel(), weights=(d_s.sum(axis=0) * (_BACK >= 0)).ravel(), minlength=WINDOW)
     d_s *= _F(WIDTH**-0.5)
-    grads = {"out": d_out, "near": near.astype(_F)}
-    # Sums per rank by sorted runs: several times faster than numpy's add.at.
-    order = np.argsort(x, axis=None, kind="stable")
-    used, runs = np.unique(x.ravel()[order], return_index=True)
-    for name, d in (("query", np.matmul(d_s, k)), ("key", np.matmul(d_s.transpose(0, 2, 1), q)), ("value", d_v), ("gate", d_o)):
-        grads[name] = np.zeros_like(w[name])
-        grads[name][used] = np.add.reduceat(d.reshape(-1, WIDTH)[order], runs, axis=0)
-    return loss, grads
+    rows = np.concatenate([np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), d_v, d_o], axis=2)
+    used, rows = _runs(x.ravel(), rows.reshape(-1, 4 * WIDTH))
+    return loss, used, {"out": d_out, "near": near.astype(_F), **dict(zip(_TABLES, np.split(rows, 4, axis=1)))}
 
 
 def _places(begins: np.ndarray, n: int, step: int, context: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,26 +234,33 @@ def windows(ranks: np.ndarray, begins: np.ndarray = _ONE_TEXT) -> tuple[np.ndarr
     starts, ends, _ = _places(begins, len(ranks) - 1, WINDOW)
     at = starts[:, None] + np.arange(WINDOW + 1)
     inside = at <= ends[:, None]
-    return np.where(inside, ranks[np.minimum(at, len(ranks) - 1)], 0).astype("<u2"), inside[:, 1:]
+    return np.where(inside, ranks[np.minimum(at, len(ranks) - 1)], 0).astype("<u4"), inside[:, 1:]
+
 
+def train(w: dict[str, np.ndarray], counted: Counted, windows: np.ndarray, valid: np.ndarray, rate: float, batch: int = 64, seed: int = 0) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """One pass of Adam over windows of WINDOW + 1 ranks, in an order shuffled by their content; ``valid`` marks positions with a successor.
 
-def train(w: dict[str, np.ndarray], counted: Counted, windows: np.ndarray, valid: np.ndarray, rate: float, batch: int = 64, seed: int = 0) -> dict[str, np.ndarray]:
-    """One pass of Adam over windows of WINDOW + 1 ranks, in an order shuffled by their content; ``valid`` marks positions with a successor."""
+    A rank's rows change in the steps that it occurs in. Returns the weights and in how many steps each rank occurred.
+    """
     w = {k: v.copy() for k, v in w.items()}
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    steps = np.zeros(len(w["query"]), dtype=np.int64)
     content = np.zeros(len(windows), dtype=np.uint64)
     for column in windows.T:
         content = content * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64)
     order = np.argsort(content, kind="stable")[np.random.default_rng(seed).permutation(len(windows))]
     for t, i in enumerate(range(0, len(order), batch), 1):
         rows = windows[order[i:i + batch]].astype(np.int64)
-        _, grads = gradients(w, counted, rows[:, :-1], counted.classes[rows[:, 1:]], valid[order[i:i + batch]])
+        _, used, grads = _gradients(w, counted, rows[:, :-1], counted.classes[rows[:, 1:]], valid[order[i:i + batch]])
+        steps[used] += 1
         for name, g in grads.items():
-            m[name] += _F(0.1) * (g - m[name])
-            s[name] += _F(0.02) * (g * g - s[name])
-            step = rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(s[name] / (1 - 0.98**t)) + 1e-8)
-            w[name] -= step.astype(_F)
-    return w
+            at = used if name in _TABLES else slice(None)
+            first, second = m[name][at], s[name][at]
+            first = first + _F(0.1) * (g - first)
+            second = second + _F(0.02) * (g * g - second)
+            m[name][at], s[name][at] = first, second
+            w[name][at] -= (rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.98**t)) + 1e-8)).astype(_F)
+    return w, steps
 
 
 def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, begins: np.ndarray = _ONE_TEXT, batch: int = 128) -> np.ndarray:

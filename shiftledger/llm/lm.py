@@ -3,13 +3,15 @@
 Texts become chunks: per chunk a list of its distinct words with their subword ids, and every document as numbers into that list.
 Word counts meet by bucket of the word's hash, one line per chunk and bucket, and go back to the chunks the same way; so
 the exact count of every word reaches every document although neither words nor counts are ever gathered in one place. The model
-(see ``attention``) takes its counts from all training text. Its attention weights are trained data-parallel: every task
-runs Adam over its share of the windows, and weights are averaged between rounds.
+(see ``attention``) takes its counts from all training text: those of pairs of subwords meet and go back in the same way, by bucket of the pair.
+What is gathered has a line per subword id, whatever the text. Attention weights are trained data-parallel: every task
+runs Adam over its share of the windows, and weights are averaged between rounds, those of an id over the tasks that saw it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ STEPS = 600  # that every task makes at least, over all rounds
 BATCH = 64
 RATE = 0.01
 _WINDOWS_PER_TASK = 8192
-_PARTS = 8  # the weights are averaged in so many parts
+_PARTS = 64  # sums with a line per subword id are taken in so many parts
+_SUMS = "part long, ids binary, sums binary"
 _BUCKETS_PER_PARTITION = 4
 _CHUNK = "kind int, chunk long, bucket int, words binary, counts binary, docs binary, known binary, lengths binary, flat binary, subwords binary, sizes binary, place binary"
 _REQUEST, _TEXT, _SINGLES = 0, 1, 2
@@ -141,17 +144,115 @@ def _meet(bucket: pa.Table) -> pa.Table:
 
 
 class Ranks:
-    """Subword ids by frequency: rank 0 is the end mark, the last rank all that are rarer."""
+    """Subword ids by frequency, each that training text has with a rank of its own: rank 0 is the end mark. The last rank is of ids it never has."""
 
     def __init__(self, singles: np.ndarray):
-        end = len(singles) - 1
-        order = np.argsort(-singles, kind="stable")
-        order = np.concatenate([[end], order[order != end]])[:attention.RANKS - 1]
-        self.of = np.full(len(singles), attention.RANKS - 1, dtype=np.int32)
+        end, found = len(singles) - 1, int(np.count_nonzero(singles[:-1]))
+        order = np.append(end, np.argsort(-singles[:-1], kind="stable")[:found])
+        self.size, unseen = len(order) + 1, max(1, len(singles) - len(order))
+        self.of = np.full(len(singles), self.size - 1, dtype=np.int32)
         self.of[order] = np.arange(len(order))
-        rare = np.where(self.of == attention.RANKS - 1, singles + 0.1, 0)
-        #: Natural log probability of an id given its rank.
-        self.inside = np.log(np.where(rare > 0, rare / max(rare.sum(), 1e-9), 1)).astype(np.float32)
+        #: How often each rank occurs in training text, and what is added for each of its ids.
+        self.counts, self.little = np.append(singles[order], 0), np.append(np.full(len(order), 0.1), 0.1 * unseen)
+        #: Natural log probability of an id given its rank: nothing tells those never seen apart.
+        self.alone = np.where(self.of == self.size - 1, -np.log(unseen), 0).astype(np.float32)
+
+    def pairs(self, ids: np.ndarray) -> np.ndarray:
+        """A code for each id and the one before it, the first behind an end mark."""
+        seen = np.append(0, self.of[ids]).astype(np.int64)
+        return seen[:-1] * self.size + seen[1:]
+
+
+def _dealt(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of their buckets, and where in this order each bucket ends."""
+    bucket = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
+
+
+def _ask_pairs(batches: Iterator[pa.RecordBatch], ranks: Ranks, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each chunk's distinct pairs by bucket, and how often each is in its training text."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            text = _Text(row)
+            ids, begins = text.subwords(np.ones(len(text.lengths), dtype=bool))
+            codes, which = np.unique(ranks.pairs(ids), return_inverse=True)
+            learn = np.repeat(~text.held, np.diff(np.append(begins, len(ids))))
+            counts = np.bincount(which[learn], minlength=len(codes))
+            order, ends = _dealt(codes, buckets)
+            found, start = [], 0
+            for bucket, end in enumerate(ends.tolist()):
+                if end > start:
+                    own = order[start:end]
+                    found.append((row["chunk"], bucket, codes[own].astype("<i8").tobytes(), counts[own].astype("<i4").tobytes()))
+                start = end
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "pairs", "counts"]
+            )
+
+
+def _meet_pairs(bucket: pa.Table) -> pa.Table:
+    """The count of every pair, for each chunk in the order it asked; one more line, of chunk -1, with all pairs that training text has."""
+    asked = [np.frombuffer(p, "<i8") for p in bucket["pairs"].to_pylist()]
+    counts = [np.frombuffer(c, "<i4") for c in bucket["counts"].to_pylist()]
+    codes, which = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.bincount(which, np.concatenate(counts)).astype("<i8")
+    answers = np.split(total[which], np.cumsum([len(a) for a in asked])[:-1])
+    nothing, learned = [None] * len(asked), total > 0
+    return pa.table({
+        "chunk": pa.array([*bucket["chunk"].to_pylist(), -1], pa.int64()), "bucket": pa.array([*bucket["bucket"].to_pylist(), None], pa.int32()),
+        "pairs": pa.array([*nothing, codes[learned].tobytes()], pa.binary()),
+        "counts": pa.array([*(a.tobytes() for a in answers), total[learned].tobytes()], pa.binary()),
+    })
+
+
+def _in_parts(ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    part = ids % _PARTS
+    for p in np.unique(part).tolist():
+        own = part == p
+        yield pa.RecordBatch.from_arrays([
+            pa.array([p], pa.int64()), pa.array([ids[own].astype("<i8").tobytes()], pa.binary()), pa.array([rows[own].astype("<f8").tobytes()], pa.binary()),
+        ], names=["part", "ids", "sums"])
+
+
+def _summed(rows: DataFrame, size: int, width: int) -> np.ndarray:
+    """Sums of rows of numbers by id, a line for each id up to size."""
+
+    def add(part: pa.Table) -> pa.Table:
+        # One table's rows at a time: a part has one line per id, a task's rows may be as many.
+        ids = np.unique(np.concatenate([np.frombuffer(i, "<i8") for i in part["ids"].to_pylist()]))
+        total = np.zeros((len(ids), width))
+        for own, sums in zip(part["ids"], part["sums"]):
+            total[np.searchsorted(ids, np.frombuffer(own.as_py(), "<i8"))] += np.frombuffer(sums.as_py(), "<f8").reshape(-1, width)
+        return pa.table({"part": part["part"].slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((size, width))
+    for line in rows.groupBy("part").applyInArrow(add, _SUMS).toArrow().to_batches():
+        for ids, sums in zip(line["ids"], line["sums"]):
+            out[np.frombuffer(ids.as_py(), "<i8")] = np.frombuffer(sums.as_py(), "<f8").reshape(-1, width)
+    return out
+
+
+def _count(pairs: DataFrame, ranks: Ranks) -> attention.Counted:
+    """Classes and their counts, from all distinct pairs of training text with their counts."""
+    n = ranks.size
+
+    def read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        codes, counts = (np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(r[c], "<i8") for r in rows)]) for c in ("pairs", "counts"))
+        return codes // n, codes % n, counts
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_parts(*attention.projected(*read(batches), n))
+
+    classes = attention.cluster(_summed(pairs.mapInArrow(project, _SUMS), n, attention.PROJECTED), ranks.counts)
+    many = int(classes.max()) + 1
+
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        previous, after, counts = read(batches)
+        cell, which = np.unique(previous * many + classes[after], return_inverse=True)
+        yield from _in_parts(cell, np.bincount(which, counts, minlength=len(cell)))
+
+    return attention.Counted.of_classes(classes, ranks.counts, _summed(pairs.mapInArrow(by_class, _SUMS), n * many, 1).reshape(n, many), ranks.little)
 
 
 def _learned(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,18 +265,9 @@ def _learned(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[tuple[
                 yield np.append(0, ranks.of[ids]).astype(np.int64), begins
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[pa.RecordBatch]:
-    n = attention.RANKS
-    pairs = np.zeros(n * n, dtype=np.int64)
-    for seen, _ in _learned(batches, ranks):
-        pairs += np.bincount(seen[:-1] * n + seen[1:], minlength=n * n)
-    used = np.flatnonzero(pairs)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(pairs[used])], names=["pair", "n"])
-
-
 def _windows(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     size = attention.WINDOW + 1
-    cut = [(np.empty((0, size), "<u2"), np.empty((0, size - 1), bool)), *(attention.windows(*seen) for seen in _learned(batches, ranks))]
+    cut = [(np.empty((0, size), "<u4"), np.empty((0, size - 1), bool)), *(attention.windows(*seen) for seen in _learned(batches, ranks))]
     return tuple(np.concatenate(c) for c in zip(*cut))
 
 
@@ -187,8 +279,9 @@ def _train(texts: DataFrame, ranks: Ranks, subwords: int, counted: attention.Cou
     spark, n = texts.sparkSession, -(-subwords // attention.WINDOW)
     dealt = texts.coalesce(max(1, min(shuffle_partitions(spark), n // _WINDOWS_PER_TASK)))
     tasks = dealt.rdd.getNumPartitions()
-    names = list(weights)
-    starts = np.cumsum([0] + [weights[k].size for k in names])
+    tables, others, ids = ("query", "key", "value", "gate"), ("near", "out"), ranks.size
+    width, sizes = 4 * attention.WIDTH, np.cumsum([weights[k].size for k in others])
+    lines = -(-int(sizes[-1]) // width)
     rounds = max(2, -(-STEPS * BATCH * max(1, tasks) // n)) if n else 0
     rounds = min(rounds, STEPS // 20)  # a handful of windows is not learned by heart
     for number in range(rounds):
@@ -199,26 +292,26 @@ def _train(texts: DataFrame, ranks: Ranks, subwords: int, counted: attention.Cou
             data, valid = _windows(batches, ranks)
             if not len(data):
                 return
-            got = attention.train(now, counts, data, valid, RATE * (1 - number / rounds), BATCH, number)  # noqa: B023
-            flat = np.concatenate([got[k].ravel() for k in names]).astype("<f4")
-            parts = np.array_split(flat, _PARTS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(_PARTS)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "weights"]
-            )
-
-        mean = dealt.mapInArrow(run, "part long, weights binary").groupBy("part").applyInArrow(_mean, "part long, weights binary")
-        flat = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(mean.collect(), key=lambda r: r["part"])])
-        weights = {k: flat[a:b].reshape(weights[k].shape) for k, a, b in zip(names, starts[:-1], starts[1:])}
+            got, steps = attention.train(now, counts, data, valid, RATE * (1 - number / rounds), BATCH, number)  # noqa: B023
+            # An id's weights count by the steps in which the task changed them, the others alike; the last number of a line is what it counts.
+            used = np.flatnonzero(steps)
+            rows = np.column_stack([*(got[k][used] for k in tables), np.ones(len(used))]) * steps[used][:, None]
+            rest = np.resize(np.concatenate([got[k].ravel() for k in others]), (lines, width))
+            yield from _in_parts(np.append(used, ids + np.arange(lines)), np.concatenate([rows, np.column_stack([rest, np.ones(lines)])]))
+
+        sums = _summed(dealt.mapInArrow(run, _SUMS), ids + lines, width + 1)
+        shared.destroy()
+        used = np.flatnonzero(sums[:ids, -1])
+        mean = (sums[:, :-1] / np.maximum(sums[:, -1:], 1)).astype(np.float32)
+        weights = {k: v.copy() for k, v in weights.items()}
+        for k, rows in zip(tables, np.split(mean[used], 4, axis=1)):
+            weights[k][used] = rows
+        if sums[ids:, -1].any():
+            for k, flat in zip(others, np.split(mean[ids:].ravel()[:sizes[-1]], sizes[:-1])):
+                weights[k] = flat.reshape(weights[k].shape)
     return weights
 
 
-def _mean(part: pa.Table) -> pa.Table:
-    """The average of one part of the weights over all tasks."""
-    total = sum(np.frombuffer(w, "<f4").astype(np.float64) for w in part["weights"].to_pylist())
-    mean = (total / part.num_rows).astype("<f4").tobytes()
-    return pa.table({"part": pa.array([part["part"][0].as_py()], pa.int64()), "weights": pa.array([mean], pa.binary())})
-
-
 def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; scores are log10 of whole texts.
 
@@ -254,13 +347,15 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
     ranks = Ranks(singles)
 
     texts_alone = texts.select("docs", "known", "lengths", "flat", "subwords", "sizes")
-    pair = texts_alone.mapInArrow(lambda b: _pairs(b, ranks), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(attention.RANKS**2)
-    pairs[pair["pair"].to_numpy()] = pair["n"].to_numpy()
-    counted = attention.Counted.of(pairs.reshape(attention.RANKS, attention.RANKS))
+    pair_buckets = shuffle_partitions(spark)
+    asked = texts.mapInArrow(lambda b: _ask_pairs(b, ranks, pair_buckets), "chunk long, bucket int, pairs binary, counts binary")
+    pairs = written(asked.groupBy("bucket").applyInArrow(_meet_pairs, asked.schema), "pair-counts", "zstd")
+    counted = _count(pairs.where("chunk = -1").select("pairs", "counts").coalesce(_PARTS), ranks)
     weights = _train(
-        texts_alone, ranks, int(singles.sum()), counted,
-        attention.fresh_weights(attention.RANKS, counted.classes_after.shape[1]),
+        texts_alone, ranks, int(singles.sum()), counted, attention.fresh_weights(*counted.classes_after.shape)
+    )
+    answers = answers.where("chunk >= 0").union(
+        pairs.where("chunk >= 0").select("chunk", (F.col("bucket") + buckets).alias("bucket"), "counts")
     )
     model = spark.sparkContext.broadcast((ranks, counted, weights))
 
@@ -270,14 +365,18 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
         for row in left.to_pylist():
             text = _Text(row)
             counts = np.empty(len(text._sizes), dtype=np.int64)
-            counts[np.frombuffer(row["place"], "<u4")] = np.frombuffer(b"".join(c for _, c in got), "<i8")
+            counts[np.frombuffer(row["place"], "<u4")] = np.frombuffer(b"".join(c for b, c in got if b < buckets), "<i8")
             base = np.log10((counts + 0.1) / (tokens + 0.1 * (distinct + 1)))
             starts = np.cumsum(text.lengths) - text.lengths
             per_doc = lambda values: np.add.reduceat(values, starts, dtype=np.float64)  # noqa: B023, E731
             ranks, counted, weights = model.value
             ids, begins = text.subwords(np.ones(len(starts), dtype=bool))
             seen = np.append(0, ranks.of[ids]).astype(np.int64)
-            log = attention.score(weights, counted, seen, begins) + ranks.inside[ids]
+            codes = np.unique(ranks.pairs(ids))
+            often = np.empty(len(codes), dtype=np.int64)
+            often[_dealt(codes, pair_buckets)[0]] = np.frombuffer(b"".join(c for b, c in got if b >= buckets), "<i8")
+            counted.inside = replace(counted.inside, pairs=codes, counts=often)
+            log = attention.score(weights, counted, seen, begins) + ranks.alone[ids]
             scores = np.add.reduceat(log, begins, dtype=np.float64) / np.log(10)
             parts.append(pa.table({
                 "doc_id": pa.array(text.docs, mask=~text.has_id), "held_out": pa.array(text.held),
@@ -288,7 +387,7 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
             }))
         return pa.concat_tables(parts) if parts else _NOTHING
 
-    return texts.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(judge, _SCORED)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, _SCORED)
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -1,7 +1,9 @@
 """Personal data, language, exact and near copies, language model and the pipeline against plain walks."""
 
 import collections
+import json
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -374,6 +376,20 @@ def test_equal_texts_have_equal_scores(spark):
     assert all(math.isclose(min(own), max(own), rel_tol=1e-4) for own in scores.values())
 
 
+def test_rare_subwords_have_a_context(spark):
+    spell, draw = lm.encoder(BYTE), random.Random(9)
+    vocabulary = json.loads(pathlib.Path(BYTE).read_text())["model"]["vocab"]
+    names = sorted(t[1:] for t in vocabulary if re.fullmatch("\u0120[a-z]{4,}", t))
+    names = [w for w, n in zip(names, spell.spell(names)[1].tolist()) if n == 1][:3000]
+    after = dict(zip(names, names[1:] + names[:1]))
+    text = lambda own, then: " ".join(f"{w} {then[w]}" for w in own)
+    own = names[2000:2950:50]  # rarer than the first 2,000
+    rows = [(i, text(draw.sample(names[:2000], 50) + draw.sample(names[2000:], 10), after), None, None) for i in range(800)]
+    rows += [(10_000, text(own, after), None, None), (10_001, text(own, dict(zip(own, [after[w] for w in own[1:] + own[:1]]))), None, None)]
+    found = {r["doc_id"]: r["score"] for r in rows_of(lm.score(documents(spark, rows), BYTE))}
+    assert len(names) == 3000 and found[10_000] > found[10_001] + 10  # the same words, behind others
+
+
 def test_the_model_beats_counting_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = lm.score(docs, BYTE).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
