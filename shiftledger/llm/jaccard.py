@@ -308,7 +308,7 @@ class _Verifier:
     def _sets(self, needed: DataFrame) -> DataFrame:
         """``class, hashes`` of the classes needed. A bitmap of fixed size keeps other texts from being worked on."""
         spark = self._docs.sparkSession
-        spot = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
+        spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_BITS))  # int and long hash differently
         asked = self._classes.join(needed, "class", "left_semi").select(spot.alias("spot"))
         words = asked.groupBy((F.col("spot") / 64).cast("int").alias("word")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")

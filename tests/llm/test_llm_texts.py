@@ -264,6 +264,14 @@ def test_neighbourhoods_meet_at_one_difference():
         assert full.sum() == len(jaccard.keys([one], [band])[0]) and set(key[full].tolist()) == set(jaccard.keys([one], [band])[0].tolist())
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_ids_of_other_types_find_the_same_copies(spark, kind):
+    docs = documents(spark, near_copies(3, 20))
+    found, same = (sorted(tuple(r) for r in jaccard.jaccard_components(d).select("doc_id", "n_shingles", "component_id").collect())
+                   for d in (docs, docs.withColumn("doc_id", F.col("doc_id").cast(kind))))
+    assert found == same and any(c != i for i, n, c in found if n)
+
+
 def test_jaccard_without_rows(spark):
     assert jaccard.jaccard_components(documents(spark, [])).count() == 0
 
