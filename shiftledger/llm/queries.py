@@ -138,7 +138,8 @@ def _repair_sql() -> str:
                    unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy
             FROM (SELECT *, xor(crc, 4294967295) % 20 AS m FROM given) WHERE m <> 0
         ), placed AS (
-            SELECT *, left(role, 1) AS i, regexp_replace(text, '[ 	-]+$', '') AS bare,
+            SELECT *, left(role, 1) AS i, regexp_replace(text, '[ 	-
+]+$', '') AS bare,
                    row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n
             FROM told
         ), judged AS (
@@ -172,14 +173,14 @@ def _repair_sql() -> str:
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": r"""
         WITH vectors AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            SELECT q.n AS query_row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.n <> c.n AND len(q.v) = len(c.v)
         ), ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+            SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id)::INT AS rank FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op8_exact_dedup": r"""

@@ -1,6 +1,6 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Candidates are dealt into shards of bounded size by a hash of their id. Each shard builds a ball tree and serves a block of queries at a
+Candidates are dealt into shards of bounded size by a hash of their row. Each shard builds a ball tree and serves a block of queries at a
 time: nodes are taken in the order of their greatest upper bound (centre times query plus radius times the query's
 length), a query goes down only where the bound reaches its current k-th score, and scores in leaves raise that score for the whole block.
 The current k-th scores are shared between shards: first every query runs against the shard it lives in, then it
@@ -32,9 +32,8 @@ _NO_FLOOR = -(2**62)
 class BallTree:
     """Splits at the median of the direction between two far points until a leaf is small."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray, leaf: int = LEAF):
         self.order = np.arange(len(vectors))
-        self.vectors, self.ids = vectors, ids
         self.center: list[np.ndarray] = []
         self.radius: list[float] = []
         self.span: list[tuple[int, int]] = []
@@ -62,11 +61,11 @@ class BallTree:
             half = (stop - start) // 2
             self.order[start:stop] = rows[np.argpartition(along, half)]
             stack += [(start + half, stop, node, 1), (start, start + half, node, 0)]
-        self.vectors, self.ids = vectors[self.order], ids[self.order]
+        self.vectors, self.ids, self.numbers = vectors[self.order], ids[self.order], numbers[self.order]
         self.centers, self.radii = np.array(self.center), np.array(self.radius)
 
     def search(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query numbers, ids and scores of each query's k best here (ties: smaller id) that reach its floor; ``own`` ids do not count.
+        """Query numbers, ids and scores of each query's k best here (ties: smaller id) that reach its floor; the row ``own`` does not count.
 
         All numbers are integers below 2**53, so sums in floating point are exact; bounds get a margin for rounding.
         """
@@ -99,18 +98,18 @@ class BallTree:
             start, stop = self.span[node]
             ids = self.ids[start:stop]
             scores = queries[which] @ self.vectors[start:stop].T
-            scores[ids[None, :] == own[which, None]] = -np.inf
+            scores[self.numbers[None, start:stop] == own[which, None]] = -np.inf
             scores[scores < current[which, None]] = -np.inf
             hit = np.flatnonzero((scores > -np.inf).any(axis=1))
             if not len(hit):
                 continue
-            rows = which[hit]
-            all_scores = np.concatenate([best[rows], scores[hit]], axis=1)
-            all_ids = np.concatenate([best_ids[rows], np.broadcast_to(ids, (len(hit), len(ids)))], axis=1)
+            some = which[hit]
+            all_scores = np.concatenate([best[some], scores[hit]], axis=1)
+            all_ids = np.concatenate([best_ids[some], np.broadcast_to(ids, (len(hit), len(ids)))], axis=1)
             order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-            best[rows] = np.take_along_axis(all_scores, order, axis=1)
-            best_ids[rows] = np.take_along_axis(all_ids, order, axis=1)
-            current[rows] = np.maximum(current[rows], best[rows, k - 1])
+            best[some] = np.take_along_axis(all_scores, order, axis=1)
+            best_ids[some] = np.take_along_axis(all_ids, order, axis=1)
+            current[some] = np.maximum(current[some], best[some, k - 1])
         row, place = np.nonzero(best > -np.inf)
         return row, best_ids[row, place], best[row, place].astype(np.int64)
 
@@ -119,9 +118,9 @@ def _search_cell(k: int) -> Callable[[pa.Table], pa.Table]:
     """One shard and one block of queries, told apart by ``floor``, which only queries have."""
 
     def run(cell: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        found: list[list[np.ndarray]] = [[], [], []]
-        ids, sizes = cell["vec_id"].to_numpy(), cell["size"].to_numpy()
+        names = ["query_row", "query_id", "vec_id", "score"]
+        found: list[list[np.ndarray]] = [[] for _ in names]
+        ids, numbers, sizes = cell["vec_id"].to_numpy(), cell["row"].to_numpy(), cell["size"].to_numpy()
         asks = cell["floor"].is_valid().to_numpy()
         floors = cell["floor"].fill_null(0).to_numpy()
         flat = cell["vector"].combine_chunks()
@@ -131,9 +130,12 @@ def _search_cell(k: int) -> Callable[[pa.Table], pa.Table]:
             if not len(candidates) or not len(queries):
                 continue
             take = lambda rows: values[starts[rows][:, None] + np.arange(size)]  # noqa: B023, E731
-            tree = BallTree(take(candidates), ids[candidates])
-            row, vec, score = tree.search(take(queries), ids[queries], floors[queries], k)
-            for column, part in zip(found, (ids[queries][row], vec, score)):
+            tree, asked = BallTree(take(candidates), ids[candidates], numbers[candidates]), take(queries)
+            longest = lambda vectors: math.sqrt(float((vectors**2).sum(axis=1).max()))
+            if longest(tree.vectors) * longest(asked) >= 2**53:
+                raise ValueError("scores of 2**53 and more are not exact; quantize more coarsely")
+            row, vec, score = tree.search(asked, numbers[queries], floors[queries], k)
+            for column, part in zip(found, (numbers[queries][row], ids[queries][row], vec, score)):
                 column.append(part)
         return pa.table([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in found], names=names)
 
@@ -150,24 +152,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "vect
     """``query_id, rank, vec_id, score``: the k candidates of greatest inner product for every query.
 
     ``vectors`` has ``vec_id`` and an array of whole numbers; ``is_query`` picks the queries by ``vec_id``. Ties go to the
-    smaller id; with fewer candidates than k all are returned. Rows without id or vector take no part. A row is known by its
-    id: of rows that repeat an id, the one with the smallest vector counts, and a query never finds its own id.
-    Vectors of different length are not compared. The vectors' scores must stay below 2**53.
+    smaller id; with fewer candidates than k all are returned. Rows without id or vector take no part. Rows that repeat an id are
+    candidates, and queries, of their own: a query finds every row but itself, so perhaps another of its id, and answers of queries with one id stand
+    beside each other. Vectors of different length are not compared. Scores from 2**53 on raise an error, since they would not be exact.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = written(
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("vector"))
         .where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
-        .groupBy("vec_id").agg(F.min("vector").alias("vector")),
+        .withColumn("row", F.monotonically_increasing_id()),
         "vectors",
     ).withColumn("size", F.size("vector"))
     asks = rows.where(is_query)
     shards = max(_MIN_SHARDS, math.ceil(rows.count() / SHARD_ROWS))
     blocks = max(1, math.ceil(asks.count() / BLOCK_QUERIES))
-    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
-    fields = ("vec_id", "vector", "size", "floor", "shard", "block")
-    schema = "query_id long, vec_id long, score long"
+    shard, block = F.pmod(F.xxhash64("row"), F.lit(shards)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks))
+    fields = ("row", "vec_id", "vector", "size", "floor", "shard", "block")
+    schema = "query_row long, query_id long, vec_id long, score long"
 
     def search(candidates: DataFrame, queries: DataFrame) -> DataFrame:
         cells = candidates.select(*fields).union(queries.select(*fields))
@@ -180,12 +182,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "vect
         "home-hits",
     )
     # The k-th score at home bounds what any other shard may still add.
-    floors = home.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).select(
-        F.col("query_id").alias("vec_id"), F.when(F.col("n") == k, F.col("score")).otherwise(F.lit(_NO_FLOOR)).alias("floor")
+    floors = home.groupBy("query_row").agg(F.min("score").alias("score"), F.count("*").alias("n")).select(
+        F.col("query_row").alias("row"), F.when(F.col("n") == k, F.col("score")).otherwise(F.lit(_NO_FLOOR)).alias("floor")
     )
     numbers = F.sequence(F.lit(0), F.lit(shards - 1))
     abroad = (
-        asks.join(floors, "vec_id", "left").withColumns({"floor": F.coalesce("floor", F.lit(_NO_FLOOR)), "block": block, "home": shard})
+        asks.join(floors, "row", "left").withColumns({"floor": F.coalesce("floor", F.lit(_NO_FLOOR)), "block": block, "home": shard})
         .withColumn("shard", F.explode(numbers)).where(F.col("shard") != F.col("home"))
     )
     everywhere = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -193,6 +195,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "vect
     # Of a query's hits only the k best of each shard are left, so its group is small.
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k)
     return (
-        home.union(away).groupBy("query_id").agg(best.alias("hits")).select("query_id", F.posexplode("hits").alias("at", "hit"))
+        home.union(away).groupBy("query_row", "query_id").agg(best.alias("hits")).select("query_id", F.posexplode("hits").alias("at", "hit"))
         .select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.down")).alias("score"))
     )

@@ -13,19 +13,28 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain(rows, k):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(64 * x) for x in v]
-            ok[i] = min(ok.get(i, q), q)
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     found = []
-    for q, a in ok.items():
+    for n, (q, a) in enumerate(ok):
         if q % 20 == 0:
-            hits = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok.items() if i != q and len(a) == len(b))[:k]
-            found += [(q, n, i, -s) for n, (s, i) in enumerate(hits, 1)]
+            hits = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(ok) if m != n and len(a) == len(b))[:k]
+            found += [(q, place, i, -s) for place, (s, i) in enumerate(hits, 1)]
     return sorted(found)
 
 
+def test_rows_of_one_id_are_candidates_of_their_own(spark):
+    rows = [(20, [1]), (1, [1]), (1, [5]), (20, [3])]
+    df = spark.createDataFrame([(i, [64 * x for x in v]) for i, v in rows], "vec_id bigint, vector array<bigint>")
+    found = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 2).collect())
+    assert found == [(20, 1, 1, 20480), (20, 1, 1, 61440), (20, 2, 1, 12288), (20, 2, 20, 12288)]
+
+
+def test_scores_that_would_not_be_exact_are_refused(spark):
+    df = spark.createDataFrame([(20, [1 << 27]), (1, [1 << 27])], "vec_id bigint, vector array<bigint>")
+    with pytest.raises(Exception, match="not exact"):
+        topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
+
+
 @pytest.mark.parametrize("ties", [False, True])
 def test_top_k_is_exact(spark, monkeypatch, ties):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
