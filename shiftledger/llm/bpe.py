@@ -5,6 +5,11 @@ recursive query holds one token list per word. In each step every list unfolds i
 token; these join the merge table, the least rank (leftmost on ties) wins per word, and that pair is contracted. A word
 without a pair in the merge table leaves the recursion. Decoding joins position rows with the vocabulary and
 aggregates the bytes in order.
+
+A step costs the length of the words in it, so a long word is cut into pieces, which the query takes as words of their own. Then the
+borders are settled. Tokens stand as in the whole word if any two neighbours, joined and encoded, give themselves again: a merge across a
+border, the first there is, joins an end of one neighbour with a beginning of the other, out of merges that a run on these two makes just
+so, in the same order. Where a border fails, some tokens around it are encoded anew, and the borders of that stretch are looked at next.
 """
 
 from __future__ import annotations
@@ -39,11 +44,13 @@ _CONTRACT = f"""
 ENCODE = f"""
     WITH RECURSIVE step(w, toks) AS (SELECT w, toks FROM words UNION ALL {_CONTRACT})
     SELECT w, arg_min(toks, len(toks)) AS toks FROM step GROUP BY w ORDER BY w"""
-#: For long words: keeps the last step only, at some more work a step.
+#: For long stretches: keeps the last step only, at some more work a step.
 ENCODE_LONG = f"""
     WITH RECURSIVE step(w, toks) USING KEY (w) AS (SELECT w, toks FROM words UNION {_CONTRACT})
     SELECT w, toks FROM step ORDER BY w"""
-_LONG = 256
+_LONG = 256  # bytes; longer words go in pieces
+_PIECE = 32
+_PIECES = 8192  # encoded together
 
 DECODE = """
     SELECT p.w, string_agg(v.hex, '' ORDER BY p.pos) AS hex
@@ -79,6 +86,7 @@ class Bpe:
 
         self._matches = regex.compile(pattern).findall
         self._ranks = load_ranks(path)
+        self._token = {rank: token for token, rank in self._ranks.items()}
         self._bytes = np.array([self._ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": os.path.abspath(os.environ.get("TMPDIR", "/tmp"))})
         merges = merge_table(self._ranks)
@@ -90,9 +98,9 @@ class Bpe:
         self._db.execute("CREATE TABLE merges AS FROM given_merges; CREATE TABLE vocabulary AS FROM given_vocabulary")
         self._known = Recent(None, _CACHE_WORDS)
 
-    def _encode_words(self, words: list[bytes]) -> pa.Table:
-        """Token lists in the order of the words; a word that is itself a token is that token."""
-        tokens = [self._ranks.get(w) for w in words]
+    def _encode_words(self, words: list[bytes], whole: bool = True) -> pa.Table:
+        """Token lists in the order of the words; a whole word that is itself a token is that token."""
+        tokens = [self._ranks.get(w) if whole else None for w in words]
         data = np.frombuffer(b"".join(w for w, t in zip(words, tokens) if t is None), np.uint8)
         sizes = [len(w) if t is None else 1 for w, t in zip(words, tokens)]
         flat = np.empty(sum(sizes), dtype=np.int32)
@@ -103,8 +111,58 @@ class Bpe:
         self._db.register("words", pa.table({"w": pa.array(np.arange(len(words)), pa.int32()), "toks": lists}))
         return self._db.sql(ENCODE_LONG if max(sizes) > _LONG else ENCODE).to_arrow_table()
 
+    def _encode_parts(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The tokens of parts of words, each by itself."""
+        distinct = list(dict.fromkeys(parts))
+        found: dict[bytes, np.ndarray] = {}
+        for i in range(0, len(distinct), _PIECES):
+            lists = self._encode_words(distinct[i:i + _PIECES], whole=False)["toks"].combine_chunks()
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            found |= zip(distinct[i:i + _PIECES], np.split(lists.flatten().to_numpy(), ends[:-1]))
+        return [found[p] for p in parts]
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """The tokens of a long word: of its pieces, with the borders between them settled."""
+        if word in self._ranks:
+            return np.array([self._ranks[word]], dtype=np.int32)
+        parts = self._encode_parts([word[i:i + _PIECE] for i in range(0, len(word), _PIECE)])
+        tokens, around = np.concatenate(parts), 4
+        borders = np.cumsum([len(p) for p in parts])[:-1]  # the tokens right of them
+        while len(borders):
+            pairs, which = np.unique(np.stack([tokens[borders - 1], tokens[borders]], axis=1), axis=0, return_inverse=True)
+            again = self._encode_parts([self._token[a] + self._token[b] for a, b in pairs.tolist()])
+            holds = np.array([r.tolist() == p for r, p in zip(again, pairs.tolist())])
+            wrong = borders[~holds[which.ravel()]]
+            stretches: list[list[int]] = []
+            for at in wrong.tolist():
+                low, high = max(0, at - around), min(len(tokens), at + around)
+                if stretches and low <= stretches[-1][1]:
+                    stretches[-1][1] = high
+                else:
+                    stretches.append([low, high])
+            fresh = self._encode_parts([b"".join([self._token[t] for t in tokens[a:b].tolist()]) for a, b in stretches])
+            out, borders, done, n = [], [], 0, 0
+            for (low, high), new in zip(stretches, fresh):
+                n += low - done
+                borders += [n, n + len(new)]
+                out += [tokens[done:low], new]
+                n, done = n + len(new), high
+            n += len(tokens) - done
+            tokens = np.concatenate([*out, tokens[done:]])
+            borders = np.array([b for b in borders if 0 < b < n], dtype=np.int64)
+            around *= 2
+        return tokens
+
     def _learn(self, words: list[str]) -> None:
-        encoded = self._encode_words([w.encode() for w in words])
+        data = [w.encode() for w in words]
+        long = [len(d) > _LONG for d in data]
+        if short := [w for w, x in zip(words, long) if not x]:
+            self._keep(short, self._encode_words([d for d, x in zip(data, long) if not x]))
+        for word, coded in ((w, self._encode_long(d)) for w, d, x in zip(words, data, long) if x):
+            lists = pa.ListArray.from_arrays(pa.array([0, len(coded)], pa.int32()), pa.array(coded, pa.int32()))
+            self._keep([word], pa.table({"w": pa.array([0], pa.int32()), "toks": lists}))
+
+    def _keep(self, words: list[str], encoded: pa.Table) -> None:
         self._db.register("encoded", encoded)
         decoded = self._db.sql(DECODE).to_arrow_table()["hex"].to_pylist()
         lists = encoded["toks"].combine_chunks()
@@ -119,9 +177,8 @@ class Bpe:
         self._known.turn()
         cut = [self._matches(t) for t in texts]
         new = self._known.lacking(set().union(*cut))
-        for long in (False, True):
-            if words := [w for w in new if (len(w) > _LONG // 4) == long]:
-                self._learn(words)
+        if new:
+            self._learn(list(new))
         out, get = [], self._known.__getitem__
         for words in cut:
             found = list(map(get, words))
@@ -138,7 +195,7 @@ def bpe(path: str, pattern: str) -> Bpe:
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids, decoded`` of every row; ids are little-endian unsigned 32-bit, decoded the bytes.
 
-    Null text is empty and has no ids. Ids may be null or repeat; other columns are ignored. Texts are never cut.
+    Null text is empty and has no ids. Ids may be null or repeat; other columns are ignored. Texts and words are taken whole, however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """Packing, packed files, token counts and BPE against the tokenizer libraries."""
 
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -195,3 +197,22 @@ def test_bpe_equals_tiktoken_and_decodes(spark):
     key = lambda doc_id, ids, text: (doc_id is None, doc_id or 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
     wanted = sorted(key(r[0], np.array(library.encode_ordinary(r[1] or ""), "<u4").tobytes(), (r[1] or "").encode()) for r in rows)
     assert sorted(key(r["doc_id"], r["ids"], r["decoded"]) for r in found) == wanted
+
+
+def test_long_words_equal_tiktoken_in_time():
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    own, draw = bpe.Bpe(RANKS, public_tokenizers.PATTERN), random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzéß"
+    common = ["tion", "the", "ing", "er", "re", "con", "ment", "ly"]
+    words = [
+        "".join(draw.choice(letters) for _ in range(100_000)), "".join(draw.choice(common) for _ in range(25_000)), "x" * 20_001, "ab" * 5_003, "abc" * 4_001,
+        "=" * 3_333, "é" * 2_001, " " * 5_000 + "x", "".join(draw.choice("aab") for _ in range(9_000)), "9" * 3_000,
+        *("".join(draw.choice(draw.choice([letters, "ab", "the"])) for _ in range(draw.randint(257, 900))) for _ in range(60)),
+    ]
+    start = time.process_time()
+    found = own.encode(words)
+    assert time.process_time() - start < 90
+    for word, (ids, text) in zip(words, found):
+        assert text == word.encode() and ids == np.array(library.encode_ordinary(word), "<u4").tobytes()
