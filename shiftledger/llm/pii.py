@@ -31,8 +31,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").match
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 #: Behind a scheme: a name or password before the host makes an address personal.
 _USER_AT_HOST = re.compile(r"[^\s/?#@]+@[A-Za-z0-9.-]*[A-Za-z0-9](?::[0-9]+)?").match
-_NUMBER = re.compile(r"[\x20\t]*(?:number|no\.?|nr\.?|num\.?)?[\x20\t]*[:=#]?[\x20\t]*([A-Z]{0,2}[0-9]+(?:[\x20-]?[A-Z]*[0-9]+)*)").match
-_VALUE = re.compile(r"[\x20\t]*[:=][\x20\t]*[\"']?([A-Za-z0-9_/+=-]{12,})").match
+#: What stands between a cue and its value. White space is read once and never given back.
+_TO_NUMBER = re.compile(r"[\x20\t]*+(?:number|no\.?|nr\.?|num\.?)?[\x20\t]*+[:=#]?[\x20\t]*+").match
+_TO_VALUE = re.compile(r"[\x20\t]*+[:=][\x20\t]*+[\"']?").match
+_NUMBER = re.compile(r"[A-Z]{0,2}[0-9]+(?:[\x20-]?[A-Z]*[0-9]+)*").match
+_VALUE = re.compile(r"[A-Za-z0-9_/+=-]+").match
+#: The longest account number that is looked at; 34 characters with a separator before each are the most that can be valid.
+_NUMBER_CHARS = 80
+_VALUE_CHARS = 12  # the shortest secret
+_IBAN_CHARS = 34
 _ACCOUNT_CUES = ("account", "acct", "iban", "konto", "compte", "cuenta", "ssn", "passport")
 _SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey")
 
@@ -48,7 +55,7 @@ def luhn(digits: str) -> bool:
 def iban(code: str) -> bool:
     """ISO 13616: country and check digits moved to the end, letters as 10 to 35, remainder 1 by 97."""
     code = re.sub(r"[\x20-]", "", code)
-    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    return len(code) <= _IBAN_CHARS and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
 @lru_cache(maxsize=1)
@@ -72,7 +79,7 @@ def _anchors():
 def find(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) by start, then kind; code points, end exclusive."""
     found: set[tuple[int, int, int]] = set()
-    email_end = ip_end = card_end = phone_end = digits_end = 0
+    email_end = ip_end = card_end = phone_end = digits_end = value_end = 0
     for at, what in _anchors().iter(text):
         if what == "digit":
             if at < digits_end:
@@ -107,16 +114,23 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if start < at - 2 and (m := _USER_AT_HOST(text, at + 1)):
                 found.add((start, 5, m.end()))
         elif what == "account":
-            if m := _NUMBER(text, at + 1):
-                code = m.group(1)
+            start = _TO_NUMBER(text, at + 1).end()
+            # Cues may stand inside one another's numbers, so none reads far.
+            m = _NUMBER(text, start, start + _NUMBER_CHARS + 1)
+            if m and m.end() - start <= _NUMBER_CHARS:
+                code = m.group()
                 if code[:2].isalpha() and code[2:4].isdigit():
                     valid = iban(code)
                 else:
                     valid = 6 <= sum(c.isdigit() for c in code) <= 34
                 if valid:
-                    found.add((m.start(1), 4, m.end(1)))
-        elif m := _VALUE(text, at + 1):
-            found.add((m.start(1), 6, m.end(1)))
+                    found.add((start, 4, m.end()))
+        elif m := _TO_VALUE(text, at + 1):
+            start = m.end()
+            if start >= value_end:  # else the run that holds the start is known already
+                value_end = run.end() if (run := _VALUE(text, start)) else start
+            if value_end - start >= _VALUE_CHARS:
+                found.add((start, 6, value_end))
     return [(KINDS[kind], start, end) for start, kind, end in sorted(found)]
 
 
@@ -131,7 +145,12 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans`` of every row; spans are an array of (kind, start, end) in order. Null text has none."""
+    """``doc_id, spans`` of every row; spans are an array of (kind, start, end) in order.
+
+    Null, empty and blank texts have none. Rows that repeat are answered each for itself, ids may be null, other columns are ignored. Spans of
+    different kinds may overlap, and a cue inside another's value adds a span with the same end; within a base kind they never overlap. Texts are read whole, in
+    time that grows with their length: a run of any one character costs no more than other text. Account numbers of more than 80 characters are none.
+    """
     kind = "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
     shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -146,7 +165,7 @@ def spans(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """The rows with personal data masked in ``text`` and, where there is such a column, ``n_chars`` counted anew.
 
-    Rows, other columns and null texts stay as they are.
+    Rows (repeated ones too), other columns and null texts stay as they are. Spans that overlap become one mask, named after the first.
     """
     ship(docs.sparkSession)
     schema = to_arrow_schema(docs.schema)
