@@ -28,6 +28,10 @@ WINDOW = 2048
 #: Target shares are fractions of this. With it, 64-bit numbers last for 2**34 rounds of 2048 tokens.
 _SCALE = 1 << 18
 _NO_SOURCE = "\0"
+_CELLS = 1 << 18  # rounds times sources looked at together
+_IDS = 1 << 20  # bytes of ids placed together
+_STRETCH = 1 << 16  # tokens of one queue placed together
+_PIECES = 1 << 17  # pieces returned together
 
 
 class Phase:
@@ -47,17 +51,30 @@ class Phase:
         return rounds.reshape(-1, 1) * self._credit // self._sum
 
     def chunks(self, k: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of tokens a to b - 1 of the k-th source's queue, counted from this phase on: starts, ends, places in the stream."""
-        credit = int(self._credit[k])
-        first = ((a + 1) * self._sum + credit - 1) // credit - 1  # the round that serves token a
-        last = (b * self._sum + credit - 1) // credit - 1
-        rounds = np.arange(first, last + 2, dtype=np.int64)
-        served = self.upto(rounds)
-        mine, step = served[:, k], np.diff(served, axis=0)
-        begin = self.start + served[:-1].sum(axis=1) + step[:, :k].sum(axis=1) - mine[:-1]
-        lo, hi = np.maximum(mine[:-1], a), np.minimum(mine[1:], b)
+        """Of tokens a to b - 1 of the k-th source's queue, counted from this phase on: starts, ends, places in the stream.
+
+        Only rounds that serve one of these tokens are looked at, some at a time: a rare source is passed over in most.
+        """
+        credit, total = int(self._credit[k]), self._sum
+        first = ((a + 1) * total + credit - 1) // credit - 1  # the round that serves token a
+        last = (b * total + credit - 1) // credit - 1
+        in_a_row = last - first < b - a
+        n, step = last - first + 1 if in_a_row else b - a, max(1, _CELLS // len(self.sources))
+        found = []
+        for low in range(0, n, step):
+            if in_a_row:
+                served = self.upto(np.arange(first + low, first + min(n, low + step) + 1, dtype=np.int64))
+                now, after = served[:-1], served[1:]
+            else:  # a round serves one token at most
+                rounds = (np.arange(a + low + 1, a + min(n, low + step) + 1, dtype=np.int64) * total + credit - 1) // credit - 1
+                now, after = self.upto(rounds), self.upto(rounds + 1)
+            mine = now[:, k]
+            begin = self.start + now[:, k:].sum(axis=1) + after[:, :k].sum(axis=1) - mine
+            lo, hi = np.maximum(mine, a), np.minimum(after[:, k], b)
+            found.append((lo, hi, begin + lo))
+        lo, hi, at = (np.concatenate(x) for x in zip(*found))
         full = hi > lo
-        return lo[full], hi[full], (begin + lo)[full]
+        return lo[full], hi[full], at[full]
 
 
 class Flush:
@@ -127,6 +144,71 @@ def places(plan: list[Phase | Flush], source: int, a: int, b: int, window: int =
     return starts, ends, at
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Neighbouring stretches of a buffer as binary values, without a copy."""
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    """The ids of every text and where in its task's share of the source's queue they begin."""
+    words, part = encoder(tokenizer), TaskContext.get().partitionId()
+    small = words.vocabulary <= 1 << 16
+    stop = np.array([END], "<u4").tobytes()
+    queued: dict[str, int] = {}
+    for batch in slices(batches):
+        ids = words.encode(batch["text"].to_pylist())
+        n, before = [len(x) // 4 + 1 for x in ids], []
+        for source, count in zip(batch["source"].to_pylist(), n):
+            before.append(queued.get(source, 0))
+            queued[source] = before[-1] + count
+        flat = np.frombuffer(stop.join([*ids, b""]), "<u4")
+        flat = flat.astype("<u2") if small else flat
+        yield pa.RecordBatch.from_arrays([
+            batch["doc_id"], batch["source"], pa.array(np.full(len(ids), part, np.int32)), pa.array(before, pa.int64()), pa.array(n, pa.int64()),
+            _binary(flat, np.cumsum(n) * flat.itemsize),
+        ], names=["doc_id", "source", "part", "before", "n", "ids"])
+
+
+def _place(batches: Iterator[pa.RecordBatch], plan: list[Phase | Flush], number: dict[str, int], window: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of every document. Documents that follow one another in a queue are placed together and then cut at their borders."""
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"]
+    for batch in slices(batches, "ids", _IDS):
+        n = batch["n"].to_numpy()
+        first = batch["base"].to_numpy() + batch["before"].to_numpy()
+        data = batch["ids"].to_pylist()
+        queue = np.array([number[s] for s in batch["source"].to_pylist()])
+        order = np.lexsort((first, queue))
+        follows = (queue[order][1:] == queue[order][:-1]) & (first[order][1:] == (first + n)[order][:-1])
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def pieces() -> pa.RecordBatch:
+            which, start, length, at, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            rows = pa.array(which)
+            return pa.RecordBatch.from_arrays([
+                batch["doc_id"].take(rows), pa.array(start), pa.array(length), _binary(ids, np.cumsum(length) * 4), batch["n"].take(rows),
+                pa.array(at // window), pa.array(at % window), batch["source"].take(rows),
+            ], names=names)
+
+        for rows in np.split(order, np.flatnonzero(~follows) + 1):
+            begins = first[rows]
+            joined = b"".join([data[i] for i in rows.tolist()])
+            low, high = int(begins[0]), int(begins[-1] + n[rows[-1]])
+            ids = np.frombuffer(joined, "<u2" if len(joined) < 4 * (high - low) else "<u4")
+            for a in range(low, high, _STRETCH):
+                b = min(high, a + _STRETCH)
+                starts, _, at = places(plan, int(queue[rows[0]]), a, b, window)
+                cuts = np.union1d(starts, begins[(begins > a) & (begins < b)])
+                within = np.searchsorted(starts, cuts, side="right") - 1
+                owner = np.searchsorted(begins, cuts, side="right") - 1
+                held.append((rows[owner], cuts - begins[owner], np.diff(np.append(cuts, b)), at[within] + cuts - starts[within], ids[a - low:b - low].astype("<u4")))
+                if sum(len(h[0]) for h in held) >= _PIECES:
+                    yield pieces()
+        if held:
+            yield pieces()
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Packs every token of ``docs`` (``doc_id, text, source``) into sequences of ``window`` tokens.
 
@@ -134,28 +216,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[st
     are a queue of their own. Returns one row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset, source``; ``ids`` are
     little-endian unsigned 32-bit. Every sequence is full but the last. ``targets`` gives relative token shares by
     source; sources it lacks count as 0 and are served last. By default they are the sources' shares of all tokens.
-    Ids may be null or repeat. Other columns are ignored.
-    """
-
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = encoder(tokenizer), TaskContext.get().partitionId()
-        small = words.vocabulary <= 1 << 16
-        queued: dict[str, int] = {}
-        for batch in slices(batches):
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(END)) for x in words.encode(batch["text"].to_pylist())]
-            sources, before = batch["source"].to_pylist(), []
-            for source, found in zip(sources, ids):
-                before.append(queued.get(source, 0))
-                queued[source] = before[-1] + len(found)
-            yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], batch["source"], pa.array(np.full(len(ids), part, np.int32)), pa.array(before, pa.int64()),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([x.astype("<u2").tobytes() if small else x.tobytes() for x in ids], pa.binary()),
-            ], names=["doc_id", "source", "part", "before", "n", "ids"])
+    Ids may be null or repeat, texts be of any length; an empty table gives no pieces. Other columns are ignored.
 
+    The plan has a line per source and phase, so it suits thousands of sources, not millions; what else a task holds does not grow with sources
+    or with the rarity of one. A source that is due less than a token a window gives pieces of one token.
+    """
     rows = id_and_text(docs, F.coalesce(F.col("source").cast("string"), F.lit(_NO_SOURCE)).alias("source"))
     queues = written(
-        rows.mapInArrow(tokenize, "doc_id long, source string, part int, before long, n long, ids binary"), "queues"
+        rows.mapInArrow(lambda batches: _tokenize(batches, tokenizer), "doc_id long, source string, part int, before long, n long, ids binary"), "queues"
     )
     # Where each partition's share of a queue begins: one line per partition and source.
     by_part = queues.groupBy("source", "part").agg(F.sum("n").alias("n"))
@@ -166,29 +234,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[st
     wanted = None if targets is None else [float(targets.get(None if s == _NO_SOURCE else s, 0)) for s in names]
     plan = plan_mixture(list(totals.values()), wanted, window)
     number = {s: i for i, s in enumerate(names)}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids", 1 << 20):
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            counts, pieces = [], []
-            for source, base, before, n, data in zip(*(batch[c].to_pylist() for c in ("source", "base", "before", "n", "ids"))):
-                first = base + before
-                starts, ends, at = places(plan, number[source], first, first + n, window)
-                ids = np.frombuffer(data, "<u2" if len(data) < 4 * n else "<u4").astype("<u4").tobytes()
-                starts, ends = starts - first, ends - first
-                pieces += [ids[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
-                counts.append(len(starts))
-                for column, values in zip(columns, (starts, ends - starts, at // window, at % window)):
-                    column.append(values)
-            which = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            start, length, sequence, offset = (pa.array(np.concatenate(c).astype(np.int64)) for c in columns)
-            source = batch["source"].take(which)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(which), start, length, pa.array(pieces, pa.binary()), batch["n"].take(which), sequence, offset, source],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"],
-            )
-
     placed = queues.join(base.select("source", "part", "base"), ["source", "part"]).select("doc_id", "source", "base", "before", "n", "ids").mapInArrow(
-        place, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string"
+        lambda batches: _place(batches, plan, number, window),
+        "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string"
     )
     return placed.withColumn("source", F.when(F.col("source") != _NO_SOURCE, F.col("source")))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import cached_property, lru_cache
 
 import numpy as np
 
 END = 1
+assert array("I", [1]).tobytes() == b"\1\0\0\0"  # what packed ids are made of
 _CACHE_WORDS = 600_000
 _CACHE_PIECES = 400_000
 #: Characters on which the pre-tokenizer's classes are the same in every Unicode version and regex library.
@@ -189,7 +191,7 @@ class WordCache:
         out = []
         for text in texts:
             if self._usual(text) and not any(s in text for s in self._special):
-                out.append(self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes())
+                out.append(array("I", self._fast.encode_ordinary(text)).tobytes())
             else:
                 out += self._by_word([text])
         return out

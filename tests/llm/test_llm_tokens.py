@@ -3,10 +3,13 @@
 import hashlib
 import random
 import time
+import tracemalloc
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import documents, edge_rows, rows_of
 from hypothesis import given, settings
@@ -115,6 +118,66 @@ def test_the_plan_is_a_bijection(totals, weights, window):
     assert (seen == 1).all()
 
 
+def walked(totals, targets, window):
+    """(source, token) in the order of a round-robin walked token by token, with deficits as exact fractions."""
+    left, out, active = list(totals), [], [i for i, n in enumerate(totals) if n]
+    taken = [0] * len(totals)
+    while active:
+        whole = sum(targets[i] for i in active)
+        share = [targets[i] / whole if whole > 0 else 1 / len(active) for i in active]
+        credit = [Fraction(max(1, round(x * packing._SCALE))) for x in share]
+        quantum = [window * c / sum(credit) for c in credit]
+        deficit = [Fraction(0)] * len(active)
+        while all(left[i] >= int(d + q) for i, d, q in zip(active, deficit, quantum)):
+            for j, i in enumerate(active):
+                deficit[j] += quantum[j]
+                for _ in range(int(deficit[j])):
+                    out.append((i, taken[i]))
+                    taken[i], left[i] = taken[i] + 1, left[i] - 1
+                deficit[j] -= int(deficit[j])
+        for j, i in enumerate(active):  # who cannot fill the round gives what is left
+            if left[i] < int(deficit[j] + quantum[j]) or not left[i]:
+                out += [(i, t) for t in range(taken[i], totals[i])]
+                left[i] = 0
+        active = [i for i in active if left[i]]
+    return out
+
+
+@given(totals=st.lists(st.integers(0, 300), min_size=1, max_size=5), weights=st.lists(st.integers(0, 40), min_size=5, max_size=5), window=st.integers(1, 60), cells=st.sampled_from([1, 7, 1 << 18]))
+@settings(max_examples=150, deadline=None)
+def test_places_are_those_of_a_walk(totals, weights, window, cells):
+    packing._CELLS, before = cells, packing._CELLS
+    try:
+        plan = packing.plan_mixture(totals, [float(w) for w in weights[:len(totals)]], window)
+        stream = [None] * sum(totals)
+        for source, n in enumerate(totals):
+            for a in range(0, n, 37):
+                for lo, hi, at in zip(*packing.places(plan, source, a, min(n, a + 37), window)):
+                    stream[at:at + hi - lo] = [(source, t) for t in range(lo, hi)]
+    finally:
+        packing._CELLS = before
+    assert stream == walked(totals, weights, window)
+
+
+def test_a_long_text_of_a_rare_source_is_placed_in_little_memory():
+    totals = [200_000, *[10**11] * 19]
+    plan = packing.plan_mixture(totals)
+    ids = np.arange(200_000, dtype="<u4") % 50_000
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([5]), pa.array(["s0"]), pa.array([0]), pa.array([0]), pa.array([200_000]), pa.array([ids.tobytes()], pa.binary())],
+        names=["doc_id", "source", "base", "before", "n", "ids"],
+    )
+    tracemalloc.start()
+    found, at = [], 0
+    for batch in packing._place(iter([rows]), plan, {f"s{i}": i for i in range(20)}, 2048):
+        assert batch["ids"][0].as_py() == ids[at:at + batch["length"][0].as_py()].tobytes() and batch["start"][0].as_py() == at
+        at += sum(batch["length"].to_pylist())
+        found.append(batch.num_rows)
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and pa.total_allocated_bytes() < 100e6
+    tracemalloc.stop()
+    assert at == 200_000 and sum(found) > 190_000
+
+
 def test_nothing_to_pack(spark):
     assert packing.pack(documents(spark, []), BYTE).count() == 0
 
