@@ -87,6 +87,18 @@ def of_inserts(rows: DataFrame, actor: Actor) -> DataFrame:
     return entries(rows, actor, "criar_registro", said)
 
 
+def of_submissions(changed: DataFrame, stored: DataFrame, actor: Actor) -> DataFrame:
+    """Records that a batch of submissions made or changed: ``changed`` as they are now, ``stored`` as they were."""
+    columns = [*changes.EDITED, "operador_nome", "data_registro"]
+    before = stored.select("id", *[F.col(c).alias(f"{c}_antes") for c in columns], F.lit(True).alias("_havia"))
+    beside = changed.join(before, "id", "left")
+    parts = _changes(columns, "{}_antes", "{}")
+    updated = entries(
+        beside.where(F.col("_havia") & F.coalesce(*parts).isNotNull()), actor, "atualizar_registro", F.concat_ws("; ", _subject("registro"), *parts)
+    )
+    return of_inserts(beside.where("_havia IS NULL"), actor).unionByName(updated)
+
+
 def of_plan(schedule: DataFrame, payloads: DataFrame, actor: Actor) -> DataFrame:
     """Plan lines that were inserted or replaced."""
     lines = changes.judge_plan_upsert(schedule, payloads)

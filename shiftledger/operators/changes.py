@@ -16,8 +16,12 @@ from shiftledger.functions.roles import is_management
 from shiftledger.functions.text import none_if_blank, strip
 from shiftledger.operators.numbering import highest_id, number_missing
 from shiftledger.operators.plan import normalize_payloads
+from shiftledger.sources.schemas import RECORDS
 
 EDITED = ["cliente_nome", "status", "justificativa"]
+CONTENT = [c for c in RECORDS.names if c != "id"]
+NO_RECORD = "registro desconhecido"
+_BEFORE_ALL = -(2**63)  # the place of a submission that gives none
 NO_CLIENT = "cliente não informado"
 NO_NOTE = "justificativa obrigatória"
 BAD_STATUS = "status inválido"
@@ -66,6 +70,28 @@ def ingest_records(batch: DataFrame, users: DataFrame, as_of: datetime) -> DataF
     )
 
 
+def settle(submitted: DataFrame, stored: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+    """What valid submissions change in the table, and those that name no record.
+
+    Only the table gives ids: a submission without one is a new record and gets the next free id after ``top``, in ``ordem`` order; one with an id
+    is meant for the record of that id, stored or made by an earlier ``ordem`` of this batch. Of several the greatest (``ordem``, content) stays, and it
+    must be greater than what is stored. So the same submissions give the same records however they are cut into batches, as long as new records come in
+    ``ordem`` order. ``stored`` holds the rows of the ids that are named, with ``ordem`` and ``ordem_criacao``; so do the changed rows that are returned.
+    """
+    rows = submitted.select("id", *CONTENT, F.coalesce("ordem", F.lit(_BEFORE_ALL)).alias("ordem"))
+    new = number_missing(rows.where("id IS NULL"), top, ["ordem", *CONTENT]).withColumn("ordem_criacao", F.col("ordem"))
+    content = F.struct("ordem", *CONTENT)
+    known = stored.select("id", *CONTENT, "ordem", "ordem_criacao").unionByName(new).select(
+        F.col("id").alias("_id"), content.alias("_antes"), F.col("ordem_criacao").alias("_criacao")
+    )
+    met = rows.where("id IS NOT NULL").join(known, F.col("id") == F.col("_id"), "left")
+    unknown = F.col("_id").isNull() | F.coalesce(F.col("ordem") <= F.col("_criacao"), F.lit(False))
+    newer = F.col("_antes.ordem").isNull() | (content > F.col("_antes"))
+    last = met.where(~unknown & newer).groupBy("id").agg(F.max(content).alias("_linha"), F.max("_criacao").alias("ordem_criacao"))
+    last = last.select("id", "_linha.*", "ordem_criacao")
+    return new.join(last, "id", "left_anti").unionByName(last), met.where(unknown).select("id", *CONTENT, "ordem")
+
+
 def last_per_id(rows: DataFrame) -> DataFrame:
     """The row of greatest ``ordem`` per id, without ``ordem``; rows without an id name no record and fall out.
 
@@ -195,23 +221,35 @@ def delete_by_id(df: DataFrame, tombstones: DataFrame) -> DataFrame:
     return df.join(gone, "id", "left_anti")
 
 
+REPLACED, INSERTED, OUTDATED = "substituída", "incluída", "superada"
+
+
+def judge_plan_payloads(schedule: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Every payload with its verdict: a new line, a replaced one, outdated by a later payload, or meant for a line that does not exist."""
+    known = schedule.where("id IS NOT NULL").select("id", F.lit(True).alias("_existe"))
+    last = payloads.where("id IS NOT NULL").groupBy("id").agg(F.max("ordem").alias("_ultima"))
+    verdict = (
+        F.when(F.col("id").isNull(), INSERTED).when(F.col("_existe").isNull(), UNKNOWN)
+        .when(F.col("ordem") < F.col("_ultima"), OUTDATED).otherwise(REPLACED)
+    )
+    return payloads.join(known, "id", "left").join(last, "id", "left").select("ordem", "id", verdict.alias("resultado"))
+
+
 def judge_plan_upsert(schedule: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The plan lines a batch of payloads leaves: the last ``ordem`` per id, new lines numbered; ``novo`` where inserted.
+    """The plan lines a batch of payloads leaves: the last ``ordem`` per known id, new lines numbered; ``novo`` where inserted.
 
-    A payload without an id is a line of its own and gets the next free id, in ``ordem`` order.
+    A payload without an id is a line of its own and gets the next free id, in ``ordem`` order. One with an id that no line has changes nothing
+    (``judge_plan_payloads`` tells).
     """
     rows = normalize_payloads(payloads)
     fields = [c for c in schedule.columns if c != "id"]
     winner = last_per_id(rows.select("id", "ordem", *fields))
-    top = highest_id(schedule, rows)
-    fresh = number_missing(rows.where("id IS NULL"), top, ["ordem"]).select("id", *fields)
-    known = schedule.where("id IS NOT NULL").select("id", F.lit(False).alias("novo"))
-    return winner.join(known, "id", "left").withColumn("novo", F.coalesce("novo", F.lit(True))).unionByName(
-        fresh.withColumn("novo", F.lit(True))
-    )
+    fresh = number_missing(rows.where("id IS NULL"), highest_id(schedule), ["ordem"]).select("id", *fields)
+    known = schedule.where("id IS NOT NULL").select("id")
+    return winner.join(known, "id", "left_semi").withColumn("novo", F.lit(False)).unionByName(fresh.withColumn("novo", F.lit(True)))
 
 
 def upsert_schedule(schedule: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The plan after a batch of payload rows: replaced by id, else inserted."""
+    """The plan after a batch of payload rows: known lines replaced, new ones appended."""
     changed = judge_plan_upsert(schedule, payloads).drop("novo")
     return schedule.join(changed, "id", "left_anti").unionByName(changed)

@@ -43,6 +43,13 @@ def expected_pairs(schedule: DataFrame, first: date, last: date) -> DataFrame:
     )
 
 
+def plan_days(schedule: DataFrame, first: date, last: date) -> DataFrame:
+    """The expected pairs with a line for the day itself (no pair) besides, so that a stream of them moves on over days without a plan."""
+    pairs = expected_pairs(schedule, first, last)
+    days = schedule.sparkSession.range((last - first).days + 1).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("dia"))
+    return pairs.unionByName(days, allowMissingColumns=True)
+
+
 def reported_pairs(records: DataFrame, first: date, last: date) -> DataFrame:
     """Distinct reported pairs per day; repeated reports collapse before the shuffle."""
     return records.where(between_days(first, last)).select(

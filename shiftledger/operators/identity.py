@@ -6,10 +6,7 @@ Three notions of identity stay apart: the operator key (first token, unaccented)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftledger.functions.domain import EMPTY_CELL, NO_NAME
@@ -18,9 +15,7 @@ from shiftledger.functions.text import (
     WHITESPACE, first_token, none_if_blank, operator_key, slug, space_token, strip,
 )
 from shiftledger.operators.ranking import rank_in_group
-from shiftledger.session import cut_lineage, ship_with_tasks, shuffle_partitions
-
-ship_with_tasks(__name__)
+from shiftledger.session import cut_lineage
 
 GRAM = 3  # letters of the substrings that names are looked up by
 
@@ -165,6 +160,38 @@ def schedule_visibility(users: DataFrame, schedule: DataFrame) -> DataFrame:
     return names_holding(viewers, "nome_busca", plan_names(schedule), "nome_escala")
 
 
+def operator_numbers(schedule: DataFrame) -> DataFrame:
+    """The distinct plan operators, numbered from 1 in the order of their names."""
+    return rank_in_group(plan_names(schedule), [], ["nome_escala"], "numero")
+
+
+def visibility_bitmaps(users: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Which operators a limited viewer name sees, as bitmaps: a line per name and stretch (``faixa``) of 32,768 operator numbers.
+
+    ``numbered`` is ``operator_numbers``, kept beside the result. A name no longer than a gram takes the operators of that gram, each a bit that combines before the
+    shuffle; only names found in few operators by their rarest part are looked up one by one. So even one-letter names that everybody holds leave
+    as many lines as there are names and stretches, not pairs.
+    """
+    viewers = _viewers(users).where("nome_busca IS NOT NULL").select("nome_busca").distinct()
+    grams = name_grams(numbered, "nome_escala").join(viewers.where(F.length("nome_busca") <= GRAM), F.col("_grama") == F.col("nome_busca"))
+    long = names_holding(viewers.where(F.length("nome_busca") > GRAM), "nome_busca", numbered.select("nome_escala"), "nome_escala")
+    held = grams.select("nome_busca", "nome_escala").unionByName(long).join(numbered, "nome_escala")
+    return held.groupBy("nome_busca", F.bitmap_bucket_number("numero").alias("faixa")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("operadores")
+    )
+
+
+def lines_seen_by(schedule: DataFrame, numbered: DataFrame, bitmaps: DataFrame, viewer: str) -> DataFrame:
+    """The plan lines of the operators whose bit is set for one viewer name."""
+    own = bitmaps.where(F.col("nome_busca") == viewer.strip(WHITESPACE).lower()).select("faixa", "operadores")
+    at = F.bitmap_bit_position("numero")
+    byte = F.conv(F.hex(F.substring(F.col("operadores"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(bitmap_bit_position(numero) % 8 as int)) & 1") == 1
+    seen = numbered.join(own, F.bitmap_bucket_number("numero") == F.col("faixa")).withColumn("_byte", byte).where(bit).select("nome_escala")
+    name = F.coalesce(none_if_blank("operador"), F.lit(EMPTY_CELL))
+    return schedule.join(seen, name == F.col("nome_escala"), "left_semi")
+
+
 def viewer_scopes(users: DataFrame, schedule: DataFrame) -> DataFrame:
     """Whether a user sees only lines under the own name (``propria``) or the whole plan (``geral``).
 
@@ -204,6 +231,40 @@ def names_without_account(schedule: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+AS_WRITTEN_OR_NOT = "UNICODE_CI_AI"  # neither case nor accents count
+
+
+def _collated(token: Column) -> Column:
+    """Only what the slug keeps, compared by collation instead of being rewritten."""
+    return F.collate(F.regexp_replace(token, r"[^\p{L}\p{N}\p{M}]", ""), AS_WRITTEN_OR_NOT)
+
+
+def names_without_account_collated(schedule: DataFrame, users: DataFrame) -> DataFrame:
+    """Plan names whose first token equals no user's under the collation; no accent map is involved."""
+    names = schedule.select(none_if_blank("operador").alias("nome")).where("nome IS NOT NULL").distinct()
+    used = users.where(F.coalesce("nome", F.lit("")) != "").select(_collated(space_token("nome")).alias("_chave")).distinct()
+    return names.withColumn("_chave", _collated(space_token("nome"))).join(used, "_chave", "left_anti").select("nome").orderBy("nome")
+
+
+def spellings_by_collation(records: DataFrame) -> DataFrame:
+    """Operator names that the collation takes as one, by first token: a spelling, how many spellings, how many rows."""
+    tokens = records.select(space_token(strip("operador_nome")).alias("nome")).where("nome <> ''").groupBy("nome").agg(F.count("*").alias("linhas"))
+    return tokens.groupBy(_collated(F.col("nome")).alias("_chave")).agg(
+        F.min("nome").alias("nome"), F.count("*").alias("grafias"), F.sum("linhas").alias("linhas")
+    ).drop("_chave")
+
+
+def collation_differences(names: DataFrame, column: str) -> DataFrame:
+    """Names that slug and collation class differently: equal slugs under several collation keys, or one collation key over several slugs."""
+    told = names.select(F.col(column).alias("nome")).where("nome IS NOT NULL").distinct().select(
+        "nome", slug(F.col("nome")).alias("slug"), _collated(F.col("nome")).alias("_chave")
+    )
+    apart = told.groupBy("slug").agg(F.count_distinct("_chave").alias("n")).where("n > 1").select("slug")
+    joined = told.groupBy("_chave").agg(F.count_distinct("slug").alias("n")).where("n > 1").select("_chave")
+    split = told.join(apart, "slug", "left_semi").select("nome", "slug", F.lit("separados").alias("diferenca"))
+    return split.unionByName(told.join(joined, "_chave", "left_semi").select("nome", "slug", F.lit("juntos").alias("diferenca")))
+
+
 def _taken_suffixes(taken: DataFrame, bases: DataFrame) -> DataFrame:
     """(base, suffix) for every existing name that is a wanted base plus a usable suffix.
 
@@ -228,88 +289,129 @@ def _taken_suffixes(taken: DataFrame, bases: DataFrame) -> DataFrame:
     )
 
 
-def _next_free(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
-    """The k-th newcomer of a base takes the k-th free suffix.
+def _below(rows: DataFrame, mark: str, name: str, many: bool = True) -> DataFrame:
+    """Per row how many marked rows of its base have a smaller suffix.
 
-    A taken suffix t that is the j-th of its base has t - j free places before it. Put taken
-    suffixes at t - j and newcomers at k, newcomers first on a tie: the position of a newcomer
-    in this merged order is its suffix.
+    Where there are many rows, stretches of suffixes are summed first, so that no base is one group.
     """
-    used = _taken_suffixes(taken, newcomers.select("base").distinct())
-    both = newcomers.select("base", F.lit(0).alias("_tipo"), F.col("id").alias("_chave")).unionByName(
-        used.select("base", F.lit(1).alias("_tipo"), F.col("sufixo").alias("_chave"))
-    )
-    counted = rank_in_group(both, ["base", "_tipo"], ["_chave"], "_n")
-    place = F.when(F.col("_tipo") == 0, F.col("_n")).otherwise(F.col("_chave") - F.col("_n"))
-    merged = rank_in_group(counted.withColumn("_lugar", place), ["base"], ["_lugar", "_tipo", "_chave"], "sufixo")
-    number = F.when(F.col("sufixo") == 1, "").otherwise(F.col("sufixo").cast("string"))
-    return merged.where("_tipo = 0").select(
-        F.col("_chave").alias("id"), "base", F.concat("base", number).alias("username")
-    )
+    if not many:
+        lower = Window.partitionBy("base").orderBy("sufixo").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum(mark).over(lower), F.lit(0)))
+    stretch = rows.withColumn("_trecho", F.shiftright("sufixo", _STRETCH_BITS))
+    sums = stretch.groupBy("base", "_trecho").agg(F.sum(mark).alias("_n"))
+    earlier = Window.partitionBy("base").orderBy("_trecho").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("base", "_trecho").orderBy("sufixo").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("base", "_trecho", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_antes"))
+    counted = F.col("_antes") + F.coalesce(F.sum(mark).over(inside), F.lit(0))
+    return stretch.join(sums, ["base", "_trecho"]).withColumn(name, counted).drop("_trecho", "_antes")
+
+
+def _meeting_bases(counted: DataFrame) -> DataFrame:
+    """The bases of families in which one ends in a digit, with the highest suffix (``ate``) that each can come to.
+
+    A base comes no further than its family has newcomers and it has taken names.
+    """
+    bases = counted.groupBy("base").agg(F.count_if(F.col("_tipo") == 0).alias("n"), F.count_if(F.col("_tipo") == 1).alias("t"))
+    family = Window.partitionBy(F.regexp_replace("base", _DIGITS, ""))
+    told = bases.where("n > 0").withColumns({
+        "ate": F.sum("n").over(family) + F.col("t"), "_mistura": F.max(F.col("base").rlike(r"\d$")).over(family),
+    })
+    return told.where("_mistura").select("base", "ate")
 
 
-_TAKEN, _NEWCOMER = 0, 1
-_DIGITS = r"\d+$"
+def _shared_names(bases: DataFrame) -> DataFrame:
+    """The names that several bases come to: (``nome``, ``base``, ``sufixo``), a line for each base.
 
+    Base "x.y2" with suffix 3 and base "x.y" with suffix 23 are one name. There are about a tenth as many shared names as newcomers of such families.
+    """
+    digits = F.least(F.length(F.regexp_extract("base", r"(\d*)$", 1)), F.lit(_LONGEST))
+    cuts = F.transform(F.sequence(F.lit(1), digits), lambda k: F.struct(
+        F.substring(F.col("base"), F.lit(1), F.length("base") - k).alias("curta"), F.substring(F.col("base"), F.length("base") - k + 1, k).alias("d"),
+    ))
+    longer = bases.where(F.col("base").rlike(r"\d$")).select(F.col("base").alias("longa"), F.col("ate").alias("ate_longa"), F.explode(cuts).alias("c"))
+    pairs = longer.select("longa", "ate_longa", "c.curta", F.col("c.d").cast("bigint").alias("d"), F.col("c.d").alias("_texto")).where(~F.col("_texto").startswith("0"))
+    pairs = pairs.join(bases.select(F.col("base").alias("curta"), "ate"), "curta")
+
+    def span(size: Column) -> Column:  # suffixes of the longer base that have so many digits, and what their place adds to the shorter one's
+        ten = F.pow(F.lit(10), size).cast("bigint")
+        fits = F.col("d") <= F.expr("ate") / ten
+        return F.struct(
+            F.greatest(F.lit(2).cast("bigint"), (ten / 10).cast("bigint")).alias("de"),
+            F.when(fits, F.least(ten - 1, F.col("ate_longa"), F.col("ate") - F.col("d") * ten)).otherwise(0).alias("ate_s"), ten.alias("dez"),
+        )
+
+    bare = F.struct(F.lit(1).cast("bigint").alias("de"), F.when((F.col("d") > 1) & (F.col("d") <= F.col("ate")), 1).otherwise(0).cast("bigint").alias("ate_s"), F.lit(1).cast("bigint").alias("dez"))
+    spans = F.concat(F.array(bare), F.transform(F.sequence(F.lit(1), F.lit(_LONGEST - 1)), span))
+    found = pairs.select("longa", "curta", "d", F.explode(F.filter(spans, lambda x: x["ate_s"] >= x["de"])).alias("x")).select("longa", "curta", "d", "x.*")
+    size = F.lit(1 << _STRETCH_BITS).cast("bigint")
+    found = found.withColumn("_de", F.explode(F.sequence("de", "ate_s", size))).withColumn(
+        "s", F.explode(F.sequence(F.col("_de"), F.least(F.col("_de") + size - 1, F.col("ate_s"))))
+    )
+    name = F.concat("longa", F.when(F.col("s") == 1, "").otherwise(F.col("s").cast("string")))
+    short = F.when(F.col("s") == 1, F.col("d")).otherwise(F.col("d") * F.col("dez") + F.col("s"))
+    return found.select(name.alias("nome"), F.inline(F.array(
+        F.struct(F.col("longa").alias("base"), F.col("s").alias("sufixo")), F.struct(F.col("curta").alias("base"), short.alias("sufixo")),
+    ))).distinct()
 
-def _fold_families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Give names one newcomer after the other; rows come by family, taken names first, then newcomers by id.
 
-    A name is taken if it was before, or if it is a base plus a number that the base has already passed: what a base passes
-    over is taken anyway. So per family only the taken names and one number per base are kept, however many newcomers there are.
+def _lost(bases: DataFrame, counted: DataFrame) -> DataFrame:
+    """The (base, suffix) that a base finds given away, because another base came to that name first.
+
+    A base comes to a suffix with the newcomer whose number is the suffix less what is taken or lost before it; the first to come has the name. Which
+    names are lost before depends on the same rule, so it is applied until nothing changes. A round settles at least the earliest name that
+    was still wrong, for what decides it lies earlier; so there are no more rounds than shared names, and in practice a few. What stands in the end is
+    what a walk in id order gives.
     """
-    family, taken, passed = None, set(), {}
-
-    def free(name: str) -> bool:
-        if name in taken:
-            return False
-        stem = len(name.rstrip("0123456789"))
-        for cut in range(stem, len(name) + 1):
-            number = name[cut:]
-            if number and (number[0] == "0" or number == "1"):
-                continue  # no suffix is written like this
-            if int(number or 1) <= passed.get(name[:cut], 0):
-                return False
-        return True
-
-    for batch in batches:
-        ids, bases, names = [], [], []
-        for stem, kind, key, base in batch[["familia", "tipo", "chave", "base"]].itertuples(index=False, name=None):
-            if stem != family:
-                family, taken, passed = stem, set(), {}
-            if kind == _TAKEN:
-                taken.add(base)
-                continue
-            number = passed.get(base, 0) + 1
-            while not free(base if number == 1 else f"{base}{number}"):
-                number += 1
-            passed[base] = number
-            ids.append(key)
-            bases.append(base)
-            names.append(base if number == 1 else f"{base}{number}")
-        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "base": bases, "username": names})
+    own = cut_lineage(counted.join(bases.select("base"), "base", "left_semi"))
+    used = own.where("_tipo = 1").select("base", F.col("_chave").alias("sufixo"))
+    newcomers = own.where("_tipo = 0").select("base", F.col("_n").alias("_k"), F.col("_chave").alias("chega"))
+    claims = _shared_names(bases).join(used, ["base", "sufixo"], "left_anti")
+    marked = claims.withColumn("_tomado", F.lit(0)).unionByName(used.withColumn("_tomado", F.lit(1)).withColumn("nome", F.lit(None).cast("string")))
+    state = _below(marked, "_tomado", "tomados").where("nome IS NOT NULL").drop("_tomado")
+    longest = Window.partitionBy("nome").orderBy(F.desc(F.length("base")))  # as many lines as the name has bases
+    state = cut_lineage(state.withColumn("perdido", (F.row_number().over(longest) > 1).cast("int")))
+    many = state.count() > _MANY
+    while True:
+        told = _below(state, "perdido", "_perdidos", many).withColumn("_k", F.col("sufixo") - F.col("tomados") - F.col("_perdidos"))
+        told = told.join(newcomers, ["base", "_k"], "left")
+        first = F.min("chega").over(Window.partitionBy("nome"))
+        lost = F.coalesce((F.coalesce(F.col("chega") > first, F.lit(True))) & first.isNotNull(), F.lit(False)).cast("int")
+        told = cut_lineage(told.select("nome", "base", "sufixo", "tomados", lost.alias("perdido"), (lost != F.col("perdido")).alias("_mudou")))
+        state = told.drop("_mudou")
+        if told.where("_mudou").isEmpty():
+            return state.where("perdido = 1").select("base", "sufixo")
+
+
+_MANY = 1 << 18  # beyond, the shared names of one base are not worked on in one task; the result is the same
+_STRETCH_BITS = 16
+_LONGEST = 18  # digits of a suffix
+_DIGITS = r"\d+$"
 
 
 def assign_usernames(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
     """A free user name for every newcomer (``id``, ``nome``, ``sobrenome``), as if they came one by one in id order.
 
-    Bases can meet only inside a family: if one is the other plus digits. A family without such a
-    base is settled by positions, in parallel; the rare others are walked in id order, one family after the other, with a state that
-    does not grow with the newcomers.
+    The k-th newcomer of a base takes the k-th free suffix. A taken suffix t that is the j-th of its base has t - j free places before it. Put
+    taken suffixes at t - j and newcomers at k, newcomers first on a tie: the position of a newcomer in this merged order is its
+    suffix. Bases that are another base plus digits come to some names of that one; those few are settled first (``_lost``) and count as taken. All is
+    done by positions, so a family that holds a third of the newcomers spreads over many tasks.
     """
     token = slug(space_token(strip("nome")))
     # Written once: the base is costly to work out and is used several times below.
     waiting = cut_lineage(newcomers.select("id", F.concat(token, F.lit("."), slug("sobrenome")).alias("base")))
-    stem = F.regexp_replace("base", _DIGITS, "")
-    mixed = waiting.where(F.col("base").rlike(r"\d$")).select(stem.alias("familia")).distinct()
-    if mixed.isEmpty():
-        return _next_free(waiting, taken)
-    mixed = cut_lineage(mixed)
-    waiting = waiting.withColumn("familia", stem)
-    alone = _next_free(waiting.join(mixed, "familia", "left_anti").drop("familia"), taken)
-    used = taken.select(F.col("username").alias("base")).distinct().withColumn("familia", stem)
-    rows = used.join(mixed, "familia", "left_semi").select(
-        "familia", F.lit(_TAKEN).alias("tipo"), F.lit(0).cast("bigint").alias("chave"), "base"
-    ).unionByName(waiting.join(mixed, "familia", "left_semi").select("familia", F.lit(_NEWCOMER).alias("tipo"), F.col("id").alias("chave"), "base"))
-    walked = rows.repartition(shuffle_partitions(rows.sparkSession), "familia").sortWithinPartitions("familia", "tipo", "chave")
-    return alone.unionByName(walked.mapInPandas(_fold_families, "id bigint, base string, username string"))
+    used = _taken_suffixes(taken, waiting.select("base").distinct())
+    kinds = lambda suffixes: waiting.select("base", F.lit(0).alias("_tipo"), F.col("id").alias("_chave")).unionByName(
+        suffixes.select("base", F.lit(1).alias("_tipo"), F.col("sufixo").alias("_chave"))
+    )
+    counted = rank_in_group(kinds(used), ["base", "_tipo"], ["_chave"], "_n")
+    bases = cut_lineage(_meeting_bases(counted))
+    if not bases.isEmpty():
+        lost = _lost(bases, counted)
+        both = counted.where("_tipo = 1").select("base", F.col("_chave").alias("sufixo")).join(bases.select("base"), "base", "left_semi").unionByName(lost)
+        again = rank_in_group(both, ["base"], ["sufixo"], "_n").select("base", F.lit(1).alias("_tipo"), F.col("sufixo").alias("_chave"), "_n")
+        other = counted.where("_tipo = 1").join(bases.select("base"), "base", "left_anti")
+        counted = counted.where("_tipo = 0").unionByName(other).unionByName(again)
+    place = F.when(F.col("_tipo") == 0, F.col("_n")).otherwise(F.col("_chave") - F.col("_n"))
+    merged = rank_in_group(counted.withColumn("_lugar", place), ["base"], ["_lugar", "_tipo", "_chave"], "sufixo")
+    number = F.when(F.col("sufixo") == 1, "").otherwise(F.col("sufixo").cast("string"))
+    return merged.where("_tipo = 0").select(F.col("_chave").alias("id"), "base", F.concat("base", number).alias("username"))

@@ -9,11 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shiftledger.functions.domain import FULL
+from shiftledger.functions.domain import FULL, STATUSES
 from shiftledger.functions.measures import STATUS_MEASURES, count_known, count_status, pct
 from shiftledger.functions.text import operator_key
 from shiftledger.operators.identity import label_of, longest, operator_labels, operator_spellings
@@ -152,6 +152,14 @@ def operator_status_matrix(records: DataFrame, where: Column | None = None) -> D
     )
 
 
+def operator_status_wide(records: DataFrame, where: Column | None = None) -> DataFrame:
+    """The same matrix with a column per status of the domain, and a line of totals (``nivel`` 1, operator null) by rollup."""
+    wide = operator_status_matrix(records, where).groupBy("operador").pivot("status", STATUSES).agg(F.sum("qtd"))
+    sums = [F.coalesce(F.sum(F.col(f"`{s}`")), F.lit(0).cast("long")).alias(s) for s in STATUSES]
+    totals = wide.rollup("operador").agg(F.grouping("operador").cast("int").alias("nivel"), *sums)
+    return totals.withColumn("total", reduce(lambda a, b: a + b, [F.col(f"`{s}`") for s in STATUSES]))
+
+
 def daily_volume(records: DataFrame) -> DataFrame:
     return (
         records.where(F.col("data_registro").isNotNull())
@@ -160,17 +168,19 @@ def daily_volume(records: DataFrame) -> DataFrame:
     )
 
 
-def daily_efficiency(records: DataFrame) -> DataFrame:
-    """Both trend series, volume and efficiency, from one aggregate."""
+def daily_counts(records: DataFrame) -> DataFrame:
     return (
         records.where(F.col("data_registro").isNotNull())
         .groupBy(F.to_date("data_registro").alias("dia"))
         .agg(F.count("*").alias("quantidade"), count_known().alias("total"), count_status(FULL).alias("realizados"))
-        .withColumn("eficiencia", pct("realizados", "total"))
-        .orderBy("dia")
     )
 
 
+def daily_efficiency(records: DataFrame) -> DataFrame:
+    """Both trend series, volume and efficiency, from one aggregate."""
+    return daily_counts(records).withColumn("eficiencia", pct("realizados", "total")).orderBy("dia")
+
+
 def top_clients(records: DataFrame, n: int = TOP_CLIENTS) -> DataFrame:
     """The top-n report: clients by volume, with efficiency."""
     return (
@@ -208,3 +218,10 @@ def latest_records(records: DataFrame, n: int = 50) -> DataFrame:
 def latest_caption(records: DataFrame, n: int = 50) -> DataFrame:
     """How many of how many rows the newest-n report shows."""
     return records.agg(F.count("*").alias("total")).select(F.least(F.lit(n).cast("bigint"), "total").alias("exibidos"), "total")
+
+
+def latest_with_caption(records: DataFrame, n: int = 50) -> tuple[list[Row], dict[str, int]]:
+    """The newest-n report and its caption from one pass: the rows are counted on their way into the top-k."""
+    seen = Observation("registros")
+    rows = latest_records(records.observe(seen, F.count(F.lit(1)).alias("total")), n).collect()  # n rows
+    return rows, {"exibidos": len(rows), "total": seen.get["total"]}

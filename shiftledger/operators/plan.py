@@ -115,6 +115,13 @@ def day_agenda(schedule: DataFrame, day: str) -> DataFrame:
     )
 
 
+def agenda_by_operator(schedule: DataFrame, day: str) -> DataFrame:
+    """A line per operator with the sorted array of (period, client) planned for a weekday; empty, and flagged, where nothing is."""
+    cells = plan_cells(schedule, [WEEKDAYS.index(day)])
+    entry = F.when(F.col("cliente").isNotNull(), F.struct("periodo", "cliente"))
+    return cells.groupBy("operador").agg(F.array_sort(F.collect_list(entry)).alias("agenda")).withColumn("tem_alocacao", F.size("agenda") > 0)
+
+
 def weekday_of_records(records: DataFrame) -> DataFrame:
     """Records with the weekday index (Monday 0) and its plan column; the weekend has none."""
     idx = F.weekday("data_registro")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,12 @@ from shiftledger.operators import (
     audit, changes, filters, gaps, identity, kpi, lifecycle, numbering, plan, reports, requests, users,
 )
 from shiftledger.session import scratch_path
-from shiftledger.sources import fixtures, schemas, tables, versions
+from shiftledger.sources import days, fixtures, schemas, tables
 from shiftledger.sources.fixtures import AS_OF, GAP_DAY, GAP_END, GAP_START, REQUESTS_AS_OF
-from shiftledger.streaming import live
+from shiftledger.streaming import approvals, live
+
+
+MONTH = datetime(2024, 1, 1)
 
 
 class Inputs:
@@ -82,15 +85,15 @@ def report_dates(t: Inputs) -> DataFrame:
 
 @query
 def export_csv(t: Inputs) -> DataFrame:
-    path = tables.export_csv(t.records, scratch_path(t.spark, "csv"))
+    path = scratch_path(t.spark, "csv")
+    tables.export_csv(t.records, path)
     return tables.read_csv(t.spark, path, schemas.RECORDS)
 
 
 @query
 def snapshot_manifest(t: Inputs) -> DataFrame:
     saved = {"registros": t.records, "cronograma": t.schedule}
-    base = tables.write_snapshot(saved, scratch_path(t.spark, "snapshot"), AS_OF)
-    return tables.snapshot_manifest(t.spark, base, list(saved))
+    return tables.write_snapshot(saved, scratch_path(t.spark, "snapshot"), AS_OF).manifest(t.spark)
 
 
 @query
@@ -277,6 +280,18 @@ def schedule_visibility(t: Inputs) -> DataFrame:
     return identity.schedule_visibility(t.users, t.schedule)
 
 
+@query
+def visibility_bitmaps(t: Inputs) -> DataFrame:
+    seen = identity.visibility_bitmaps(t.users, identity.operator_numbers(t.schedule))
+    return seen.select("nome_busca", "faixa", F.bitmap_count("operadores").alias("operadores"))
+
+
+@query
+def lines_seen_by_viewer(t: Inputs) -> DataFrame:
+    numbered = identity.operator_numbers(t.schedule)
+    return identity.lines_seen_by(t.schedule, numbered, identity.visibility_bitmaps(t.users, numbered), " Óp0000001")
+
+
 @query
 def viewer_scopes(t: Inputs) -> DataFrame:
     return identity.viewer_scopes(t.users, t.schedule)
@@ -338,9 +353,10 @@ def records_gap_filled(t: Inputs) -> DataFrame:
 def records_gap_stored(t: Inputs) -> DataFrame:
     """The gap rows stored without ids: the table numbers them."""
     root = scratch_path(t.spark, "gaps")
-    versions.upsert_days(t.records, root, 0)
-    versions.upsert_days(gaps.gap_fill_rows(t.schedule, versions.current_records(t.spark, root), GAP_START, GAP_END), root, 1)
-    return versions.current_records(t.spark, root).drop("ordem", "dia", "versao")
+    days.replace_rows(t.records, root, days.FIRST_LOAD)
+    missing = gaps.gap_fill_rows(t.schedule, days.current_records(t.spark, root), GAP_START, GAP_END)
+    days.insert_rows(missing, root, 0, ["data_registro", "operador_nome", "cliente_nome"])
+    return schemas.conform(days.current_records(t.spark, root), schemas.RECORDS)
 
 
 # --- identity ------------------------------------------------------------------------------
@@ -365,6 +381,16 @@ def names_without_account(t: Inputs) -> DataFrame:
     return identity.names_without_account(t.schedule, t.users)
 
 
+@query
+def names_without_account_collated(t: Inputs) -> DataFrame:
+    return identity.names_without_account_collated(t.schedule, t.users)
+
+
+@query
+def spellings_by_collation(t: Inputs) -> DataFrame:
+    return identity.spellings_by_collation(t.records)
+
+
 @query
 def assign_usernames(t: Inputs) -> DataFrame:
     return identity.assign_usernames(t.newcomers, t.taken_names)
@@ -441,6 +467,11 @@ def operator_status_matrix(t: Inputs) -> DataFrame:
     return kpi.operator_status_matrix(t.records)
 
 
+@query
+def operator_status_wide(t: Inputs) -> DataFrame:
+    return kpi.operator_status_wide(t.records)
+
+
 @query
 def daily_volume(t: Inputs) -> DataFrame:
     return kpi.daily_volume(t.records)
@@ -466,6 +497,12 @@ def latest_caption(t: Inputs) -> DataFrame:
     return kpi.latest_caption(t.records)
 
 
+@query
+def listing_caption(t: Inputs) -> DataFrame:
+    """The caption as counted by the job that makes the listing."""
+    return t.spark.createDataFrame([kpi.latest_with_caption(t.records)[1]], "exibidos bigint, total bigint")
+
+
 @query
 def top_clients(t: Inputs) -> DataFrame:
     return kpi.top_clients(t.records)
@@ -503,6 +540,11 @@ def day_agenda(t: Inputs) -> DataFrame:
     return plan.day_agenda(t.schedule, WEEKDAYS[0])
 
 
+@query
+def agenda_by_operator(t: Inputs) -> DataFrame:
+    return plan.agenda_by_operator(t.schedule, WEEKDAYS[1]).withColumn("agenda", F.to_json("agenda"))
+
+
 # --- users and requests --------------------------------------------------------------------
 
 @query
@@ -566,13 +608,12 @@ def records_edited_in_place(t: Inputs) -> DataFrame:
     The edits of a record come in one batch, so both ways to cut them give the same table.
     """
     root = scratch_path(t.spark, "edited")
-    versions.upsert_days(t.records, root, 0)
+    days.replace_rows(t.records, root, days.FIRST_LOAD)
     first = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
-    for batch, edits in enumerate((t.edits.where(first), t.edits.where(~first)), start=1):
-        stored = versions.current_records(t.spark, root).drop("ordem", "dia", "versao")
-        versions.upsert_days(changes.edited_rows(stored, edits), root, batch)
-    versions.vacuum(t.spark, root)
-    return versions.current_records(t.spark, root).drop("ordem", "dia", "versao")
+    for batch, edits in enumerate((t.edits.where(first), t.edits.where(~first))):
+        stored = schemas.conform(days.rows_with(t.spark, root, edits), schemas.RECORDS)
+        days.replace_rows(changes.edited_rows(stored, edits), root, batch)
+    return schemas.conform(days.current_records(t.spark, root), schemas.RECORDS)
 
 
 @query
@@ -595,6 +636,11 @@ def records_after_delete(t: Inputs) -> DataFrame:
     return changes.delete_by_id(t.records, t.tombstones)
 
 
+@query
+def plan_payload_outcome(t: Inputs) -> DataFrame:
+    return changes.judge_plan_payloads(t.schedule, t.plan_payloads)
+
+
 @query
 def schedule_upserted(t: Inputs) -> DataFrame:
     return changes.upsert_schedule(t.schedule, t.plan_payloads)
@@ -652,17 +698,100 @@ def stream_late_days(t: Inputs) -> DataFrame:
     return live.recompute_late_days(t.records, stream_late_rows(t))
 
 
+def _ingested(t: Inputs) -> str:
+    """The stored records after three deliveries of submissions, in the order they were made; ids known and unknown, repeated and missing in each."""
+    root = scratch_path(t.spark, "ingest")
+    days.replace_rows(t.records, f"{root}/registros", days.FIRST_LOAD)
+    last = t.submissions.agg(F.max("ordem")).first()[0]
+    place = F.col("ordem") * 3
+    for delivery in (place <= last, (place > last) & (place <= 2 * last), place > 2 * last):
+        rows = t.submissions.where(delivery)
+        rows.write.mode("append").parquet(f"{root}/entrada")
+        source = live.read_table_stream(t.spark, f"{root}/entrada", rows.schema)
+        live.run_ingest(source, t.users, root, f"{root}/checkpoint", AS_OF, ACTOR)
+    return root
+
+
 @query
 def stream_ingest(t: Inputs) -> DataFrame:
-    """Submissions arrive in three deliveries: later places of repeated ids first, then the rest, then those without an id."""
-    root = scratch_path(t.spark, "ingest")
-    repeats = (F.col("ordem") % 10 == 1) & F.col("id").isNotNull()
-    rest = (F.col("ordem") % 10 != 1) & F.col("id").isNotNull()
-    for delivery in (t.submissions.where(repeats), t.submissions.where(rest), t.submissions.where("id IS NULL")):
+    return schemas.conform(days.current_records(t.spark, f"{_ingested(t)}/registros"), schemas.RECORDS)
+
+
+@query
+def audit_from_stream(t: Inputs) -> DataFrame:
+    return schemas.conform(t.spark.read.parquet(f"{_ingested(t)}/auditoria"), schemas.AUDIT)
+
+
+@query
+def stream_repeats(t: Inputs) -> DataFrame:
+    """Deliveries that overlap by two days; rows without a date count as of the end and come last."""
+    root = scratch_path(t.spark, "repeats")
+    rows = t.records.withColumn("momento", dates.event_time(dates.fill_missing_date("data_registro", AS_OF)))
+    dated = F.col("data_registro")
+    for start, stop in ((0, 12), (10, 22), (20, 40)):
+        own = dated.between(dates.instant(MONTH + timedelta(days=start)), dates.instant(MONTH + timedelta(days=stop)))
+        rows.where(own | (dated.isNull() if stop == 40 else F.lit(False))).write.mode("append").parquet(f"{root}/entrada")
+        source = live.read_table_stream(t.spark, f"{root}/entrada", rows.schema)
+        live.run_append(live.without_repeats(source, ["id"], "momento", "3 days"), f"{root}/saida", f"{root}/checkpoint")
+    return schemas.conform(t.spark.read.parquet(f"{root}/saida"), schemas.RECORDS)
+
+
+def _lifecycle_stream(t: Inputs) -> DataFrame:
+    """The log in three deliveries, each read by a query that starts anew; an event of nobody, long after, closes the last."""
+    root = scratch_path(t.spark, "lifecycle")
+    log = t.request_log
+    last = log.agg(F.max("id")).first()[0]
+    end = t.spark.createDataFrame([(None, None, MONTH + timedelta(days=400), "fim")], log.schema)
+    place = F.col("id") * 3
+    for delivery in (log.where(place <= last), log.where((place > last) & (place <= 2 * last)), log.where(place > 2 * last).unionByName(end)):
         delivery.write.mode("append").parquet(f"{root}/entrada")
-        source = live.read_table_stream(t.spark, f"{root}/entrada", delivery.schema)
-        live.run_ingest(source, t.users, root, f"{root}/checkpoint", AS_OF)
-    return versions.current_records(t.spark, f"{root}/registros").drop("ordem", "dia", "versao")
+        source = live.read_table_stream(t.spark, f"{root}/entrada", log.schema)
+        approvals.run_effects(source, f"{root}/saida", f"{root}/checkpoint")
+    return t.spark.read.parquet(f"{root}/saida").drop(days.BATCH)
+
+
+@query
+def stream_request_lifecycle(t: Inputs) -> DataFrame:
+    return _lifecycle_stream(t).where(F.col("efeito") != approvals.OVER)
+
+
+@query
+def stream_grants_run_out(t: Inputs) -> DataFrame:
+    over = _lifecycle_stream(t).where(F.col("efeito") == approvals.OVER)
+    return over.select("usuario", "solicitacao_id", F.col("quando").alias("expira_em"))
+
+
+@query
+def stream_gaps(t: Inputs) -> DataFrame:
+    """Three deliveries of plan days, known some days ahead, and of records. Days of the range are closed by the end."""
+    root = scratch_path(t.spark, "gaps")
+    planned = gaps.plan_days(t.schedule, GAP_START, GAP_END + timedelta(days=9))
+    moment, far = F.col("data_registro"), datetime(2100, 1, 1)
+    edges = [datetime(1900, 1, 1), datetime(2024, 1, 11), datetime(2024, 1, 19), far]
+    for start, stop in zip(edges, edges[1:]):
+        ahead = [F.lit((e + timedelta(days=4)).date()) for e in (start, stop)]
+        planned.where((F.col("dia") >= ahead[0]) & (F.col("dia") < ahead[1])).write.mode("append").parquet(f"{root}/plano")
+        t.records.where((moment >= dates.instant(start)) & (moment < dates.instant(stop))).write.mode("append").parquet(f"{root}/entrada")
+        waiting = live.read_table_stream(t.spark, f"{root}/plano", planned.schema)
+        arrived = live.read_table_stream(t.spark, f"{root}/entrada", schemas.RECORDS)
+        live.run_append(live.closing_gaps(waiting, arrived), f"{root}/saida", f"{root}/checkpoint")
+    return t.spark.read.parquet(f"{root}/saida").drop(days.BATCH).where(F.col("dia") <= F.lit(GAP_END))
+
+
+@query
+def stream_series_corrected(t: Inputs) -> DataFrame:
+    """What managers filled in comes last, dated all over the range; the live series drops most of it."""
+    root = scratch_path(t.spark, "series")
+    second = F.col("status").eqNullSafe(NOT_REPORTED)
+    for delivery in (t.records.where(~second), t.records.where(second)):
+        delivery.coalesce(1).write.mode("append").parquet(f"{root}/entrada")
+        for name in ("vivo", "atraso"):
+            source = live.read_table_stream(t.spark, f"{root}/entrada", schemas.RECORDS, files_per_batch=1)
+            if name == "vivo":
+                live.run_daily_kpi(source, f"{root}/vivo", f"{root}/checkpoint-vivo")
+            else:
+                live.run_late_days(source, lambda: t.spark.read.schema(schemas.RECORDS).parquet(f"{root}/entrada"), f"{root}/atraso", f"{root}/checkpoint-atraso")
+    return live.corrected_series(t.spark, f"{root}/vivo", f"{root}/atraso")
 
 
 @query

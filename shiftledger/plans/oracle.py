@@ -8,6 +8,7 @@ from shiftledger.sources.fixtures import view_sql
 _DAYS = ["segunda", "terca", "quarta", "quinta", "sexta"]
 _LABELS = ["Segunda", "Terça", "Quarta", "Quinta", "Sexta"]
 _FULL = "'Realizado Total'"
+_STATUSES = ["Realizado Total", "Realizado Parcial", "Não Realizado", "Não Se Aplica", "Não Informado"]
 _AS_OF = "TIMESTAMP '2024-01-31 12:00:00'"
 _WEEK = "data_registro >= TIMESTAMP '2024-01-24 12:00:00'"
 _REC = "id, data_registro, operador_nome, cliente_nome, status, justificativa, caminho_evidencia, aprovado_gestor"
@@ -97,10 +98,19 @@ _HELPERS = {
     "valid_submissions": (["ingested"],
         f"SELECT * FROM ingested WHERE aceito AND cliente_nome NOT IN ('', 'Selecione...') AND (status = {_FULL} OR trim(justificativa) <> '') "
         "AND status IN ('Realizado Total', 'Realizado Parcial', 'Não Realizado', 'Não Se Aplica', 'Não Informado')"),
+    "delivered": (["valid_submissions", "submissions"],
+        "SELECT *, CASE WHEN ordem * 3 <= m THEN 0 WHEN ordem * 3 <= 2 * m THEN 1 ELSE 2 END AS d "
+        "FROM valid_submissions, (SELECT max(ordem) AS m FROM submissions)"),
+    "created": (["delivered", "records"],
+        f"SELECT CAST((SELECT max(id) FROM records) + row_number() OVER (ORDER BY ordem) AS BIGINT) AS id, {_REC[4:]}, ordem, d FROM delivered WHERE id IS NULL"),
+    "steps": (["delivered", "created", "records"],
+        f"SELECT {_REC}, -1 AS d FROM records UNION ALL SELECT {_REC}, d FROM (SELECT {_REC}, ordem, d FROM created UNION ALL "
+        f"SELECT {_REC}, ordem, d FROM delivered u WHERE id IN (SELECT id FROM records) OR EXISTS (SELECT 1 FROM created c WHERE c.id = u.id AND c.ordem < u.ordem)) "
+        "QUALIFY row_number() OVER (PARTITION BY id, d ORDER BY ordem DESC) = 1"),
     "plan_lines": (["schedule", "payload_rows"],
-        "SELECT id, " + ", ".join(["operador", "periodo", *_DAYS]) + ", id NOT IN (SELECT id FROM schedule) AS novo FROM "
-        "(SELECT * FROM payload_rows WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1) UNION ALL "
-        "SELECT CAST(row_number() OVER (ORDER BY ordem) + (SELECT greatest((SELECT max(id) FROM schedule), (SELECT max(id) FROM payload_rows))) AS BIGINT), "
+        "SELECT id, " + ", ".join(["operador", "periodo", *_DAYS]) + ", false AS novo FROM "
+        "(SELECT * FROM payload_rows WHERE id IN (SELECT id FROM schedule) QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1) UNION ALL "
+        "SELECT CAST(row_number() OVER (ORDER BY ordem) + (SELECT max(id) FROM schedule) AS BIGINT), "
         + ", ".join(["operador", "periodo", *_DAYS]) + ", true FROM payload_rows WHERE id IS NULL"),
     "patched_last": (["patches"],
         f"SELECT id, {_last('trim(cliente_nome)', 'cliente_nome IS NOT NULL')} AS c, {_last('trim(status)', 'status IS NOT NULL')} AS s, "
@@ -271,6 +281,10 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "search_schedule": (["schedule"], "SELECT * FROM schedule WHERE "
         + " OR ".join(f"regexp_matches({c}, 'CLIENT 1[25]$', 'i')" for c in ["operador", *_DAYS])),
     "schedule_visibility": (["visible"], "SELECT DISTINCT nome_busca, nome_escala FROM visible"),
+    "visibility_bitmaps": (["visible", "plan_names"],
+        "SELECT nome_busca, 1 + (numero - 1) // 32768 AS faixa, count(*) AS operadores FROM (SELECT DISTINCT nome_busca, nome_escala FROM visible) "
+        "JOIN (SELECT nome_escala, row_number() OVER (ORDER BY nome_escala) AS numero FROM plan_names) USING (nome_escala) GROUP BY ALL"),
+    "lines_seen_by_viewer": (["schedule"], "SELECT * FROM schedule WHERE contains(lower(coalesce(nullif(trim(operador), ''), '-')), 'óp0000001')"),
     "viewer_scopes": (["visible", "users"],
         "SELECT id, username, CASE WHEN id IN (SELECT id FROM visible) THEN 'propria' ELSE 'geral' END AS escopo, "
         "CASE WHEN id IN (SELECT id FROM visible) THEN lower(trim(nome)) END AS nome_busca FROM users"),
@@ -311,6 +325,12 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "names_without_account": (["schedule", "users"],
         f"SELECT nome FROM (SELECT DISTINCT trim(operador) AS nome FROM schedule) WHERE {_slug(chr(34) + 'nome' + chr(34))} IS NOT NULL "
         f"AND {_slug('split_part(nome, chr(32), 1)')} NOT IN (SELECT {_slug('split_part(u.nome, chr(32), 1)')} FROM users u WHERE coalesce(u.nome, '') <> '')"),
+    "names_without_account_collated": (["schedule", "users"],
+        f"SELECT nome FROM (SELECT DISTINCT trim(operador) AS nome FROM schedule) WHERE {_slug('split_part(nome, chr(32), 1)')} "
+        f"NOT IN (SELECT {_slug('split_part(u.nome, chr(32), 1)')} FROM users u WHERE coalesce(u.nome, '') <> '')"),
+    "spellings_by_collation": (["records"],
+        f"SELECT min(n) AS nome, count(*) AS grafias, CAST(sum(q) AS BIGINT) AS linhas FROM (SELECT split_part(trim(operador_nome), ' ', 1) AS n, count(*) AS q "
+        f"FROM records WHERE trim(operador_nome) <> '' GROUP BY 1) GROUP BY {_slug('n')}"),
     # Families with a base that ends in digits are walked one by one, the others are counted.
     "assign_usernames": (["newcomers", "taken_names"],
         f"WITH RECURSIVE n AS (SELECT id, {_slug('split_part(trim(nome), chr(32), 1)')} || '.' || {_slug('sobrenome')} AS base FROM newcomers), "
@@ -353,6 +373,10 @@ _SQL: dict[str, tuple[list[str], str]] = {
         "UNION ALL SELECT 3, 'problemas', NULL, taxa, n FROM p WHERE taxa > 35"),
     "operator_status_matrix": (["canon"],
         "SELECT operador_exibicao AS operador, status, count(*) AS qtd FROM canon WHERE status IS NOT NULL GROUP BY ALL"),
+    "operator_status_wide": (["canon"],
+        "SELECT operador, nivel::INT AS nivel, " + ", ".join(f'"{x}"' for x in _STATUSES) + ", " + " + ".join(f'"{x}"' for x in _STATUSES) + " AS total FROM ("
+        "SELECT operador_exibicao AS operador, grouping(operador_exibicao) AS nivel, " + ", ".join(f"count(*) FILTER (status = '{x}') AS \"{x}\"" for x in _STATUSES)
+        + " FROM canon WHERE status IS NOT NULL GROUP BY ROLLUP (operador_exibicao))"),
     "daily_volume": (["records"], "SELECT data_registro::DATE AS dia, count(*) AS quantidade FROM records WHERE data_registro IS NOT NULL GROUP BY 1"),
     "daily_efficiency": (["records"],
         f"SELECT data_registro::DATE AS dia, count(*) AS quantidade, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
@@ -364,6 +388,7 @@ _SQL: dict[str, tuple[list[str], str]] = {
         "SELECT DISTINCT 'operador_escala', trim(operador) FROM schedule WHERE trim(operador) <> ''"),
     "latest_records": (["records"], f"SELECT {_REC} FROM records ORDER BY data_registro DESC NULLS LAST, id LIMIT 50"),
     "latest_caption": (["records"], "SELECT least(50, count(*)) AS exibidos, count(*) AS total FROM records"),
+    "listing_caption": (["records"], "SELECT least(50, count(*)) AS exibidos, count(*) AS total FROM records"),
     "top_clients": (["records"],
         f"SELECT cliente_nome, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
         f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM records GROUP BY 1 ORDER BY total DESC, cliente_nome LIMIT 12"),
@@ -379,6 +404,9 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "day_agenda": (["cells"],
         "SELECT operador, periodo, cliente, true AS tem_alocacao FROM cells WHERE dia = 'segunda' AND cliente IS NOT NULL UNION ALL "
         "SELECT DISTINCT operador, NULL, NULL, false FROM cells WHERE operador NOT IN (SELECT operador FROM cells WHERE dia = 'segunda' AND cliente IS NOT NULL)"),
+    "agenda_by_operator": (["cells"],
+        "SELECT operador, '[' || coalesce(string_agg('{\"periodo\":\"' || periodo || '\",\"cliente\":\"' || cliente || '\"}', ',' ORDER BY periodo, cliente) "
+        "FILTER (cliente IS NOT NULL), '') || ']' AS agenda, count(cliente) > 0 AS tem_alocacao FROM cells WHERE dia = 'terca' GROUP BY operador"),
     "users_listing": (["users"], "SELECT id, nome, username, email, role FROM users"),
     "latest_open_request": (["requests"],
         "SELECT username, id, status, solicitado_em FROM requests WHERE status IN ('pendente', 'autorizado') "
@@ -412,6 +440,9 @@ _SQL: dict[str, tuple[list[str], str]] = {
         "SELECT id, count(*) AS pedidos, CASE WHEN id IN (SELECT id FROM records) THEN 'removido' ELSE 'desconhecido' END AS resultado FROM tombstones GROUP BY id"),
     "records_after_delete": (["records", "tombstones"],
         f"SELECT {_REC} FROM records WHERE id NOT IN (SELECT id FROM tombstones WHERE id IS NOT NULL)"),
+    "plan_payload_outcome": (["schedule", "plan_payloads"],
+        "SELECT ordem, id, CASE WHEN id IS NULL THEN 'incluída' WHEN id NOT IN (SELECT id FROM schedule) THEN 'desconhecido' "
+        "WHEN ordem < max(ordem) OVER (PARTITION BY id) THEN 'superada' ELSE 'substituída' END AS resultado FROM plan_payloads"),
     "schedule_upserted": (["schedule", "plan_lines"],
         "SELECT * FROM schedule WHERE id NOT IN (SELECT id FROM plan_lines) UNION ALL BY NAME SELECT * EXCLUDE (novo) FROM plan_lines"),
     "role_changes": (["role_changes", "users"],
@@ -436,9 +467,27 @@ _SQL: dict[str, tuple[list[str], str]] = {
         f"SELECT data_registro::DATE AS dia, count(*) AS quantidade, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
         f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM records "
         "WHERE data_registro::DATE IN (SELECT data_registro::DATE FROM late) GROUP BY 1"),
-    "stream_ingest": (["valid_submissions"],
-        f"SELECT {_REC} FROM valid_submissions WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordem DESC) = 1 UNION ALL "
-        "SELECT CAST((SELECT max(id) FROM valid_submissions) + row_number() OVER (ORDER BY ordem) AS BIGINT), " + _REC[4:] + " FROM valid_submissions WHERE id IS NULL"),
+    "stream_ingest": (["steps"], f"SELECT {_REC} FROM steps QUALIFY row_number() OVER (PARTITION BY id ORDER BY d DESC) = 1"),
+    "audit_from_stream": (["steps"],
+        _audit("criar_registro", "'registro ' || id || '; operador_nome: ' || operador_nome || '; cliente_nome: ' || cliente_nome || '; status: ' || status || "
+               f"'; data_registro: ' || {_moment('data_registro')}",
+               "(SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) = 1)", "d >= 0")
+        + " UNION ALL " + _audit("atualizar_registro", "concat_ws('; ', 'registro ' || id, m)",
+            "(SELECT id, concat_ws('; ', " + ", ".join(
+                _differs(c, f"{c}_antes", c) for c in ("cliente_nome", "status", "justificativa", "operador_nome"))
+            + f", CASE WHEN data_registro_antes IS DISTINCT FROM data_registro THEN 'data_registro: ' || {_moment('data_registro_antes')} || ' -> ' || {_moment('data_registro')} END"
+            + ") AS m FROM (SELECT *, " + ", ".join(
+                f"lag({c}) OVER (PARTITION BY id ORDER BY d) AS {c}_antes" for c in ("cliente_nome", "status", "justificativa", "operador_nome", "data_registro"))
+            + ", row_number() OVER (PARTITION BY id ORDER BY d) AS n FROM steps) WHERE n > 1)", "m <> ''")),
+    "stream_repeats": (["records"], f"SELECT {_REC} FROM records"),
+    "stream_request_lifecycle": (["effects"], "SELECT * FROM effects"),
+    "stream_grants_run_out": (["effects"],
+        "SELECT usuario, solicitacao_id, max(quando) FILTER (efeito = 'autorizada') + INTERVAL 10 MINUTE AS expira_em FROM effects WHERE solicitacao_id IS NOT NULL "
+        "GROUP BY 1, 2 HAVING count(*) FILTER (efeito = 'autorizada') > 0 AND count(*) FILTER (efeito IN ('usada', 'rejeitada')) = 0"),
+    "stream_gaps": (["missing"], "SELECT dia, id AS linha_id, operador, cliente FROM missing"),
+    "stream_series_corrected": (["records"],
+        f"SELECT data_registro::DATE AS dia, count(*) AS quantidade, count(status) AS total, count(*) FILTER (status = {_FULL}) AS realizados, "
+        f"{_pct(f'count(*) FILTER (status = {_FULL})', 'count(status)')} AS eficiencia FROM records WHERE data_registro IS NOT NULL GROUP BY 1"),
     "stream_request_expiry": (["requests"],
         "SELECT id, username, autorizado_em, expira_em, usado_em, CASE WHEN usado_em IS NULL THEN 'expirado' ELSE 'usado' END AS status FROM requests "
         "WHERE autorizado_em IS NOT NULL AND coalesce(usado_em, autorizado_em) + INTERVAL 600000001 MICROSECOND <= "

@@ -6,9 +6,11 @@ through a rebalance on the day: a hot day is split over many tasks and small day
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,34 +113,39 @@ def unwrap_envelopes(df: DataFrame, payload: str, schema: T.StructType) -> DataF
     return df.select(F.inline(F.when(is_list, listed).otherwise(wrapped)))
 
 
-def export_csv(df: DataFrame, path: str) -> str:
-    df.write.options(**CSV_OPTIONS).csv(path)
-    return path
+def _written(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Write the rows and say how many there were, counted by the writing job itself."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("linhas")))
+    return seen.get["linhas"]
+
+
+def export_csv(df: DataFrame, path: str) -> int:
+    """Returns the number of rows."""
+    return _written(df, lambda rows: rows.write.options(**CSV_OPTIONS).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True).csv(path)
 
 
-def write_snapshot(tables: dict[str, DataFrame], root: str, taken_at: datetime) -> str:
-    """All tables under one timestamp: ``root/snapshot=<ts>/tabela=<name>``."""
+@dataclass(frozen=True)
+class Snapshot:
+    """Where a snapshot lies, and the rows of each table as counted while they were written."""
+
+    base: str
+    rows: dict[str, int]
+
+    def manifest(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.rows.items()), "tabela string, linhas bigint")
+
+
+def write_snapshot(tables: dict[str, DataFrame], root: str, taken_at: datetime) -> Snapshot:
+    """All tables under one timestamp: ``root/snapshot=<ts>/tabela=<name>``. Nothing is read again to be counted."""
     base = f"{root}/snapshot={taken_at:%Y%m%d_%H%M%S}"
-    for name, df in tables.items():
-        df.write.parquet(f"{base}/tabela={name}")
-    return base
-
-
-def snapshot_manifest(spark: SparkSession, base: str, names: list[str]) -> DataFrame:
-    """Rows per table, counted in what was written."""
-    counts = [
-        spark.read.parquet(f"{base}/tabela={name}").agg(F.count("*").alias("linhas"))
-        .select(F.lit(name).alias("tabela"), "linhas")
-        for name in names
-    ]
-    manifest = counts[0]
-    for other in counts[1:]:
-        manifest = manifest.unionByName(other)
-    return manifest
+    return Snapshot(base, {
+        name: _written(df, lambda rows, path=f"{base}/tabela={name}": rows.write.parquet(path)) for name, df in tables.items()
+    })
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ up from its checkpoint at the next start.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 from shiftledger.functions.dates import event_day, event_time
 from shiftledger.functions.domain import APPROVAL_MINUTES, EXPIRED, FULL, USED
 from shiftledger.functions.measures import count_known, count_status, pct
-from shiftledger.operators import changes, kpi
-from shiftledger.sources.versions import BATCH, exists, folders, upsert_days, write_batch
+from shiftledger.functions.text import match_key
+from shiftledger.operators import audit, changes, kpi
+from shiftledger.operators.numbering import highest_id
+from shiftledger.session import cut_lineage
+from shiftledger.sources import days
+from shiftledger.sources.days import BATCH, exists, folders, write_batch
 
 LATENESS = "48 hours"  # hours, because calendar days depend on the session zone
 
@@ -55,6 +60,11 @@ def _run(df: DataFrame, mode: str, checkpoint: str, sink) -> StreamingQuery:
     return query
 
 
+def run_append(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Write what a stream gives, a folder per batch."""
+    return _run(rows, "append", checkpoint, lambda df, batch: write_batch(df, root, batch))
+
+
 # --- live daily KPI ------------------------------------------------------------------------
 
 def daily_counts(records: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -108,6 +118,21 @@ def daily_kpi(spark: SparkSession, root: str) -> DataFrame:
 _MARK = T.StructType([T.StructField("maior", T.TimestampType())])
 
 
+def _limit(spark: SparkSession, root: str, batch: int, lateness: str) -> tuple[DataFrame, Column]:
+    """The highest time of all earlier batches, and what that leaves the watermark at."""
+    if batch > 0:
+        mark = spark.read.schema(_MARK).parquet(f"{root}/marcas/{BATCH}={batch - 1}")
+    else:
+        mark = spark.createDataFrame([(None,)], _MARK)
+    epoch = F.timestamp_micros(F.lit(0))  # where the first watermark stands
+    return mark, mark.select(F.coalesce(F.max("maior") - F.expr(f"INTERVAL {lateness}"), epoch)).scalar()
+
+
+def _write_mark(timed: DataFrame, mark: DataFrame, root: str, batch: int) -> None:
+    highest = timed.agg(F.max("momento").alias("maior")).unionByName(mark).agg(F.max("maior").alias("maior"))
+    write_batch(highest.coalesce(1), f"{root}/marcas", batch)
+
+
 def run_late_rows(records: DataFrame, root: str, checkpoint: str, lateness: str = LATENESS) -> StreamingQuery:
     """Set aside the rows that the live aggregate drops: older than all earlier batches allow.
 
@@ -116,21 +141,44 @@ def run_late_rows(records: DataFrame, root: str, checkpoint: str, lateness: str
     """
 
     def sink(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
         timed = df.where(F.col("data_registro").isNotNull()).withColumn("momento", event_time("data_registro"))
-        if batch > 0:
-            mark = spark.read.schema(_MARK).parquet(f"{root}/marcas/{BATCH}={batch - 1}")
-        else:
-            mark = spark.createDataFrame([(None,)], _MARK)
-        epoch = F.timestamp_micros(F.lit(0))  # where the first watermark stands
-        limit = mark.select(F.coalesce(F.max("maior") - F.expr(f"INTERVAL {lateness}"), epoch)).scalar()
+        mark, limit = _limit(df.sparkSession, root, batch, lateness)
         write_batch(timed.where(F.col("momento") < limit).drop("momento"), f"{root}/atrasados", batch)
-        highest = timed.agg(F.max("momento").alias("maior")).unionByName(mark).agg(F.max("maior").alias("maior"))
-        write_batch(highest.coalesce(1), f"{root}/marcas", batch)
+        _write_mark(timed, mark, root, batch)
+
+    return _run(records, "append", checkpoint, _read_once(sink))
+
+
+def run_late_days(
+    records: DataFrame, everything: Callable[[], DataFrame], root: str, checkpoint: str, lateness: str = LATENESS
+) -> StreamingQuery:
+    """Count the closed days anew that a batch brings rows for; ``everything`` reads the whole table, the batch included.
+
+    A day is closed once the watermark has passed its end: from then on the live aggregate drops its rows. A batch writes the days it counted
+    into its own folder, so a repeated batch counts once. The stream must come in the same batches as the live one (same files per batch).
+    """
+
+    def sink(df: DataFrame, batch: int) -> None:
+        timed = df.where(F.col("data_registro").isNotNull()).withColumn("momento", event_time("data_registro"))
+        mark, limit = _limit(df.sparkSession, root, batch, lateness)
+        ends = event_time(F.date_add(F.to_date("data_registro"), 1).cast("timestamp_ntz"))
+        closed = timed.where(ends <= limit).select(F.to_date("data_registro").alias("dia")).distinct()
+        counted = kpi.daily_counts(everything()).join(closed, "dia", "left_semi")
+        write_batch(counted, f"{root}/recontados", batch)
+        _write_mark(timed, mark, root, batch)
 
     return _run(records, "append", checkpoint, _read_once(sink))
 
 
+def corrected_series(spark: SparkSession, live: str, late: str) -> DataFrame:
+    """The live series with the days laid over it that late rows made count anew; of several counts of a day the newest stands."""
+    fields = ["quantidade", "total", "realizados"]
+    again = spark.read.option("basePath", f"{late}/recontados").parquet(f"{late}/recontados")
+    rows = _newest_counts(spark, live).withColumn("_vez", F.lit(-1)).unionByName(again.withColumnRenamed(BATCH, "_vez"))
+    newest = rows.groupBy("dia").agg(F.max_by(F.struct(*fields), "_vez").alias("_atual"))
+    return newest.select("dia", "_atual.*").withColumn("eficiencia", pct("realizados", "total"))
+
+
 def dropped_rows(query: StreamingQuery) -> int:
     """How many rows a finished run found behind its watermark."""
     return sum(state["numRowsDroppedByWatermark"] for p in query.recentProgress for state in p["stateOperators"])
@@ -146,22 +194,66 @@ def recompute_late_days(records: DataFrame, late: DataFrame) -> DataFrame:
     return kpi.daily_efficiency(records).join(days, "dia", "left_semi")
 
 
+# --- gaps as days close --------------------------------------------------------------------
+
+def closing_gaps(planned: DataFrame, records: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Planned pairs that nobody reported, each once its day is closed for both streams.
+
+    ``planned`` is a stream of ``gaps.plan_days``. A pair waits for a report of its day; what still waits when the watermark passes the end of
+    the day comes out. The watermark is the lesser of both streams, so plan days must keep coming, some days ahead: after a restart a stream
+    that brings nothing holds it where it was. State holds the open days.
+    """
+    plan = planned.withColumn("abre", event_time(F.col("dia").cast("timestamp_ntz"))).withWatermark("abre", lateness)
+    day = F.expr("INTERVAL 24 HOURS")
+    told = records.where(F.col("data_registro").isNotNull()).select(
+        F.to_date("data_registro").alias("_dia"), match_key("operador_nome").alias("_op"), match_key("cliente_nome").alias("_cli"),
+        event_time("data_registro").alias("momento"),
+    )
+    told = without_repeats(told, ["_dia", "_op", "_cli"], "momento", lateness)
+    same = (F.col("dia") == F.col("_dia")) & (F.col("op_chave") == F.col("_op")) & (F.col("cli_chave") == F.col("_cli"))
+    in_time = (F.col("momento") >= F.col("abre")) & (F.col("momento") < F.col("abre") + day)
+    return plan.join(told, same & in_time, "left_outer").where("_dia IS NULL AND linha_id IS NOT NULL").select("dia", "linha_id", "operador", "cliente")
+
+
 # --- change ingest -------------------------------------------------------------------------
 
-def run_ingest(submissions: DataFrame, users: DataFrame, root: str, checkpoint: str, as_of: datetime) -> StreamingQuery:
-    """Ingest submissions: valid rows are upserted by id, the others quarantined with their reasons.
+def without_repeats(rows: DataFrame, keys: list[str], moment: str, lateness: str = LATENESS) -> DataFrame:
+    """A stream in which rows of equal keys come once, as long as they are no further apart than ``lateness``.
 
-    The submission of greatest ``ordem`` stays, in and across batches; so neither order of arrival nor repeats matter. Submissions without an id are
-    new records and get the next free ids.
+    ``moment`` is an event time (``timestamp``). Keys are forgotten once the watermark has passed them, so the state holds the keys of
+    that span; a row behind the watermark does not come at all.
     """
+    return rows.withWatermark(moment, lateness).dropDuplicatesWithinWatermark(keys)
+
+
+def run_ingest(
+    submissions: DataFrame, users: DataFrame, root: str, checkpoint: str, as_of: datetime, actor: audit.Actor | None = None
+) -> StreamingQuery:
+    """Ingest submissions into ``registros``: new records get the next free ids, known ones are replaced (``changes.settle``).
+
+    What breaks the rules or names no record is set aside in ``quarentena``; ``auditoria`` gets a row for every record made or changed. All three
+    are written per batch and replaced if a batch is repeated, so each change counts once. Rows that were there before the
+    stream are loaded as batch ``days.FIRST_LOAD``. Pass the stream through ``without_repeats`` if deliveries can repeat.
+    """
+    table = f"{root}/registros"
+    actor = actor or audit.Actor("ingestao", as_of)
 
     def sink(df: DataFrame, batch: int) -> None:
-        checked = changes.check_records(changes.ingest_records(df, users, as_of))
+        spark = df.sparkSession
+        checked = cut_lineage(changes.check_records(changes.ingest_records(df, users, as_of)))
         good = F.col("valido") & F.col("aceito")
-        upsert_days(checked.where(good), f"{root}/registros", batch)
-        write_batch(checked.where(~good), f"{root}/quarentena", batch)
+        taken = checked.where(good)
+        stored = days.rows_with(spark, table, taken.where("id IS NOT NULL"), before=batch)
+        changed, unknown = changes.settle(taken, stored, highest_id(days.current_records(spark, table, before=batch)))
+        changed = cut_lineage(changed)
+        days.replace_rows(changed, table, batch)
+        write_batch(audit.of_submissions(changed, stored, actor), f"{root}/auditoria", batch)
+        refused = checked.where(~good).select("id", *changes.CONTENT, "ordem", "violacoes").unionByName(
+            unknown.withColumn("violacoes", F.array(F.lit(changes.NO_RECORD)))
+        )
+        write_batch(refused, f"{root}/quarentena", batch)
 
-    return _run(submissions, "append", checkpoint, _read_once(sink))
+    return _run(submissions, "append", checkpoint, sink)
 
 
 # --- expiry timers -------------------------------------------------------------------------

@@ -129,7 +129,10 @@ def test_delete_and_upsert(spark):
     assert sorted(r.id for r in changes.delete_by_id(base, gone).collect()) == [1, 3, 4]
     payloads = spark.createDataFrame([(1, 1, '{"operador": "x"}'), (2, 1, '{"operador": "y"}'), (3, 8, '{"operador": "z"}')], "ordem bigint, id bigint, payload string")
     got = dict(values(changes.upsert_schedule(schedule(spark, [(1, "ANA", "TARDE"), (2, "BIA", "TARDE")]), payloads), "id", "operador"))
-    assert got == {1: "Y", 2: "BIA", 8: "Z"}
+    assert got == {1: "Y", 2: "BIA"}  # no line has the id 8, so that payload changes nothing
+    verdicts = dict(values(changes.judge_plan_payloads(schedule(spark, [(1, "ANA", "TARDE"), (2, "BIA", "TARDE")]), payloads.unionByName(
+        spark.createDataFrame([(4, None, '{"operador": "w"}')], payloads.schema))), "ordem", "resultado"))
+    assert verdicts == {1: "superada", 2: "substituída", 3: "desconhecido", 4: "incluída"}
 
 
 def test_role_changes_and_signups(spark):

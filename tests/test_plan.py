@@ -1,6 +1,8 @@
 import random
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from rows import FULL, MONDAY, explain, records, schedule, values
 from shiftledger.operators import gaps, identity, plan
 from shiftledger.sources.schemas import conform_schedule
@@ -64,6 +66,10 @@ def test_plan_lists(spark):
     assert (row.operadores, row.dias_cobertos, row.celulas_preenchidas, row.celulas, row.capacidade) == (5, 2, 5, 25, 20.0)
     agenda = values(plan.day_agenda(df, "segunda").where("NOT tem_alocacao"), "operador")
     assert agenda == [("Caio",)]
+    nested = {r.operador: ([tuple(x) for x in r.agenda], r.tem_alocacao) for r in plan.agenda_by_operator(df, "segunda").collect()}
+    assert nested == {
+        "Ana": ([("MANHÃ", "Client A")], True), "ANA": ([("TARDE", "client a")], True), "Bia": ([("MANHÃ", "Client C")], True),
+        "": ([("MANHÃ", "Client D")], True), "Caio": ([], False)}
 
 
 def test_headers_and_cells_conform(spark):
@@ -107,6 +113,33 @@ def test_names_without_account(spark):
     assert values(identity.names_without_account(df, people)) == [("Bia",)]
 
 
+def test_collation_stands_in_for_the_slug(spark):
+    df = schedule(spark, [(1, "ÁNA Lima", "TARDE"), (2, "Bia", "TARDE"), (3, " Bia", "MANHÃ"), (4, None, "TARDE"), (5, "Zé-Luís X", "TARDE")])
+    people = spark.createDataFrame([("ana souza",), (None,), ("",), ("ZELUIS",)], "nome string")
+    assert values(identity.names_without_account_collated(df, people)) == values(identity.names_without_account(df, people)) == [("Bia",)]
+    done = records(spark, [(i, MONDAY, n, "c", FULL) for i, n in enumerate(["Ána x", "ANA", "ana y", "Bê", " ", None, "ANA"])])
+    got = sorted(values(identity.spellings_by_collation(done), "nome", "grafias", "linhas"))
+    assert got == [("ANA", 3, 4), ("Bê", 1, 1)]
+    names = spark.createDataFrame([("Straße",), ("STRASSE",), ("Ana",), ("ána",), ("ø",), ("o",), (None,)], "n string")
+    apart = {(r.nome, r.diferenca) for r in identity.collation_differences(names, "n").collect()}
+    assert not {n for n, _ in apart} & {"Ana", "ána"}  # where both agree nothing is listed
+
+
+def test_bitmaps_of_what_viewers_see(spark):
+    operators = [f"OP {chr(97 + i % 26)}{chr(97 + i % 7)} {i:05d}" for i in range(5000)]
+    df = spark.createDataFrame([(i, n, "TARDE", *["-"] * 5) for i, n in enumerate(operators)], schedule(spark, []).schema)
+    names = [*"abcdefghijklmnopqrstuvwxyz", "op a", "00012", "zz top", "é"]
+    people = spark.createDataFrame([(i, f"u{i}", n, "Operador") for i, n in enumerate(names * 20)], "id bigint, username string, nome string, role string")
+    numbered = identity.operator_numbers(df)
+    maps = identity.visibility_bitmaps(people, numbered)
+    rows = {r.nome_busca: r for r in maps.withColumn("n", F.bitmap_count("operadores")).collect()}
+    assert {n: r.n for n, r in rows.items()} == {n: k for n in names if (k := sum(n in o.lower() for o in operators))}
+    assert sum(r.n for r in rows.values()) > 10_000 and len(rows) < 30  # no line per pair
+    for viewer in (" A", "op a", "00012", "nobody"):
+        seen = {r.id for r in identity.lines_seen_by(df, numbered, maps, viewer).collect()}
+        assert seen == {i for i, n in enumerate(operators) if viewer.strip().lower() in n.lower()}
+
+
 def one_by_one(newcomers, taken):
     """User names as drawn one request at a time."""
     import unicodedata
@@ -153,6 +186,25 @@ def test_usernames_across_bases_are_those_of_a_walk(spark):
     assert assign(spark, many, used) == one_by_one(many, used)
 
 
+def test_a_hot_family_is_settled_by_positions(spark, monkeypatch):
+    draw = random.Random(11)
+    hot = [(i, "x", draw.choice(["y", "y", "y2", "y2", "y22", "y1", "y10"])) for i in range(1500)] + [(i, f"n{i % 50}", "z") for i in range(1500, 3000)]
+    used = ["x.y3", "x.y23", "x.y2210", "n3.z", "n3.z2", "x.y100", "x.y1001"]
+    people = spark.createDataFrame(hot, "id bigint, nome string, sobrenome string")
+    for many in (1 << 18, 0):  # also as if there were too many shared names for one task
+        monkeypatch.setattr(identity, "_MANY", many)
+        found = identity.assign_usernames(people, spark.createDataFrame([(t,) for t in used], "username string"))
+        assert dict(values(found, "id", "username")) == one_by_one(hot, used)
+    assert "Python" not in explain(found) and "Pandas" not in explain(found)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        again = identity.assign_usernames(people, spark.createDataFrame([(t,) for t in used], "username string"))
+        sizes = [len(p) for p in again.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 3000 / 2  # not in one task
+
+
 def test_long_names_are_matched_in_linear_space(spark):
     long = " ".join(f"n{i}" for i in range(420))[:2000]
     df = schedule(spark, [(1, long.upper(), "TARDE"), (2, "ANA", "TARDE"), (3, None, "TARDE")])
