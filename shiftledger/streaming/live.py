@@ -212,7 +212,9 @@ def closing_gaps(planned: DataFrame, records: DataFrame, lateness: str = LATENES
     told = without_repeats(told, ["_dia", "_op", "_cli"], "momento", lateness)
     same = (F.col("dia") == F.col("_dia")) & (F.col("op_chave") == F.col("_op")) & (F.col("cli_chave") == F.col("_cli"))
     in_time = (F.col("momento") >= F.col("abre")) & (F.col("momento") < F.col("abre") + day)
-    return plan.join(told, same & in_time, "left_outer").where("_dia IS NULL AND linha_id IS NOT NULL").select("dia", "linha_id", "operador", "cliente")
+    # Asked of both sides at once: asked of the plan alone, the lines of the days would be gone before the watermark sees them.
+    missing = F.when(F.col("_dia").isNull(), F.col("linha_id")).isNotNull()
+    return plan.join(told, same & in_time, "left_outer").where(missing).select("dia", "linha_id", "operador", "cliente")
 
 
 # --- change ingest -------------------------------------------------------------------------
