@@ -137,7 +137,8 @@ class Snapshot:
     rows: dict[str, int]
 
     def manifest(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows.items()), "tabela string, linhas bigint")
+        lines = [F.struct(F.lit(name).alias("tabela"), F.lit(n).cast("bigint").alias("linhas")) for name, n in self.rows.items()]
+        return spark.range(1).select(F.inline(F.array(*lines)))
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, taken_at: datetime) -> Snapshot:
