@@ -48,11 +48,11 @@ _BYTES = _byte_table()
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each byte trigram, text after text, and where each text's begin; every text gives one at least."""
-    data = [b" " + t.lower().encode() + b"  " for t in texts]
-    codes = _BYTES[np.frombuffer(b"".join(data), np.uint8)].astype(np.uint32)
+    data = [b"  " + t.lower().encode() + b" " for t in texts]
+    codes = _BYTES[np.frombuffer(b"".join([*data, b"  "]), np.uint8)].astype(np.uint32)
     mixed = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
     buckets = ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(17)
-    # The last trigram of a text reaches into the next one's leading space, so all texts but the last are alike.
+    # The last trigrams of a text reach into two spaces behind it, whether or not another text follows: no neighbour counts.
     return buckets, np.cumsum([0] + [len(d) for d in data[:-1]])
 
 

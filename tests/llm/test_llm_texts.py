@@ -439,3 +439,45 @@ def test_pipeline_equals_a_plain_walk(spark, tmp_path):
     assert sorted({(p["doc_id"] is None, p["doc_id"] or 0, p["doc_tokens"]) for p in pieces}) == wanted
     assert sum(p["length"] for p in pieces) == sum(n for *_, n in wanted)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "PII", "packing"]
+
+
+def test_pipeline_with_clashing_columns_and_without_rows(spark, tmp_path):
+    docs = documents(spark, [*near_copies(4, 12), *edge_rows()])
+    stages = dict(corpus_pipeline.STAGES)
+    rows = docs
+    for name in ("language ID", "exact dedup", "n-gram Jaccard join", "PII"):
+        before = rows.count()
+        rows = stages[name](spark, rows, str(tmp_path))
+        rows.write.parquet(str(tmp_path / name.replace(" ", "-")))
+        rows = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
+        assert rows.columns == docs.columns and 0 < rows.count() <= before
+    pieces = stages["packing"](spark, rows, str(tmp_path))
+    assert pieces.where("start = 0").count() == rows.count()
+    none = documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    assert langid.predict(none, langid.fit(none)).count() == 0
+
+
+def test_languages_are_decoded_as_in_a_plain_walk(spark):
+    """Loss-weighted decoding by the definition, one text and one codeword after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r["text"][:n] for r, n in zip(rows_of(docs.where("length(text) > 300").limit(40)), [30, 80, 200, 300] * 10)]
+    first, second, chance, _ = model.decode(texts)
+    for i, text in enumerate(texts):
+        buckets, _ = langid.trigrams([text])
+        margin = sum(model.weights[b].astype(float) for b in buckets.tolist()) / len(buckets)
+        z = margin / model.scale * min(8, math.sqrt(len(buckets) / 8))
+        loss = [sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(model.trust, z, word)) for word in model.code]
+        order = sorted(range(len(loss)), key=loss.__getitem__)
+        total = sum(math.exp(loss[order[0]] - x) for x in loss)
+        assert (first[i], second[i]) == tuple(order[:2]) and math.isclose(chance[i], 1 / total, rel_tol=1e-6)
+
+
+@given(st.lists(st.text(max_size=12), min_size=1, max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_trigrams_know_no_neighbours(texts):
+    buckets, starts = langid.trigrams(texts)
+    for text, own in zip(texts, np.split(buckets, starts[1:])):
+        assert langid.trigrams([text])[0].tolist() == own.tolist()

@@ -279,3 +279,9 @@ def test_long_words_equal_tiktoken_in_time():
     assert time.process_time() - start < 90
     for word, (ids, text) in zip(words, found):
         assert text == word.encode() and ids == np.array(library.encode_ordinary(word), "<u4").tobytes()
+
+
+def test_no_texts_no_tokens(spark):
+    none = documents(spark, [])
+    assert counts.token_counts(none, PIECES).count() == 0
+    assert bpe.encode_decode(none, RANKS, public_tokenizers.PATTERN).count() == 0
