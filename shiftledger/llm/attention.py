@@ -18,6 +18,7 @@ OWN_CLASS = 96  # the most frequent ranks are classes by themselves
 WIDTH = 16
 WINDOW = 32  # positions that attention sees at once
 STRIDE = 16  # of which so many are scored, the others are context scored before
+_AT_ONCE = 32  # windows worked on in one go
 PROJECTED = 32  # dimensions in which ranks are clustered
 _CEILING = 40
 _LITTLE = 0.01
@@ -27,9 +28,15 @@ _TABLES = ("query", "key", "value", "gate")  # weights with a row per rank
 
 def _runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, and the sums of the rows of each: by sorted runs, several times faster than numpy's add.at."""
-    order = np.argsort(keys, kind="stable")
-    distinct, starts = np.unique(keys[order], return_index=True)
-    return distinct, np.add.reduceat(rows[order], starts, axis=0) if len(keys) else rows
+    if not len(keys):
+        return keys, rows
+    # Short keys sort by radix.
+    order = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
+    keys, rows = keys[order], np.take(rows, order, axis=0)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    # Two numbers added at a time: a run costs a call per column, whatever its length.
+    pairs = rows.view(np.result_type(rows.dtype, np.complex64))
+    return keys[starts], np.add.reduceat(pairs, starts, axis=0).view(rows.dtype)
 
 
 def projected(previous: np.ndarray, after: np.ndarray, counts: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,12 +158,19 @@ _BACK = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _MASK = np.where(_BACK >= 0, 0, -1e9).astype(_F)
 
 
-def forward(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray) -> tuple:
-    """For windows of ranks (n x WINDOW): log odds of the classes that may follow each position, and what backward needs."""
-    q, k, v, gate = (np.take(w[name], x, axis=0) for name in ("query", "key", "value", "gate"))
+def _packed(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The weights with a row per rank side by side, so that a rank's are read and written in one go."""
+    return np.concatenate([w[name] for name in _TABLES], axis=1)
+
+
+def _log_odds(table: np.ndarray, near: np.ndarray, out: np.ndarray, counted: Counted, x: np.ndarray, context: int = 0) -> tuple:
+    """For windows of ranks (n x WINDOW): log odds of the classes that may follow each position but the first ``context``, and what backward needs."""
+    rows = np.take(table, x, axis=0)
+    k, v = rows[:, :, WIDTH:2 * WIDTH], rows[:, :, 2 * WIDTH:3 * WIDTH]
+    q, gate = rows[:, context:, :WIDTH], rows[:, context:, 3 * WIDTH:]
     s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
     s *= _F(WIDTH**-0.5)
-    s += w["near"][np.maximum(_BACK, 0)] + _MASK
+    s += (near[np.maximum(_BACK, 0)] + _MASK)[context:]
     # A ceiling instead of the row's maximum, which costs more than all the rest; odds that high do not occur.
     np.minimum(s, _F(_CEILING), out=s)
     np.exp(s, out=s)
@@ -164,11 +178,16 @@ def forward(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray) -> tuple:
     o = np.matmul(s, v)
     o += gate
     h = np.maximum(o, 0, out=o)
-    z = np.matmul(h.reshape(-1, WIDTH), w["out"]).reshape(*x.shape, -1)
-    z += np.take(counted.classes_after, x, axis=0)
+    z = np.matmul(h.reshape(-1, WIDTH), out).reshape(*h.shape[:2], -1)
+    z += np.take(counted.classes_after, x[:, context:], axis=0)
     return z, (q, k, v, s, h)
 
 
+def forward(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray) -> tuple:
+    """For windows of ranks (n x WINDOW): log odds of the classes that may follow each position, and what backward needs."""
+    return _log_odds(_packed(w), w["near"], w["out"], counted, x)
+
+
 def _sums(x: np.ndarray) -> np.ndarray:
     """Sums along the last axis, as a matrix product: several times faster than a reduction of short rows."""
     return np.matmul(x, np.ones(x.shape[-1], dtype=x.dtype))
@@ -184,32 +203,58 @@ def log_classes(z: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the positions that count, and its gradient. ``y`` are classes."""
-    loss, used, grads = _gradients(w, counted, x, y, counts)
-    for name in _TABLES:
-        rows, grads[name] = grads[name], np.zeros_like(w[name])
-        grads[name][used] = rows
-    return loss, grads
-
-
-def _gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
-    """The same, and the ranks that occur: of weights with a row per rank only their rows."""
-    z, (q, k, v, a, h) = forward(w, counted, x)
-    n = max(1, int(counts.sum()))
-    loss = -float((log_classes(z, y) * counts).sum()) / n
-    z /= _sums(z)[..., None]
-    np.put_along_axis(z, y[..., None], np.take_along_axis(z, y[..., None], axis=2) - 1, axis=2)
-    z *= (counts / n)[..., None].astype(_F)
-    flat = z.reshape(-1, z.shape[2])
-    d_out = h.reshape(-1, WIDTH).T @ flat
-    d_o = (flat @ w["out"].T).reshape(h.shape) * (h > 0)
-    d_a = np.matmul(d_o, v.transpose(0, 2, 1))
-    d_v = np.matmul(a.transpose(0, 2, 1), d_o)
-    d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
-    near = np.bincount(np.maximum(_BACK, 0).ravel(), weights=(d_s.sum(axis=0) * (_BACK >= 0)).ravel(), minlength=WINDOW)
-    d_s *= _F(WIDTH**-0.5)
-    rows = np.concatenate([np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), d_v, d_o], axis=2)
+    table = _packed(w)
+    loss, used, rows, near, out = _gradients(table, w["near"], w["out"], counted, x, y, counts)
+    full = np.zeros_like(table)
+    full[used] = rows
+    return loss, {**dict(zip(_TABLES, np.split(full, len(_TABLES), axis=1))), "near": near, "out": out}
+
+
+def _gradients(table: np.ndarray, near: np.ndarray, out: np.ndarray, counted: Counted, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple:
+    """The loss, the ranks that occur, the gradient of their rows of the table, and those of ``near`` and ``out``.
+
+    A few windows at a time, so that what is worked on stays near the processor.
+    """
+    weight = (counts / max(1, int(counts.sum()))).astype(table.dtype)
+    rows = np.empty((*x.shape, 4 * WIDTH), dtype=table.dtype)
+    loss, d_s, d_out = 0.0, 0, 0
+    for i in range(0, len(x), _AT_ONCE):
+        own = slice(i, i + _AT_ONCE)
+        part = _part_gradients(table, near, out, counted, x[own], y[own], weight[own], rows[own])
+        loss, d_s, d_out = loss + part[0], d_s + part[1], d_out + part[2]
+    d_near = np.bincount(np.maximum(_BACK, 0).ravel(), weights=(d_s * (_BACK >= 0)).ravel(), minlength=WINDOW)
     used, rows = _runs(x.ravel(), rows.reshape(-1, 4 * WIDTH))
-    return loss, used, {"out": d_out, "near": near.astype(_F), **dict(zip(_TABLES, np.split(rows, 4, axis=1)))}
+    return loss, used, rows, d_near.astype(near.dtype), d_out
+
+
+def _part_gradients(
+    table: np.ndarray, near: np.ndarray, out: np.ndarray, counted: Counted, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rows: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """What some windows add to the loss and to the gradients by distance and of ``out``; fills ``rows`` with those of every position's row of the table."""
+    z, (q, k, v, a, h) = _log_odds(table, near, out, counted, x)
+    flat, weight = z.reshape(-1, z.shape[2]), weight.ravel()
+    np.minimum(flat, _F(_CEILING), out=flat)
+    own = np.arange(len(flat)) * flat.shape[1] + y.ravel()
+    odds = z.ravel()[own]
+    np.exp(flat, out=flat)
+    total = _sums(flat)
+    loss = -float(((odds - np.log(total)) * weight).sum())
+    # Gradients of z are (flat / total - 1 at the own class) * weight; the factors go where rows are shorter.
+    z.reshape(-1)[own] -= total
+    weight = (weight / total)[:, None]
+    d_out = (h.reshape(-1, WIDTH) * weight).T @ flat
+    d_o = (flat @ out.T * weight).reshape(h.shape)
+    d_o *= h > 0
+    d_s = np.matmul(d_o, np.ascontiguousarray(v.transpose(0, 2, 1)))
+    d_s -= _sums(d_s * a)[..., None]
+    d_s *= a
+    by_distance = d_s.sum(axis=0)
+    d_s *= _F(WIDTH**-0.5)
+    np.matmul(d_s, k, out=rows[:, :, :WIDTH])
+    np.matmul(d_s.transpose(0, 2, 1), q, out=rows[:, :, WIDTH:2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), d_o, out=rows[:, :, 2 * WIDTH:3 * WIDTH])
+    rows[:, :, 3 * WIDTH:] = d_o
+    return loss, by_distance, d_out
 
 
 def _places(begins: np.ndarray, n: int, step: int, context: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,45 +287,64 @@ def train(w: dict[str, np.ndarray], counted: Counted, windows: np.ndarray, valid
 
     A rank's rows change in the steps that it occurs in. Returns the weights and in how many steps each rank occurred.
     """
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    steps = np.zeros(len(w["query"]), dtype=np.int64)
+    # Weights and Adam's two means side by side: of the table, and of the others end on end.
+    table, rest = _packed(w), np.append(w["near"], w["out"])
+    wide, many = table.shape[1], len(w["near"])
+    table, rest = np.concatenate([table, np.zeros((len(table), 2 * wide), dtype=_F)], axis=1), np.stack([rest, *np.zeros((2, len(rest)), dtype=_F)])
+    now, near, out = table[:, :wide], rest[0, :many], rest[0, many:].reshape(w["out"].shape)
+    steps = np.zeros(len(table), dtype=np.int64)
     content = np.zeros(len(windows), dtype=np.uint64)
     for column in windows.T:
         content = content * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64)
     order = np.argsort(content, kind="stable")[np.random.default_rng(seed).permutation(len(windows))]
     for t, i in enumerate(range(0, len(order), batch), 1):
         rows = windows[order[i:i + batch]].astype(np.int64)
-        _, used, grads = _gradients(w, counted, rows[:, :-1], counted.classes[rows[:, 1:]], valid[order[i:i + batch]])
+        _, used, *grads = _gradients(now, near, out, counted, rows[:, :-1], counted.classes[rows[:, 1:]], valid[order[i:i + batch]])
         steps[used] += 1
-        for name, g in grads.items():
-            at = used if name in _TABLES else slice(None)
-            first, second = m[name][at], s[name][at]
-            first = first + _F(0.1) * (g - first)
-            second = second + _F(0.02) * (g * g - second)
-            m[name][at], s[name][at] = first, second
-            w[name][at] -= (rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.98**t)) + 1e-8)).astype(_F)
-    return w, steps
+        own = table[used]
+        _adam(own[:, :wide], own[:, wide:2 * wide], own[:, 2 * wide:], grads[0], rate, t)
+        table[used] = own
+        _adam(*rest, np.append(grads[1], grads[2]), rate, t)
+    return {**dict(zip(_TABLES, np.split(now, len(_TABLES), axis=1))), "near": near, "out": out}, steps
+
+
+def _adam(w: np.ndarray, first: np.ndarray, second: np.ndarray, g: np.ndarray, rate: float, t: int) -> None:
+    """Step t, in place."""
+    first += _F(0.1) * (g - first)
+    g *= g
+    second += _F(0.02) * (g - second)
+    root = np.sqrt(second)
+    root *= _F((1 - 0.98**t) ** -0.5)
+    root += _F(1e-8)
+    w -= _F(rate / (1 - 0.9**t)) * first / root
 
 
-def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, begins: np.ndarray = _ONE_TEXT, batch: int = 128) -> np.ndarray:
+def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, begins: np.ndarray = _ONE_TEXT, which: np.ndarray | None = None, batch: int = 2 * _AT_ONCE) -> np.ndarray:
     """Natural log probability of ranks[1:], each scored once: windows overlap, and all but a text's first score their last STRIDE positions only.
 
     ``ranks`` holds several texts end on end, each begun by the end mark (rank 0) of the one before; ``begins`` are the places of these marks.
-    Windows begin with a text and attention looks back only, so no score depends on another text.
+    Windows begin with a text and attention looks back only, so no score depends on another text. ``which`` says which of the counted pairs
+    each of ranks[1:] makes with the one before, where these are the pairs that occur.
     """
     n = len(ranks) - 1
     if n <= 0:
         return np.empty(0, dtype=_F)
-    found = counted.inside[ranks[:-1], ranks[1:]].copy()
+    # What depends on two ranks alone is worked out once for all their places.
+    size = len(counted.classes)
+    pairs = counted.inside.pairs
+    if which is None:
+        pairs, which = np.unique(ranks[:-1] * size + ranks[1:], return_inverse=True)
+    found = counted.inside[pairs // size, pairs % size][which]
     classes = counted.classes[ranks[1:]]
     context = WINDOW - STRIDE
     starts, ends, first = _places(begins, n, STRIDE, context)
-    for i in range(0, len(starts), batch):
-        places = starts[i:i + batch, None] + np.arange(WINDOW)
-        at = np.minimum(places, n - 1)
-        z, _ = forward(w, counted, ranks[at])
-        got = log_classes(z, classes[at])
-        fresh = (places < ends[i:i + batch, None]) & ((np.arange(WINDOW) >= context) | first[i:i + batch, None])
-        found[at[fresh]] += got[fresh]
+    table, near, out = _packed(w), w["near"], w["out"]
+    for skipped, own in ((0, np.flatnonzero(first)), (context, np.flatnonzero(~first))):
+        for i in range(0, len(own), batch):
+            some = own[i:i + batch]
+            places = starts[some, None] + np.arange(WINDOW)
+            at = np.minimum(places, n - 1)
+            z, _ = _log_odds(table, near, out, counted, ranks[at], skipped)
+            at, fresh = at[:, skipped:], places[:, skipped:] < ends[some, None]
+            found[at[fresh]] += log_classes(z, classes[at])[fresh]
     return found

@@ -255,26 +255,28 @@ def _count(pairs: DataFrame, ranks: Ranks) -> attention.Counted:
     return attention.Counted.of_classes(classes, ranks.counts, _summed(pairs.mapInArrow(by_class, _SUMS), n * many, 1).reshape(n, many), ranks.little)
 
 
-def _learned(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ranks of each chunk's training texts, behind an end mark, and the places of the marks that texts follow."""
+def _learned(batches: Iterator[pa.RecordBatch], ranks: Ranks, share: int, shares: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ranks of each chunk's training texts of this share, behind an end mark, and the places of the marks that texts follow."""
     for batch in batches:
         for row in batch.to_pylist():
             text = _Text(row)
-            ids, begins = text.subwords(~text.held)
+            learn = ~text.held
+            ids, begins = text.subwords(learn & (np.cumsum(learn) % shares == share))
             if len(ids):
                 yield np.append(0, ranks.of[ids]).astype(np.int64), begins
 
 
-def _windows(batches: Iterator[pa.RecordBatch], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+def _windows(batches: Iterator[pa.RecordBatch], ranks: Ranks, share: int = 0, shares: int = 1) -> tuple[np.ndarray, np.ndarray]:
     size = attention.WINDOW + 1
-    cut = [(np.empty((0, size), "<u4"), np.empty((0, size - 1), bool)), *(attention.windows(*seen) for seen in _learned(batches, ranks))]
+    cut = [(np.empty((0, size), "<u4"), np.empty((0, size - 1), bool)), *(attention.windows(*seen) for seen in _learned(batches, ranks, share, shares))]
     return tuple(np.concatenate(c) for c in zip(*cut))
 
 
 def _train(texts: DataFrame, ranks: Ranks, subwords: int, counted: attention.Counted, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Averages, over tasks, of the weights each gets from its share of the training text, all of it; as many rounds as STEPS asks for, two at least.
+    """Averages, over tasks, of the weights each gets from its part of the training text, all of it; as many passes as STEPS asks for.
 
-    Windows are cut anew from the texts in every round, so none is stored.
+    A pass is a round; where one pass is enough, it is two rounds of every other text each, so that weights meet halfway. Windows are cut
+    anew from the texts in every round, so none is stored.
     """
     spark, n = texts.sparkSession, -(-subwords // attention.WINDOW)
     dealt = texts.coalesce(max(1, min(shuffle_partitions(spark), n // _WINDOWS_PER_TASK)))
@@ -282,14 +284,16 @@ def _train(texts: DataFrame, ranks: Ranks, subwords: int, counted: attention.Cou
     tables, others, ids = ("query", "key", "value", "gate"), ("near", "out"), ranks.size
     width, sizes = 4 * attention.WIDTH, np.cumsum([weights[k].size for k in others])
     lines = -(-int(sizes[-1]) // width)
-    rounds = max(2, -(-STEPS * BATCH * max(1, tasks) // n)) if n else 0
-    rounds = min(rounds, STEPS // 20)  # a handful of windows is not learned by heart
+    passes = max(1, -(-STEPS * BATCH * max(1, tasks) // n)) if n else 0
+    passes = min(passes, STEPS // 20)  # a handful of windows is not learned by heart
+    shares = 2 if passes == 1 else 1
+    rounds = passes * shares
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((weights, counted, ranks))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, counts, ranks = shared.value
-            data, valid = _windows(batches, ranks)
+            data, valid = _windows(batches, ranks, number % shares, shares)  # noqa: B023
             if not len(data):
                 return
             got, steps = attention.train(now, counts, data, valid, RATE * (1 - number / rounds), BATCH, number)  # noqa: B023
@@ -372,11 +376,11 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
             ranks, counted, weights = model.value
             ids, begins = text.subwords(np.ones(len(starts), dtype=bool))
             seen = np.append(0, ranks.of[ids]).astype(np.int64)
-            codes = np.unique(ranks.pairs(ids))
+            codes, which = np.unique(ranks.pairs(ids), return_inverse=True)
             often = np.empty(len(codes), dtype=np.int64)
             often[_dealt(codes, pair_buckets)[0]] = np.frombuffer(b"".join(c for b, c in got if b >= buckets), "<i8")
             counted.inside = replace(counted.inside, pairs=codes, counts=often)
-            log = attention.score(weights, counted, seen, begins) + ranks.alone[ids]
+            log = attention.score(weights, counted, seen, begins, which) + ranks.alone[ids]
             scores = np.add.reduceat(log, begins, dtype=np.float64) / np.log(10)
             parts.append(pa.table({
                 "doc_id": pa.array(text.docs, mask=~text.has_id), "held_out": pa.array(text.held),
