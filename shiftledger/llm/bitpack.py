@@ -15,12 +15,13 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftledger.llm.common import id_and_text, slices, written
@@ -31,6 +32,7 @@ BLOCK = 4096
 _MAGIC = b"IDBITS01"
 _TAIL = struct.Struct("<QQQQQB7s8s")  # ids, documents, offset of block table, of document table, block size, bits, spare, magic
 _READ_IDS = 1 << 18
+_STORES = {s: s for s in ("file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")} | {"s3a": "s3", "s3n": "s3"}
 
 
 def bits_for(vocabulary: int) -> int:
@@ -114,19 +116,33 @@ class Reader:
         return unpack(data, count, self._bits)[start - first * self._block:stop - first * self._block]
 
 
+def shared_address(spark: SparkSession, root: str) -> str:
+    """The folder as tasks open it: without a scheme it lies on Spark's default file system, as for Spark's own writers.
+
+    Raises ValueError for a file system that tasks cannot open, before any is started.
+    """
+    if not urlsplit(root).scheme:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, store, folder, *_ = urlsplit(root)
+    if scheme not in _STORES:
+        raise ValueError(f"files of packed ids cannot be written to {scheme}: {root}")
+    return f"{_STORES[scheme]}://{store}{folder}"
+
+
 def write_ids(docs: DataFrame, tokenizer: str, root: str | None = None, shards: int | None = None) -> DataFrame:
     """Writes the files below ``root`` and returns the manifest: ``shard, path, n_ids, n_docs, start``.
 
     Every document's ids are followed by the id 1. Null text is empty; a document without an id sorts first. Documents of equal id
-    are ordered by a hash of their text. ``start`` counts the ids of all shards before.
+    are ordered by a hash of their text. ``start`` counts the ids of all shards before. A root without a scheme is taken as Spark takes it.
     """
     spark = docs.sparkSession
-    root = root or scratch_path(spark, "ids")
+    root = shared_address(spark, root or scratch_path(spark, "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
         shard = TaskContext.get().partitionId()
-        store, folder = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        store, folder = fs.FileSystem.from_uri(root)
         store.create_dir(folder, recursive=True)
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         n_docs = 0
@@ -155,7 +171,7 @@ def read_ids(manifest: DataFrame, readers: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for line in batch.to_pylist():
-                store, _ = fs.FileSystem.from_uri(line["root"] if "://" in line["root"] else f"file://{line['root']}")
+                store, _ = fs.FileSystem.from_uri(line["root"])
                 with store.open_input_file(line["path"]) as file:
                     shard = Reader(file)
                     ends = np.append(shard.starts[1:], shard.ids)

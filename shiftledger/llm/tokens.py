@@ -75,7 +75,8 @@ class WordCache:
         self._path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.vocabulary = len({*spec["model"]["vocab"], *(t["content"] for t in spec["added_tokens"])})
+        # Ids may have gaps: what counts is the largest.
+        self.vocabulary = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         split = [p for p in (spec["pre_tokenizer"].get("pretokenizers") or []) if p["type"] == "Split"]
         self._pieces_of = regex.compile(split[0]["pattern"]["Regex"] if split else public_tokenizers.PATTERN).findall
         # Without such a split the space before a word is part of its pre-token; with one it is dropped.

@@ -223,6 +223,37 @@ def test_files_hold_the_documents_in_order(spark):
     assert bitpack.read_ids(bitpack.write_ids(documents(spark, []), WORD)).count() == 0
 
 
+def test_token_files_lie_where_spark_puts_them(spark, tmp_path):
+    plain = bitpack.write_ids(documents(spark, [(1, "a b"), (2, None)]), WORD, root=str(tmp_path / "plain"))
+    named = bitpack.write_ids(documents(spark, [(1, "a b"), (2, None)]), WORD, root=f"file:{tmp_path}/named")
+    assert rows_of(bitpack.read_ids(plain)) == rows_of(bitpack.read_ids(named))
+    assert {r["root"] for r in rows_of(plain)} == {f"file://{tmp_path}/plain"}
+    assert list((tmp_path / "plain").glob("*.ids")) and list((tmp_path / "named").glob("*.ids"))
+    # A root without a scheme follows Spark's default file system instead of a machine's own disk.
+    hadoop = spark._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.defaultFS", "har:///")
+    try:
+        with pytest.raises(Exception, match="har"):
+            bitpack.shared_address(spark, "/ids")
+    finally:
+        hadoop.set("fs.defaultFS", before)
+    assert bitpack.shared_address(spark, "s3a://bucket/ids") == "s3://bucket/ids"
+    assert bitpack.shared_address(spark, "hdfs://host:8020/ids") == "hdfs://host:8020/ids"
+    with pytest.raises(ValueError, match="unheard"):
+        bitpack.shared_address(spark, "unheard://bucket/ids")
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_vocabulary_reaches_to_the_largest_id(path):
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()
+    assert encoder(path).vocabulary == max(ids) + 1
+    assert max(ids) + 1 >= len(ids)
+
+
+
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
 
