@@ -42,11 +42,18 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Each id's low bits in order, the lowest first, without gaps; the last byte is filled with zeros."""
-    lanes = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
+    data = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:  # whole bytes, the same as their bits one by one
+        return data[:, :bits // 8].tobytes()
+    lanes = np.unpackbits(data, axis=1, bitorder="little")[:, :bits]
     return np.packbits(lanes.reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
+    if bits % 8 == 0:
+        whole = np.zeros((count, 4), dtype=np.uint8)
+        whole[:, :bits // 8] = np.frombuffer(data, np.uint8, count * bits // 8).reshape(count, bits // 8)
+        return whole.reshape(-1).view("<u4")
     lanes = np.zeros((count, 32), dtype=np.uint8)
     lanes[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
     return np.packbits(lanes, axis=1, bitorder="little").reshape(-1).view("<u4")
