@@ -51,6 +51,52 @@ def test_top_k_is_exact(spark, monkeypatch, ties):
     assert sorted(found) == plain(rows, 20)
 
 
+def test_far_regions_are_not_visited(spark, monkeypatch):
+    """Tight bundles of vectors and a third of all rows equal: regions out of reach are left out, answers are those of a full sort."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 9)
+    rounds, keep = [], topk.written
+
+    def seen(df, name, *more):
+        table = keep(df, name, *more)
+        rounds.extend([table] if name.startswith("round") else [])
+        return table
+
+    monkeypatch.setattr(topk, "written", seen)
+    draw = np.random.default_rng(3)
+    around = draw.choice([-9.0, 9.0], (8, 12))
+    values = np.concatenate([around[draw.integers(0, 8, 800)] + draw.normal(0, 0.1, (800, 12)), np.full((400, 12), 0.25)])
+    rows = [(i, v) for i, v in enumerate(np.float32(values[draw.permutation(1200)]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    vectors = df.select("vec_id", topk.quantized("embedding").alias("vector"))
+    found = [tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(found) == plain(rows, 20)
+    visits = sum(r.select(F.sum(F.size("regions"))).first()[0] for r in rounds)
+    first = rounds[0].count()
+    assert first == 60 and visits < first * 24 / 2
+
+
+def test_no_vector_of_a_region_passes_its_bound():
+    draw = np.random.default_rng(5)
+    vectors = draw.integers(-(1 << 22), 1 << 22, (3000, 7)).astype(float)
+    vectors[:1000] = vectors[0]
+    regions = topk.Regions(vectors[::30], 4)
+    region, away = regions.nearest(vectors)
+    np.maximum.at(regions.radii, region, away)
+    queries = vectors[::50]
+    scores = queries @ vectors.T
+    for floors in (scores.max(axis=1), np.sort(scores, axis=1)[:, -20]):
+        ahead = regions.ahead(queries, floors, [[]] * len(queries), None)
+        for line, floor, own in zip(scores, floors, ahead):
+            assert set(region[line >= floor].tolist()) <= set(own)
+
+
+def test_vectors_without_components(spark):
+    df = spark.createDataFrame([(20, []), (1, []), (2, [])], "vec_id bigint, vector array<bigint>")
+    found = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect())
+    assert found == [(20, 1, 1, 0), (20, 2, 2, 0)]
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id bigint, vector array<bigint>")
     assert topk.top_k(empty, F.col("vec_id") % 20 == 0).count() == 0
