@@ -6,6 +6,8 @@ Three notions of identity stay apart: the operator key (first token, unaccented)
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +75,10 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size))))
 
 
-def name_grams(names: DataFrame, column: str) -> DataFrame:
+def name_grams(names: DataFrame, column: str, sizes: Iterable[int] = range(1, GRAM + 1)) -> DataFrame:
     """One row per name and substring of one to GRAM letters of it: linear in the length of the names."""
     text = F.lower(F.col(column))
-    every = F.array_compact(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)]))
+    every = F.array_compact(F.array(*[_grams(text, n) for n in sizes]))
     return names.select(column, F.explode(F.flatten(every)).alias("_grama"))
 
 
@@ -87,12 +89,21 @@ def search_keys(wanted: DataFrame, column: str, grams: DataFrame) -> DataFrame:
     """
     texts = wanted.select(column).where(F.length(column) > 0).distinct()
     short = texts.where(F.length(column) <= GRAM).withColumn("_grama", F.col(column))
-    parts = texts.where(F.length(column) > GRAM).select(column, F.explode(_grams(F.col(column), GRAM)).alias("_grama"))
+    return short.unionByName(_rarest_parts(texts, column, grams))
+
+
+def _rarest_parts(texts: DataFrame, column: str, grams: DataFrame) -> DataFrame:
+    """The distinct texts longer than a gram with that part of theirs which fewest names hold; texts may repeat.
+
+    Shorter ones have no parts here, rather than being filtered: a filter would go below a ``distinct`` that others share, and cost another read of the table.
+    """
+    long = F.when(F.length(column) > GRAM, F.col(column))
+    parts = texts.select(column, F.explode(_grams(long, GRAM)).alias("_grama"))
     held = grams.groupBy("_grama").agg(F.count("*").alias("_n"))
     rarest = parts.join(held, "_grama", "left").groupBy(column).agg(
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_grama")).alias("_chave")
     )
-    return short.unionByName(rarest.where("_chave.n > 0").select(column, F.col("_chave._grama").alias("_grama")))
+    return rarest.where("_chave.n > 0").select(column, F.col("_chave._grama").alias("_grama"))
 
 
 def names_holding(wanted: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
@@ -130,7 +141,10 @@ def resolve_operator(records: DataFrame, schedule: DataFrame) -> DataFrame:
     grams = name_grams(names, "nome_escala")
     best = F.min(F.struct(F.length("nome_escala"), F.col("nome_escala").alias("nome"))).alias("_hit")
     short = grams.groupBy(F.col("_grama").alias("_token")).agg(best)
-    long = names_holding(raw.where(F.length("_token") > GRAM), "_token", names, "nome_escala").groupBy("_token").agg(best)
+    parts = name_grams(names, "nome_escala", [GRAM])
+    keys = _rarest_parts(raw, "_token", parts)
+    held = F.lower("nome_escala").contains(F.col("_token"))
+    long = keys.join(parts, "_grama").where(held).groupBy("_token").agg(best)
     return (
         raw.join(short.unionByName(long), "_token", "left")
         .select("operador_nome", F.coalesce(F.col("_hit.nome"), strip("operador_nome")).alias("operador_escala"))

@@ -42,6 +42,13 @@ def test_rows_are_hashed_not_sorted_before_the_first_shuffle(stored):
         assert "HashAggregate" in lowest, lowest
 
 
+def test_names_resolve_in_one_read_of_the_records(spark, stored):
+    df = identity.resolve_operator(stored, Inputs(spark, SF).schedule)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan parquet [operador_nome#") == 1 and "ReusedExchange" in final
+
+
 def test_efficiency_reads_once_and_never_joins(stored):
     tree = explain(kpi.operator_efficiency(stored)).split("(1) Scan parquet")[0]
     assert tree.count("Scan parquet") == 1 and "Join" not in tree
