@@ -1,6 +1,6 @@
 """Exact top-k by inner product: ball trees over shards that lie together in space, searched by branch and bound.
 
-The leaves of one ball tree over a bounded sample are the regions of space: every candidate goes to the region whose centre is nearest, and the
+Of equal vectors only those that can be among a query's best are candidates: the k + 1 rows of smallest id. The leaves of one ball tree over a bounded sample are the regions of space: every candidate goes to the region whose centre is nearest, and the
 radius of a region is the distance of its farthest candidate. Regions of many candidates are cut into shards of bounded size by a hash of the row. A query
 visits regions in rounds, those of the greatest upper bound (centre times query plus radius times the query's length) first: the best one, the next few,
 then all others. Between rounds the k-th score found so far is shared, and a region whose bound lies below it is never
@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,15 +243,24 @@ def quantized(column: str, by: int = 64) -> Column:
     return F.when(fine, F.transform(column, lambda x: F.floor(x.cast("double") * by)))
 
 
-def _dealt(rows: DataFrame) -> tuple[Regions, DataFrame]:
-    """Regions from a sample of at most MOST_REGIONS * SAMPLED_PER_REGION rows, and all rows with theirs. What the sample is changes no result."""
+def candidates_of(rows: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among the k best of any query: of equal vectors, which score alike, the k + 1 of smallest id, as one may be the query's own.
+
+    Spark limits the copies of a vector in every task before the shuffle.
+    """
+    smallest = Window.partitionBy("vector").orderBy("vec_id", "row")
+    return rows.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1).drop("nth")
+
+
+def _dealt(rows: DataFrame, candidates: DataFrame) -> tuple[Regions, DataFrame]:
+    """Regions from a sample of at most MOST_REGIONS * SAMPLED_PER_REGION rows, and all candidates with theirs. What the sample is changes no result."""
     n, usual = rows.agg(F.count("*"), F.mode("size")).first()
     wanted = SAMPLED_PER_REGION * min(MOST_REGIONS, max(_MIN_REGIONS, math.ceil(n / SHARD_ROWS)))
     drawn = rows.where((F.col("size") == F.lit(usual)) & (F.pmod(F.xxhash64("row"), F.lit(max(n, 1))) < wanted)).limit(wanted)
     sample = drawn.select("vector").toArrow()["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     regions = Regions(sample.reshape(-1, usual or 1).astype(float), SAMPLED_PER_REGION)
     add = _deal(rows.sparkSession.sparkContext.broadcast(regions))
-    return regions, written(rows.mapInArrow(add, _with(rows, region=T.IntegerType(), away=T.DoubleType())), "dealt")
+    return regions, written(candidates.mapInArrow(add, _with(rows, region=T.IntegerType(), away=T.DoubleType())), "dealt")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "vector") -> DataFrame:
@@ -270,7 +279,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "vect
         .withColumn("row", F.monotonically_increasing_id()),
         "vectors",
     ).withColumn("size", F.size("vector"))
-    regions, dealt = _dealt(rows)
+    regions, dealt = _dealt(rows, candidates_of(rows, k))
     # A line per region: where its shards begin and how many they are.
     lines, first = [], 0
     for region, n, away in sorted(dealt.groupBy("region").agg(F.count("*"), F.max("away")).collect()):

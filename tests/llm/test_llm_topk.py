@@ -55,12 +55,11 @@ def test_far_regions_are_not_visited(spark, monkeypatch):
     """Tight bundles of vectors and a third of all rows equal: regions out of reach are left out, answers are those of a full sort."""
     monkeypatch.setattr(topk, "SHARD_ROWS", 50)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 9)
-    rounds, keep = [], topk.written
+    tables, keep = {}, topk.written
 
     def seen(df, name, *more):
-        table = keep(df, name, *more)
-        rounds.extend([table] if name.startswith("round") else [])
-        return table
+        tables[name] = keep(df, name, *more)
+        return tables[name]
 
     monkeypatch.setattr(topk, "written", seen)
     draw = np.random.default_rng(3)
@@ -71,9 +70,19 @@ def test_far_regions_are_not_visited(spark, monkeypatch):
     vectors = df.select("vec_id", topk.quantized("embedding").alias("vector"))
     found = [tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()]
     assert sorted(found) == plain(rows, 20)
+    rounds = [tables[name] for name in tables if name.startswith("round")]
     visits = sum(r.select(F.sum(F.size("regions"))).first()[0] for r in rounds)
     first = rounds[0].count()
     assert first == 60 and visits < first * 24 / 2
+    assert tables["dealt"].groupBy("vector").count().agg(F.max("count")).first()[0] == 21
+
+
+def test_copies_are_limited_before_the_shuffle(spark):
+    """The plan of the window that ``top_k`` keeps candidates by."""
+    df = spark.range(1000).select(F.col("id").alias("vec_id"), F.array("id").alias("vector"), F.col("id").alias("row"))
+    plan = topk.candidates_of(df, 20)._jdf.queryExecution().executedPlan().toString()
+    before, after = plan.rindex("WindowGroupLimit"), plan.index("Exchange hashpartitioning(vector")
+    assert plan.count("WindowGroupLimit") == 2 and before > after
 
 
 def test_no_vector_of_a_region_passes_its_bound():
