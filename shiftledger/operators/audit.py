@@ -99,9 +99,9 @@ def of_submissions(changed: DataFrame, stored: DataFrame, actor: Actor) -> DataF
     return of_inserts(beside.where("_havia IS NULL"), actor).unionByName(updated)
 
 
-def of_plan(schedule: DataFrame, payloads: DataFrame, actor: Actor) -> DataFrame:
+def of_plan(schedule: DataFrame, payloads: DataFrame, actor: Actor, insert_unknown: bool = False) -> DataFrame:
     """Plan lines that were inserted or replaced."""
-    lines = changes.judge_plan_upsert(schedule, payloads)
+    lines = changes.judge_plan_upsert(schedule, payloads, insert_unknown)
     said = F.concat_ws("; ", _subject("linha"), F.when(F.col("novo"), "incluída").otherwise("substituída"), *[
         F.concat(F.lit(f"{c}: "), F.col(c)) for c in ("operador", "periodo", *WEEKDAYS)
     ])

@@ -137,7 +137,7 @@ def audit_from_inserts(t: Inputs) -> DataFrame:
 
 @query
 def audit_from_plan(t: Inputs) -> DataFrame:
-    return _trail(t, audit.of_plan(t.schedule, t.plan_payloads, ACTOR))
+    return _trail(t, audit.of_plan(t.schedule, t.plan_payloads, ACTOR, insert_unknown=True))
 
 
 @query
@@ -644,7 +644,7 @@ def plan_payload_outcome(t: Inputs) -> DataFrame:
 
 @query
 def schedule_upserted(t: Inputs) -> DataFrame:
-    return changes.upsert_schedule(t.schedule, t.plan_payloads)
+    return changes.upsert_schedule(t.schedule, t.plan_payloads, insert_unknown=True)
 
 
 @query
