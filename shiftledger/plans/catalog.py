@@ -741,8 +741,9 @@ def _lifecycle_stream(t: Inputs) -> DataFrame:
     """The log in three deliveries, each read by a query that starts anew; an event of nobody, long after, closes the last."""
     root = scratch_path(t.spark, "lifecycle")
     log = t.request_log
-    last = log.agg(F.max("id")).first()[0]
-    end = t.spark.createDataFrame([(None, None, MONTH + timedelta(days=400), "fim")], log.schema)
+    last, newest = log.agg(F.max("id"), F.max("quando")).first()
+    long_after = max(MONTH, newest or MONTH) + timedelta(days=400)
+    end = t.spark.createDataFrame([(None, None, long_after, "fim")], log.schema)
     place = F.col("id") * 3
     for delivery in (log.where(place <= last), log.where((place > last) & (place <= 2 * last)), log.where(place > 2 * last).unionByName(end)):
         delivery.write.mode("append").parquet(f"{root}/entrada")

@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -25,67 +24,72 @@ ship_with_tasks(__name__)
 
 EXPIRE, OVER = "expirar", "expirada"
 LATENESS = "1 hour"
-_EFFECTS = "id bigint, usuario string, quando timestamp_ntz, acao string, efeito string, solicitacao_id bigint"
+_EFFECTS = "id bigint, usuario string, quando bigint, acao string, efeito string, solicitacao_id bigint"  # the moment in microseconds
+_LINE = Row(*[f.split(" ")[0] for f in _EFFECTS.split(", ")])
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Approvals(StatefulProcessor):
-    """Effects of one user's events, and the expiry of grants nobody used."""
+    """Effects of one user's events, and the expiry of grants nobody used.
+
+    What a user sends in one batch waits as one entry of arrays, so state is read and written per user and batch, not per event.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._open = handle.getValueState("aberto", "fase int, pedido bigint, ate bigint")
-        self._waiting = handle.getListState("espera", "quando bigint, id bigint, codigo int, acao string")
+        self._waiting = handle.getListState("espera", "quando array<bigint>, id array<bigint>, codigo array<int>, acao array<string>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for frame in rows for r in frame[["quando", "id", "codigo", "acao"]].itertuples(index=False, name=None)]
-        self._waiting.appendList([(int(q), None if pd.isna(i) else int(i), int(c), a) for q, i, c, a in new])
-        self._handle.registerTimer(_ms(min(int(r[0]) for r in new)))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [(r.quando, r.id, r.codigo, r.acao) for r in rows]
+        self._waiting.appendList([_entry(new)])
+        self._handle.registerTimer(_ms(min(r[0] for r in new)))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self._waiting.get()) if self._waiting.exists() else []
+        held = [r for entry in self._waiting.get() for r in zip(*entry)]
         ready = sorted((r for r in held if r[0] <= passed), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
         later = [r for r in held if r[0] > passed]
-        state = tuple(self._open.get()) if self._open.exists() else START
+        kept = self._open.get()
+        state = before = START if kept is None else tuple(kept)
         lines, grants = [], {state[1]: state[2]} if state[0] == GRANTED else {}
         if ready:
             times, codes = np.array([r[0] for r in ready]), np.array([r[2] for r in ready])
             effects, requests, state = replay(times, codes, np.array([r[1] or 0 for r in ready]), state)
             for (moment, number, _, action), effect, request in zip(ready, effects.tolist(), requests.tolist()):
-                lines.append((number, moment, action, EFFECTS[effect], request if request >= 0 else None))
+                lines.append((number, key[0], moment, action, EFFECTS[effect], request if request >= 0 else None))
                 if effect == GRANT:
                     grants[request] = moment + WINDOW_US
                 elif effect in (USE, REJECT):
                     grants.pop(request, None)
             if later:
-                self._waiting.put(later)
+                self._waiting.put([_entry(later)])
             else:
                 self._waiting.clear()
-        lines += [(None, until, EXPIRE, OVER, request) for request, until in grants.items() if until <= passed]
+        lines += [(None, key[0], until, EXPIRE, OVER, request) for request, until in grants.items() if until <= passed]
         if state[0] == GRANTED and state[2] <= passed:
             state = START
         if state[0] == START[0]:
-            self._open.clear()
+            if before != START:
+                self._open.clear()
         else:
             self._open.update(state)
         if state[0] == GRANTED:
             self._handle.registerTimer(_ms(state[2]))
         if later:
             self._handle.registerTimer(_ms(min(r[0] for r in later)))
-        if lines:
-            yield pd.DataFrame({
-                "id": pd.array([r[0] for r in lines], dtype="Int64"), "usuario": [key[0]] * len(lines),
-                "quando": pd.to_datetime([r[1] for r in lines], unit="us"), "acao": [r[2] for r in lines], "efeito": [r[3] for r in lines],
-                "solicitacao_id": pd.array([r[4] for r in lines], dtype="Int64"),
-            })
+        return (_LINE(*line) for line in lines)
 
     def close(self) -> None:
         pass
 
 
+def _entry(events: list[tuple]) -> tuple:
+    return tuple(list(column) for column in zip(*events))
+
+
 def _ms(micros: int) -> int:
     return -(-micros // 1000)
 
@@ -98,9 +102,10 @@ def effects(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
     code = F.coalesce(*[F.when(F.col("acao") == name, F.lit(number)) for name, number in ACTIONS.items()], F.lit(0))
     moment = event_time("quando")
     events = log.select("usuario", "id", F.unix_micros(moment).alias("quando"), code.alias("codigo"), "acao", moment.alias("momento"))
-    return events.withWatermark("momento", lateness).groupBy("usuario").transformWithStateInPandas(
+    told = events.withWatermark("momento", lateness).groupBy("usuario").transformWithState(
         statefulProcessor=Approvals(), outputStructType=_EFFECTS, outputMode="Append", timeMode="EventTime"
     )
+    return told.withColumn("quando", F.expr("TIMESTAMP_NTZ '1970-01-01' + quando * INTERVAL '0.000001' SECOND"))
 
 
 def run_effects(log: DataFrame, root: str, checkpoint: str, lateness: str = LATENESS) -> StreamingQuery:

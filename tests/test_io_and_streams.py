@@ -1,13 +1,17 @@
 import json
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
+from unittest import mock
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from test_lifecycle import brute_force, make_log
 from rows import FULL, MONDAY, PARTIAL, explain, records, values
 from shiftledger.operators import kpi
+from shiftledger.plans import catalog
 from shiftledger.plans.catalog import ENVELOPE_ROW
 from shiftledger.operators import audit, changes, gaps, numbering
 from shiftledger.sources import days, schemas, tables
@@ -330,3 +334,27 @@ def test_lifecycle_as_events_arrive(spark, tmp_path, seed):
     closed = {target for effect, target in wanted.values() if effect in ("usada", "rejeitada")}
     over = {r.solicitacao_id: r.quando for r in found if r.efeito == approvals.OVER}
     assert over == {r: t for r, t in granted.items() if r not in closed} and over
+
+
+def test_events_of_a_batch_wait_as_one_entry():
+    """State is written per user and batch: as many events as come, one entry."""
+    handle, entries, timers = mock.Mock(), [], []
+    handle.getListState.return_value.appendList = entries.extend
+    handle.registerTimer = timers.append
+    walk = approvals.Approvals()
+    walk.init(handle)
+    event = Row("quando", "id", "codigo", "acao")
+    assert list(walk.handleInputRows(("ana",), iter([event(5000 - i, i, 1, "solicitar") for i in range(500)]), None)) == []
+    assert len(entries) == 1 and len(entries[0][0]) == 500 and timers == [5]
+
+
+def test_a_log_longer_than_a_year_is_told_to_its_end(spark, tmp_path):
+    """The event that closes the log comes after all others, however long the log is."""
+    kind = "id bigint, usuario string, quando timestamp_ntz, acao string"
+    rows = [(i, "ana", MONDAY + timedelta(days=100 * i), "solicitar" if i % 2 == 0 else "autorizar") for i in range(7)]
+    rows += [(7, "bia", rows[-1][2] + timedelta(seconds=1), "solicitar"), (8, "bia", rows[-1][2] + timedelta(seconds=2), "autorizar")]
+    inputs = SimpleNamespace(spark=spark, request_log=spark.createDataFrame(rows, kind))
+    found = catalog._lifecycle_stream(inputs).collect()
+    told = {r.id: r.efeito for r in found if r.efeito != approvals.OVER}
+    assert sorted(told) == list(range(9)) and (told[7], told[8]) == ("aberta", "autorizada")
+    assert rows[8][2] + timedelta(minutes=10) in [r.quando for r in found if r.efeito == approvals.OVER]
