@@ -77,11 +77,21 @@ def rows_with(spark: SparkSession, root: str, ids: DataFrame, before: int | None
     return current_records(spark, root, before, days).join(ids.select("id"), "id", "left_semi")
 
 
-def replace_rows(rows: DataFrame, root: str, batch: int) -> None:
-    """Write batch: these rows in place of the stored ones of their ids, which may be in other days. Ids must be given, each once."""
+def replace_rows(rows: DataFrame, root: str, batch: int, stored: DataFrame | None = None) -> None:
+    """Write batch: these rows in place of the stored ones of their ids, which may be in other days. Ids must be given, each once.
+
+    ``stored`` may give what ``rows_with`` found for these ids (or more), so that the table is not searched for their days again.
+    """
     spark = rows.sparkSession
-    new = cut_lineage(conform(rows, STORED).withColumn("dia", day_partition()))
-    left = days_of(spark, root, new, before=batch)
+    new = conform(rows, STORED).withColumn("dia", day_partition())
+    if not any(number < batch for number in batches(spark, root)):  # nothing is stored, so nothing is replaced
+        new.hint("rebalance", "dia").write.mode("overwrite").partitionBy("dia").parquet(f"{root}/{BATCH}={batch}")
+        return
+    new = cut_lineage(new)
+    if stored is None:
+        left = days_of(spark, root, new, before=batch)
+    else:
+        left = {r.dia for r in stored.join(new.select("id"), "id", "left_semi").select("dia").distinct().collect()}
     entered = {r.dia for r in new.select("dia").distinct().collect()}  # calendar days, too
     stayed = current_records(spark, root, batch, left | entered).join(new.select("id"), "id", "left_anti")
     kind = T.StructType([*STORED.fields, T.StructField("dia", T.StringType())])

@@ -245,10 +245,10 @@ def run_ingest(
         checked = cut_lineage(changes.check_records(changes.ingest_records(df, users, as_of)))
         good = F.col("valido") & F.col("aceito")
         taken = checked.where(good)
-        stored = days.rows_with(spark, table, taken.where("id IS NOT NULL"), before=batch)
+        stored = cut_lineage(days.rows_with(spark, table, taken.where("id IS NOT NULL"), before=batch))
         changed, unknown = changes.settle(taken, stored, highest_id(days.current_records(spark, table, before=batch)))
         changed = cut_lineage(changed)
-        days.replace_rows(changed, table, batch)
+        days.replace_rows(changed, table, batch, stored)
         write_batch(audit.of_submissions(changed, stored, actor), f"{root}/auditoria", batch)
         refused = checked.where(~good).select("id", *changes.CONTENT, "ordem", "violacoes").unionByName(
             unknown.withColumn("violacoes", F.array(F.lit(changes.NO_RECORD)))

@@ -358,3 +358,32 @@ def test_a_log_longer_than_a_year_is_told_to_its_end(spark, tmp_path):
     told = {r.id: r.efeito for r in found if r.efeito != approvals.OVER}
     assert sorted(told) == list(range(9)) and (told[7], told[8]) == ("aberta", "autorizada")
     assert rows[8][2] + timedelta(minutes=10) in [r.quando for r in found if r.efeito == approvals.OVER]
+
+
+def test_a_batch_reads_the_stored_rows_once(spark, tmp_path, monkeypatch):
+    """The stored rows of a batch are found once, for the table, the audit and the refused rows alike; the days they leave come from them."""
+    people = spark.createDataFrame([("ana", "Ana", "Operador")], "username string, nome string, role string")
+    root, read, searches = str(tmp_path / "out"), spark.sparkContext.accumulator(0), []
+    rows_with, days_of = days.rows_with, days.days_of
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def counted(*args, **kwargs):
+        found = rows_with(*args, **kwargs)
+        return found.mapInArrow(told, found.schema)
+
+    monkeypatch.setattr(days, "rows_with", counted)
+    monkeypatch.setattr(days, "days_of", lambda *args, **kwargs: searches.append(1) or days_of(*args, **kwargs))
+    days.replace_rows(records(spark, [(i, MONDAY + timedelta(days=i), "Ana", "C", FULL, "") for i in range(1, 4)]), f"{root}/registros", days.FIRST_LOAD)
+    assert not searches  # nothing was stored
+    rows = [(1, "ana", "D", None, FULL, "", None, "2024-01-20", 1, None), (50, "ana", "C", None, FULL, "", None, None, 2, None)]
+    deliver(spark.createDataFrame(rows, INBOX), str(tmp_path / "in"))
+    source = live.read_table_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], INBOX).schema)
+    live.run_ingest(source, people, root, str(tmp_path / "cp"), MONDAY)
+    assert (read.value, len(searches)) == (1, 1)
+    assert sorted(values(days.current_records(spark, f"{root}/registros"), "id", "cliente_nome", "dia")) == [
+        (1, "D", "2024-01-20"), (2, "C", "2024-01-17"), (3, "C", "2024-01-18")]
+    assert [r.id for r in spark.read.parquet(f"{root}/quarentena").collect()] == [50]
