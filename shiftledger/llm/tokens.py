@@ -12,14 +12,16 @@ import numpy as np
 
 END = 1
 assert array("I", [1]).tobytes() == b"\1\0\0\0"  # what packed ids are made of
-_CACHE_WORDS = 600_000
-_CACHE_PIECES = 400_000
+_CACHE_WORDS = 200_000
+_CACHE_PIECES = 100_000
 #: Characters on which the pre-tokenizer's classes are the same in every Unicode version and regex library.
 #: Letters and the marks behind them, and the same once more behind a line break.
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
 _PLAIN = rf"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?"
 _USUAL = r"[\t\n\r\x20-\x7eÀ-įı-ſ‐-…]*+"
 _SAFE = r"[\x21-\x7eÀ-įı-ſ‐-…]+"
+#: Stands for the end of a word where files have a suffix for it.
+_MARK = "\0"
 
 
 class Recent(dict):
@@ -45,6 +47,7 @@ class Recent(dict):
 
     def turn(self) -> None:
         if len(self) > self._limit:
+            self._old = {}  # let go before the copy, so that three generations are never held
             self._old = dict(self)
             self.clear()
 
@@ -56,13 +59,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def _in_order(model: dict) -> bool:
+    """Whether the merges of a plain BPE model are listed by rising id."""
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in pairs]
+    return all(a < b for a, b in zip(made, made[1:])) and not model["continuing_subword_prefix"]
+
+
 class WordCache:
     """Encodes whole texts; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     The pre-tokenizers served here start a new pre-token at a space that stands between two characters
     that are not white space, whatever surrounds it. So a text cut before such spaces encodes piece by piece.
     Texts with any other white space next to a space, and words with rare characters or special strings, go
-    to the library as a whole. Files of plain byte-level BPE have their usual texts merged by tiktoken, from the same vocabulary. Ids come as little-endian unsigned 32-bit integers.
+    to the library as a whole. Files of plain byte-level BPE have their usual texts merged by tiktoken, from the same vocabulary; files that mark
+    the end of a word have their pre-tokens merged so. Ids come as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str):
@@ -90,6 +101,7 @@ class WordCache:
         self._letters = str.maketrans(_byte_letters())
         self._id_bytes = [np.uint32(i).astype("<u4").tobytes() for i in range(self.vocabulary)]
         self._fast = self._byte_level(spec)
+        self._ended = self._with_end(spec)
         self._usual = regex.compile(_USUAL).fullmatch
         self._words = Recent(self._word, _CACHE_WORDS)
         self._pieces = Recent(self._piece, _CACHE_PIECES)
@@ -116,9 +128,7 @@ class WordCache:
         model, before = spec["model"], spec["pre_tokenizer"]
         if spec["normalizer"] or before["type"] != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"]:
             return None
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        made = [model["vocab"][a + b] for a, b in pairs]
-        if any(a >= b for a, b in zip(made, made[1:])) or model["end_of_word_suffix"] or model["continuing_subword_prefix"]:
+        if not _in_order(model) or model["end_of_word_suffix"]:
             return None
         import public_tokenizers
         import tiktoken
@@ -129,11 +139,41 @@ class WordCache:
         self._begins[[i for token, i in ranks.items() if b" " in token]] = True
         return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _with_end(self, spec: dict):
+        """The merges of one pre-token and a mark behind it, in tiktoken; None unless words end with a suffix and each byte does so too.
+
+        The mark is a byte of its own: what it makes with the byte before has the least rank of all merges, so it goes first, and what is
+        merged then are the library's symbols. Both merge alike as long as every string of the vocabulary merges to itself:
+        then two neighbours that make a string are the two that the library's list has for it.
+        """
+        model = spec["model"]
+        suffix = model["end_of_word_suffix"]
+        if not suffix or not _in_order(model):
+            return None
+        import tiktoken
+
+        byte = {letter: bytes([b]) for b, letter in _byte_letters().items()}
+        ranks, mark = {}, _MARK.encode()
+        for token, i in model["vocab"].items():
+            own = token.removesuffix(suffix)
+            if not own or any(c not in byte for c in own):
+                return None
+            key = b"".join([byte[c] for c in own]) + mark * (own != token)
+            if (mark in key[:-1] and key != mark * 2) or key in ranks:
+                return None
+            ranks[key] = i
+        ends = [ranks.get(b + mark) for b in byte.values()]
+        if None in ends or max(ends) >= min(i for key, i in ranks.items() if len(key) > 1 + key.endswith(mark)):
+            return None
+        return tiktoken.Encoding("ended", pat_str=rf"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks, special_tokens={})
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _piece(self, piece: str) -> bytes:
+        if self._ended is not None and _MARK not in piece:
+            return array("I", self._ended.encode_ordinary(piece + _MARK)).tobytes()
         if piece.isascii() and piece.isprintable():
             letters = piece.replace(" ", "\u0120")
         else:

@@ -1,6 +1,7 @@
 """Packing, packed files, token counts and BPE against the tokenizer libraries."""
 
 import hashlib
+import json
 import random
 import time
 import tracemalloc
@@ -14,9 +15,10 @@ import pytest
 from cases import documents, edge_rows, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers.models import BPE
 
 from shiftledger.llm import bitpack, bpe, counts, packing
-from shiftledger.llm.tokens import WordCache, encoder
+from shiftledger.llm.tokens import WordCache, _byte_letters, encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 RANKS, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
@@ -54,6 +56,45 @@ def test_every_vocabulary_string_encodes_as_in_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode(strings)] == [e.ids for e in library]
 
 
+def test_every_string_of_a_file_with_word_ends_merges_to_itself():
+    """What the module's proof asks for, then words as in the library: those of the vocabulary, long ones and odd bytes."""
+    cache = WordCache(WORD)
+    with open(WORD, encoding="utf-8") as file:
+        spec = json.load(file)["model"]
+    alone = BPE(vocab=spec["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]])
+    draw, suffix, letters = random.Random(3), spec["end_of_word_suffix"], list(_byte_letters().values())
+    library, ended = _tokenizer(WORD).model, []
+    for token, i in spec["vocab"].items():
+        if token.endswith(suffix):
+            ended.append(token.removesuffix(suffix))
+            assert [t.id for t in library.tokenize(ended[-1])] == [i]
+        else:
+            assert [t.id for t in alone.tokenize(token)] == [i]
+    byte = {letter: bytes([b]) for b, letter in _byte_letters().items()}
+    words = ended[:3000] + ["".join(draw.choices(ended, k=draw.choice([2, 5, 400]))) for _ in range(300)] + ["".join(draw.choices(letters, k=30)) for _ in range(300)]
+    for word in words:
+        raw = b"".join(byte[c] for c in word)
+        try:
+            piece = raw.decode()
+        except UnicodeDecodeError:
+            piece = raw.decode("latin-1")  # its own letters, two bytes each
+            word = piece.encode().decode("latin-1").translate(str.maketrans(_byte_letters()))
+        if piece:
+            assert np.frombuffer(cache._piece(piece), "<u4").tolist() == [t.id for t in library.tokenize(word)]
+
+
+def test_a_worker_holds_few_cached_words():
+    cache = WordCache(WORD)
+    for known in (cache._words, cache._pieces):
+        known._work_out, most = lambda word: b"", 0
+        for lot in range(30):
+            known.turn()
+            for i in range(50_000):
+                known[f"{lot} {i}"]
+            most = max(most, len(known) + len(known._old))
+        assert most <= 600_000
+
+
 def _tokenizer(path):
     from tokenizers import Tokenizer
 
