@@ -7,7 +7,8 @@ each spill, however often it occurs.
 
 The merged stripes, beside the language's totals, emit the divergences directly: with counts smoothed into shares p (of a group) and q (of
 another group or of the language), a term adds ``(p - q)**2 / q``. Terms that two sources both lack add one constant, so a block costs
-its counts times the sources, not its terms times their pairs.
+its counts times the sources, not its terms times their pairs. What a task found about a source leaves it as lists, a row per source and
+part: the sums of pairs are added up over the tasks, and of the terms' lists, each cut to the best, the best are taken.
 
 All arithmetic is on whole numbers, and the sums do not depend on how documents are dealt.
 """
@@ -34,11 +35,13 @@ SPILL = 500_000
 _TEXT = 1 << 20  # bytes of one text cut into words at a time
 _CELLS = 1 << 22  # sums of source pairs, and cells of a dense strip, that a task holds
 _BUCKETS_PER_PARTITION = 4
+_STRIP = 1024  # other sources whose sums are added up together
 #: Letters stay, capitals become small, bytes of longer characters stay; everything else parts terms.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BLOCK = "bucket int, lang string, names array<string>, terms binary, df binary, sizes binary, codes binary, counts binary"
 _KEPT = "lang string, bucket int, n_terms long, names array<string>, sums array<long>, terms binary, sizes binary, codes binary, counts binary"
 _FOUND = "lang string, source string, part string, item string, value long"
+_LISTED = "lang string, source string, part string, strip int, items array<string>, amounts array<long>"
 
 
 def words(text: bytes) -> Iterator[list[bytes]]:
@@ -248,22 +251,22 @@ def first_of(group: np.ndarray, value: np.ndarray, tie: np.ndarray, n: int) -> n
 
 def _emit(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
     """Sums of source pairs and the terms that stand out, gathered over the blocks of a task."""
-    names = [f.split(" ")[0] for f in _FOUND.split(", ")]
+    names = [*(f.split(" ")[0] for f in _FOUND.split(", ")), "strip"]
     sums: dict[str, tuple[list[str], np.ndarray]] = {}
     best: dict[tuple[str, str], tuple[list[str], list[int]]] = {}
 
-    def rows(lang: list, source: list, part: str, item: list, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(lang: list, source: list, part: str, item: list, value: np.ndarray, strip: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(lang), 65536):
             cut = slice(i, i + 65536)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lang[cut], pa.string()), pa.array(source[cut], pa.string()), pa.array([part] * len(lang[cut])),
-                 pa.array(item[cut], pa.string()), pa.array(value[cut], pa.int64())], names=names)
+                 pa.array(item[cut], pa.string()), pa.array(value[cut], pa.int64()), pa.array(strip[cut], pa.int32())], names=names)
 
     def matrix(lang: str, sources: list[str], first: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         one, other = (x.ravel() for x in np.indices(values.shape))
         on = one + first != other
         own, item = ([sources[i] for i in x[on].tolist()] for x in (one + first, other))
-        yield from rows([lang] * len(own), own, "pair", item, values.ravel()[on])
+        yield from rows([lang] * len(own), own, "pair", item, values.ravel()[on], other[on] // _STRIP)
 
     def cut(key: tuple[str, str]) -> None:
         terms, values = best[key]
@@ -279,7 +282,7 @@ def _emit(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatc
         for key in best:
             cut(key)
         for (lang, source), (terms, values) in best.items():
-            yield from rows([lang] * len(terms), [source] * len(terms), "term", terms, np.array(values, dtype=np.int64))
+            yield from rows([lang] * len(terms), [source] * len(terms), "term", terms, np.array(values, dtype=np.int64), np.zeros(len(terms), np.int32))
         sums.clear()
         best.clear()
 
@@ -310,6 +313,41 @@ def _emit(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatc
     yield from flush()
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of one source, part and strip as lists."""
+    names = [f.split(" ")[0] for f in _LISTED.split(", ")]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.append(True, np.zeros(batch.num_rows - 1, dtype=bool))
+        for key in names[:4]:
+            own = batch[key].dictionary_encode().indices.to_numpy()
+            new[1:] |= own[1:] != own[:-1]
+        starts = np.flatnonzero(new)
+        edges = pa.array(np.append(starts, batch.num_rows), pa.int32())
+        keys = [batch[key].take(pa.array(starts)) for key in names[:4]]
+        yield pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(edges, batch[c]) for c in ("item", "value"))], names=names)
+
+
+def _gathered(top: int):
+    def run(own: pa.Table) -> pa.Table:
+        """One source over all tasks: the sums of its pairs with a strip of others, or the best of its terms, each of which is in one list only."""
+        items, values = (own[c].combine_chunks().flatten() for c in ("items", "amounts"))
+        if own["part"][0].as_py() == "pair":
+            coded = items.dictionary_encode()
+            _, sums = _sums(coded.indices.to_numpy().astype(np.int64), values.to_numpy())
+            items, values = coded.dictionary, pa.array(sums, pa.int64())
+        else:
+            tie = np.empty(len(items), dtype=np.int64)
+            tie[pc.sort_indices(items.cast(pa.large_binary())).to_numpy()] = np.arange(len(items))
+            chosen = pa.array(first_of(np.zeros(len(items), np.int64), values.to_numpy(), tie, top))
+            items, values = items.take(chosen), values.take(chosen)
+        keys = {key: own[key].take(pa.array(np.zeros(len(items), np.int64))) for key in ("lang", "source", "part")}
+        return pa.table({**keys, "item": items, "value": values})
+
+    return run
+
+
 def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """``lang, source, part, item, value, rank``: how far each source of a language is from the others, and by which terms from the language.
 
@@ -332,9 +370,7 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Da
     totals = sizes.join(listed, "lang").select("lang", "v", F.col("all.source").alias("sources"), F.col("all.n").alias("totals"))
     # By language and bucket, so that no language is one key.
     spread = totals.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    found = written(kept.join(spread, ["lang", "bucket"]).mapInArrow(lambda batches: _emit(batches, top), _FOUND), "divergences")
+    found = written(kept.join(spread, ["lang", "bucket"]).mapInArrow(lambda batches: _listed(_emit(batches, top)), _LISTED), "divergences")
 
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    terms = found.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms)
+    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
+    return found.groupBy("lang", "source", "part", "strip").applyInArrow(_gathered(top), _FOUND).withColumn("rank", F.row_number().over(order))

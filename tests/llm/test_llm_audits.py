@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from cases import documents, edge_rows, rows_of
 
-from shiftledger.llm import dialogue, divergence, neardup
+from shiftledger.llm import common, dialogue, divergence, neardup
 
 # --- source divergence ---------------------------------------------------------------------
 
@@ -95,6 +95,47 @@ def test_spilled_stripes_merge_and_emit_the_same(monkeypatch, cells):
     assert sorted((r["lang"], r["source"], r["item"], r["value"]) for r in out if r["part"] == "term") == sorted((*x[:2], *x[3:5]) for x in wanted if x[2] == "term")
 
 
+def test_a_task_hands_on_a_row_per_source_and_part(spark, monkeypatch):
+    """Whatever the number of other sources (up to a strip's) and of terms: rows grow with tasks and sources only."""
+    kept = {}
+
+    def written(df, name, *more):
+        kept[name] = common.written(df, name, *more)
+        return kept[name]
+
+    monkeypatch.setattr(divergence, "written", written)
+    rows = spoken(4, 300)
+    found = divergence.divergences(documents(spark, rows))
+    assert sorted(tuple(r) for r in found.collect()) == plain_divergences(rows)
+    tasks = len(kept["divergences"].inputFiles())
+    assert 0 < kept["divergences"].count() <= 2 * tasks * len({(r[2], r[3]) for r in rows})
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_lists_of_several_tasks_are_gathered(size):
+    draw, flat = random.Random(size), []
+    for _ in range(3):
+        flat += [("x", f"s{i}", "pair", f"s{j}", draw.randrange(99), j // 4) for i in range(10) for j in range(10) if i != j]
+    flat += [("x", f"s{i % 2}", "term", f"t{i}", draw.randrange(9), 0) for i in sorted(range(60), key=lambda i: (i // 20, i % 2))]
+    names = ["lang", "source", "part", "item", "value", "strip"]
+    columns = pa.table(dict(zip(names, zip(*flat))))
+    lists = pa.concat_tables(pa.Table.from_batches([b]) for b in divergence._listed(iter(columns.to_batches(max_chunksize=size)))).to_pylist()
+    assert sum(len(r["items"]) for r in lists) == len(flat)
+    groups, found = collections.defaultdict(list), []
+    for r in lists:
+        groups[r["lang"], r["source"], r["part"], r["strip"]].append(r)
+    for own in groups.values():
+        found += [tuple(r.values()) for r in divergence._gathered(5)(pa.Table.from_pylist(own)).to_pylist()]
+    sums, terms = collections.Counter(), collections.defaultdict(list)
+    for lang, source, part, item, value, _ in flat:
+        if part == "pair":
+            sums[lang, source, part, item] += value
+        else:
+            terms[lang, source, part].append((-value, item))
+    wanted = [(*k, v) for k, v in sums.items()] + [(*k, item, -value) for k, own in terms.items() for value, item in sorted(own)[:5]]
+    assert sorted(found) == sorted(wanted)
+
+
 def test_shares_of_large_counts():
     for whole, counts in ((7, [0, 3, 6]), (10**12, [0, 10**11, 10**12 - 1]), (9 * 10**15, [0, 10**13 + 7, 9 * 10**15 - 1])):
         assert divergence.shares(np.array(counts), whole).tolist() == [1 + 10**9 * (c + 1) // whole for c in counts]
