@@ -9,6 +9,7 @@ self-attention with relative positions adds. Without attention this is a bigram
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -22,21 +23,35 @@ _AT_ONCE = 32  # windows worked on in one go
 PROJECTED = 32  # dimensions in which ranks are clustered
 _CEILING = 40
 _LITTLE = 0.01
+_SHORT = 6  # rows of one key that are added one after the other
+_DEEP = 256  # rows multiplied at a time where many are summed up: as deep as matrix products stay fast
 _F = np.float32
 _TABLES = ("query", "key", "value", "gate")  # weights with a row per rank
 
 
 def _runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and the sums of the rows of each: by sorted runs, several times faster than numpy's add.at."""
+    """The distinct keys, those with most rows first, and the sums of the rows of each: by sorted runs, several times faster than numpy's add.at."""
     if not len(keys):
         return keys, rows
     # Short keys sort by radix.
     order = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
-    keys, rows = keys[order], np.take(rows, order, axis=0)
+    keys = keys[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    # Two numbers added at a time: a run costs a call per column, whatever its length.
-    pairs = rows.view(np.result_type(rows.dtype, np.complex64))
-    return keys[starts], np.add.reduceat(pairs, starts, axis=0).view(rows.dtype)
+    lengths = np.diff(np.append(starts, len(keys)))
+    longest = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[longest], lengths[longest]
+    longer = np.searchsorted(-lengths, -np.arange(1, _SHORT + 1)).tolist()  # how many runs have more than 1, 2, ... rows
+    total = np.take(rows, order[starts], axis=0)
+    for depth, many in enumerate(longer[:-1], 1):
+        total[:many] += np.take(rows, order[starts[:many] + depth], axis=0)
+    if many := longer[-1]:
+        rest = lengths[:many] - _SHORT
+        begins = np.cumsum(rest) - rest
+        at = np.repeat(starts[:many] + _SHORT - begins, rest) + np.arange(rest.sum())
+        # Two numbers added at a time: a run costs a call per column, whatever its length, which is why short ones are not added so.
+        pairs = np.take(rows, order[at], axis=0).view(np.result_type(rows.dtype, np.complex64))
+        total[:many] += np.add.reduceat(pairs, begins, axis=0).view(rows.dtype)
+    return keys[starts], total
 
 
 def projected(previous: np.ndarray, after: np.ndarray, counts: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +89,7 @@ def cluster(sums: np.ndarray, single: np.ndarray, rounds: int = 12) -> np.ndarra
 class Inside:
     """Natural log probability of a rank given its class and the rank before, asked like a matrix: ``inside[previous, next]``.
 
-    ``pairs`` are sorted codes ``previous * ranks + next``; a pair that is not among them was never counted.
+    ``pairs`` are codes ``previous * ranks + next``, sorted where it is asked like a matrix; a pair that is not among them was never counted.
     """
 
     pairs: np.ndarray
@@ -90,23 +105,37 @@ class Inside:
             code = previous * len(self.share) + after
             at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
             n = np.where(self.pairs[at] == code, self.counts[at], 0)
-        return np.log((n + 2 * self.share[after]) / (self.by_class[previous, self.classes[after]] + 2)).astype(_F)
+        return self.given(previous, after, n)
+
+    def given(self, previous: np.ndarray, after: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same where it is known how often each pair was counted."""
+        return np.log((counts + 2 * self.share[after]) / (self.by_class[previous, self.classes[after]] + 2)).astype(_F)
 
 
 @dataclass
 class Counted:
-    """What the model takes from counts; ``inside`` and ``classes_after[previous, class]`` are natural logarithms."""
+    """What the model takes from counts; ``inside`` and ``classes_after[previous, class]`` are natural logarithms, ``chances_after`` are what the latter are of."""
 
     classes: np.ndarray
     inside: Inside
     chance: np.ndarray  # of each class
 
-    def __post_init__(self):
+    def _after(self, of_chances) -> np.ndarray:
         by_class = self.inside.by_class
-        self.classes_after = np.empty(by_class.shape, dtype=_F)
+        found = np.empty(by_class.shape, dtype=_F)
         for i in range(0, len(by_class), RANKS):
             own = by_class[i:i + RANKS].astype(float)
-            self.classes_after[i:i + RANKS] = np.log((own + 4 * self.chance) / (own.sum(axis=1, keepdims=True) + 4))
+            found[i:i + RANKS] = of_chances((own + 4 * self.chance) / (own.sum(axis=1, keepdims=True) + 4))
+        return found
+
+    # Training needs the one, scoring the other.
+    @cached_property
+    def classes_after(self) -> np.ndarray:
+        return self._after(np.log)
+
+    @cached_property
+    def chances_after(self) -> np.ndarray:
+        return self._after(np.asarray)
 
     @classmethod
     def of_classes(cls, classes: np.ndarray, single: np.ndarray, by_class: np.ndarray, little: np.ndarray | float = 0.1) -> Counted:
@@ -163,8 +192,19 @@ def _packed(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[name] for name in _TABLES], axis=1)
 
 
-def _log_odds(table: np.ndarray, near: np.ndarray, out: np.ndarray, counted: Counted, x: np.ndarray, context: int = 0) -> tuple:
-    """For windows of ranks (n x WINDOW): log odds of the classes that may follow each position but the first ``context``, and what backward needs."""
+def _capped(x: np.ndarray) -> np.ndarray:
+    """x with a ceiling, in place. It hardly ever applies, and to look costs a fraction of applying it."""
+    if not x.max(initial=-np.inf) <= _CEILING:
+        np.minimum(x, _F(_CEILING), out=x)
+    return x
+
+
+def _attend(table: np.ndarray, near: np.ndarray, x: np.ndarray, context: int = 0) -> tuple:
+    """For windows of ranks (n x WINDOW): what attention makes of each position but the first ``context``, and what backward needs.
+
+    Of the attention that is its odds and their sums, not the quotients, which no step needs at full length. Sums come once for each dimension,
+    so that what is divided by them is as long.
+    """
     rows = np.take(table, x, axis=0)
     k, v = rows[:, :, WIDTH:2 * WIDTH], rows[:, :, 2 * WIDTH:3 * WIDTH]
     q, gate = rows[:, context:, :WIDTH], rows[:, context:, 3 * WIDTH:]
@@ -172,20 +212,25 @@ def _log_odds(table: np.ndarray, near: np.ndarray, out: np.ndarray, counted: Cou
     s *= _F(WIDTH**-0.5)
     s += (near[np.maximum(_BACK, 0)] + _MASK)[context:]
     # A ceiling instead of the row's maximum, which costs more than all the rest; odds that high do not occur.
-    np.minimum(s, _F(_CEILING), out=s)
-    np.exp(s, out=s)
-    s /= _sums(s)[..., None]
+    np.exp(_capped(s), out=s)
     o = np.matmul(s, v)
-    o += gate
-    h = np.maximum(o, 0, out=o)
-    z = np.matmul(h.reshape(-1, WIDTH), out).reshape(*h.shape[:2], -1)
-    z += np.take(counted.classes_after, x[:, context:], axis=0)
-    return z, (q, k, v, s, h)
+    sums = np.matmul(s.reshape(-1, WINDOW), np.ones((WINDOW, WIDTH), dtype=s.dtype)).reshape(o.shape)
+    o /= sums
+    h = o + gate
+    np.maximum(h, 0, out=h)
+    return h, (q, k, v, s, sums, o)
 
 
 def forward(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray) -> tuple:
     """For windows of ranks (n x WINDOW): log odds of the classes that may follow each position, and what backward needs."""
-    return _log_odds(_packed(w), w["near"], w["out"], counted, x)
+    h, needed = _attend(_packed(w), w["near"], x)
+    return _log_odds(h, w["out"], counted, x), (*needed, h)
+
+
+def _log_odds(h: np.ndarray, out: np.ndarray, counted: Counted, x: np.ndarray) -> np.ndarray:
+    z = np.matmul(h.reshape(-1, WIDTH), out)
+    z += np.take(counted.classes_after, x.ravel(), axis=0)
+    return z.reshape(*x.shape, -1)
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -195,12 +240,28 @@ def _sums(x: np.ndarray) -> np.ndarray:
 
 def log_classes(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of class y at every position; changes z."""
-    np.minimum(z, _F(_CEILING), out=z)
-    own = np.take_along_axis(z, y[..., None], axis=2)[..., 0]
+    _capped(z)
+    own = z.reshape(-1)[np.arange(y.size) * z.shape[-1] + y.ravel()].reshape(y.shape)
     np.exp(z, out=z)
     return own - np.log(_sums(z))
 
 
+def _log_chances(h: np.ndarray, out: np.ndarray, most: np.ndarray, counted: Counted, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``log_classes`` of ``_log_odds``. Counted chances are multiplied by odds, not their logarithms added: a pass over all classes less.
+
+    ``most`` are the largest weights of ``out`` by dimension, zero at least: as h is never negative, they bound the odds.
+    """
+    h = h.reshape(-1, WIDTH)
+    if not (h @ most).max(initial=-np.inf) <= _CEILING:
+        return log_classes(_log_odds(h, out, counted, x), y)
+    odds = np.matmul(h, out)
+    chances = np.take(counted.chances_after, x.ravel(), axis=0)
+    own = np.arange(y.size) * out.shape[1] + y.ravel()
+    log = odds.reshape(-1)[own] + np.log(chances.reshape(-1)[own])
+    np.exp(odds, out=odds)
+    return (log - np.log(np.einsum("ij,ij->i", odds, chances))).reshape(y.shape)
+
+
 def gradients(w: dict[str, np.ndarray], counted: Counted, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the positions that count, and its gradient. ``y`` are classes."""
     table = _packed(w)
@@ -224,6 +285,7 @@ def _gradients(table: np.ndarray, near: np.ndarray, out: np.ndarray, counted: Co
         loss, d_s, d_out = loss + part[0], d_s + part[1], d_out + part[2]
     d_near = np.bincount(np.maximum(_BACK, 0).ravel(), weights=(d_s * (_BACK >= 0)).ravel(), minlength=WINDOW)
     used, rows = _runs(x.ravel(), rows.reshape(-1, 4 * WIDTH))
+    rows[:, :2 * WIDTH] *= _F(WIDTH**-0.5)  # of queries and keys
     return loss, used, rows, d_near.astype(near.dtype), d_out
 
 
@@ -231,30 +293,41 @@ def _part_gradients(
     table: np.ndarray, near: np.ndarray, out: np.ndarray, counted: Counted, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rows: np.ndarray
 ) -> tuple[float, np.ndarray, np.ndarray]:
     """What some windows add to the loss and to the gradients by distance and of ``out``; fills ``rows`` with those of every position's row of the table."""
-    z, (q, k, v, a, h) = _log_odds(table, near, out, counted, x)
-    flat, weight = z.reshape(-1, z.shape[2]), weight.ravel()
-    np.minimum(flat, _F(_CEILING), out=flat)
+    h, (q, k, v, s, sums, o) = _attend(table, near, x)
+    z = _log_odds(h, out, counted, x)
+    flat, weight = _capped(z.reshape(-1, z.shape[2])), weight.ravel()
     own = np.arange(len(flat)) * flat.shape[1] + y.ravel()
-    odds = z.ravel()[own]
+    odds = z.reshape(-1)[own]
     np.exp(flat, out=flat)
     total = _sums(flat)
-    loss = -float(((odds - np.log(total)) * weight).sum())
+    loss = float(np.dot(np.log(total) - odds, weight))
     # Gradients of z are (flat / total - 1 at the own class) * weight; the factors go where rows are shorter.
     z.reshape(-1)[own] -= total
     weight = (weight / total)[:, None]
-    d_out = (h.reshape(-1, WIDTH) * weight).T @ flat
-    d_o = (flat @ out.T * weight).reshape(h.shape)
+    d_out = _summed_products(h.reshape(-1, WIDTH) * weight, flat)
+    d_o = flat @ out.T
+    d_o *= weight
+    d_o = d_o.reshape(h.shape)
     d_o *= h > 0
+    rows[:, :, 3 * WIDTH:] = d_o
+    # From here on divided by the sums of the attention, which its odds are still to be divided by.
+    d_o /= sums
     d_s = np.matmul(d_o, np.ascontiguousarray(v.transpose(0, 2, 1)))
-    d_s -= _sums(d_s * a)[..., None]
-    d_s *= a
-    by_distance = d_s.sum(axis=0)
-    d_s *= _F(WIDTH**-0.5)
+    d_s -= _sums(d_o * o)[..., None]
+    d_s *= s
     np.matmul(d_s, k, out=rows[:, :, :WIDTH])
     np.matmul(d_s.transpose(0, 2, 1), q, out=rows[:, :, WIDTH:2 * WIDTH])
-    np.matmul(a.transpose(0, 2, 1), d_o, out=rows[:, :, 2 * WIDTH:3 * WIDTH])
-    rows[:, :, 3 * WIDTH:] = d_o
-    return loss, by_distance, d_out
+    np.matmul(s.transpose(0, 2, 1), d_o, out=rows[:, :, 2 * WIDTH:3 * WIDTH])
+    return loss, d_s.sum(axis=0), d_out
+
+
+def _summed_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``left.T @ right`` of many rows."""
+    deep = len(left) // _DEEP * _DEEP
+    out = left[deep:].T @ right[deep:]
+    if deep:
+        out += np.matmul(left[:deep].reshape(-1, _DEEP, left.shape[1]).transpose(0, 2, 1), right[:deep].reshape(-1, _DEEP, right.shape[1])).sum(axis=0)
+    return out
 
 
 def _places(begins: np.ndarray, n: int, step: int, context: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,36 +360,46 @@ def train(w: dict[str, np.ndarray], counted: Counted, windows: np.ndarray, valid
 
     A rank's rows change in the steps that it occurs in. Returns the weights and in how many steps each rank occurred.
     """
-    # Weights and Adam's two means side by side: of the table, and of the others end on end.
-    table, rest = _packed(w), np.append(w["near"], w["out"])
-    wide, many = table.shape[1], len(w["near"])
-    table, rest = np.concatenate([table, np.zeros((len(table), 2 * wide), dtype=_F)], axis=1), np.stack([rest, *np.zeros((2, len(rest)), dtype=_F)])
-    now, near, out = table[:, :wide], rest[0, :many], rest[0, many:].reshape(w["out"].shape)
-    steps = np.zeros(len(table), dtype=np.int64)
+    # Weights and Adam's two means, each of one piece: from a part of wider rows, numpy would copy the whole table before it takes some.
+    # Weights without a rank fill more rows, which change in every step.
+    ranks, many, rest = len(counted.classes), len(w["near"]), np.append(w["near"], w["out"])
+    lines = -(-len(rest) // (4 * WIDTH))
+    table = np.concatenate([_packed(w), np.zeros((lines, 4 * WIDTH), dtype=_F)])
+    first, second = np.zeros_like(table), np.zeros_like(table)
+    near, out = np.split(table[ranks:].reshape(-1)[:len(rest)], [many])
+    near[:], out[:] = w["near"], w["out"].ravel()
+    out = out.reshape(w["out"].shape)
+    d_rest = np.zeros(lines * 4 * WIDTH, dtype=_F)
+    steps = np.zeros(ranks, dtype=np.int64)
     content = np.zeros(len(windows), dtype=np.uint64)
     for column in windows.T:
         content = content * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64)
     order = np.argsort(content, kind="stable")[np.random.default_rng(seed).permutation(len(windows))]
     for t, i in enumerate(range(0, len(order), batch), 1):
         rows = windows[order[i:i + batch]].astype(np.int64)
-        _, used, *grads = _gradients(now, near, out, counted, rows[:, :-1], counted.classes[rows[:, 1:]], valid[order[i:i + batch]])
+        _, used, d_rows, d_rest[:many], d_out = _gradients(table, near, out, counted, rows[:, :-1], counted.classes[rows[:, 1:]], valid[order[i:i + batch]])
         steps[used] += 1
-        own = table[used]
-        _adam(own[:, :wide], own[:, wide:2 * wide], own[:, 2 * wide:], grads[0], rate, t)
-        table[used] = own
-        _adam(*rest, np.append(grads[1], grads[2]), rate, t)
-    return {**dict(zip(_TABLES, np.split(now, len(_TABLES), axis=1))), "near": near, "out": out}, steps
+        d_rest[many:len(rest)] = d_out.ravel()
+        used = np.append(used, np.arange(ranks, len(table)))
+        own = [np.take(a, used, axis=0) for a in (table, first, second)]
+        _adam(*own, np.concatenate([d_rows, d_rest.reshape(lines, -1)]), rate, t)
+        table[used], first[used], second[used] = own
+    return {**dict(zip(_TABLES, np.split(table[:ranks], len(_TABLES), axis=1))), "near": near, "out": out}, steps
 
 
 def _adam(w: np.ndarray, first: np.ndarray, second: np.ndarray, g: np.ndarray, rate: float, t: int) -> None:
-    """Step t, in place."""
-    first += _F(0.1) * (g - first)
+    """Step t, in place. ``first`` and ``second`` are the means of the gradient and its square, but for constant factors that go where they cost least."""
+    first *= _F(0.9)
+    first += g
     g *= g
-    second += _F(0.02) * (g - second)
+    second *= _F(0.98)
+    second += g
+    scale = (0.02 / (1 - 0.98**t)) ** 0.5
     root = np.sqrt(second)
-    root *= _F((1 - 0.98**t) ** -0.5)
-    root += _F(1e-8)
-    w -= _F(rate / (1 - 0.9**t)) * first / root
+    root += _F(1e-8 / scale)
+    np.divide(first, root, out=root)
+    root *= _F(0.1 * rate / (1 - 0.9**t) / scale)
+    w -= root
 
 
 def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, begins: np.ndarray = _ONE_TEXT, which: np.ndarray | None = None, batch: int = 2 * _AT_ONCE) -> np.ndarray:
@@ -324,27 +407,35 @@ def score(w: dict[str, np.ndarray], counted: Counted, ranks: np.ndarray, begins:
 
     ``ranks`` holds several texts end on end, each begun by the end mark (rank 0) of the one before; ``begins`` are the places of these marks.
     Windows begin with a text and attention looks back only, so no score depends on another text. ``which`` says which of the counted pairs
-    each of ranks[1:] makes with the one before, where these are the pairs that occur.
+    each of ranks[1:] makes with the one before, where these are the pairs that occur, in any order.
     """
     n = len(ranks) - 1
     if n <= 0:
         return np.empty(0, dtype=_F)
     # What depends on two ranks alone is worked out once for all their places.
     size = len(counted.classes)
-    pairs = counted.inside.pairs
     if which is None:
         pairs, which = np.unique(ranks[:-1] * size + ranks[1:], return_inverse=True)
-    found = counted.inside[pairs // size, pairs % size][which]
+        found = counted.inside[pairs // size, pairs % size][which]
+    else:
+        pairs = counted.inside.pairs
+        found = counted.inside.given(pairs // size, pairs % size, counted.inside.counts)[which]
     classes = counted.classes[ranks[1:]]
     context = WINDOW - STRIDE
     starts, ends, first = _places(begins, n, STRIDE, context)
     table, near, out = _packed(w), w["near"], w["out"]
+    most = np.maximum(out.max(axis=1), 0)
     for skipped, own in ((0, np.flatnonzero(first)), (context, np.flatnonzero(~first))):
         for i in range(0, len(own), batch):
             some = own[i:i + batch]
             places = starts[some, None] + np.arange(WINDOW)
-            at = np.minimum(places, n - 1)
-            z, _ = _log_odds(table, near, out, counted, ranks[at], skipped)
-            at, fresh = at[:, skipped:], places[:, skipped:] < ends[some, None]
-            found[at[fresh]] += log_classes(z, classes[at])[fresh]
+            x = ranks[np.minimum(places, n - 1)]
+            h, _ = _attend(table, near, x, skipped)
+            places = places[:, skipped:]
+            log = _log_chances(h, out, most, counted, x[:, skipped:], classes[np.minimum(places, n - 1)])
+            fresh = places < ends[some, None]
+            if fresh.all():
+                found[places] += log
+            else:
+                found[places[fresh]] += log[fresh]
     return found

@@ -15,6 +15,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,19 +37,43 @@ _REQUEST, _TEXT, _SINGLES = 0, 1, 2
 END_WORD = b""  # no word is empty; numbered 0 in every chunk
 
 
-class _Numbered(dict):
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 def words(text: str) -> list[bytes]:
     """ASCII capitals lowered, cut at ASCII white space: on bytes, lower() and split() know no other."""
     return text.encode().lower().split()
 
 
+def _numbered(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What ``words`` finds in each text, by Arrow: the distinct words by first place, END_WORD before them; the texts as numbers into this list, each with
+    the end at its end; and how many numbers each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = cut.values.dictionary_encode()
+    listed = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+    numbers, starts = found.indices.to_numpy(), cut.offsets.to_numpy()
+    if "" in listed:  # white space at a text's ends leaves empty pieces
+        empty = listed.index("")
+        some = numbers != empty
+        starts = np.append(0, np.cumsum(some))[starts]
+        numbers = numbers[some]
+        numbers -= numbers > empty
+        del listed[empty]
+    lengths = np.diff(starts) + 1
+    ends = np.cumsum(lengths) - 1
+    flat = np.empty(len(numbers) + len(lengths), dtype="<u4")
+    inside = np.ones(len(flat), dtype=bool)
+    inside[ends] = False
+    flat[inside] = numbers + 1
+    flat[ends] = 0
+    return [END_WORD.decode(), *listed], flat, lengths.astype("<i4")
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes by first place, and which of them each is: by hashing, which takes a fraction of the time of np.unique."""
+    found = pa.array(codes).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], tokenizer: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    import xxhash
+    from xxhash import xxh3_64_intdigest
 
     spell, part = encoder(tokenizer), TaskContext.get().partitionId()
     end = np.uint32(spell.vocabulary - 1)
@@ -56,22 +81,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokenizer: str, buckets: int) ->
     singles = np.zeros(spell.vocabulary, dtype=np.int64)
     for number, batch in enumerate(slices(batches)):
         spell.turn()
-        index = _Numbered({END_WORD: 0})
-        found, lengths = [], []
-        for text in batch["text"].to_pylist():
-            own = list(map(index.__getitem__, words(text)))
-            own.append(0)
-            found += own
-            lengths.append(len(own))
-        flat, lengths = np.array(found, dtype="<u4"), np.array(lengths, dtype="<i4")
+        listed, flat, lengths = _numbered(batch["text"])
         held = batch["held_out"].to_numpy(zero_copy_only=False)
-        counts = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(index))
-        listed = list(index)
-        spelled, sizes = spell.spell([w.decode() for w in listed[1:]])
+        counts = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(listed))
+        spelled, sizes = spell.spell(listed[1:])
         subwords, sizes = np.append(end, spelled).astype("<u4"), np.append(1, sizes).astype("<i4")
         singles += np.bincount(subwords, weights=np.repeat(counts, sizes), minlength=len(singles)).astype(np.int64)
         # Words in the order of their buckets; place says which number each has in the texts.
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in index), np.int64, len(index))
+        bucket = (np.fromiter(map(xxh3_64_intdigest, listed), np.uint64, len(listed)) % np.uint64(buckets)).astype(np.int64)
         place = np.argsort(bucket, kind="stable")
         ends, start, rows = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist(), 0, []
         chunk = (part << 24) + number
@@ -79,7 +96,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokenizer: str, buckets: int) ->
             if stop > start:
                 own = place[start:stop]
                 rows.append({
-                    "kind": _REQUEST, "chunk": chunk, "bucket": b, "words": b" ".join([listed[i] for i in own.tolist()]),
+                    "kind": _REQUEST, "chunk": chunk, "bucket": b, "words": " ".join([listed[i] for i in own.tolist()]).encode(),
                     "counts": counts[own].astype("<i8").tobytes(),
                 })
             start = stop
@@ -115,8 +132,9 @@ class _Text:
         """The subword ids of a sequence of words, and how many each word has."""
         sizes = self._sizes[flat]
         before = np.cumsum(self._sizes) - self._sizes
-        at = np.repeat(before[flat] - (np.cumsum(sizes) - sizes), sizes)
-        at += np.arange(len(at))
+        kind = np.int32 if max(before[-1], n := int(sizes.sum())) < 1 << 31 else np.int64
+        at = np.repeat((before[flat] - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
+        at += np.arange(n, dtype=kind)
         return self._subwords[at], sizes
 
     def subwords(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +148,13 @@ class _Text:
 
 def _meet(bucket: pa.Table) -> pa.Table:
     """The count of every word, for each chunk in the order it asked; one more line, of chunk -1, with distinct words and tokens."""
-    total: dict[bytes, int] = {}
-    asked = [w.split(b" ") for w in bucket["words"].to_pylist()]
-    for own, counts in zip(asked, bucket["counts"].to_pylist()):
-        for word, n in zip(own, np.frombuffer(counts, "<i8").tolist()):
-            total[word] = total.get(word, 0) + n
-    answers = [np.fromiter(map(total.__getitem__, own), "<i8", len(own)).tobytes() for own in asked]
-    seen = np.array([sum(n > 0 for n in total.values()), sum(total.values())], dtype="<i8").tobytes()
+    # Split and told apart by Arrow, not word by word: a bucket holds each chunk's list once.
+    lists = pc.split_pattern(bucket["words"].combine_chunks(), " ")
+    found = lists.values.dictionary_encode()
+    which, counts = found.indices.to_numpy(), np.concatenate([np.frombuffer(c, "<i8") for c in bucket["counts"].to_pylist()])
+    total = np.bincount(which, counts).astype("<i8")
+    answers = [a.tobytes() for a in np.split(total[which], lists.offsets.to_numpy()[1:-1])]
+    seen = np.array([np.count_nonzero(total), total.sum()], dtype="<i8").tobytes()
     return pa.table({
         "chunk": pa.array([*bucket["chunk"].to_pylist(), -1], pa.int64()),
         "bucket": pa.array([*bucket["bucket"].to_pylist(), None], pa.int32()), "counts": pa.array([*answers, seen], pa.binary()),
@@ -175,7 +193,7 @@ def _ask_pairs(batches: Iterator[pa.RecordBatch], ranks: Ranks, buckets: int) ->
         for row in batch.to_pylist():
             text = _Text(row)
             ids, begins = text.subwords(np.ones(len(text.lengths), dtype=bool))
-            codes, which = np.unique(ranks.pairs(ids), return_inverse=True)
+            codes, which = _distinct(ranks.pairs(ids))
             learn = np.repeat(~text.held, np.diff(np.append(begins, len(ids))))
             counts = np.bincount(which[learn], minlength=len(codes))
             order, ends = _dealt(codes, buckets)
@@ -376,7 +394,7 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
             ranks, counted, weights = model.value
             ids, begins = text.subwords(np.ones(len(starts), dtype=bool))
             seen = np.append(0, ranks.of[ids]).astype(np.int64)
-            codes, which = np.unique(ranks.pairs(ids), return_inverse=True)
+            codes, which = _distinct(ranks.pairs(ids))
             often = np.empty(len(codes), dtype=np.int64)
             often[_dealt(codes, pair_buckets)[0]] = np.frombuffer(b"".join(c for b, c in got if b >= buckets), "<i8")
             counted.inside = replace(counted.inside, pairs=codes, counts=often)

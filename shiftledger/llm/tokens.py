@@ -215,10 +215,11 @@ class WordCache:
         begins with a space begins a word.
         """
         if self._fast is not None and words:
-            ids = self._fast.encode_to_numpy(" " + " ".join(words), disallowed_special=())
+            text = " " + " ".join(words)
+            ids = np.frombuffer(array("I", self._fast.encode_ordinary(text)), "<u4")
             starts = np.flatnonzero(self._begins[ids])
-            if len(starts) == len(words) and not any(s in w for s in self._special for w in words):
-                return ids.astype("<u4"), np.diff(np.append(starts, len(ids)))
+            if len(starts) == len(words) and not any(s in text for s in self._special):
+                return ids, np.diff(np.append(starts, len(ids)))
         found = [self.word_ids(w) for w in words]
         return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], dtype=np.int64)
 

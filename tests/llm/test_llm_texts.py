@@ -7,6 +7,7 @@ import pathlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -365,6 +366,74 @@ def test_gradients_follow_the_loss():
         assert math.isclose(slope, grads[name][at], rel_tol=0.05)
 
 
+def test_a_training_step_copies_no_table(monkeypatch):
+    ranks, classes = 200_000, 4
+    counted = attention.Counted.of_classes(np.arange(ranks) % classes, np.ones(ranks), np.ones((ranks, classes)))
+    w = attention.fresh_weights(ranks, classes)
+    windows, valid = attention.windows(np.append(0, np.random.default_rng(2).integers(0, ranks, 3000)))
+    counted.classes_after  # a table of its own, made once
+    grown, step = [], attention._gradients
+
+    def watched(*given):
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        found = step(*given)
+        grown.append(tracemalloc.get_traced_memory()[1] - before)
+        return found
+
+    monkeypatch.setattr(attention, "_gradients", watched)
+    tracemalloc.start()
+    try:
+        got, steps = attention.train(w, counted, windows, valid, 0.01)
+    finally:
+        tracemalloc.stop()
+    # The weights by rank are 51 MB.
+    assert len(grown) == 2 and max(grown) < 20 << 20
+    seen = np.zeros(ranks, dtype=bool)
+    seen[windows[:, :-1]] = True
+    assert ((steps > 0) == seen).all() and all((got[k][~seen] == w[k][~seen]).all() for k in ("query", "key", "value", "gate"))
+    assert got["near"].shape == w["near"].shape and (got["out"] != w["out"]).any() and got["out"].shape == w["out"].shape
+
+
+def test_rows_of_one_key_are_summed():
+    draw = np.random.default_rng(4)
+    for keys in (np.empty(0, dtype=np.int64), draw.integers(0, 3, 1), draw.integers(0, 900, 1000), np.minimum(draw.zipf(1.3, 3000), 70_000), np.full(50, 7)):
+        rows = draw.normal(size=(len(keys), 4)).astype(np.float32)
+        found, sums = attention._runs(keys, rows)
+        wanted = np.zeros((70_001, 4))
+        np.add.at(wanted, keys, rows)
+        assert sorted(found.tolist()) == np.unique(keys).tolist() and np.allclose(sums, wanted[found], atol=1e-3)
+
+
+def test_scores_of_large_odds_have_the_ceiling():
+    draw = np.random.default_rng(5)
+    counted = attention.Counted.of(draw.poisson(0.3, (300, 300)).astype(float))
+    x, y = draw.integers(0, 300, (2, 6)), draw.integers(0, counted.classes_after.shape[1], (2, 6))
+    for wide in (1, 30):  # 30: odds beyond the ceiling
+        h, out = (np.abs(draw.normal(size=s)).astype(np.float32) * w for s, w in (((2, 6, attention.WIDTH), 1), ((attention.WIDTH, counted.classes_after.shape[1]), wide)))
+        wanted = attention.log_classes(attention._log_odds(h, out, counted, x), y)
+        assert np.allclose(attention._log_chances(h, out, np.maximum(out.max(axis=1), 0), counted, x, y), wanted, rtol=1e-4, atol=1e-4)
+        assert np.isfinite(wanted).all()
+
+
+def test_words_by_arrow_are_those_of_python():
+    texts = ["", " ", "  lead", "trail \n", "A\tB\x0bC\x0cD\rE\nF", "\x1c a\x1d b\x1e\x1f", "É À İ K", "\x85a b\xa0c\u2003d", "a\0b \0", "x  y x"]
+    for own in (texts, texts[2:3], texts[:2], texts[-1:]):
+        listed, flat, lengths = lm._numbered(pa.array(own))
+        cut = [[listed[i].encode() for i in part.tolist()] for part in np.split(flat, np.cumsum(lengths)[:-1])]
+        assert cut == [[*lm.words(t), lm.END_WORD] for t in own]
+        assert len(set(listed)) == len(listed) and listed[0] == ""
+
+
+def test_counts_of_words_meet():
+    asked = [(0, [b"", b"a", "é".encode()], [3, 2, 0]), (1, [b"a"], [5]), (2, [b""], [1]), (3, [b"b", b""], [0, 0])]
+    got = lm._meet(pa.table({
+        "chunk": pa.array([c for c, _, _ in asked]), "bucket": pa.array([9] * 4, pa.int32()), "words": pa.array([b" ".join(w) for _, w, _ in asked], pa.binary()),
+        "counts": pa.array([np.array(n, "<i8").tobytes() for _, _, n in asked], pa.binary()),
+    })).to_pylist()
+    assert [(r["chunk"], np.frombuffer(r["counts"], "<i8").tolist()) for r in got] == [(0, [4, 7, 0]), (1, [7]), (2, [4]), (3, [0, 4]), (-1, [2, 11])]
+
+
 def chunks(docs):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True)).alias("held_out")
     return id_and_text(docs, held).mapInArrow(lambda b: lm._chunks(b, BYTE, 4), lm._CHUNK).where("kind = 1")
