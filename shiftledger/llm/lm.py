@@ -32,6 +32,7 @@ _WINDOWS_PER_TASK = 8192
 _PARTS = 64  # sums with a line per subword id are taken in so many parts
 _SUMS = "part long, ids binary, sums binary"
 _BUCKETS_PER_PARTITION = 4
+_CHUNK_BYTES = 8 << 20  # of text; the larger, the fewer words and pairs meet, and the more a task holds
 _CHUNK = "kind int, chunk long, bucket int, words binary, counts binary, docs binary, known binary, lengths binary, flat binary, subwords binary, sizes binary, place binary"
 _REQUEST, _TEXT, _SINGLES = 0, 1, 2
 END_WORD = b""  # no word is empty; numbered 0 in every chunk
@@ -79,7 +80,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokenizer: str, buckets: int) ->
     end = np.uint32(spell.vocabulary - 1)
     names = [f.split()[0] for f in _CHUNK.split(", ")]
     singles = np.zeros(spell.vocabulary, dtype=np.int64)
-    for number, batch in enumerate(slices(batches)):
+    for number, batch in enumerate(slices(batches, limit=_CHUNK_BYTES)):
         spell.turn()
         listed, flat, lengths = _numbered(batch["text"])
         held = batch["held_out"].to_numpy(zero_copy_only=False)
@@ -175,10 +176,17 @@ class Ranks:
         #: Natural log probability of an id given its rank: nothing tells those never seen apart.
         self.alone = np.where(self.of == self.size - 1, -np.log(unseen), 0).astype(np.float32)
 
-    def pairs(self, ids: np.ndarray) -> np.ndarray:
-        """A code for each id and the one before it, the first behind an end mark."""
-        seen = np.append(0, self.of[ids]).astype(np.int64)
-        return seen[:-1] * self.size + seen[1:]
+    def seen(self, ids: np.ndarray) -> np.ndarray:
+        """The ranks of ids, behind an end mark."""
+        found = np.zeros(len(ids) + 1, dtype=np.int64)
+        found[1:] = self.of[ids]
+        return found
+
+    def pairs(self, seen: np.ndarray) -> np.ndarray:
+        """A code for each rank and the one before it."""
+        codes = seen[:-1] * self.size
+        codes += seen[1:]
+        return codes
 
 
 def _dealt(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +201,7 @@ def _ask_pairs(batches: Iterator[pa.RecordBatch], ranks: Ranks, buckets: int) ->
         for row in batch.to_pylist():
             text = _Text(row)
             ids, begins = text.subwords(np.ones(len(text.lengths), dtype=bool))
-            codes, which = _distinct(ranks.pairs(ids))
+            codes, which = _distinct(ranks.pairs(ranks.seen(ids)))
             learn = np.repeat(~text.held, np.diff(np.append(begins, len(ids))))
             counts = np.bincount(which[learn], minlength=len(codes))
             order, ends = _dealt(codes, buckets)
@@ -281,7 +289,7 @@ def _learned(batches: Iterator[pa.RecordBatch], ranks: Ranks, share: int, shares
             learn = ~text.held
             ids, begins = text.subwords(learn & (np.cumsum(learn) % shares == share))
             if len(ids):
-                yield np.append(0, ranks.of[ids]).astype(np.int64), begins
+                yield ranks.seen(ids), begins
 
 
 def _windows(batches: Iterator[pa.RecordBatch], ranks: Ranks, share: int = 0, shares: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -393,8 +401,8 @@ def score(docs: DataFrame, tokenizer: str) -> DataFrame:
             per_doc = lambda values: np.add.reduceat(values, starts, dtype=np.float64)  # noqa: B023, E731
             ranks, counted, weights = model.value
             ids, begins = text.subwords(np.ones(len(starts), dtype=bool))
-            seen = np.append(0, ranks.of[ids]).astype(np.int64)
-            codes, which = _distinct(ranks.pairs(ids))
+            seen = ranks.seen(ids)
+            codes, which = _distinct(ranks.pairs(seen))
             often = np.empty(len(codes), dtype=np.int64)
             often[_dealt(codes, pair_buckets)[0]] = np.frombuffer(b"".join(c for b, c in got if b >= buckets), "<i8")
             counted.inside = replace(counted.inside, pairs=codes, counts=often)
